@@ -46,3 +46,60 @@ def stat_r(x: str | Column, y: str | Column) -> Column:
     """
     den = F.stddev_pop(_c(x)) * F.stddev_pop(_c(y))
     return F.try_divide(F.covar_pop(_c(x), _c(y)), F.when(den != 0, den))
+
+
+def global_index(df: DataFrame, order_cols: list | None = None, name: str = "_idx", checkpoint: bool = True) -> DataFrame:
+    """0-based position of every row in a total order, computed distributed.
+
+    A range-partitioned sort puts the rows in order across partitions; each
+    row's position is its partition's offset (a running sum over one count per
+    partition: a table bounded by the partition count, so it is broadcast)
+    plus its position inside the partition.  No single-partition window.
+    The sorted data is checkpointed into the shared checkpoint dir first, so the
+    partition numbering the offsets refer to is fixed and survives executor
+    loss.  Without ``order_cols`` the current row order (file order) is used.
+    """
+    from pyspark.sql import Window
+
+    from ..session import cut_lineage
+
+    s = df.orderBy(*order_cols) if order_cols else df
+    s = s.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
+    if checkpoint:
+        s = cut_lineage(s)
+    counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = counts.select("_pid", "_m0", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    out = s.join(F.broadcast(offsets), "_pid")
+    return out.withColumn(name, (F.col("_off") + F.col("_mid") - F.col("_m0")).cast("long")).drop(
+        "_pid", "_mid", "_m0", "_off"
+    )
+
+
+def running_sums(
+    df: DataFrame,
+    part: list[str],
+    order: list,
+    bucket: Column,
+    values: dict[str, Column],
+    include_current: bool = False,
+) -> DataFrame:
+    """Running sums per ``part`` in ``order`` without putting a whole partition
+    group in one task: rows are split into ``bucket``s (non-decreasing in the
+    order), bucket totals get their offsets from a window over the (few)
+    buckets of the group, and the running sum inside a bucket is a window over
+    (part, bucket).  A hot group is thus spread over many tasks."""
+    from pyspark.sql import Window
+
+    d = df.withColumn("_b", bucket)
+    for n, v in values.items():
+        d = d.withColumn(f"_v_{n}", v)
+    tot = d.groupBy(*part, "_b").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
+    w1 = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select(*part, "_b", *[F.coalesce(F.sum(f"_t_{n}").over(w1), F.lit(0)).alias(f"_o_{n}") for n in values])
+    j = d.join(off, [*part, "_b"])
+    end = 0 if include_current else -1
+    w2 = Window.partitionBy(*part, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+    for n in values:
+        j = j.withColumn(n, F.col(f"_o_{n}") + F.coalesce(F.sum(f"_v_{n}").over(w2), F.lit(0)))
+    return j.drop("_b", *[f"_v_{n}" for n in values], *[f"_o_{n}" for n in values])
