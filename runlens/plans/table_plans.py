@@ -187,8 +187,8 @@ ORDER BY benchmark_id
 def _q(fx):
     spark = fx.spark
     local = spark.createDataFrame([("LOCAL_TEST",), ("LOCAL_TEST_LARGE",)], "benchmark_id string")
-    csv = fx.documents.select(F.concat("source", F.lit(".csv")))
-    legacy = fx.benchmark.select(F.concat(F.lit("bench_"), (F.col("item_id") % 7).cast("string")))
+    csv = fx.documents.select(F.concat("source", F.lit(".csv")).alias("benchmark_id"))
+    legacy = fx.benchmark.select(F.concat(F.lit("bench_"), (F.col("item_id") % 7).cast("string")).alias("benchmark_id"))
     return D.catalog_list(local, csv, legacy)
 
 
