@@ -8,8 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Python's str.strip() removes all whitespace; Spark's trim only spaces.
-_WS = r"^\s+|\s+$"
+# --- fixed values: the characters Python's str.isspace() accepts ------------
+PY_WS = "[\\t\\n\\x0b\\x0c\\r\\x1c-\\x1f \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+
+# Python's str.strip() removes all of them; Spark's trim only spaces.
+_WS = f"^{PY_WS}+|{PY_WS}+$"
 
 
 def _c(c) -> Column:
@@ -30,7 +33,7 @@ def blank_to_null(c) -> Column:
 def word_count(c) -> Column:
     """``len(text.split())``: number of whitespace-separated tokens."""
     s = pystrip(c)
-    return F.when(s == "", F.lit(0)).otherwise(F.size(F.split(s, r"\s+"))).cast("int")
+    return F.when(s == "", F.lit(0)).otherwise(F.size(F.split(s, f"{PY_WS}+"))).cast("int")
 
 
 def truncate_text(c, n: int, keep: int | None = None, suffix: str = "...") -> Column:
