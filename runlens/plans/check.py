@@ -98,8 +98,9 @@ def compare(spark, sf_dir: str, keys=None, con=None, verbose=True) -> dict:
                     res["spark_cols"] = sorted(scols)
                     res["duck_cols"] = sorted(dcols)
                 elif not res["values_match"]:
-                    diff_s = [r for r in srows if r not in set(drows)][:3] if len(srows) < 200000 else []
-                    diff_d = [r for r in drows if r not in set(srows)][:3] if len(drows) < 200000 else []
+                    ds_, ss_ = set(drows), set(srows)
+                    diff_s = [r for r in srows if r not in ds_][:3]
+                    diff_d = [r for r in drows if r not in ss_][:3]
                     res["spark_only"] = [repr(x)[:400] for x in diff_s]
                     res["duck_only"] = [repr(x)[:400] for x in diff_d]
                 res["ok"] = res["cols_match"] and res["values_match"]
