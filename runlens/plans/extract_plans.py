@@ -298,3 +298,29 @@ def _q(fx):
     )
     return rollup_steps(steps)
 
+
+
+def demo_model(prompt: str) -> str:
+    """A deterministic stand-in for a model call: fails on some prompts."""
+    if len(prompt) % 7 == 0:
+        raise RuntimeError("model unavailable")
+    return str(len(prompt) % 5)
+
+
+@query("score_table", [], section="2.15", oracle=f"""
+WITH t(approach, template, suffix) AS (VALUES {_TEMPLATE_VALUES}),
+p AS (SELECT b.item_id, t.approach, concat(replace(t.template, '{{question}}', b.text), t.suffix) AS prompt
+      FROM benchmark b CROSS JOIN t)
+SELECT item_id, approach,
+       CASE WHEN length(prompt) % 7 = 0 THEN NULL ELSE CAST(length(prompt) % 5 AS VARCHAR) END AS answer,
+       CASE WHEN length(prompt) % 7 = 0 THEN 'RuntimeError: model unavailable' END AS error,
+       TRUE AS timed
+FROM p
+""")
+def _q(fx):
+    from ..operators.runs import sample_approach_grid
+    from ..operators.score import score_table
+
+    grid = X.render_prompts(sample_approach_grid(fx.benchmark, list(TEMPLATES))).select("item_id", "approach", "prompt")
+    scored = score_table(grid, demo_model, keep=["item_id", "approach"])
+    return scored.select("item_id", "approach", "answer", "error", (F.col("elapsed") >= 0).alias("timed"))

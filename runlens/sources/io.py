@@ -106,6 +106,33 @@ def read_latest(spark: SparkSession, base: str) -> DataFrame | None:
     return spark.read.parquet(f"{base}/version={versions[-1]}") if versions else None
 
 
+def write_delta(df: DataFrame, base: str, batch_id: int) -> None:
+    """Merge-on-read table: a micro-batch writes only its own rows to
+    ``base/delta/batch=<id>`` (overwrite, so a replayed batch is idempotent)."""
+    df.write.mode("overwrite").parquet(f"{base}/delta/batch={batch_id}")
+
+
+def read_merged(spark: SparkSession, base: str, keys: list[str], order: list[str] | None = None,
+                initial: DataFrame | None = None) -> DataFrame | None:
+    """Current rows of a merge-on-read table: the initial rows and every delta,
+    the latest batch winning per key (then ``order`` inside a batch).  The
+    dedupe is a ``max_by`` aggregate, so a hot key is partially aggregated."""
+    from ..operators.windows import dedupe_last
+
+    fs, p = _fs(spark, f"{base}/delta")
+    parts = []
+    if initial is not None:
+        parts.append(initial.withColumn("batch", F.lit(-1).cast("int")))
+    if fs.exists(p):
+        parts.append(spark.read.parquet(f"{base}/delta"))
+    if not parts:
+        return None
+    u = parts[0]
+    for q in parts[1:]:
+        u = u.unionByName(q, allowMissingColumns=True)
+    return dedupe_last(u, keys, ["batch", *(order or [])]).drop("batch")
+
+
 # ----------------------------------------------------------------------------- run exports
 
 
