@@ -4,8 +4,8 @@ field sets and the recommended mapping.
 A profile is built from the first ``n_rows`` rows of a dataset (the head, by a
 key) and the first ``n_values`` non-null values of each column, as in the
 reference, so its cost is bounded whatever the dataset size.  All steps are
-DataFrame jobs over the small profile table; the pattern tables are fixed and
-broadcast.  Many datasets are profiled by unioning their profiles.
+DataFrame jobs over the small profile table; the fixed pattern lists become
+CASE chains and aggregate expressions, so no step joins.  Many datasets are profiled by unioning their profiles.
 """
 
 from __future__ import annotations
@@ -62,54 +62,63 @@ def value_string(col: Column, dtype: T.DataType) -> Column:
 
 
 def profile_columns(df: DataFrame, dataset_name: str, key: str | None = None,
-                    n_rows: int = 100, n_values: int = 10) -> DataFrame:
+                    n_rows: int = 100, n_values: int = 10, materialize: bool = True) -> DataFrame:
     """One row per column: type (empty / text / numeric / boolean / categorical),
     average length (1 place), distinct lower-cased values, 3 sample values, and
-    the content statistics the role scoring uses."""
-    spark = df.sparkSession
+    the content statistics the role scoring uses.
+
+    The profile (one small row per column) is checkpointed into the shared
+    checkpoint dir, so the steps that read it several times (roles, field sets,
+    rules) do not re-run the head scan."""
     fields = df.schema.fields
     head = (df.orderBy(key) if key else df).limit(n_rows)
     order = F.col(key) if key else F.monotonically_increasing_id()
-    head = head.withColumn("_k", order)
     cells = F.explode(F.array(*[
         F.struct(
             F.lit(f.name).alias("column"),
             F.lit(i).alias("position"),
+            F.lit(f.dataType.simpleString()).alias("dtype"),
             F.lit(isinstance(f.dataType, _NUMERIC + (T.BooleanType,))).alias("native_numeric"),
             value_string(F.col(f"`{f.name}`"), f.dataType).alias("v"),
         )
         for i, f in enumerate(fields)
     ]))
-    long = head.select("_k", cells.alias("c")).select("_k", "c.*").filter(F.col("v").isNotNull())
-    w = Window.partitionBy("column").orderBy("_k")
-    vals = long.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n_values)
-    stripped = pystrip(F.col("v"))
-    structured = F.lit(False)
-    for p in STRUCTURED_PREFIXES:
-        structured = structured | stripped.startswith(p)
-    g = vals.groupBy("column").agg(
-        F.count(F.lit(1)).alias("n_values"),
-        F.avg(F.length("v")).alias("avg_length_raw"),
-        F.count_distinct(F.lower("v")).alias("unique_values"),
-        F.bool_and(F.col("native_numeric") | F.col("v").try_cast("double").isNotNull()).alias("_numeric"),
-        F.bool_and(F.lower("v").isin(BOOLEAN_VALUES)).alias("_boolean"),
-        F.sum(structured.cast("int")).alias("structured_count"),
-        F.transform(
-            F.sort_array(F.collect_list(F.when(F.col("_r") <= 3, F.struct("_r", "v")))), lambda s: s["v"]
-        ).alias("sample_values"),
+    long = head.select(order.alias("_k"), cells.alias("c")).select("_k", "c.*")
+    # at most n_rows cells per column: the list is bounded by construction
+    g = long.groupBy("column", "position", "dtype", "native_numeric").agg(
+        F.sort_array(F.collect_list(F.when(F.col("v").isNotNull(), F.struct("_k", "v")))).alias("_cells")
+    )
+    vals = F.slice(F.transform(F.col("_cells"), lambda c: c["v"]), 1, n_values)
+    g = g.select("column", "position", "dtype", "native_numeric", vals.alias("_v"))
+    v = F.col("_v")
+    n = F.size(v)
+    avg_len = F.try_divide(F.aggregate(v, F.lit(0).cast("long"), lambda acc, x: acc + F.length(x)).cast("double"),
+                           n.cast("double"))
+
+    def structured(x):
+        s_ = pystrip(x)
+        out = F.lit(False)
+        for p in STRUCTURED_PREFIXES:
+            out = out | s_.startswith(p)
+        return out
+
+    g = g.select(
+        "column", "position", "dtype", "native_numeric", "_v",
+        n.alias("n_values"),
+        avg_len.alias("avg_length_raw"),
+        F.size(F.array_distinct(F.transform(v, lambda x: F.lower(x)))).alias("unique_values"),
+        (F.col("native_numeric") | F.forall(v, lambda x: x.try_cast("double").isNotNull())).alias("_numeric"),
+        F.forall(v, lambda x: F.lower(x).isin(BOOLEAN_VALUES)).alias("_boolean"),
+        F.size(F.filter(v, structured)).alias("structured_count"),
     )
-    cols = spark.createDataFrame([(f.name, i, f.dataType.simpleString()) for i, f in enumerate(fields)],
-                                 "column string, position int, dtype string")
-    j = cols.join(g, "column", "left")  # both sides: one row per column
-    n = F.coalesce(F.col("n_values"), F.lit(0))
     ctype = (
-        F.when(n == 0, F.lit("empty"))
-        .when((F.col("avg_length_raw") < 10) & (F.col("unique_values") < n * 0.5), F.lit("categorical"))
+        F.when(F.col("n_values") == 0, F.lit("empty"))
+        .when((F.col("avg_length_raw") < 10) & (F.col("unique_values") < F.col("n_values") * 0.5), F.lit("categorical"))
         .when(F.col("_boolean"), F.lit("boolean"))
         .when(F.col("_numeric"), F.lit("numeric"))
         .otherwise(F.lit("text"))
     )
-    return j.select(
+    out = g.select(
         F.lit(dataset_name).alias("dataset_name"),
         "column",
         "position",
@@ -117,18 +126,26 @@ def profile_columns(df: DataFrame, dataset_name: str, key: str | None = None,
         ctype.alias("type"),
         F.coalesce(F.round("avg_length_raw", 1), F.lit(0.0)).alias("avg_length"),
         F.coalesce("avg_length_raw", F.lit(0.0)).alias("avg_length_raw"),
-        F.coalesce("unique_values", F.lit(0)).cast("long").alias("unique_values"),
-        n.cast("long").alias("n_values"),
-        F.coalesce("structured_count", F.lit(0)).cast("long").alias("structured_count"),
-        F.coalesce("sample_values", F.array().cast("array<string>")).alias("sample_values"),
+        F.col("unique_values").cast("long").alias("unique_values"),
+        F.col("n_values").cast("long").alias("n_values"),
+        F.col("structured_count").cast("long").alias("structured_count"),
+        F.slice("_v", 1, 3).alias("sample_values"),
     )
+    if materialize:
+        from ..session import cut_lineage
 
+        out = cut_lineage(out)
+    return out
 
-def _pattern_table(spark) -> DataFrame:
-    rows = [("input", i, p) for i, p in enumerate(INPUT_PATTERNS)] + [
-        ("output", i, p) for i, p in enumerate(OUTPUT_PATTERNS)
-    ]
-    return spark.createDataFrame(rows, "kind string, pattern_order int, pattern string")
+
+def first_pattern(column: Column, patterns: list[str]) -> Column:
+    """The first pattern (in list order) the lower-cased name contains, or NULL:
+    a CASE chain over the fixed list, no join."""
+    low = F.lower(column)
+    out = F.lit(None).cast("string")
+    for p in reversed(patterns):
+        out = F.when(low.contains(p), F.lit(p)).otherwise(out)
+    return out
 
 
 def completeness_score(column: Column) -> Column:
@@ -160,12 +177,12 @@ def detect_roles(profile: DataFrame) -> DataFrame:
     """For every column: the first input pattern and the first output pattern it
     contains, with confidence (1.0 exact / 0.8 contained, plus content boost,
     capped at 1) and completeness score."""
-    pats = F.broadcast(_pattern_table(profile.sparkSession))  # 28 fixed rows
-    low = F.lower(F.col("column"))
-    j = profile.crossJoin(pats).filter(low.contains(F.col("pattern")))
-    first = j.groupBy("dataset_name", "column", "kind").agg(F.min(F.struct("pattern_order", "pattern")).alias("_p"))
-    out = first.join(profile, ["dataset_name", "column"]).withColumn("pattern", F.col("_p.pattern"))
-    base = F.when(low == F.col("pattern"), F.lit(1.0)).otherwise(F.lit(0.8))
+    kinds = F.explode(F.array(
+        F.struct(F.lit("input").alias("kind"), first_pattern(F.col("column"), INPUT_PATTERNS).alias("pattern")),
+        F.struct(F.lit("output").alias("kind"), first_pattern(F.col("column"), OUTPUT_PATTERNS).alias("pattern")),
+    ))
+    out = profile.select("*", kinds.alias("_r")).select("*", "_r.kind", "_r.pattern").filter(F.col("pattern").isNotNull())
+    base = F.when(F.lower(F.col("column")) == F.col("pattern"), F.lit(1.0)).otherwise(F.lit(0.8))
     return out.select(
         "dataset_name",
         "column",
@@ -177,26 +194,27 @@ def detect_roles(profile: DataFrame) -> DataFrame:
     )
 
 
-def _sets_table(spark) -> DataFrame:
-    rows = [(name, si, field, fi, len(fields)) for si, (name, fields) in enumerate(FIELD_SETS) for fi, field in enumerate(fields)]
-    return spark.createDataFrame(rows, "set_name string, set_order int, field string, field_order int, needed int")
-
-
 def detect_field_sets(profile: DataFrame) -> DataFrame:
     """Field sets whose every field maps to a column (the first column, in
-    column order, whose name contains the field); columns in field order."""
-    sets = F.broadcast(_sets_table(profile.sparkSession))  # 17 fixed rows
-    j = profile.crossJoin(sets).filter(F.lower(F.col("column")).contains(F.lower(F.col("field"))))
-    per_field = j.groupBy("dataset_name", "set_name", "set_order", "needed", "field", "field_order").agg(
-        F.min(F.struct("position", "column")).alias("_c")
-    )
-    per_set = per_field.groupBy("dataset_name", "set_name", "set_order", "needed").agg(
-        F.count(F.lit(1)).alias("found"),
-        F.transform(F.sort_array(F.collect_list(F.struct("field_order", F.col("_c.column").alias("c")))), lambda s: s["c"]).alias(
-            "columns"
-        ),
-    )
-    return per_set.filter(F.col("found") == F.col("needed")).select("dataset_name", "set_name", "set_order", "columns")
+    column order, whose name contains the field); columns in field order.
+    One aggregate per dataset over the (small) profile, no join."""
+    low = F.lower(F.col("column"))
+    aggs = []
+    for si, (name, fields) in enumerate(FIELD_SETS):
+        for fi, field in enumerate(fields):
+            pick = F.min(F.when(low.contains(field.lower()), F.struct("position", "column")))
+            aggs.append(pick["column"].alias(f"_s{si}_{fi}"))
+    per = profile.groupBy("dataset_name").agg(*aggs)
+    rows = []
+    for si, (name, fields) in enumerate(FIELD_SETS):
+        cols = [F.col(f"_s{si}_{fi}") for fi in range(len(fields))]
+        complete = F.lit(True)
+        for c in cols:
+            complete = complete & c.isNotNull()
+        rows.append(F.when(complete, F.struct(F.lit(name).alias("set_name"), F.lit(si).alias("set_order"),
+                                              F.array(*cols).alias("columns"))))
+    found = F.filter(F.array(*rows), lambda x: x.isNotNull())
+    return per.select("dataset_name", F.explode(found).alias("s")).select("dataset_name", "s.*")
 
 
 def recommend_mapping(profile: DataFrame) -> DataFrame:

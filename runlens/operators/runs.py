@@ -218,19 +218,15 @@ def unprocessed_datasets(registry: DataFrame, preprocessing: DataFrame, name_col
     return registry.join(done, registry[name_col] == done["_done"], "left_anti")
 
 
-def sample_approach_grid(samples: DataFrame, approaches: Iterable[str] | DataFrame, id_col: str = "id") -> DataFrame:
+def sample_approach_grid(samples: DataFrame, approaches: Iterable[str], id_col: str = "id") -> DataFrame:
     """Every sample x every approach: the work list.
 
-    The approaches side is a short list given by the caller (a handful of
-    prompting approaches), so the cross product is ``|samples| x k`` with a
-    broadcast of k rows; it never pairs data with data.
+    The approaches are a short list of names given by the caller, so each
+    sample row is expanded by ``explode`` of a literal array: a map-only step,
+    no join and no shuffle.
     """
-    spark = samples.sparkSession
-    if isinstance(approaches, DataFrame):
-        appr = approaches.select(F.col(approaches.columns[0]).alias("approach"))
-    else:
-        appr = spark.createDataFrame([(a,) for a in approaches], "approach string")
-    return samples.crossJoin(F.broadcast(appr))
+    names = list(approaches)
+    return samples.select("*", F.explode(F.array(*[F.lit(a) for a in names])).alias("approach"))
 
 
 def baseline_overhead(
@@ -431,22 +427,24 @@ def failure_patterns(
 ) -> DataFrame:
     """Wrong runs typed and grouped by (failure type, approach, model) with a
     count and up to 3 examples. ``limit`` keeps the first n failures per
-    experiment by (created_at, id); None analyses all."""
+    experiment by (created_at, id); None analyses all.
+
+    Counts are a partially aggregated group-by; the examples come from a
+    ``row_number() <= 3`` filter, which Spark plans with a map-side group limit,
+    so a hot group never ships all its rows to one task."""
     f = _failures(runs, metrics, experiment_id)
-    order = Window.partitionBy("experiment_id").orderBy("created_at", "run_id", "error")
+    order = ["created_at", "run_id", "error"]
     if limit is not None:
-        f = f.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= limit).drop("_n")
+        f = f.withColumn("_n", F.row_number().over(Window.partitionBy("experiment_id").orderBy(*order)))
+        f = f.filter(F.col("_n") <= limit).drop("_n")
     keys = ["experiment_id", "failure_type", "approach", "model"]
-    g = Window.partitionBy(*keys).orderBy("created_at", "run_id", "error")
-    f = f.withColumn("_k", F.row_number().over(g))
-    return f.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("count"),
-        F.sort_array(
-            F.collect_list(
-                F.when(F.col("_k") <= 3, F.struct(F.col("_k").alias("k"), "input", "expected", "parsed"))
-            )
-        ).alias("examples"),
+    counts = f.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))
+    g = Window.partitionBy(*keys).orderBy(*order)
+    ex = f.withColumn("_k", F.row_number().over(g)).filter(F.col("_k") <= 3)
+    examples = ex.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct(F.col("_k").alias("k"), "input", "expected", "parsed"))).alias("examples")
     )
+    return counts.join(examples, keys)
 
 
 def run_summary(results: DataFrame, errors: DataFrame, approaches: Iterable[str] | None = None) -> DataFrame:

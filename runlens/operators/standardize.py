@@ -290,7 +290,8 @@ def validate_io(original: DataFrame, transformed: DataFrame) -> DataFrame:
         F.sum((pystrip(F.coalesce("INPUT", F.lit(""))) == "").cast("long")).alias("empty_inputs"),
         F.sum((pystrip(F.coalesce("OUTPUT", F.lit(""))) == "").cast("long")).alias("empty_outputs"),
     )
-    j = o.crossJoin(t)  # one row x one row
+    one = F.lit(1).alias("_g")
+    j = o.select("*", one).join(t.select("*", one), "_g")  # one row each
     n = F.col("transformed_samples")
     ei = F.coalesce(F.col("empty_inputs"), F.lit(0))
     eo = F.coalesce(F.col("empty_outputs"), F.lit(0))

@@ -167,6 +167,16 @@ def _moments(am: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def _join_baseline(others: DataFrame, base: DataFrame, keys: list[str]) -> DataFrame:
+    """Attach the baseline moments: an equi-join on the group keys, or on a
+    constant when there are none (the baseline side is then one aggregated
+    row, so it is broadcast)."""
+    if keys:
+        return others.join(base, keys, "inner")
+    one = F.lit(1).alias("_g")
+    return others.select("*", one).join(F.broadcast(base.select("*", one)), "_g").drop("_g")
+
+
 def ttest_moments(am: DataFrame, keys: Iterable[str] = (), baseline: str = BASELINE) -> DataFrame:
     """t statistic and degrees of freedom of each approach against the
     baseline: two-sample t with pooled variance (approach minus baseline)."""
@@ -175,9 +185,7 @@ def ttest_moments(am: DataFrame, keys: Iterable[str] = (), baseline: str = BASEL
     b = m.filter(F.col("approach") == baseline).select(
         *keys, F.col("n").alias("nb"), F.col("mean").alias("mb"), F.col("var").alias("vb")
     )
-    j = m.filter(F.col("approach") != baseline).join(b, keys, "inner") if keys else m.filter(
-        F.col("approach") != baseline
-    ).crossJoin(F.broadcast(b))  # the baseline side is one aggregated row
+    j = _join_baseline(m.filter(F.col("approach") != baseline), b, keys)
     dof = F.col("n") + F.col("nb") - 2
     sp2 = F.try_divide((F.col("n") - 1) * F.col("var") + (F.col("nb") - 1) * F.col("vb"), dof.cast("double"))
     se = F.sqrt(sp2 * (F.lit(1.0) / F.col("n") + F.lit(1.0) / F.col("nb")))
@@ -202,8 +210,7 @@ def effect_size(am: DataFrame, keys: Iterable[str] = (), baseline: str = BASELIN
     b = m.filter(F.col("approach") == baseline).select(
         *keys, F.col("n").alias("nb"), F.col("mean").alias("mb"), F.col("var").alias("vb")
     )
-    others = m.filter(F.col("approach") != baseline)
-    j = others.join(b, keys, "inner") if keys else others.crossJoin(F.broadcast(b))
+    j = _join_baseline(m.filter(F.col("approach") != baseline), b, keys)
     sp2 = F.try_divide(
         (F.col("n") - 1) * F.col("var") + (F.col("nb") - 1) * F.col("vb"), (F.col("n") + F.col("nb") - 2).cast("double")
     )
@@ -304,7 +311,7 @@ def recommendations(am: DataFrame, baseline: str = BASELINE) -> DataFrame:
         ).alias("_ns"),
     )
     n_rows = am.agg(F.count(F.lit(1)).alias("n_rows"))
-    j = agg.crossJoin(n_rows)  # one row x one row
+    j = agg.select("*", F.lit(1).alias("_g")).join(n_rows.select("*", F.lit(1).alias("_g")), "_g").drop("_g")
     warn = F.filter(
         F.array(
             F.when(F.col("_ns") != "", F.concat(F.lit("Approaches with no significant improvement over baseline: "), F.col("_ns"))),

@@ -11,8 +11,7 @@ from .registry import query
 STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 
 # datasets profiled together: name -> (fixture view, DuckDB source, key, [(column, kind, spark dtype)])
-QA_SQL = ("SELECT doc_id AS metadata_id, substr(text, 1, 80) AS question, lang AS answer, source AS context "
-          "FROM documents")
+QA_SQL = "SELECT doc_id AS metadata_id, text AS question, lang AS answer, source AS context FROM documents"
 DATASETS = {
     "mcq": ("mcq_v", "mcq_v", "id", [("id", "num", "bigint"), ("story", "str", "string"), ("question", "str", "string"),
                                      ("candidate_answers", "arr", "array<string>"), ("answer", "num", "int")]),
@@ -32,7 +31,7 @@ def _spark_dataset(fx, name):
     if name == "code":
         return fx.code_v
     if name == "qa":
-        return fx.documents.select(F.col("doc_id").alias("metadata_id"), F.substring("text", 1, 80).alias("question"),
+        return fx.documents.select(F.col("doc_id").alias("metadata_id"), F.col("text").alias("question"),
                                    F.col("lang").alias("answer"), F.col("source").alias("context"))
     if name == "bench":
         return fx.benchmark
@@ -161,17 +160,18 @@ def _q(fx):
 
 
 @query("content_boost", VIEWS, section="2.12", oracle="WITH " + ROLES_CTE + f"""
-SELECT dataset_name, "column", pattern,
-  CASE WHEN pattern IN ({BOOST}) AND n_values > 0 THEN least(0.2,
+SELECT prof.dataset_name, prof."column", roles.pattern,
+  CASE WHEN roles.pattern IN ({BOOST}) AND n_values > 0 THEN least(0.2,
     CASE WHEN avg_length_raw > 20 THEN 0.1 ELSE 0.0 END
     + CASE WHEN structured_count > n_values * 0.5 THEN 0.1 ELSE 0.0 END) ELSE 0.0 END AS boost
-FROM prof CROSS JOIN (SELECT pattern FROM pm WHERE kind = 'output')
+FROM prof JOIN roles ON prof.dataset_name = roles.dataset_name AND prof."column" = roles."column"
+WHERE roles.kind = 'output'
 """)
 def _q(fx):
     prof = spark_profile(fx)
-    pats = fx.spark.createDataFrame([(p,) for p in P.OUTPUT_PATTERNS], "pattern string")
-    j = prof.crossJoin(F.broadcast(pats))  # profile rows x 17 fixed patterns
-    return j.select("dataset_name", "column", "pattern", P.content_boost(F.col("pattern")).alias("boost"))
+    out = prof.select("*", P.first_pattern(F.col("column"), P.OUTPUT_PATTERNS).alias("pattern"))
+    out = out.filter(F.col("pattern").isNotNull())
+    return out.select("dataset_name", "column", "pattern", P.content_boost(F.col("pattern")).alias("boost"))
 
 
 @query("detect_field_sets", VIEWS, section="2.12", oracle="WITH " + SETS_CTE + "\nSELECT * FROM sets")
