@@ -20,6 +20,19 @@ def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFr
     return F.broadcast(df) if is_small(df, max_rows) else df
 
 
+def combine_rows(*frames: DataFrame) -> DataFrame:
+    """Put single-row results side by side without a join: union them (each
+    with the other frames' columns NULL) and keep the one non-NULL value of
+    every column."""
+    u = frames[0]
+    for f in frames[1:]:
+        u = u.unionByName(f, allowMissingColumns=True)
+    cols = []
+    for f in frames:
+        cols += [c for c in f.columns if c not in cols]
+    return u.agg(*[F.first(F.col(f"`{c}`"), ignorenulls=True).alias(c) for c in cols])
+
+
 def ratio(num, den) -> Column:
     """num / den, NULL when den is 0 or NULL (ANSI-safe)."""
     return F.try_divide(_c(num).cast("double"), _c(den).cast("double"))

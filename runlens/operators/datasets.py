@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import global_index, maybe_broadcast
+from .common import combine_rows, global_index, maybe_broadcast
 
 SPLIT_PRIORITY = ["train", "test"]
 
@@ -46,8 +46,7 @@ def dataset_info(df: DataFrame, key: str, n_sample: int = 3) -> DataFrame:
     head = df.orderBy(key).limit(n_sample).select(F.to_json(F.struct(*names)).alias("j"), F.col(key).alias("_k"))
     sample = head.agg(F.transform(F.sort_array(F.collect_list(F.struct("_k", "j"))), lambda x: x["j"]).alias("sample_data"))
     count = df.agg(F.count(F.lit(1)).alias("num_rows"))
-    one = F.lit(1).alias("_g")
-    return count.select("*", one).join(sample.select("*", one), "_g").select(
+    return combine_rows(count, sample).select(
         "num_rows",
         F.array(*[F.lit(n) for n in names]).alias("columns"),
         F.array(*[F.lit(t) for t in types]).alias("types"),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import pystrip
+from .common import combine_rows
 from .profile import profile_columns, recommend_mapping, value_string
 
 # --- fixed values: coding languages, option fields and code fences ----------
@@ -290,8 +291,7 @@ def validate_io(original: DataFrame, transformed: DataFrame) -> DataFrame:
         F.sum((pystrip(F.coalesce("INPUT", F.lit(""))) == "").cast("long")).alias("empty_inputs"),
         F.sum((pystrip(F.coalesce("OUTPUT", F.lit(""))) == "").cast("long")).alias("empty_outputs"),
     )
-    one = F.lit(1).alias("_g")
-    j = o.select("*", one).join(t.select("*", one), "_g")  # one row each
+    j = combine_rows(o, t)  # one row each, side by side
     n = F.col("transformed_samples")
     ei = F.coalesce(F.col("empty_inputs"), F.lit(0))
     eo = F.coalesce(F.col("empty_outputs"), F.lit(0))

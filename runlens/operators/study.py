@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stat_r
+from .common import combine_rows, stat_r
 
 BASELINE = "None"
 
@@ -167,25 +167,26 @@ def _moments(am: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _join_baseline(others: DataFrame, base: DataFrame, keys: list[str]) -> DataFrame:
-    """Attach the baseline moments: an equi-join on the group keys, or on a
-    constant when there are none (the baseline side is then one aggregated
-    row, so it is broadcast)."""
-    if keys:
-        return others.join(base, keys, "inner")
-    one = F.lit(1).alias("_g")
-    return others.select("*", one).join(F.broadcast(base.select("*", one)), "_g").drop("_g")
+def _join_baseline(m: DataFrame, baseline: str, keys: list[str]) -> DataFrame:
+    """Each non-baseline approach with the baseline's moments of the same keys,
+    attached by a window over the aggregated per-approach rows (a handful per
+    group), not by a join."""
+    w = Window.partitionBy(*keys) if keys else Window.partitionBy()
+    is_b = F.col("approach") == baseline
+
+    def pick(c: str) -> Column:
+        return F.max(F.when(is_b, F.col(c))).over(w)
+
+    out = m.select("*", pick("n").alias("nb"), pick("mean").alias("mb"), pick("var").alias("vb"),
+                   F.max(is_b.cast("int")).over(w).alias("_has_b"))
+    return out.filter(~is_b & (F.col("_has_b") == 1)).drop("_has_b")
 
 
 def ttest_moments(am: DataFrame, keys: Iterable[str] = (), baseline: str = BASELINE) -> DataFrame:
     """t statistic and degrees of freedom of each approach against the
     baseline: two-sample t with pooled variance (approach minus baseline)."""
     keys = list(keys)
-    m = _moments(am, keys)
-    b = m.filter(F.col("approach") == baseline).select(
-        *keys, F.col("n").alias("nb"), F.col("mean").alias("mb"), F.col("var").alias("vb")
-    )
-    j = _join_baseline(m.filter(F.col("approach") != baseline), b, keys)
+    j = _join_baseline(_moments(am, keys), baseline, keys)
     dof = F.col("n") + F.col("nb") - 2
     sp2 = F.try_divide((F.col("n") - 1) * F.col("var") + (F.col("nb") - 1) * F.col("vb"), dof.cast("double"))
     se = F.sqrt(sp2 * (F.lit(1.0) / F.col("n") + F.lit(1.0) / F.col("nb")))
@@ -206,11 +207,7 @@ def effect_size(am: DataFrame, keys: Iterable[str] = (), baseline: str = BASELIN
     """Cohen's d against the baseline (pooled sd), a 95% interval of the mean
     rate, and the Bonferroni threshold 0.05 / number of comparisons."""
     keys = list(keys)
-    m = _moments(am, keys)
-    b = m.filter(F.col("approach") == baseline).select(
-        *keys, F.col("n").alias("nb"), F.col("mean").alias("mb"), F.col("var").alias("vb")
-    )
-    j = _join_baseline(m.filter(F.col("approach") != baseline), b, keys)
+    j = _join_baseline(_moments(am, keys), baseline, keys)
     sp2 = F.try_divide(
         (F.col("n") - 1) * F.col("var") + (F.col("nb") - 1) * F.col("vb"), (F.col("n") + F.col("nb") - 2).cast("double")
     )
@@ -311,7 +308,7 @@ def recommendations(am: DataFrame, baseline: str = BASELINE) -> DataFrame:
         ).alias("_ns"),
     )
     n_rows = am.agg(F.count(F.lit(1)).alias("n_rows"))
-    j = agg.select("*", F.lit(1).alias("_g")).join(n_rows.select("*", F.lit(1).alias("_g")), "_g").drop("_g")
+    j = combine_rows(agg, n_rows)
     warn = F.filter(
         F.array(
             F.when(F.col("_ns") != "", F.concat(F.lit("Approaches with no significant improvement over baseline: "), F.col("_ns"))),
