@@ -93,26 +93,37 @@ def running_sums(
     df: DataFrame,
     part: list[str],
     order: list,
-    bucket: Column,
     values: dict[str, Column],
     include_current: bool = False,
+    num_partitions: int | None = None,
 ) -> DataFrame:
-    """Running sums per ``part`` in ``order`` without putting a whole partition
-    group in one task: rows are split into ``bucket``s (non-decreasing in the
-    order), bucket totals get their offsets from a window over the (few)
-    buckets of the group, and the running sum inside a bucket is a window over
-    (part, bucket).  A hot group is thus spread over many tasks."""
+    """Running sums of ``values`` per ``part`` group in ``order``, spread over
+    many tasks even when one group holds most rows.
+
+    A range-partitioned sort on (part, order) gives every task a contiguous
+    slice of the ordered rows, so a hot group is cut across tasks.  The sums of
+    each (group, task) slice - at most #groups + #tasks rows - get their
+    offsets from a window over the slices of a group; the running sum inside a
+    slice is a window bounded by the task's size.  The sorted data is
+    checkpointed (shared checkpoint dir) so slice ids stay fixed on retries.
+    """
     from pyspark.sql import Window
 
-    d = df.withColumn("_b", bucket)
-    for n, v in values.items():
-        d = d.withColumn(f"_v_{n}", v)
-    tot = d.groupBy(*part, "_b").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
-    w1 = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(*part, "_b", *[F.coalesce(F.sum(f"_t_{n}").over(w1), F.lit(0)).alias(f"_o_{n}") for n in values])
-    j = d.join(off, [*part, "_b"])
+    from ..session import cut_lineage
+
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    d = df
+    for name, v in values.items():
+        d = d.withColumn(f"_v_{name}", v)
+    d = d.repartitionByRange(n, *[F.col(c) for c in part], *order).withColumn("_pid", F.spark_partition_id())
+    d = cut_lineage(d)
+    tot = d.groupBy(*part, "_pid").agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in values])
+    w1 = Window.partitionBy(*part).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select(*part, "_pid", *[F.coalesce(F.sum(f"_t_{k}").over(w1), F.lit(0)).alias(f"_o_{k}") for k in values])
+    j = d.join(maybe_broadcast(off), [*part, "_pid"])
     end = 0 if include_current else -1
-    w2 = Window.partitionBy(*part, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-    for n in values:
-        j = j.withColumn(n, F.col(f"_o_{n}") + F.coalesce(F.sum(f"_v_{n}").over(w2), F.lit(0)))
-    return j.drop("_b", *[f"_v_{n}" for n in values], *[f"_o_{n}" for n in values])
+    w2 = Window.partitionBy(*part, "_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+    for k in values:
+        j = j.withColumn(k, F.col(f"_o_{k}") + F.coalesce(F.sum(f"_v_{k}").over(w2), F.lit(0)))
+    return j.drop("_pid", *[f"_v_{k}" for k in values], *[f"_o_{k}" for k in values])

@@ -399,8 +399,14 @@ def parsing_effectiveness(runs: DataFrame, experiment_id: str | None = None) ->
 
 
 def _failures(runs: DataFrame, metrics: DataFrame, experiment_id: str | None) -> DataFrame:
+    """Wrong runs with their metric rows, typed; one row per (run, error text)
+    with the number ``w`` of metric rows behind it (at least 1).
+
+    Metrics are first counted per (run_id, error_details) - a partial
+    aggregate, so a run with a huge number of metric rows is combined map-side
+    instead of fanning out in the join."""
     r = _exp(runs, experiment_id).filter(F.col("is_correct") == F.lit(False))
-    m = metrics.select("run_id", "error_details")
+    m = metrics.groupBy("run_id", "error_details").agg(F.count(F.lit(1)).alias("_w"))
     j = r.join(m, r["id"] == m["run_id"], "left")
     parsed_empty = F.coalesce(F.col("parsed_answer"), F.lit("")) == ""
     has_error = F.coalesce(F.col("error_details"), F.lit("")) != ""
@@ -419,6 +425,7 @@ def _failures(runs: DataFrame, metrics: DataFrame, experiment_id: str | None) ->
         .when(has_error, "execution_error")
         .otherwise("incorrect_answer")
         .alias("failure_type"),
+        F.coalesce(F.col("_w"), F.lit(1)).cast("long").alias("w"),
     )
 
 
@@ -426,20 +433,27 @@ def failure_patterns(
     runs: DataFrame, metrics: DataFrame, experiment_id: str | None = None, limit: int | None = None
 ) -> DataFrame:
     """Wrong runs typed and grouped by (failure type, approach, model) with a
-    count and up to 3 examples. ``limit`` keeps the first n failures per
-    experiment by (created_at, id); None analyses all.
-
-    Counts are a partially aggregated group-by; the examples come from a
-    ``row_number() <= 3`` filter, which Spark plans with a map-side group limit,
-    so a hot group never ships all its rows to one task."""
+    count and up to 3 examples; counts include the metric fan-out, as in the
+    reference.  ``limit`` keeps the first n failures per experiment by
+    (created_at, run id); None analyses all.
+
+    Counts are partial aggregates of the weights; examples come from a
+    ``row_number() <= 3`` filter (planned with a map-side group limit) over
+    rows repeated at most 3 times, so a hot group never ships all its rows to
+    one task."""
     f = _failures(runs, metrics, experiment_id)
     order = ["created_at", "run_id", "error"]
+    # a (run, error) row stands for w identical failures; three copies suffice for examples
+    f = f.select("*", F.explode(F.sequence(F.lit(1), F.least(F.col("w"), F.lit(3)))).alias("_copy"))
     if limit is not None:
-        f = f.withColumn("_n", F.row_number().over(Window.partitionBy("experiment_id").orderBy(*order)))
-        f = f.filter(F.col("_n") <= limit).drop("_n")
+        w_exp = Window.partitionBy("experiment_id").orderBy(*order, "_copy")
+        f = f.withColumn("_n", F.row_number().over(w_exp)).filter(F.col("_n") <= limit).drop("_n")
+        f = f.withColumn("w", F.lit(1).cast("long"))
+    else:
+        f = f.withColumn("w", F.when(F.col("_copy") == 1, F.col("w")).otherwise(F.lit(0)).cast("long"))
     keys = ["experiment_id", "failure_type", "approach", "model"]
-    counts = f.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))
-    g = Window.partitionBy(*keys).orderBy(*order)
+    counts = f.groupBy(*keys).agg(F.sum("w").alias("count"))
+    g = Window.partitionBy(*keys).orderBy(*order, "_copy")
     ex = f.withColumn("_k", F.row_number().over(g)).filter(F.col("_k") <= 3)
     examples = ex.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct(F.col("_k").alias("k"), "input", "expected", "parsed"))).alias("examples")

@@ -1,9 +1,9 @@
 """Ordered per-group computations (2.5): numbering, first-k, latest, last write
 wins, running cost guard, checkpoint batches.
 
-Per-group numbering and running sums use ``running_sums`` (bucketed two-level
-prefix sums), so one experiment holding a large share of all runs is spread
-over many tasks instead of being sorted in one.
+Per-group numbering and running sums use ``running_sums`` (range-partitioned
+two-level prefix sums), so one experiment holding a large share of all runs is
+spread over many tasks instead of being sorted in one.
 """
 
 from __future__ import annotations
@@ -25,14 +25,11 @@ def number_samples(
     df: DataFrame,
     part: Iterable[str] = ("experiment_id",),
     order: Iterable[str] = ("sample_index", "id"),
-    bucket_size: int = 4096,
     name: str = "sample_no",
 ) -> DataFrame:
-    """0-based index per group in input order (first order column numeric)."""
+    """0-based index per group in input order (a running count)."""
     order = list(order)
-    bucket = F.floor(F.col(order[0]) / F.lit(bucket_size))
-    out = running_sums(df, list(part), [F.col(c) for c in order], bucket, {name: F.lit(1).cast("long")})
-    return out
+    return running_sums(df, list(part), [F.col(c) for c in order], {name: F.lit(1).cast("long")})
 
 
 def first_k(df: DataFrame, keys: Iterable[str], order: list, k: int = 3, name: str = "rank") -> DataFrame:
@@ -65,18 +62,15 @@ def cost_guard(
     runs: DataFrame,
     calls: Column | None = None,
     max_calls: int = MAX_REASONING_CALLS,
-    bucket_seconds: int = 3600,
 ) -> DataFrame:
     """Running cost and call count before each run of an experiment (ordered
     by created_at, id) and the guard flags: cost > $1, cost > $5, calls at or
     over the limit.  Multi-call runs count all their calls (``calls``)."""
     calls = calls if calls is not None else F.lit(1)
-    bucket = F.floor(F.unix_micros(F.col("created_at").cast("timestamp")) / F.lit(bucket_seconds * 1_000_000))
     out = running_sums(
         runs,
         ["experiment_id"],
         [F.col("created_at"), F.col("id")],
-        bucket,
         {"cost_before": F.coalesce(F.col("cost_estimate"), F.lit(0.0)), "calls_before": calls.cast("long")},
     )
     return out.select(
@@ -87,17 +81,24 @@ def cost_guard(
     )
 
 
-def checkpoint_batches(numbered: DataFrame, interval: int = 10, index_col: str = "sample_no") -> DataFrame:
+def checkpoint_batches(numbered: DataFrame, interval: int = 10, index_col: str = "sample_no",
+                       totals: DataFrame | None = None) -> DataFrame:
     """Checkpoint batches of ``interval`` samples per experiment: batch number
     floor(index / interval), rows and last index per batch, whether the batch
-    closed a checkpoint, and the experiment's progress percentage."""
+    closed a checkpoint, and the experiment's progress percentage (against
+    ``totals`` (experiment_id, total_samples) when given, else the rows seen).
+    Experiment totals are aggregated from the per-batch rows, not the runs."""
     b = numbered.withColumn("batch_no", F.floor(F.col(index_col) / interval).cast("long"))
     per = b.groupBy("experiment_id", "batch_no").agg(
         F.count(F.lit(1)).alias("n_samples"), F.max(index_col).alias("last_index")
     )
-    tot = numbered.groupBy("experiment_id").agg(
-        F.count(F.lit(1)).alias("total_samples"), (F.max(index_col) + 1).alias("current_sample")
+    tot = per.groupBy("experiment_id").agg(
+        F.sum("n_samples").alias("_seen"), (F.max("last_index") + 1).alias("current_sample")
     )
+    if totals is not None:
+        tot = tot.join(totals, "experiment_id", "left")
+    else:
+        tot = tot.withColumn("total_samples", F.col("_seen"))
     j = per.join(tot, "experiment_id")
     return j.select(
         "experiment_id",
