@@ -202,6 +202,11 @@ class Fixtures:
             if t in VIEWS[name]:
                 self.table(t).createOrReplaceTempView(t)
         df = self.spark.sql(VIEWS[name])
+        # timestamps stay wall-clock (like the parquet ts and DuckDB's TIMESTAMP),
+        # whatever the session time zone
+        for f in df.schema.fields:
+            if f.dataType.typeName() == "timestamp":
+                df = df.withColumn(f.name, df[f.name].cast("timestamp_ntz"))
         self._cache[name] = df
         return df
 

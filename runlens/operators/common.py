@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Sides at or under this many rows may be broadcast after an explicit check.
-BROADCAST_MAX_ROWS = 1_000_000
+# Sides whose size bound is at most this many bytes may be broadcast.
+BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """Bounded count: scans at most ``max_rows + 1`` rows to prove a size bound."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def size_bound(df: DataFrame) -> int:
+    """Upper bound of the data size from the optimized plan's statistics (file
+    sizes propagated through the plan; filters and aggregates never raise it).
+    Nothing is executed."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when a bounded count proves it small; else leave
-    the join strategy to Spark (sort-merge / AQE runtime choice)."""
-    return F.broadcast(df) if is_small(df, max_rows) else df
+def maybe_broadcast(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast ``df`` only when its planned size bound is small; otherwise
+    leave the strategy to Spark (sort-merge join, or AQE's runtime switch)."""
+    return F.broadcast(df) if size_bound(df) <= max_bytes else df
 
 
 def combine_rows(*frames: DataFrame) -> DataFrame:

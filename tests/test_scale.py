@@ -28,3 +28,36 @@ def test_global_index_has_no_single_partition_window(spark, fx_small):
     assert "SinglePartition" not in plan.split("BroadcastExchange")[0]
     got = [r.i for r in df.orderBy("item_id").collect()]
     assert got == list(range(len(got)))
+
+
+def test_running_sums_hot_group_sparse_keys(spark):
+    """One group holding most rows, with sparse order keys: the running count
+    equals a plain numbering and the group is cut across several slices."""
+    from pyspark.sql import functions as F
+
+    from runlens.operators.common import running_sums
+
+    n = 3000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 10 < 8, F.lit("hot")).otherwise(F.concat(F.lit("g"), (F.col("id") % 7).cast("string"))).alias("g"),
+        (F.col("id") * 1_000_003).alias("k"),  # sparse keys
+        (F.col("id") % 5).cast("double").alias("x"),
+    )
+    out = running_sums(df, ["g"], [F.col("k")], {"n_before": F.lit(1).cast("long"), "x_before": F.col("x")},
+                       num_partitions=8)
+    rows = out.collect()
+    by_g = {}
+    for r in sorted(rows, key=lambda r: (r.g, r.k)):
+        seen = by_g.setdefault(r.g, [0, 0.0])
+        assert r.n_before == seen[0]
+        assert abs(r.x_before - seen[1]) < 1e-9
+        seen[0] += 1
+        seen[1] += r.x
+
+
+def test_size_bound_gates_broadcast(spark, fx_small):
+    from runlens.operators.common import maybe_broadcast, size_bound
+
+    assert size_bound(fx_small.experiments_v) < 1_000_000
+    plan = maybe_broadcast(fx_small.experiments_v, max_bytes=1)._jdf.queryExecution().logical().toString()
+    assert "broadcast" not in plan.lower()
