@@ -63,3 +63,33 @@ def split_results(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
     from pyspark.sql import functions as F
 
     return scored.filter(F.col("error").isNull()), scored.filter(F.col("error").isNotNull())
+
+
+def evaluate_grid(samples: DataFrame, approaches: list[str], fn: Callable[[str], str], id_col: str = "id",
+                  question_col: str = "INPUT", expected_col: str = "OUTPUT") -> DataFrame:
+    """The run stage as one job: grid of samples x approaches, prompts from the
+    approach templates, the caller's function, regex answer extraction and the
+    strict verdict.  Returns one row per (sample, approach) with the answer,
+    the error (a failed call keeps its row), the time and the verdict."""
+    from pyspark.sql import functions as F
+
+    from ..functions.extract import extract_answer, is_correct_strict, render_prompts
+    from .runs import sample_approach_grid
+
+    grid = sample_approach_grid(samples.select(id_col, question_col, expected_col), approaches)
+    prompts = render_prompts(grid, question_col=question_col)
+    scored = score_table(prompts, fn, keep=[id_col, "approach", question_col, expected_col, "prompt"])
+    ex = extract_answer(scored.withColumn("_raw", F.coalesce(F.col("answer"), F.lit(""))), text_col="_raw")
+    return ex.select(
+        id_col,
+        "approach",
+        F.col(question_col).alias("input_text"),
+        F.col(expected_col).cast("string").alias("expected_answer"),
+        F.col("answer").alias("raw_output"),
+        F.when(F.col("error").isNull(), F.col("final_answer")).alias("parsed_answer"),
+        F.when(F.col("error").isNull(), F.col("confidence")).alias("parsing_confidence"),
+        F.when(F.col("error").isNull(), F.col("extraction_method")).alias("parsing_method"),
+        F.when(F.col("error").isNull(), is_correct_strict(F.col("final_answer"), F.col(expected_col))).alias("is_correct"),
+        (F.col("elapsed") * 1000).cast("long").alias("execution_time_ms"),
+        "error",
+    )

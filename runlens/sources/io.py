@@ -17,7 +17,14 @@ from pyspark.sql import functions as F
 
 from ..functions.text import mask_raw_output
 from ..operators.common import global_index
-from ..operators.runs import compare_approaches, experiment_summary
+from ..operators.runs import (
+    accuracy_by_approach,
+    accuracy_by_model,
+    compare_approaches,
+    experiment_summary,
+    failure_patterns,
+    parsing_effectiveness,
+)
 from ..schemas import RUN_RECORD, STANDARDIZED
 
 
@@ -179,18 +186,30 @@ def export_runs_json_lines(runs: DataFrame, metrics: DataFrame, experiment_id: s
 
 def export_experiment_json(runs: DataFrame, metrics: DataFrame, experiments: DataFrame, path: str,
                            experiment_id: str | None = None, include_raw: bool = False) -> None:
-    """Experiment export: ``path/header`` holds metadata and summary statistics
-    (from aggregates, one row per experiment) and the approach comparison;
-    ``path/runs`` holds the runs as JSON lines."""
+    """Experiment export: ``path/header`` holds, per experiment, the metadata,
+    summary statistics and the analysis (accuracy report, approach comparison,
+    first 10 failure patterns) - all aggregates, lists bounded by the number of
+    approaches, models, parsing methods or the 10 failures; ``path/runs`` holds
+    the runs as JSON lines."""
     summary = experiment_summary(runs, metrics, experiments, experiment_id)
     e = experiments if experiment_id is None else experiments.filter(F.col("id") == experiment_id)
     meta = e.select(F.col("id").alias("experiment_id"), F.struct(*[F.col(c) for c in e.columns]).alias("experiment_metadata"))
-    comp = compare_approaches(runs, metrics, experiment_id).groupBy("experiment_id").agg(
-        F.collect_list(F.struct("approach_name", "accuracy", "avg_execution_time_ms", "total_cost", "sample_count",
-                                "parsing_success_rate", "confidence_avg", "failure_rate")).alias("approach_comparison")
-    )  # one entry per approach: bounded
-    header = meta.join(summary.select("experiment_id", F.struct(*[c for c in summary.columns]).alias("summary_statistics")),
-                       "experiment_id", "left").join(comp, "experiment_id", "left")
+
+    def listed(df: DataFrame, name: str) -> DataFrame:
+        cols = [c for c in df.columns if c != "experiment_id"]
+        return df.groupBy("experiment_id").agg(F.collect_list(F.struct(*cols)).alias(name))
+
+    parts = [
+        summary.select("experiment_id", F.struct(*[c for c in summary.columns]).alias("summary_statistics")),
+        listed(compare_approaches(runs, metrics, experiment_id), "approach_comparison"),
+        listed(accuracy_by_approach(runs, experiment_id), "accuracy_by_approach"),
+        listed(accuracy_by_model(runs, experiment_id), "accuracy_by_model"),
+        listed(parsing_effectiveness(runs, experiment_id), "parsing_effectiveness"),
+        listed(failure_patterns(runs, metrics, experiment_id, limit=10), "failure_patterns"),
+    ]
+    header = meta
+    for p in parts:
+        header = header.join(p, "experiment_id", "left")
     header.write.mode("overwrite").option("timestampNTZFormat", TS_FORMAT).json(f"{path}/header")
     runs_out = export_runs_json_lines(runs, metrics, experiment_id, include_raw)
     runs_out.write.mode("overwrite").option("timestampFormat", TS_FORMAT).option("timestampNTZFormat", TS_FORMAT).json(

@@ -108,3 +108,21 @@ def test_render_prompt_uses_template_and_suffix(spark):
     assert got[0] == TEMPLATES["ChainOfThought"].format(question="What is 2+2?") + SUFFIXES["chainofthought"]
     assert got[1] == TEMPLATES["AsPlanning"].format(question="Q") + SUFFIXES["none"]
     assert got[2] is None
+
+
+def _answer_two(prompt: str) -> str:
+    if "boom" in prompt:
+        raise ValueError("boom")
+    return "Some reasoning.\nFinal Answer: 4"
+
+
+def test_evaluate_grid_end_to_end(spark):
+    from runlens.operators.score import evaluate_grid
+
+    samples = spark.createDataFrame([(1, "What is 2+2?", "4"), (2, "boom?", "x")], "id long, INPUT string, OUTPUT string")
+    out = {(r.id, r.approach): r for r in evaluate_grid(samples, ["None", "ChainOfThought"], _answer_two).collect()}
+    assert len(out) == 4
+    ok = out[(1, "ChainOfThought")]
+    assert ok.parsed_answer == "4" and ok.is_correct is True and ok.parsing_confidence == 0.5 and ok.error is None
+    bad = out[(2, "None")]
+    assert bad.error.startswith("ValueError") and bad.is_correct is None
