@@ -119,19 +119,37 @@ def write_delta(df: DataFrame, base: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{base}/delta/batch={batch_id}")
 
 
+def _compacted_upto(spark: SparkSession, base: str) -> int | None:
+    fs, p = _fs(spark, f"{base}/compacted")
+    if not fs.exists(p):
+        return None
+    done = []
+    for st in fs.listStatus(p):
+        name = st.getPath().getName()
+        if name.startswith("upto=") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+            done.append(int(name.split("=", 1)[1]))
+    return max(done) if done else None
+
+
 def read_merged(spark: SparkSession, base: str, keys: list[str], order: list[str] | None = None,
                 initial: DataFrame | None = None) -> DataFrame | None:
-    """Current rows of a merge-on-read table: the initial rows and every delta,
-    the latest batch winning per key (then ``order`` inside a batch).  The
-    dedupe is a ``max_by`` aggregate, so a hot key is partially aggregated."""
+    """Current rows of a merge-on-read table: the newest compaction (or the
+    initial rows) and every later delta, the latest batch winning per key
+    (then ``order`` inside a batch).  Deltas already compacted are pruned by
+    the ``batch`` partition filter.  The dedupe is a ``max_by`` aggregate, so
+    a hot key is partially aggregated."""
     from ..operators.windows import dedupe_last
 
-    fs, p = _fs(spark, f"{base}/delta")
+    upto = _compacted_upto(spark, base)
     parts = []
-    if initial is not None:
+    if upto is not None:
+        parts.append(spark.read.parquet(f"{base}/compacted/upto={upto}").withColumn("batch", F.lit(-1).cast("int")))
+    elif initial is not None:
         parts.append(initial.withColumn("batch", F.lit(-1).cast("int")))
+    fs, p = _fs(spark, f"{base}/delta")
     if fs.exists(p):
-        parts.append(spark.read.parquet(f"{base}/delta"))
+        d = spark.read.parquet(f"{base}/delta")
+        parts.append(d if upto is None else d.filter(F.col("batch") > upto))
     if not parts:
         return None
     u = parts[0]
@@ -140,6 +158,19 @@ def read_merged(spark: SparkSession, base: str, keys: list[str], order: list[str
     return dedupe_last(u, keys, ["batch", *(order or [])]).drop("batch")
 
 
+def compact(spark: SparkSession, base: str, keys: list[str], order: list[str] | None = None,
+            initial: DataFrame | None = None) -> int | None:
+    """Fold every delta into ``compacted/upto=<last batch>``; later reads start
+    from it and skip the folded deltas.  Returns the last folded batch id."""
+    fs, p = _fs(spark, f"{base}/delta")
+    if not fs.exists(p):
+        return None
+    last = spark.read.parquet(f"{base}/delta").agg(F.max("batch")).first()[0]
+    merged = read_merged(spark, base, keys, order, initial)
+    merged.write.mode("overwrite").parquet(f"{base}/compacted/upto={last}")
+    return int(last)
+
+
 # ----------------------------------------------------------------------------- run exports
 
 

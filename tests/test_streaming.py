@@ -40,3 +40,16 @@ def test_replayed_batch_is_idempotent(spark):
     write_delta(df.withColumn("v", F.col("v") + 10), base, 1)  # replay of batch 1
     got = {r.k: r.v for r in read_merged(spark, base, ["k"]).collect()}
     assert got == {"a": 11, "b": 12}
+
+
+def test_compaction_keeps_current_rows(spark):
+    from runlens.sources.io import compact, read_merged, write_delta
+
+    base = scratch_path(spark, "compact")
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v long")
+    write_delta(df, base, 0)
+    write_delta(df.filter("k = 'a'").withColumn("v", F.lit(5).cast("long")), base, 1)
+    assert compact(spark, base, ["k"]) == 1
+    write_delta(spark.createDataFrame([("b", 7), ("c", 9)], "k string, v long"), base, 2)
+    got = {r.k: r.v for r in read_merged(spark, base, ["k"]).collect()}
+    assert got == {"a": 5, "b": 7, "c": 9}
