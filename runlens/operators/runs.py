@@ -443,8 +443,10 @@ def failure_patterns(
     one task."""
     f = _failures(runs, metrics, experiment_id)
     order = ["created_at", "run_id", "error"]
-    # a (run, error) row stands for w identical failures; three copies suffice for examples
-    f = f.select("*", F.explode(F.sequence(F.lit(1), F.least(F.col("w"), F.lit(3)))).alias("_copy"))
+    # a (run, error) row stands for w identical failures: three copies suffice
+    # for the examples, ``limit`` copies for a row limit (both small)
+    copies = 3 if limit is None else max(int(limit), 3)
+    f = f.select("*", F.explode(F.sequence(F.lit(1), F.least(F.col("w"), F.lit(copies)))).alias("_copy"))
     if limit is not None:
         w_exp = Window.partitionBy("experiment_id").orderBy(*order, "_copy")
         f = f.withColumn("_n", F.row_number().over(w_exp)).filter(F.col("_n") <= limit).drop("_n")

@@ -61,3 +61,23 @@ def test_size_bound_gates_broadcast(spark, fx_small):
     assert size_bound(fx_small.experiments_v) < 1_000_000
     plan = maybe_broadcast(fx_small.experiments_v, max_bytes=1)._jdf.queryExecution().logical().toString()
     assert "broadcast" not in plan.lower()
+
+
+def test_failure_patterns_limit_counts_fanned_rows(spark):
+    """With a row limit the fanned metric rows count one by one, as the
+    reference's LIMIT over the joined rows does."""
+    import datetime as dt
+
+    from runlens.operators import runs as R
+
+    t = dt.datetime(2024, 1, 1)
+    runs = spark.createDataFrame(
+        [("r1", "e", "A", "m", "q", "1", "x", None, False, t), ("r2", "e", "A", "m", "q", "1", "y", None, False,
+                                                                t + dt.timedelta(seconds=1))],
+        "id string, experiment_id string, approach_name string, model string, input_text string, "
+        "expected_answer string, parsed_answer string, parsing_method string, is_correct boolean, created_at timestamp")
+    metrics = spark.createDataFrame([("r1", "")] * 6 + [("r2", "")], "run_id string, error_details string")
+    full = R.failure_patterns(runs, metrics).first()
+    assert full["count"] == 7 and len(full["examples"]) == 3
+    limited = R.failure_patterns(runs, metrics, limit=5).first()
+    assert limited["count"] == 5
