@@ -1,9 +1,8 @@
 """Answer extraction and scoring as column expressions (2.10).
 
 Everything here is a built-in Spark expression evaluated inside whole-stage
-codegen; nothing calls Python per row.  Regexes run in Java with ``(?imd)``:
-``i``/``m`` as in the reference, ``d`` (UNIX_LINES) so that only ``\\n`` ends a
-line, as in Python's ``re``.
+codegen; nothing calls Python per row.  Regexes are compiled by
+``text.py_regex`` so that Java matches what Python's ``re`` matches.
 """
 
 from __future__ import annotations
@@ -12,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .prompts import SUFFIXES, TEMPLATES
-from .text import blank_to_null, nonblank_lines, pystrip, word_count
+from .text import blank_to_null, nonblank_lines, py_regex, pystrip, word_count
 
 # --- fixed values: the answer patterns, tried in this order ------------------
 ANSWER_PATTERNS = [
@@ -60,9 +59,9 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _last_match(text: Column, pattern: str, flags: str = "imd") -> Column:
+def _last_match(text: Column, pattern: str, flags: str = "im") -> Column:
     """Last capture of ``pattern`` (group 1), NULL when there is no match."""
-    return F.try_element_at(F.regexp_extract_all(text, F.lit(f"(?{flags}){pattern}"), F.lit(1)), F.lit(-1))
+    return F.try_element_at(F.regexp_extract_all(text, F.lit(py_regex(pattern, flags)), F.lit(1)), F.lit(-1))
 
 
 def first_pattern_last_match(text) -> Column:
@@ -120,7 +119,7 @@ def _prefix_regex() -> str:
     for p in ANSWER_PREFIXES:
         tail = "(?=\\S)" if p[-1].isspace() else ""
         parts.append(f"(?:{quote_regex(p)}\\s*{tail})?")
-    return "^(?i)\\s*" + "".join(parts)
+    return py_regex("^\\s*" + "".join(parts), "i")
 
 
 def clean_answer(answer) -> Column:
@@ -164,7 +163,7 @@ def detect_multi_call(text) -> Column:
     t = _c(text)
     pat = F.lit(False)
     for p in MULTI_CALL_PATTERNS:
-        pat = pat | t.rlike(f"(?is){p}")
+        pat = pat | t.rlike(py_regex(p, "is"))
     low = F.lower(t)
     steps = sum(low.contains(s).cast("int") for s in STEP_INDICATORS)
     return F.coalesce(pat | (steps >= 2), F.lit(False))

@@ -6,8 +6,8 @@ a *quality* score is ``round(least(hits * w * least(words / L, 1), 1), 2)``.
 ``features_for(df, approach)`` adds all features of one approach in a single
 projection, so one scan computes them all; nothing runs Python per row.
 
-Java regex flags: ``U`` gives Python's Unicode ``\\w \\b \\s \\d`` and case
-folding; ``d`` makes ``\\n`` the only line end, as in Python's ``re``.
+Patterns are compiled by ``text.py_regex`` so Java matches what Python's
+``re`` matches (Unicode classes and word edges, ``\\n`` as the only line end).
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import PY_WS, count_substr, word_count
+from .text import PY_WS, count_substr, py_regex, word_count
 
 # =============================================================================
 # fixed values: indicator patterns of the eight approaches, as published
@@ -321,8 +321,8 @@ def _c(c) -> Column:
 
 
 def rx(pattern: str, flags: str = "") -> str:
-    """Java regex with Python-compatible Unicode classes and line ends."""
-    return f"(?{flags}dU){pattern}"
+    """Java regex with Python's ``re`` semantics (classes, word edges, line ends)."""
+    return py_regex(pattern, flags)
 
 
 def count_all(text, patterns: list[str], flags: str = "") -> Column:

@@ -87,3 +87,52 @@ def _quote(s: str) -> str:
 
 def quote_regex(s: str) -> str:
     return _quote(s)
+
+
+# --- Python ``re`` semantics on the JVM ---------------------------------------
+# Python's str patterns use Unicode classes: \w = letters, numbers and "_",
+# \d = decimal digits, \s = the str.isspace() set, \b = a \w / non-\w edge.
+# Java's own Unicode mode differs (its \w also takes combining marks and join
+# controls), so the classes are spelled out.
+_PY_W = r"\p{L}\p{N}_"
+_PY_D = r"\p{Nd}"
+_PY_S = PY_WS[1:-1]
+_PY_CLASSES = {"w": _PY_W, "d": _PY_D, "s": _PY_S}
+_PY_NEG = {"W": "w", "D": "d", "S": "s"}
+
+
+def py_regex(pattern: str, flags: str = "") -> str:
+    """A Java regex matching what Python's ``re`` matches for ``pattern``
+    (str pattern) with the given flags (``i``, ``m``, ``s``)."""
+    out = []
+    i, n, in_class = 0, len(pattern), False
+    while i < n:
+        ch = pattern[i]
+        if ch == "\\" and i + 1 < n:
+            nxt = pattern[i + 1]
+            if nxt in _PY_CLASSES:
+                body = _PY_CLASSES[nxt]
+                out.append(body if in_class else f"[{body}]")
+            elif nxt in _PY_NEG and not in_class:
+                out.append(f"[^{_PY_CLASSES[_PY_NEG[nxt]]}]")
+            elif nxt == "b" and not in_class:
+                out.append(f"(?:(?<=[{_PY_W}])(?![{_PY_W}])|(?<![{_PY_W}])(?=[{_PY_W}]))")
+            elif nxt == "B" and not in_class:
+                out.append(f"(?:(?<=[{_PY_W}])(?=[{_PY_W}])|(?<![{_PY_W}])(?![{_PY_W}]))")
+            else:
+                out.append(ch + nxt)
+            i += 2
+            continue
+        if in_class:
+            if ch == "]" and not (out and out[-1] in ("[", "[^")):
+                in_class = False
+        elif ch == "[":
+            in_class = True
+            if i + 1 < n and pattern[i + 1] == "^":
+                out.append("[^")
+                i += 2
+                continue
+        out.append(ch)
+        i += 1
+    # d: only \n ends a line; u: Unicode case folding, as Python's IGNORECASE
+    return f"(?{flags}du)" + "".join(out)

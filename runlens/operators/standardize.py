@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import pystrip
+from ..functions.text import py_regex, pystrip
 from .common import combine_rows
 from .profile import profile_columns, recommend_mapping, value_string
 
@@ -69,7 +69,7 @@ def extract_code(text, language: str | None) -> Column:
     pattern = CODE_PATTERNS.get(language.lower()) if language else None
     if not pattern:
         return t
-    rx = f"(?sU){pattern}"
+    rx = py_regex(pattern, "s")
     return F.when(t.rlike(rx), pystrip(F.regexp_extract(t, rx, 1))).otherwise(t)
 
 
