@@ -386,7 +386,52 @@ def _q(fx):
     return S.validate_export(_mcq_io(fx), "out/mcq.parquet", size_bytes=1024)
 
 
-@query("standardize_batch", VIEWS, section="2.12")
+def _blank(x: str) -> str:
+    inner = STRIP.format(x=f"coalesce({x}, '')")
+    return f"CAST(sum(CASE WHEN {inner} = '' THEN 1 ELSE 0 END) AS BIGINT)"
+
+
+STD_BATCH_SQL = "WITH " + RECO_CTE + f""",
+cols AS (SELECT dataset_name, list("column") AS columns FROM prof GROUP BY 1),
+conf AS (
+  SELECT reco.dataset_name,
+    CASE WHEN list_contains(columns, 'content') AND (list_contains(columns, 'java') OR list_contains(columns, 'c++')
+              OR list_contains(columns, 'python') OR list_contains(columns, 'javascript'))
+         THEN 0.0 ELSE reco.confidence END AS confidence
+  FROM reco JOIN cols ON reco.dataset_name = cols.dataset_name),
+io AS (
+  SELECT 'mcq' AS dataset_name,
+         concat('STORY:', chr(10), chr(10), coalesce(story, 'None'), chr(10), chr(10), chr(10), chr(10),
+                'QUESTION:', chr(10), chr(10), coalesce(question, 'None')) AS i,
+         coalesce({_vstr('candidate_answers', 'arr')}, 'None') AS o
+  FROM mcq_v
+  UNION ALL
+  SELECT 'qa', concat('CONTEXT:', chr(10), chr(10), coalesce(source, 'None')), coalesce(text, 'None') FROM documents),
+v AS (SELECT dataset_name, count(*) AS n, {_blank('i')} AS ei, {_blank('o')} AS eo FROM io GROUP BY 1),
+orig AS (SELECT 'mcq' AS dataset_name, count(*) AS original_samples FROM mcq_v
+         UNION ALL SELECT 'qa', count(*) FROM documents),
+r AS (
+  SELECT conf.dataset_name, conf.confidence, orig.original_samples, v.n, v.ei, v.eo,
+         orig.original_samples = v.n AND coalesce((v.ei + v.eo) / (2.0 * nullif(v.n, 0)) <= 0.1, TRUE) AS passed,
+         list_filter(list_value(
+           CASE WHEN orig.original_samples <> v.n THEN 'Sample count changed: ' || orig.original_samples || ' -> ' || v.n END,
+           CASE WHEN v.ei > 0 THEN v.ei || ' samples have empty INPUT fields' END,
+           CASE WHEN v.eo > 0 THEN v.eo || ' samples have empty OUTPUT fields' END,
+           CASE WHEN (v.ei + v.eo) / (2.0 * nullif(v.n, 0)) > 0.1 THEN 'Too many empty fields' END),
+           lambda x: x IS NOT NULL) AS issues
+  FROM conf LEFT JOIN v ON conf.dataset_name = v.dataset_name LEFT JOIN orig ON conf.dataset_name = orig.dataset_name)
+SELECT dataset_name,
+  CASE WHEN confidence < 0.6 THEN 'skipped' WHEN passed THEN 'processed' ELSE 'failed' END AS status,
+  confidence,
+  CASE WHEN confidence >= 0.6 THEN original_samples END AS original_samples,
+  CASE WHEN confidence >= 0.6 THEN n END AS processed_samples,
+  CASE WHEN confidence >= 0.6 THEN passed END AS validation_passed,
+  CASE WHEN confidence < 0.6 THEN 'low confidence' ELSE nullif(array_to_string(issues, '; '), '') END AS error
+FROM r
+"""
+
+
+@query("standardize_batch", VIEWS, section="2.12", oracle=STD_BATCH_SQL)
 def _q(fx):
     ds = {name: (_spark_dataset(fx, name), key) for name, (_, _, key, _) in DATASETS.items()}
     return S.standardize_batch(ds)
