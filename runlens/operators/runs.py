@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, pystrip, truncate_text
-from .common import flag, iflag, maybe_broadcast, ratio
+from .common import flag, iflag, maybe_broadcast
 
 
 def _exp(runs: DataFrame, experiment_id: str | None) -> DataFrame:
