@@ -129,3 +129,30 @@ def running_sums(
     for k in values:
         j = j.withColumn(k, F.col(f"_o_{k}") + F.coalesce(F.sum(f"_v_{k}").over(w2), F.lit(0)))
     return j.drop("_pid", *[f"_v_{k}" for k in values], *[f"_o_{k}" for k in values])
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float]) -> DataFrame:
+    """Exact quantiles (linear interpolation between order statistics, as
+    pandas and ``quantile_cont``) of ``value`` per ``keys`` group, without
+    holding a group in one task: values get their rank within the group from
+    ``running_sums`` (range-sliced), only the ranks the quantiles need are
+    kept, and a small aggregate interpolates.  NULL values are ignored."""
+    v = df.select(*keys, F.col(value).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
+    ranked = running_sums(v, list(keys), [F.col("_x")], {"_r": F.lit(1).cast("long")})
+    if keys:
+        counts = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        j = ranked.join(counts, list(keys))
+    else:  # one group: its size is a single number
+        j = ranked.withColumn("_n", F.lit(v.count()).cast("long"))
+    pos = {name: (F.col("_n") - 1) * F.lit(float(q)) for name, q in qs.items()}
+    wanted = F.lit(False)
+    for p in pos.values():
+        wanted = wanted | (F.col("_r") == F.floor(p)) | (F.col("_r") == F.ceil(p))
+    picked = j.filter(wanted)
+    aggs = []
+    for name, p in pos.items():
+        lo = F.max(F.when(F.col("_r") == F.floor(p), F.col("_x")))
+        hi = F.max(F.when(F.col("_r") == F.ceil(p), F.col("_x")))
+        frac = F.max(p - F.floor(p))
+        aggs.append((lo + (hi - lo) * frac).alias(name))
+    return picked.groupBy(*keys).agg(*aggs)

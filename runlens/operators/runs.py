@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, pystrip, truncate_text
-from .common import flag, iflag, maybe_broadcast
+from .common import exact_quantiles, flag, iflag, maybe_broadcast
 
 
 def _exp(runs: DataFrame, experiment_id: str | None) -> DataFrame:
@@ -602,16 +602,19 @@ def cost_benefit(runs: DataFrame, baseline: str = "None") -> DataFrame:
 
 
 def approach_moments(runs: DataFrame, keys: Iterable[str] = ("experiment_id", "approach_name")) -> DataFrame:
-    """mean, sd, n of the verdict; mean and median time; cost sum."""
+    """mean, sd, n of the verdict; mean and (exact) median time; cost sum."""
+    keys = list(keys)
     v = F.col("is_correct").cast("double")
-    return runs.groupBy(*keys).agg(
+    moments = runs.groupBy(*keys).agg(
         F.avg(v).alias("is_correct_mean"),
         F.stddev_samp(v).alias("is_correct_std"),
         F.count(v).alias("is_correct_count"),
         F.avg("execution_time_ms").alias("execution_time_ms_mean"),
-        F.median(F.col("execution_time_ms").cast("double")).alias("execution_time_ms_median"),
         F.sum("cost_estimate").alias("cost_estimate_sum"),
     )
+    # exact median from ranks: no group is held whole in one task
+    med = exact_quantiles(runs, keys, "execution_time_ms", {"execution_time_ms_median": 0.5})
+    return moments.join(med, keys, "left")
 
 
 def approach_metrics(runs: DataFrame, benchmark_id: Column | None = None) -> DataFrame:
@@ -633,8 +636,10 @@ def approach_metrics(runs: DataFrame, benchmark_id: Column | None = None) -> Dat
 
 
 def describe_metrics(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
-    """count, mean, sd, min, quartiles (exact, linear), max of numeric columns,
-    one row per column."""
+    """count, mean, sd, min, quartiles (exact, linear interpolation), max of
+    numeric columns, one row per column.  Moments come from one aggregate;
+    quartiles from ranks (``exact_quantiles``), so no column is gathered in
+    one task."""
     num = ("int", "bigint", "double", "float", "smallint", "tinyint")
     cols = list(columns) if columns else [c for c, t in df.dtypes if t in num or t.startswith("decimal")]
     aggs = []
@@ -647,14 +652,17 @@ def describe_metrics(df: DataFrame, columns: Iterable[str] | None = None) -> Dat
                 F.avg(x).alias("mean"),
                 F.stddev_samp(x).alias("std"),
                 F.min(x).alias("min"),
-                F.percentile(x, F.lit(0.25)).alias("q25"),
-                F.percentile(x, F.lit(0.5)).alias("q50"),
-                F.percentile(x, F.lit(0.75)).alias("q75"),
                 F.max(x).alias("max"),
             ).alias(f"_s{len(aggs)}")
         )
     wide = df.agg(*aggs)
-    return wide.select(F.explode(F.array(*[F.col(f"_s{i}") for i in range(len(aggs))])).alias("s")).select("s.*")
+    moments = wide.select(F.explode(F.array(*[F.col(f"_s{i}") for i in range(len(aggs))])).alias("s")).select("s.*")
+    quart = None
+    for c in cols:
+        q = exact_quantiles(df, [], c, {"q25": 0.25, "q50": 0.5, "q75": 0.75}).withColumn("column", F.lit(c))
+        quart = q if quart is None else quart.unionByName(q)
+    out = moments.join(quart, "column", "left") if quart is not None else moments
+    return out.select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def table_stats(tables: dict[str, DataFrame]) -> DataFrame:

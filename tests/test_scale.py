@@ -81,3 +81,24 @@ def test_failure_patterns_limit_counts_fanned_rows(spark):
     assert full["count"] == 7 and len(full["examples"]) == 3
     limited = R.failure_patterns(runs, metrics, limit=5).first()
     assert limited["count"] == 5
+
+
+def test_exact_quantiles_match_numpy(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from runlens.operators.common import exact_quantiles
+
+    df = spark.range(2001).select(
+        F.when(F.col("id") % 10 < 7, F.lit("hot")).otherwise(F.lit("cold")).alias("g"),
+        ((F.col("id") * 7919) % 1009).cast("double").alias("x"),
+    )
+    got = {r.g: r for r in exact_quantiles(df, ["g"], "x", {"q25": 0.25, "q50": 0.5, "q90": 0.9}).collect()}
+    vals = {}
+    for r in df.collect():
+        vals.setdefault(r.g, []).append(r.x)
+    for g, xs in vals.items():
+        for name, q in (("q25", 0.25), ("q50", 0.5), ("q90", 0.9)):
+            assert abs(got[g][name] - float(np.quantile(xs, q))) < 1e-9
+    whole = exact_quantiles(df, [], "x", {"m": 0.5}).first().m
+    assert abs(whole - float(np.median([r.x for r in df.collect()]))) < 1e-9
