@@ -131,13 +131,20 @@ def running_sums(
     return j.drop("_pid", *[f"_v_{k}" for k in values], *[f"_o_{k}" for k in values])
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float],
+                    small_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
     """Exact quantiles (linear interpolation between order statistics, as
-    pandas and ``quantile_cont``) of ``value`` per ``keys`` group, without
-    holding a group in one task: values get their rank within the group from
-    ``running_sums`` (range-sliced), only the ranks the quantiles need are
-    kept, and a small aggregate interpolates.  NULL values are ignored."""
+    pandas and ``quantile_cont``) of ``value`` per ``keys`` group.
+
+    Inputs whose planned size bound is at most ``small_bytes`` use Spark's
+    exact ``percentile`` aggregate.  Larger inputs never hold a group in one
+    task: values get their rank within the group from ``running_sums``
+    (range-sliced), only the ranks the quantiles need are kept, and a small
+    aggregate interpolates.  Both give the same values; NULLs are ignored."""
     v = df.select(*keys, F.col(value).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
+    if size_bound(v) <= small_bytes:
+        g = v.groupBy(*keys) if keys else v.groupBy()
+        return g.agg(*[F.percentile(F.col("_x"), F.lit(float(q))).alias(name) for name, q in qs.items()])
     ranked = running_sums(v, list(keys), [F.col("_x")], {"_r": F.lit(1).cast("long")})
     if keys:
         counts = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))

@@ -657,11 +657,12 @@ def describe_metrics(df: DataFrame, columns: Iterable[str] | None = None) -> Dat
         )
     wide = df.agg(*aggs)
     moments = wide.select(F.explode(F.array(*[F.col(f"_s{i}") for i in range(len(aggs))])).alias("s")).select("s.*")
-    quart = None
-    for c in cols:
-        q = exact_quantiles(df, [], c, {"q25": 0.25, "q50": 0.5, "q75": 0.75}).withColumn("column", F.lit(c))
-        quart = q if quart is None else quart.unionByName(q)
-    out = moments.join(quart, "column", "left") if quart is not None else moments
+    # all columns in one ranking pass: unpivot to (column, value)
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols
+    ])).alias("_c")).select("_c.*")
+    quart = exact_quantiles(long, ["column"], "v", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    out = moments.join(quart, "column", "left")
     return out.select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 

@@ -93,12 +93,17 @@ def test_exact_quantiles_match_numpy(spark):
         F.when(F.col("id") % 10 < 7, F.lit("hot")).otherwise(F.lit("cold")).alias("g"),
         ((F.col("id") * 7919) % 1009).cast("double").alias("x"),
     )
-    got = {r.g: r for r in exact_quantiles(df, ["g"], "x", {"q25": 0.25, "q50": 0.5, "q90": 0.9}).collect()}
+    qs = {"q25": 0.25, "q50": 0.5, "q90": 0.9}
+    got = {r.g: r for r in exact_quantiles(df, ["g"], "x", qs, small_bytes=0).collect()}  # rank path
+    small = {r.g: r for r in exact_quantiles(df, ["g"], "x", qs).collect()}  # percentile path
+    for g in got:
+        for name in qs:
+            assert abs(got[g][name] - small[g][name]) < 1e-9
     vals = {}
     for r in df.collect():
         vals.setdefault(r.g, []).append(r.x)
     for g, xs in vals.items():
         for name, q in (("q25", 0.25), ("q50", 0.5), ("q90", 0.9)):
             assert abs(got[g][name] - float(np.quantile(xs, q))) < 1e-9
-    whole = exact_quantiles(df, [], "x", {"m": 0.5}).first().m
+    whole = exact_quantiles(df, [], "x", {"m": 0.5}, small_bytes=0).first().m
     assert abs(whole - float(np.median([r.x for r in df.collect()]))) < 1e-9
