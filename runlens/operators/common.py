@@ -98,6 +98,7 @@ def running_sums(
     values: dict[str, Column],
     include_current: bool = False,
     num_partitions: int | None = None,
+    small_bytes: int = BROADCAST_MAX_BYTES,
 ) -> DataFrame:
     """Running sums of ``values`` per ``part`` group in ``order``, spread over
     many tasks even when one group holds most rows.
@@ -108,11 +109,22 @@ def running_sums(
     offsets from a window over the slices of a group; the running sum inside a
     slice is a window bounded by the task's size.  The sorted data is
     checkpointed (shared checkpoint dir) so slice ids stay fixed on retries.
+    Inputs whose planned size bound is at most ``small_bytes`` use a plain
+    window per group (same result).
     """
     from pyspark.sql import Window
 
     from ..session import cut_lineage
 
+    end = 0 if include_current else -1
+    if size_bound(df) <= small_bytes:
+        # the whole input is small (planned size bound): a plain window per group
+        w = (Window.partitionBy(*part) if part else Window.partitionBy()).orderBy(*order)
+        w = w.rowsBetween(Window.unboundedPreceding, end)
+        out = df
+        for k, v in values.items():
+            out = out.withColumn(k, F.coalesce(F.sum(v).over(w), F.lit(0)))
+        return out
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = df
@@ -124,7 +136,6 @@ def running_sums(
     w1 = Window.partitionBy(*part).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(*part, "_pid", *[F.coalesce(F.sum(f"_t_{k}").over(w1), F.lit(0)).alias(f"_o_{k}") for k in values])
     j = d.join(maybe_broadcast(off), [*part, "_pid"])
-    end = 0 if include_current else -1
     w2 = Window.partitionBy(*part, "_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     for k in values:
         j = j.withColumn(k, F.col(f"_o_{k}") + F.coalesce(F.sum(f"_v_{k}").over(w2), F.lit(0)))

@@ -43,9 +43,11 @@ def test_running_sums_hot_group_sparse_keys(spark):
         (F.col("id") * 1_000_003).alias("k"),  # sparse keys
         (F.col("id") % 5).cast("double").alias("x"),
     )
-    out = running_sums(df, ["g"], [F.col("k")], {"n_before": F.lit(1).cast("long"), "x_before": F.col("x")},
-                       num_partitions=8)
-    rows = out.collect()
+    vals = {"n_before": F.lit(1).cast("long"), "x_before": F.col("x")}
+    sliced = running_sums(df, ["g"], [F.col("k")], vals, num_partitions=8, small_bytes=0)
+    plain = running_sums(df, ["g"], [F.col("k")], vals)
+    assert sorted(map(tuple, sliced.collect())) == sorted(map(tuple, plain.collect()))
+    rows = sliced.collect()
     by_g = {}
     for r in sorted(rows, key=lambda r: (r.g, r.k)):
         seen = by_g.setdefault(r.g, [0, 0.0])
