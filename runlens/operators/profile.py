@@ -61,15 +61,9 @@ def value_string(col: Column, dtype: T.DataType) -> Column:
     return col.cast("string")
 
 
-def profile_columns(df: DataFrame, dataset_name: str, key: str | None = None,
-                    n_rows: int = 100, n_values: int = 10, materialize: bool = True) -> DataFrame:
-    """One row per column: type (empty / text / numeric / boolean / categorical),
-    average length (1 place), distinct lower-cased values, 3 sample values, and
-    the content statistics the role scoring uses.
-
-    The profile (one small row per column) is checkpointed into the shared
-    checkpoint dir, so the steps that read it several times (roles, field sets,
-    rules) do not re-run the head scan."""
+def _cells(df: DataFrame, dataset_name: str, key: str | None, n_rows: int) -> DataFrame:
+    """The head of a dataset as (dataset, column, position, dtype, native,
+    rank, value) cells; ``rank`` orders the head rows (at most ``n_rows``)."""
     fields = df.schema.fields
     head = (df.orderBy(key) if key else df).limit(n_rows)
     order = F.col(key) if key else F.monotonically_increasing_id()
@@ -83,13 +77,20 @@ def profile_columns(df: DataFrame, dataset_name: str, key: str | None = None,
         )
         for i, f in enumerate(fields)
     ]))
-    long = head.select(order.alias("_k"), cells.alias("c")).select("_k", "c.*")
+    # the head holds at most n_rows rows, so ranking it in one task is bounded
+    rank = F.row_number().over(Window.orderBy(order))
+    long = head.select(rank.alias("_k"), cells.alias("c")).select("_k", "c.*")
+    return long.select(F.lit(dataset_name).alias("dataset_name"), "*")
+
+
+def _profile_from_cells(cells: DataFrame, n_values: int) -> DataFrame:
     # at most n_rows cells per column: the list is bounded by construction
-    g = long.groupBy("column", "position", "dtype", "native_numeric").agg(
+    keys = ["dataset_name", "column", "position", "dtype", "native_numeric"]
+    g = cells.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.when(F.col("v").isNotNull(), F.struct("_k", "v")))).alias("_cells")
     )
     vals = F.slice(F.transform(F.col("_cells"), lambda c: c["v"]), 1, n_values)
-    g = g.select("column", "position", "dtype", "native_numeric", vals.alias("_v"))
+    g = g.select(*keys, vals.alias("_v"))
     v = F.col("_v")
     n = F.size(v)
     avg_len = F.try_divide(F.aggregate(v, F.lit(0).cast("long"), lambda acc, x: acc + F.length(x)).cast("double"),
@@ -103,7 +104,7 @@ def profile_columns(df: DataFrame, dataset_name: str, key: str | None = None,
         return out
 
     g = g.select(
-        "column", "position", "dtype", "native_numeric", "_v",
+        *keys, "_v",
         n.alias("n_values"),
         avg_len.alias("avg_length_raw"),
         F.size(F.array_distinct(F.transform(v, lambda x: F.lower(x)))).alias("unique_values"),
@@ -118,8 +119,8 @@ def profile_columns(df: DataFrame, dataset_name: str, key: str | None = None,
         .when(F.col("_numeric"), F.lit("numeric"))
         .otherwise(F.lit("text"))
     )
-    out = g.select(
-        F.lit(dataset_name).alias("dataset_name"),
+    return g.select(
+        "dataset_name",
         "column",
         "position",
         "dtype",
@@ -131,6 +132,17 @@ def profile_columns(df: DataFrame, dataset_name: str, key: str | None = None,
         F.col("structured_count").cast("long").alias("structured_count"),
         F.slice("_v", 1, 3).alias("sample_values"),
     )
+
+
+def profile_datasets(datasets: dict[str, tuple[DataFrame, str | None]], n_rows: int = 100, n_values: int = 10,
+                     materialize: bool = True) -> DataFrame:
+    """Profiles of many datasets in one job: their heads are unioned as cells
+    and aggregated together.  ``datasets`` maps a name to (DataFrame, key)."""
+    cells = None
+    for name, (df, key) in datasets.items():
+        c = _cells(df, name, key, n_rows)
+        cells = c if cells is None else cells.unionByName(c)
+    out = _profile_from_cells(cells, n_values)
     if materialize:
         from ..session import cut_lineage
 
@@ -138,6 +150,18 @@ def profile_columns(df: DataFrame, dataset_name: str, key: str | None = None,
     return out
 
 
+def profile_columns(df: DataFrame, dataset_name: str, key: str | None = None,
+                    n_rows: int = 100, n_values: int = 10, materialize: bool = True) -> DataFrame:
+    """One row per column: type (empty / text / numeric / boolean / categorical),
+    average length (1 place), distinct lower-cased values, 3 sample values, and
+    the content statistics the role scoring uses.
+
+    The profile (one small row per column) is checkpointed into the shared
+    checkpoint dir, so the steps that read it several times (roles, field sets,
+    rules) do not re-run the head scan."""
+    return profile_datasets({dataset_name: (df, key)}, n_rows, n_values, materialize)
+
+
 def first_pattern(column: Column, patterns: list[str]) -> Column:
     """The first pattern (in list order) the lower-cased name contains, or NULL:
     a CASE chain over the fixed list, no join."""

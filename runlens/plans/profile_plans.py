@@ -39,11 +39,7 @@ def _spark_dataset(fx, name):
 
 
 def spark_profile(fx):
-    out = None
-    for name, (_, _, key, _) in DATASETS.items():
-        p = P.profile_columns(_spark_dataset(fx, name), name, key)
-        out = p if out is None else out.unionByName(p)
-    return out
+    return P.profile_datasets({name: (_spark_dataset(fx, name), key) for name, (_, _, key, _) in DATASETS.items()})
 
 
 def _vstr(col: str, kind: str) -> str:
