@@ -53,7 +53,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         # local runs and tests only: a scratch folder on this machine
         current = tempfile.mkdtemp(prefix="runlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(current)
     return current
 
 
