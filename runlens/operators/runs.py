@@ -212,10 +212,33 @@ def runs_with_experiment(runs: DataFrame, experiments: DataFrame) -> DataFrame:
     return runs.join(maybe_broadcast(e), "experiment_id", "inner")
 
 
-def unprocessed_datasets(registry: DataFrame, preprocessing: DataFrame, name_col: str = "dataset_name") -> DataFrame:
-    """Registry rows whose dataset has no ``processed`` preprocessing record."""
-    done = preprocessing.filter(F.col("status") == "processed").select(F.col("dataset_name").alias("_done"))
-    return registry.join(done, registry[name_col] == done["_done"], "left_anti")
+def normalize_registry(registry: DataFrame) -> DataFrame:
+    """Dataset registry rows as (name, url, description, task_type): for each
+    field the first column present wins (dataset_name or name, url or
+    dataset_url, description, task_type or category), else a default."""
+    cols = set(registry.columns)
+
+    def first(names: list[str], default: str) -> Column:
+        for n in names:
+            if n in cols:
+                return F.col(n).cast("string")
+        return F.lit(default)
+
+    return registry.select(
+        first(["dataset_name", "name"], "unknown").alias("name"),
+        first(["url", "dataset_url"], "").alias("url"),
+        first(["description"], "").alias("description"),
+        first(["task_type", "category"], "unknown").alias("task_type"),
+    )
+
+
+def unprocessed_datasets(registry: DataFrame, preprocessing: DataFrame) -> DataFrame:
+    """Registry rows whose dataset has no ``processed`` preprocessing record,
+    normalized and marked ``unprocessed``."""
+    done = preprocessing.filter(F.col("status") == "processed").select(F.col("dataset_name").alias("_done")).distinct()
+    reg = normalize_registry(registry)
+    out = reg.join(done, reg["name"] == done["_done"], "left_anti")
+    return out.withColumn("status", F.lit("unprocessed"))
 
 
 def sample_approach_grid(samples: DataFrame, approaches: Iterable[str], id_col: str = "id") -> DataFrame:

@@ -186,14 +186,21 @@ def _q(fx):
 
 
 @query("unprocessed_datasets", ["preprocessing_v"], section="2.3", oracle="""
-WITH registry AS (SELECT item_id, concat('ds_', CAST(item_id % 8 AS VARCHAR)) AS dataset_name FROM benchmark)
-SELECT * FROM registry g
-WHERE NOT EXISTS (SELECT 1 FROM preprocessing_v p WHERE p.status = 'processed' AND p.dataset_name = g.dataset_name)
+WITH registry AS (
+  SELECT concat('ds_', CAST(item_id % 8 AS VARCHAR)) AS name, concat('hub/set', CAST(item_id AS VARCHAR)) AS dataset_url,
+         CASE WHEN item_id % 2 = 0 THEN 'qa' ELSE 'mcq' END AS category FROM benchmark)
+SELECT name, dataset_url AS url, '' AS description, category AS task_type, 'unprocessed' AS status
+FROM registry g
+WHERE NOT EXISTS (SELECT 1 FROM preprocessing_v p WHERE p.status = 'processed' AND p.dataset_name = g.name)
 """)
 def _q(fx):
-    # a dataset registry derived from the benchmark items: ds_0 .. ds_7
+    # a dataset registry derived from the benchmark items (ds_0 .. ds_7), with
+    # the alternative column names: name, dataset_url, category
     registry = fx.benchmark.select(
-        "item_id", F.concat(F.lit("ds_"), (F.col("item_id") % 8).cast("string")).alias("dataset_name"))
+        F.concat(F.lit("ds_"), (F.col("item_id") % 8).cast("string")).alias("name"),
+        F.concat(F.lit("hub/set"), F.col("item_id").cast("string")).alias("dataset_url"),
+        F.when(F.col("item_id") % 2 == 0, F.lit("qa")).otherwise(F.lit("mcq")).alias("category"),
+    )
     return R.unprocessed_datasets(registry, fx.preprocessing_v)
 
 
