@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import combine_rows, global_index, maybe_broadcast
+from .profile import first_rows
 
 SPLIT_PRIORITY = ["train", "test"]
 
@@ -43,7 +44,7 @@ def dataset_info(df: DataFrame, key: str, n_sample: int = 3) -> DataFrame:
     names = df.columns
     types = [t for _, t in df.dtypes]
     has_io = "INPUT" in names and "OUTPUT" in names
-    head = df.orderBy(key).limit(n_sample).select(F.to_json(F.struct(*names)).alias("j"), F.col(key).alias("_k"))
+    head = first_rows(df, key, n_sample).select(F.to_json(F.struct(*names)).alias("j"), F.col(key).alias("_k"))
     sample = head.agg(F.transform(F.sort_array(F.collect_list(F.struct("_k", "j"))), lambda x: x["j"]).alias("sample_data"))
     count = df.agg(F.count(F.lit(1)).alias("num_rows"))
     return combine_rows(count, sample).select(

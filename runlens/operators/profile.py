@@ -61,11 +61,26 @@ def value_string(col: Column, dtype: T.DataType) -> Column:
     return col.cast("string")
 
 
+def first_rows(df: DataFrame, key: str | None, n_rows: int) -> DataFrame:
+    """The first ``n_rows`` rows by ``key`` (read order without a key).
+
+    Two phases keep a large table from being read whole: the n-th smallest key
+    comes from a top-n over the key column alone (column pruning), then only
+    rows up to that key are read (a filter Parquet pushes down to row-group
+    statistics) for the final top-n."""
+    if not key:
+        return df.limit(n_rows)
+    bound = df.select(key).orderBy(key).limit(n_rows).agg(F.max(key).alias("b")).first()["b"]
+    if bound is None:
+        return df.limit(0)
+    return df.filter(F.col(key) <= F.lit(bound)).orderBy(key).limit(n_rows)
+
+
 def _cells(df: DataFrame, dataset_name: str, key: str | None, n_rows: int) -> DataFrame:
     """The head of a dataset as (dataset, column, position, dtype, native,
     rank, value) cells; ``rank`` orders the head rows (at most ``n_rows``)."""
     fields = df.schema.fields
-    head = (df.orderBy(key) if key else df).limit(n_rows)
+    head = first_rows(df, key, n_rows)
     order = F.col(key) if key else F.monotonically_increasing_id()
     cells = F.explode(F.array(*[
         F.struct(
