@@ -35,6 +35,9 @@ def score_table(grid: DataFrame, fn: Callable[[str], str], prompt_col: str = "pr
         keep_in = keep
     src = grid.select(*keep_in)
     out_schema = T.StructType([src.schema[c] for c in keep] + SCORE_FIELDS)
+    from ..session import ship_package
+
+    ship_package(grid.sparkSession)  # workers can import the caller's function's package
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

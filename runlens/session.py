@@ -75,3 +75,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/runlens-scratch/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``runlens`` importable in Python workers (once per context): the
+    package is zipped and added with ``addPyFile``, which distributes it to
+    every executor."""
+    import os
+    import uuid
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_runlens_shipped", False):
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    # the zip is built on the driver and served to executors by Spark itself
+    local_zip = os.path.join(tempfile.mkdtemp(prefix="runlens-pkg-"), f"runlens-{uuid.uuid4().hex[:8]}.zip")
+    with zipfile.ZipFile(local_zip, "w") as z:
+        for root, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(local_zip)  # Spark copies it to every executor
+    sc._runlens_shipped = True
