@@ -532,9 +532,15 @@ def _q(fx):
 
 
 @query("preprocessing_usage", ["prep_link_v"], section="2.4", oracle="""
-SELECT preprocessing_id, experiment_id, CAST(NULL AS TIMESTAMP) AS created_at,
+WITH l AS (SELECT *, CAST('2024-03-01 00:00:00' AS TIMESTAMP) + to_minutes(CAST(id % 1000 AS BIGINT)) AS created_at
+           FROM prep_link_v)
+SELECT preprocessing_id, experiment_id, created_at,
        count(*) OVER (PARTITION BY preprocessing_id) AS experiment_count
-FROM prep_link_v
+FROM l
 """)
 def _q(fx):
-    return R.preprocessing_usage(fx.prep_link_v)
+    # links stamped with a creation time derived from their id
+    links = fx.prep_link_v.withColumn(
+        "created_at",
+        F.expr("CAST('2024-03-01 00:00:00' AS TIMESTAMP_NTZ) + make_dt_interval(0, 0, CAST(id % 1000 AS INT), 0)"))
+    return R.preprocessing_usage(links)
