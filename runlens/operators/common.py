@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Sides whose size bound is at most this many bytes may be broadcast.
+# Sides whose size bound is at most this many bytes may be broadcast, and
+# inputs this small may take the single-task paths (plain windows, percentile).
+# A session can change it with spark.runlens.smallBytes (0 forces the
+# distributed paths everywhere).
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
 
+def small_bytes(spark) -> int:
+    return int(spark.conf.get("spark.runlens.smallBytes", str(BROADCAST_MAX_BYTES)))
+
+
 def size_bound(df: DataFrame) -> int:
     """Upper bound of the data size from the optimized plan's statistics (file
     sizes propagated through the plan; filters and aggregates never raise it).
@@ -16,10 +23,11 @@ def size_bound(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def maybe_broadcast(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+def maybe_broadcast(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Broadcast ``df`` only when its planned size bound is small; otherwise
     leave the strategy to Spark (sort-merge join, or AQE's runtime switch)."""
-    return F.broadcast(df) if size_bound(df) <= max_bytes else df
+    limit = small_bytes(df.sparkSession) if max_bytes is None else max_bytes
+    return F.broadcast(df) if size_bound(df) <= limit else df
 
 
 def combine_rows(*frames: DataFrame) -> DataFrame:
@@ -98,7 +106,7 @@ def running_sums(
     values: dict[str, Column],
     include_current: bool = False,
     num_partitions: int | None = None,
-    small_bytes: int = BROADCAST_MAX_BYTES,
+    small_bytes_limit: int | None = None,
 ) -> DataFrame:
     """Running sums of ``values`` per ``part`` group in ``order``, spread over
     many tasks even when one group holds most rows.
@@ -109,15 +117,17 @@ def running_sums(
     offsets from a window over the slices of a group; the running sum inside a
     slice is a window bounded by the task's size.  The sorted data is
     checkpointed (shared checkpoint dir) so slice ids stay fixed on retries.
-    Inputs whose planned size bound is at most ``small_bytes`` use a plain
-    window per group (same result).
+    Inputs whose planned size bound is at most ``small_bytes_limit`` (default:
+    the session's ``spark.runlens.smallBytes``) use a plain window per group
+    (same result).
     """
     from pyspark.sql import Window
 
     from ..session import cut_lineage
 
     end = 0 if include_current else -1
-    if size_bound(df) <= small_bytes:
+    limit = small_bytes(df.sparkSession) if small_bytes_limit is None else small_bytes_limit
+    if size_bound(df) <= limit:
         # the whole input is small (planned size bound): a plain window per group
         w = (Window.partitionBy(*part) if part else Window.partitionBy()).orderBy(*order)
         w = w.rowsBetween(Window.unboundedPreceding, end)
@@ -143,20 +153,22 @@ def running_sums(
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float],
-                    small_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+                    small_bytes_limit: int | None = None) -> DataFrame:
     """Exact quantiles (linear interpolation between order statistics, as
     pandas and ``quantile_cont``) of ``value`` per ``keys`` group.
 
-    Inputs whose planned size bound is at most ``small_bytes`` use Spark's
+    Inputs whose planned size bound is at most ``small_bytes_limit`` (default:
+    the session's ``spark.runlens.smallBytes``) use Spark's
     exact ``percentile`` aggregate.  Larger inputs never hold a group in one
     task: values get their rank within the group from ``running_sums``
     (range-sliced), only the ranks the quantiles need are kept, and a small
     aggregate interpolates.  Both give the same values; NULLs are ignored."""
     v = df.select(*keys, F.col(value).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
-    if size_bound(v) <= small_bytes:
+    limit = small_bytes(df.sparkSession) if small_bytes_limit is None else small_bytes_limit
+    if size_bound(v) <= limit:
         g = v.groupBy(*keys) if keys else v.groupBy()
         return g.agg(*[F.percentile(F.col("_x"), F.lit(float(q))).alias(name) for name, q in qs.items()])
-    ranked = running_sums(v, list(keys), [F.col("_x")], {"_r": F.lit(1).cast("long")})
+    ranked = running_sums(v, list(keys), [F.col("_x")], {"_r": F.lit(1).cast("long")}, small_bytes_limit=limit)
     if keys:
         counts = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
         j = ranked.join(counts, list(keys))

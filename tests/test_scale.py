@@ -44,7 +44,7 @@ def test_running_sums_hot_group_sparse_keys(spark):
         (F.col("id") % 5).cast("double").alias("x"),
     )
     vals = {"n_before": F.lit(1).cast("long"), "x_before": F.col("x")}
-    sliced = running_sums(df, ["g"], [F.col("k")], vals, num_partitions=8, small_bytes=0)
+    sliced = running_sums(df, ["g"], [F.col("k")], vals, num_partitions=8, small_bytes_limit=0)
     plain = running_sums(df, ["g"], [F.col("k")], vals)
     assert sorted(map(tuple, sliced.collect())) == sorted(map(tuple, plain.collect()))
     rows = sliced.collect()
@@ -96,7 +96,7 @@ def test_exact_quantiles_match_numpy(spark):
         ((F.col("id") * 7919) % 1009).cast("double").alias("x"),
     )
     qs = {"q25": 0.25, "q50": 0.5, "q90": 0.9}
-    got = {r.g: r for r in exact_quantiles(df, ["g"], "x", qs, small_bytes=0).collect()}  # rank path
+    got = {r.g: r for r in exact_quantiles(df, ["g"], "x", qs, small_bytes_limit=0).collect()}  # rank path
     small = {r.g: r for r in exact_quantiles(df, ["g"], "x", qs).collect()}  # percentile path
     for g in got:
         for name in qs:
@@ -107,5 +107,5 @@ def test_exact_quantiles_match_numpy(spark):
     for g, xs in vals.items():
         for name, q in (("q25", 0.25), ("q50", 0.5), ("q90", 0.9)):
             assert abs(got[g][name] - float(np.quantile(xs, q))) < 1e-9
-    whole = exact_quantiles(df, [], "x", {"m": 0.5}, small_bytes=0).first().m
+    whole = exact_quantiles(df, [], "x", {"m": 0.5}, small_bytes_limit=0).first().m
     assert abs(whole - float(np.median([r.x for r in df.collect()]))) < 1e-9
