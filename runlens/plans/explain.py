@@ -32,11 +32,14 @@ def main(argv=None) -> int:
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.001")
     ap.add_argument("--formatted", action="store_true")
+    ap.add_argument("--scale", action="store_true",
+                    help="plan as for large inputs: distributed paths, no size-based broadcast")
     ap.add_argument("keys", nargs="*")
     a = ap.parse_args(argv)
     from ..session import get_session
 
-    spark = get_session()
+    conf = {"spark.runlens.smallBytes": "0", "spark.sql.autoBroadcastJoinThreshold": "-1"} if a.scale else {}
+    spark = get_session(**conf)
     keys = a.keys or sorted(REGISTRY)
     print("| query | shuffles | broadcast joins | sort-merge joins | nested-loop joins | windows | group limits | python |")
     print("| --- | --- | --- | --- | --- | --- | --- | --- |")
