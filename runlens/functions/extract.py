@@ -234,7 +234,7 @@ def typed_answer(df: DataFrame) -> DataFrame:
         F.when(kind == "numerical", pystrip(number).try_cast("double")).alias("number_value"),
         F.when(kind == "textual", F.lower(pystrip(F.col("answer_type")))).alias("answer_type_clean"),
         F.when(kind == "list", items).alias("items_clean"),
-        F.when(kind == "list", F.size(items)).alias("item_count"),
+        F.when(kind == "list", F.size(items).cast("long")).alias("item_count"),
         F.when(kind == "reasoning_chain", steps).alias("steps_clean"),
     )
     blank = F.coalesce(F.col("answer_clean"), F.lit("")) == ""

@@ -331,7 +331,7 @@ def count_all(text, patterns: list[str], flags: str = "") -> Column:
     total = F.lit(0)
     for p in patterns:
         total = total + F.regexp_count(t, F.lit(rx(p, flags)))
-    return total.cast("int")
+    return total.cast("long")
 
 
 def any_match(text, patterns: list[str], flags: str = "") -> Column:
@@ -352,7 +352,7 @@ def any_match_lower(text, patterns: list[str]) -> Column:
 def kinds_found(text, patterns: list[str], flags: str = "i") -> Column:
     """Number of patterns with at least one match."""
     t = _c(text)
-    return sum((t.rlike(rx(p, flags)).cast("int") for p in patterns), F.lit(0)).cast("int")
+    return sum((t.rlike(rx(p, flags)).cast("int") for p in patterns), F.lit(0)).cast("long")
 
 
 def quality(hits: Column, text, key: str, bonus: Column | None = None) -> Column:
@@ -382,7 +382,7 @@ def feat_base_steps(text) -> Column:
     total = F.lit(0)
     for s in BASE_STEP_SUBSTRINGS:
         total = total + count_substr(t, s)
-    return total.cast("int")
+    return total.cast("long")
 
 
 def feat_cot_steps(text) -> Column:
@@ -461,7 +461,7 @@ def feat_tot_branches(text) -> Column:
 
 
 def feat_tot_depth(text) -> Column:
-    return (F.least(count_all(text, TOT_DEPTH_PATTERNS, "i"), F.lit(4)) + 1).cast("int")
+    return (F.least(count_all(text, TOT_DEPTH_PATTERNS, "i"), F.lit(4)) + 1).cast("long")
 
 
 def feat_tot_evaluations(text) -> Column:
@@ -501,7 +501,7 @@ def feat_sot_sections(text) -> Column:
     alt = "|".join(f"(?:{p})" for p in SOT_SECTION_PATTERNS)
     lines = F.split(_c(text), "\n")
     n = F.size(F.filter(lines, lambda l: l.rlike(rx(alt, "i"))))
-    return F.greatest(n, F.lit(1)).cast("int")
+    return F.greatest(n, F.lit(1)).cast("long")
 
 
 _PY_WS_LEAD = f"^{PY_WS}+"
@@ -523,7 +523,7 @@ def feat_sot_levels(text) -> Column:
         )
 
     found = F.array_distinct(F.filter(F.flatten(F.transform(lines, levels)), lambda x: x.isNotNull()))
-    return F.greatest(F.size(found), F.lit(1)).cast("int")
+    return F.greatest(F.size(found), F.lit(1)).cast("long")
 
 
 def feat_sot_quality(text) -> Column:
@@ -551,7 +551,7 @@ def feat_sot_refinement(text) -> Column:
 
 
 def feat_cov_questions(text) -> Column:
-    return F.least(count_all(text, COV_QUESTION_PATTERNS, "i"), F.lit(COV_MAX_QUESTIONS)).cast("int")
+    return F.least(count_all(text, COV_QUESTION_PATTERNS, "i"), F.lit(COV_MAX_QUESTIONS)).cast("long")
 
 
 def feat_cov_quality(text) -> Column:
@@ -599,7 +599,7 @@ def feat_ref_quality(text) -> Column:
 def feat_ref_steps(text) -> Column:
     sections = kinds_found(text, [rf"\b{s}\b.*(?:response|answer|attempt)" for s in REF_STEP_SECTIONS], "i")
     actions = count_all(text, REF_ACTION_PATTERNS, "i")
-    return F.greatest(sections + F.floor(actions / 2).cast("int"), F.lit(2)).cast("int")
+    return F.greatest(sections + F.floor(actions / 2).cast("long"), F.lit(2)).cast("long")
 
 
 def feat_ref_sections(text) -> Column:

@@ -110,7 +110,7 @@ def performance_metrics(responses: DataFrame) -> DataFrame:
         F.col("prompt_tokens"),
         F.col("completion_tokens"),
         F.col("cost_estimate"),
-        F.length("text").alias("response_length"),
+        F.length("text").cast("long").alias("response_length"),
         get("reasoning_steps", 1, "long").alias("reasoning_depth"),
         F.when(tot, get("branches_explored", 1, "long")).alias("branch_exploration"),
         F.when(tot, get("selected_path", "unknown", "string")).alias("selected_path"),
@@ -481,7 +481,8 @@ def failure_patterns(
     g = Window.partitionBy(*keys).orderBy(*order, "_copy")
     ex = f.withColumn("_k", F.row_number().over(g)).filter(F.col("_k") <= 3)
     examples = ex.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct(F.col("_k").alias("k"), "input", "expected", "parsed"))).alias("examples")
+        F.sort_array(F.collect_list(F.struct(F.col("_k").cast("long").alias("k"), "input", "expected", "parsed"))).alias(
+            "examples")
     )
     return counts.join(examples, keys)
 

@@ -267,7 +267,7 @@ def weighted_ranking(am: DataFrame, weights: dict[str, float] | None = None, key
     rank = F.row_number().over(
         Window.partitionBy(*keys).orderBy(F.col("score").desc_nulls_last(), F.col("approach"))
     )
-    return g.withColumn("rank", rank)
+    return g.withColumn("rank", rank.cast("long"))
 
 
 def recommendations(am: DataFrame, baseline: str = BASELINE) -> DataFrame:

@@ -35,7 +35,7 @@ def number_samples(
 def first_k(df: DataFrame, keys: Iterable[str], order: list, k: int = 3, name: str = "rank") -> DataFrame:
     """First ``k`` rows of each group in ``order``."""
     w = Window.partitionBy(*list(keys)).orderBy(*order)
-    return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= k)
+    return df.withColumn(name, F.row_number().over(w).cast("long")).filter(F.col(name) <= k)
 
 
 def latest_preprocessing(prep: DataFrame, keys: Iterable[str] = ("dataset_name",)) -> DataFrame:

@@ -194,7 +194,8 @@ def _q(fx):
     t = _texts(fx)
     src = t.select(
         "id", "text", F.lit("ChainOfThought").alias("approach"),
-        F.when(F.col("id") % 3 == 1, FT.count_all(F.col("text"), FT.COT_STEP_PATTERNS, "i")).alias("reasoning_steps"),
+        F.when(F.col("id") % 3 == 1, FT.count_all(F.col("text"), FT.COT_STEP_PATTERNS, "i")).cast("long").alias(
+            "reasoning_steps"),
         F.when(F.col("id") % 7 == 0, F.create_map(
             F.lit("step_count"), F.lit("3"), F.lit("step_1"), F.lit("plan"),
             F.lit("step2"), F.split(F.col("text"), "\n").getItem(0))).alias("multi_step"),

@@ -97,10 +97,10 @@ fp AS (SELECT dataset_name, "column", kind, arg_min(pattern, pattern_order) AS p
        FROM prof CROSS JOIN pm WHERE contains(lower("column"), pattern) GROUP BY 1, 2, 3),
 roles AS (
   SELECT fp.dataset_name, fp."column", prof.position, fp.kind, fp.pattern,
-    least(1.0, CASE WHEN lower(fp."column") = fp.pattern THEN 1.0 ELSE 0.8 END
+    CAST(least(1.0, CASE WHEN lower(fp."column") = fp.pattern THEN 1.0 ELSE 0.8 END
       + CASE WHEN fp.pattern IN ({BOOST}) AND prof.n_values > 0 THEN least(0.2,
           CASE WHEN prof.avg_length_raw > 20 THEN 0.1 ELSE 0.0 END
-          + CASE WHEN prof.structured_count > prof.n_values * 0.5 THEN 0.1 ELSE 0.0 END) ELSE 0.0 END) AS confidence,
+          + CASE WHEN prof.structured_count > prof.n_values * 0.5 THEN 0.1 ELSE 0.0 END) ELSE 0.0 END) AS DOUBLE) AS confidence,
     CASE WHEN {FULLW.replace('"column"', 'fp."column"')} THEN 0.3 ELSE 0.0 END
       + CASE WHEN {ORW.replace('"column"', 'fp."column"')} THEN 0.2 ELSE 0.0 END
       + least(0.2, length(fp."column") / 50.0) AS completeness
@@ -157,9 +157,9 @@ def _q(fx):
 
 @query("content_boost", VIEWS, section="2.12", oracle="WITH " + ROLES_CTE + f"""
 SELECT prof.dataset_name, prof."column", roles.pattern,
-  CASE WHEN roles.pattern IN ({BOOST}) AND n_values > 0 THEN least(0.2,
+  CAST(CASE WHEN roles.pattern IN ({BOOST}) AND n_values > 0 THEN least(0.2,
     CASE WHEN avg_length_raw > 20 THEN 0.1 ELSE 0.0 END
-    + CASE WHEN structured_count > n_values * 0.5 THEN 0.1 ELSE 0.0 END) ELSE 0.0 END AS boost
+    + CASE WHEN structured_count > n_values * 0.5 THEN 0.1 ELSE 0.0 END) ELSE 0.0 END AS DOUBLE) AS boost
 FROM prof JOIN roles ON prof.dataset_name = roles.dataset_name AND prof."column" = roles."column"
 WHERE roles.kind = 'output'
 """)

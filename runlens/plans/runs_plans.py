@@ -113,8 +113,8 @@ def _q(fx):
         "approach_name",
         (F.col("execution_time_ms").cast("double") / 1000).alias("execution_time"),
         "total_tokens",
-        (F.col("total_tokens") - F.floor(F.col("total_tokens") / 3)).cast("int").alias("prompt_tokens"),
-        F.floor(F.col("total_tokens") / 3).cast("int").alias("completion_tokens"),
+        (F.col("total_tokens") - F.floor(F.col("total_tokens") / 3)).cast("long").alias("prompt_tokens"),
+        F.floor(F.col("total_tokens") / 3).cast("long").alias("completion_tokens"),
         "cost_estimate",
         F.col("input_text").alias("text"),
         F.lit(None).cast("map<string,string>").alias("metadata"),

@@ -91,7 +91,8 @@ def _q(fx):
 @query("call_rate_audit", ["call_log_v"], section="2.14", oracle="""
 SELECT provider, date_trunc('second', ts) AS window_start, date_trunc('second', ts) + INTERVAL 1 SECOND AS window_end,
        count(*) AS calls,
-       CASE provider WHEN 'anthropic' THEN 5.0 WHEN 'cohere' THEN 10.0 WHEN 'openrouter' THEN 2.0 ELSE 1.0 END AS ceiling,
+       CAST(CASE provider WHEN 'anthropic' THEN 5.0 WHEN 'cohere' THEN 10.0 WHEN 'openrouter' THEN 2.0 ELSE 1.0 END
+            AS DOUBLE) AS ceiling,
        count(*) > CASE provider WHEN 'anthropic' THEN 5.0 WHEN 'cohere' THEN 10.0 WHEN 'openrouter' THEN 2.0 ELSE 1.0 END
          AS over_limit
 FROM call_log_v GROUP BY 1, 2
