@@ -68,9 +68,39 @@ def duck_connect(sf_dir: str):
 
 
 def duck_rows(con, sql: str):
-    cur = con.execute(sql)
-    cols = [d[0] for d in cur.description]
-    return cols, _rows(cols, cur.fetchall())
+    rel = con.sql(sql)
+    cols = list(rel.columns)
+    types = {c: str(t) for c, t in zip(cols, rel.types)}
+    return cols, _rows(cols, rel.fetchall()), types
+
+
+_SCALAR = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN",
+           "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP WITH TIME ZONE", "float": "FLOAT",
+           "smallint": "SMALLINT", "date": "DATE"}
+
+
+def _family(spark_type: str) -> str:
+    if spark_type.startswith("array<"):
+        inner = _family(spark_type[6:-1])
+        return "NESTED[]" if inner == "NESTED" else inner + "[]"
+    if spark_type.startswith(("struct<", "map<")):
+        return "NESTED"
+    return _SCALAR.get(spark_type, spark_type)
+
+
+def type_mismatches(spark_dtypes: list[tuple[str, str]], duck_types: dict[str, str]) -> list[str]:
+    out = []
+    for c, t in spark_dtypes:
+        d = duck_types.get(c)
+        f = _family(t)
+        if d is None:
+            continue
+        if f.startswith("NESTED"):
+            if not (d.startswith(("STRUCT", "MAP")) or d.endswith("[]")):
+                out.append(f"{c}: {t} vs {d}")
+        elif f != d:
+            out.append(f"{c}: {t} vs {d}")
+    return out
 
 
 def compare(spark, sf_dir: str, keys=None, con=None, verbose=True) -> dict:
@@ -90,10 +120,11 @@ def compare(spark, sf_dir: str, keys=None, con=None, verbose=True) -> dict:
             res["rows"] = len(srows)
             sql = oracle_text(spec)
             if sql is not None:
-                dcols, drows = duck_rows(con, sql)
+                dcols, drows, dtypes = duck_rows(con, sql)
                 res["oracle_rows"] = len(drows)
                 res["cols_match"] = sorted(scols) == sorted(dcols)
                 res["values_match"] = srows == drows
+                res["type_mismatches"] = type_mismatches(df.dtypes, dtypes)
                 if not res["cols_match"]:
                     res["spark_cols"] = sorted(scols)
                     res["duck_cols"] = sorted(dcols)
@@ -103,7 +134,7 @@ def compare(spark, sf_dir: str, keys=None, con=None, verbose=True) -> dict:
                     diff_d = [r for r in drows if r not in ss_][:3]
                     res["spark_only"] = [repr(x)[:400] for x in diff_s]
                     res["duck_only"] = [repr(x)[:400] for x in diff_d]
-                res["ok"] = res["cols_match"] and res["values_match"]
+                res["ok"] = res["cols_match"] and res["values_match"] and not res["type_mismatches"]
             else:
                 res["ok"] = True
         except Exception as e:  # report and go on with the rest
