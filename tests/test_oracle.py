@@ -50,3 +50,23 @@ def test_entry_runs(spark):
     df = mod.entry(spark)
     assert df.count() > 0
     assert set(mod.oracle_sql()) <= set(mod.queries())
+
+
+def test_entry_loaded_by_path_from_another_folder(tmp_path):
+    """The driver may load __spark_entry__.py by path from any folder; Python
+    workers (score_table's mapInPandas) must still import the package."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    entry = Path(__file__).parent.parent / "__spark_entry__.py"
+    code = f"""
+import importlib.util
+spec = importlib.util.spec_from_file_location("entry", {str(entry)!r})
+mod = importlib.util.module_from_spec(spec); spec.loader.exec_module(mod)
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+print("ROWS", mod.queries()["score_table"](spark, {SF_SMALL!r}).count())
+"""
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=600)
+    assert "ROWS" in out.stdout, out.stderr[-2000:]
