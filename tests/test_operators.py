@@ -85,3 +85,26 @@ def test_check_constraints_null_passes(spark):
     p = spark.createDataFrame([("p1", "pending", 0.5)], "id string, status string, confidence_score double")
     rows = {(x.table_name, x.row_id, x.rule) for x in M.check_constraints(e, r, m, p).collect()}
     assert rows == {("experiments", "e2", "status"), ("parsing_metrics", "1", "confidence_score range")}
+
+
+@pytest.mark.parametrize("small", [None, 0])
+def test_cost_guard_flags(spark, small):
+    import datetime as dt
+
+    from runlens.operators import windows as W
+
+    if small is not None:
+        spark.conf.set("spark.runlens.smallBytes", str(small))
+    try:
+        t = dt.datetime(2024, 1, 1)
+        rows = [("r1", "e", t, 0.6, 1), ("r2", "e", t + dt.timedelta(seconds=1), 0.6, 3),
+                ("r3", "e", t + dt.timedelta(seconds=2), 5.0, 1), ("r4", "f", t, 9.0, 1)]
+        runs = spark.createDataFrame(rows, "id string, experiment_id string, created_at timestamp, "
+                                           "cost_estimate double, calls int")
+        out = {r.id: r for r in W.cost_guard(runs, calls=F.col("calls"), max_calls=4).collect()}
+        assert [round(out[k].cost_before, 9) for k in ("r1", "r2", "r3", "r4")] == [0.0, 0.6, 1.2, 0.0]
+        assert [out[k].calls_before for k in ("r1", "r2", "r3")] == [0, 1, 4]
+        assert not out["r2"].cost_warning and out["r3"].cost_warning and not out["r3"].cost_high
+        assert out["r3"].calls_limit_reached and not out["r2"].calls_limit_reached
+    finally:
+        spark.conf.unset("spark.runlens.smallBytes")
