@@ -134,28 +134,32 @@ def _compacted_upto(spark: SparkSession, base: str) -> int | None:
 def read_merged(spark: SparkSession, base: str, keys: list[str], order: list[str] | None = None,
                 initial: DataFrame | None = None) -> DataFrame | None:
     """Current rows of a merge-on-read table: the newest compaction (or the
-    initial rows) and every later delta, the latest batch winning per key
-    (then ``order`` inside a batch).  Deltas already compacted are pruned by
-    the ``batch`` partition filter.  The dedupe is a ``max_by`` aggregate, so
-    a hot key is partially aggregated."""
+    initial rows, one per key) overlaid with every later delta, the latest
+    batch winning per key (then ``order`` inside a batch).
+
+    Deltas already compacted are pruned by the ``batch`` partition filter; the
+    remaining deltas are deduplicated with ``max_by`` (partial aggregation), and
+    the base is only anti-joined with their keys - it is never re-aggregated."""
+    from ..operators.common import maybe_broadcast
     from ..operators.windows import dedupe_last
 
     upto = _compacted_upto(spark, base)
-    parts = []
     if upto is not None:
-        parts.append(spark.read.parquet(f"{base}/compacted/upto={upto}").withColumn("batch", F.lit(-1).cast("int")))
-    elif initial is not None:
-        parts.append(initial.withColumn("batch", F.lit(-1).cast("int")))
+        base_df = spark.read.parquet(f"{base}/compacted/upto={upto}")
+    else:
+        base_df = initial
     fs, p = _fs(spark, f"{base}/delta")
+    deltas = None
     if fs.exists(p):
         d = spark.read.parquet(f"{base}/delta")
-        parts.append(d if upto is None else d.filter(F.col("batch") > upto))
-    if not parts:
-        return None
-    u = parts[0]
-    for q in parts[1:]:
-        u = u.unionByName(q, allowMissingColumns=True)
-    return dedupe_last(u, keys, ["batch", *(order or [])]).drop("batch")
+        deltas = d if upto is None else d.filter(F.col("batch") > upto)
+    if deltas is None:
+        return base_df
+    latest = dedupe_last(deltas, keys, ["batch", *(order or [])]).drop("batch")
+    if base_df is None:
+        return latest
+    kept = base_df.join(maybe_broadcast(latest.select(*keys)), keys, "left_anti")
+    return kept.unionByName(latest, allowMissingColumns=True)
 
 
 def compact(spark: SparkSession, base: str, keys: list[str], order: list[str] | None = None,
