@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.extract import is_correct_strict
 from ..schemas import EXPERIMENT_STATUSES, PARSING_METHODS, PREPROCESSING_STATUSES
+from .common import maybe_broadcast
 from .windows import dedupe_last
 
 
@@ -108,6 +109,7 @@ def expire_experiments(
     and their links.  Returns the kept tables and the expired experiment ids."""
     age = (F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col("created_at").cast("timestamp"))) / 86_400_000_000.0
     expired = experiments.filter(age > days).select(F.col("id").alias("experiment_id"))
+    expired = maybe_broadcast(expired)  # experiment ids: broadcast when the experiments table is small
     kept_exp = experiments.join(expired, experiments["id"] == expired["experiment_id"], "left_anti")
     kept_runs = runs.join(expired, "experiment_id", "left_anti")
     gone_runs = runs.join(expired, "experiment_id", "left_semi").select(F.col("id").alias("run_id"))
