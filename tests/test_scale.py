@@ -109,3 +109,18 @@ def test_exact_quantiles_match_numpy(spark):
             assert abs(got[g][name] - float(np.quantile(xs, q))) < 1e-9
     whole = exact_quantiles(df, [], "x", {"m": 0.5}, small_bytes_limit=0).first().m
     assert abs(whole - float(np.median([r.x for r in df.collect()]))) < 1e-9
+
+
+def test_fanout_join_with_hot_run_equals_plain_join(spark):
+    from runlens.operators.runs import runs_with_metrics
+
+    runs = spark.createDataFrame([("r1", 1), ("r2", 2), ("r3", 3)], "id string, x long")
+    rows = [("r1", i, False, 0.5, i, "") for i in range(50)] + [("r2", 1, True, 0.9, 3, "e")]
+    metrics = spark.createDataFrame(rows, "run_id string, parsing_attempts long, fallback_used boolean, "
+                                          "confidence_score double, extraction_time_ms long, error_details string")
+    split = runs_with_metrics(runs, metrics, hot_rows=10)  # r1 is hot
+    plain = runs.join(metrics, runs["id"] == metrics["run_id"], "left")
+    assert split.count() == plain.count() == 52
+    got = sorted((r.id, r.parsing_time_ms) for r in split.collect())
+    want = sorted((r.id, r.extraction_time_ms) for r in plain.collect())
+    assert got == want
