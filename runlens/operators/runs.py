@@ -69,7 +69,7 @@ def run_details(runs: DataFrame, metrics: DataFrame, run_id: str | None = None)
         "extraction_time_ms",
         "error_details",
     )
-    out = r.join(m, r["id"] == m["run_id"], "left").drop("run_id")
+    out = fanout_left_join(r, m)
     if "metadata_json" in r.columns:
         out = out.withColumn(
             "metadata", F.from_json("metadata_json", "map<string,string>")

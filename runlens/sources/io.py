@@ -23,6 +23,7 @@ from ..operators.runs import (
     compare_approaches,
     experiment_summary,
     failure_patterns,
+    fanout_left_join,
     parsing_effectiveness,
 )
 from ..schemas import RUN_RECORD, STANDARDIZED
@@ -189,7 +190,7 @@ def export_runs_table(runs: DataFrame, metrics: DataFrame, experiment_id: str |
         F.col("confidence_score").alias("parsing_confidence_score"),
         F.col("extraction_time_ms").alias("parsing_time_ms"),
     )
-    out = r.join(m, r["id"] == m["run_id"], "left").drop("run_id")
+    out = fanout_left_join(r, m)
     if "metadata_json" in out.columns:
         out = out.drop("metadata_json")
     return out.orderBy("created_at", "id")
@@ -211,7 +212,7 @@ def export_runs_json_lines(runs: DataFrame, metrics: DataFrame, experiment_id: s
     r = runs if experiment_id is None else runs.filter(F.col("experiment_id") == experiment_id)
     m = metrics.select("run_id", "parsing_attempts", "fallback_used",
                        F.col("confidence_score").alias("parsing_confidence_score"))
-    j = r.join(m, r["id"] == m["run_id"], "left").drop("run_id")
+    j = fanout_left_join(r, m)
     if "metadata_json" in j.columns:
         j = j.withColumn("metadata", F.from_json("metadata_json", "map<string,string>")).drop("metadata_json")
     if "raw_output" in j.columns and not include_raw:
