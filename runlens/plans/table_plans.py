@@ -109,7 +109,7 @@ def _q(fx):
 SELECT item_id, text FROM benchmark ORDER BY item_id LIMIT 10
 """)
 def _q(fx):
-    return D.head_n(fx.benchmark, 10, [F.col("item_id")])
+    return D.head_n(fx.benchmark, 10, ["item_id"])
 
 
 def _question_sets(fx):

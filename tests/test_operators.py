@@ -108,3 +108,10 @@ def test_cost_guard_flags(spark, small):
         assert out["r3"].calls_limit_reached and not out["r2"].calls_limit_reached
     finally:
         spark.conf.unset("spark.runlens.smallBytes")
+
+
+def test_head_n_two_phase_with_ties(spark):
+    df = spark.createDataFrame([(i % 5, i) for i in range(50)], "a long, b long")
+    got = [tuple(r) for r in D.head_n(df, 7, ["a", "b"]).collect()]
+    assert got == sorted((i % 5, i) for i in range(50))[:7]
+    assert D.head_n(df.limit(0), 3, ["a"]).count() == 0
