@@ -70,3 +70,20 @@ print("ROWS", mod.queries()["score_table"](spark, {SF_SMALL!r}).count())
 """
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=600)
     assert "ROWS" in out.stdout, out.stderr[-2000:]
+
+
+DISTRIBUTED_KEYS = ["approach_moments", "describe_metrics", "number_samples", "cost_guard", "checkpoint_batches",
+                    "filter_name_like", "runs_with_experiment", "resolve_split", "runs_with_metrics",
+                    "expire_experiments"]
+
+
+def test_distributed_paths_match_oracle(spark, con):
+    """The same queries with every size-gated shortcut off (the paths used
+    past the size bound at scale)."""
+    spark.conf.set("spark.runlens.smallBytes", "0")
+    try:
+        rep = compare(spark, SF_SMALL, set(DISTRIBUTED_KEYS), con=con, verbose=False)
+    finally:
+        spark.conf.unset("spark.runlens.smallBytes")
+    bad = {k: v for k, v in rep.items() if not v["ok"]}
+    assert len(rep) == len(DISTRIBUTED_KEYS) and not bad, bad
