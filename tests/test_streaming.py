@@ -53,3 +53,19 @@ def test_compaction_keeps_current_rows(spark):
     write_delta(spark.createDataFrame([("b", 7), ("c", 9)], "k string, v long"), base, 2)
     got = {r.k: r.v for r in read_merged(spark, base, ["k"]).collect()}
     assert got == {"a": 5, "b": 7, "c": 9}
+
+
+def test_progress_updates_across_batches(spark):
+    base = scratch_path(spark, "prog")
+    schema = "id string, experiment_id string, is_correct boolean, sample_index long"
+    totals = spark.createDataFrame([("e1", 4), ("e2", 2)], "experiment_id string, total_samples long")
+    spark.createDataFrame([("a", "e1", True, 0), ("b", "e1", None, 1)], schema).coalesce(1).write.parquet(f"{base}/src")
+    w = ST.progress_stream(spark, f"{base}/src", schema, totals, f"{base}/out", f"{base}/ckpt", max_files_per_trigger=1)
+    ST.run_available(w)
+    spark.createDataFrame([("c", "e1", False, 2), ("d", "e2", True, 0)], schema).coalesce(1).write.mode("append") \
+        .parquet(f"{base}/src")
+    w = ST.progress_stream(spark, f"{base}/src", schema, totals, f"{base}/out", f"{base}/ckpt", max_files_per_trigger=1)
+    ST.run_available(w)
+    got = {r.experiment_id: (r.results_count, r.errors_count, r.progress_percentage)
+           for r in ST.current_progress(spark, f"{base}/out").collect()}
+    assert got == {"e1": (3, 1, 75.0), "e2": (1, 0, 50.0)}
