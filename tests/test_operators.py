@@ -115,3 +115,13 @@ def test_head_n_two_phase_with_ties(spark):
     got = [tuple(r) for r in D.head_n(df, 7, ["a", "b"]).collect()]
     assert got == sorted((i % 5, i) for i in range(50))[:7]
     assert D.head_n(df.limit(0), 3, ["a"]).count() == 0
+
+
+def test_registry_first_present_column_wins(spark):
+    reg = spark.createDataFrame([("a", "x", "u", "qa", "c")],
+                                "dataset_name string, name string, url string, task_type string, category string")
+    r = R.normalize_registry(reg).first()
+    assert (r.name, r.url, r.description, r.task_type) == ("a", "u", "", "qa")
+    bare = spark.createDataFrame([("z",)], "other string")
+    r = R.normalize_registry(bare).first()
+    assert (r.name, r.url, r.task_type) == ("unknown", "", "unknown")
