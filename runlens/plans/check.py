@@ -153,11 +153,14 @@ def compare(spark, sf_dir: str, keys=None, con=None, verbose=True) -> dict:
 def main(argv=None):
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
+    ap.add_argument("--distributed", action="store_true",
+                    help="force the distributed paths (spark.runlens.smallBytes=0, no automatic broadcast)")
     ap.add_argument("keys", nargs="*")
     a = ap.parse_args(argv)
     from ..session import get_session
 
-    spark = get_session()
+    conf = {"spark.runlens.smallBytes": "0", "spark.sql.autoBroadcastJoinThreshold": "-1"} if a.distributed else {}
+    spark = get_session(**conf)
     rep = compare(spark, a.sf, set(a.keys) or None)
     bad = [k for k, v in rep.items() if not v["ok"]]
     print(f"{len(rep) - len(bad)}/{len(rep)} ok; bad: {bad}")
