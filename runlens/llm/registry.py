@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from runlens.llm import jaccard
+from runlens.llm import epsgrid, jaccard, mih
 
 QUERIES = {
     "op2_jaccard_join": jaccard.op2_jaccard_join,
+    "op4_hamming_topk": mih.op4_hamming_topk,
+    "op10_epsilon_grid": epsgrid.op10_epsilon_grid,
 }
 
 ORACLE_SQL = {
     "op2_jaccard_join": jaccard.OP2_SQL,
+    "op4_hamming_topk": mih.OP4_SQL,
+    "op10_epsilon_grid": epsgrid.OP10_SQL,
 }
