@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from runlens.llm import epsgrid, jaccard, mih
+from runlens.llm import bpe, epsgrid, jaccard, mih, packing
 
 QUERIES = {
+    "op1_chunk_reuse": bpe.op1_chunk_reuse,
     "op2_jaccard_join": jaccard.op2_jaccard_join,
     "op4_hamming_topk": mih.op4_hamming_topk,
+    "op9_best_two_fit": packing.op9_best_two_fit,
     "op10_epsilon_grid": epsgrid.op10_epsilon_grid,
 }
 
