@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from runlens.llm import bpe, epsgrid, jaccard, mih, packing
+from runlens.llm import bpe, epsgrid, jaccard, langid, mih, ngramlm, packing, toxicity
 
 QUERIES = {
     "op1_chunk_reuse": bpe.op1_chunk_reuse,
     "op2_jaccard_join": jaccard.op2_jaccard_join,
+    "op3_bigru": toxicity.op3_bigru,
     "op4_hamming_topk": mih.op4_hamming_topk,
+    "op5_rank_order": langid.op5_rank_order,
+    "op7_elias_fano_lm": ngramlm.op7_elias_fano_lm,
     "op9_best_two_fit": packing.op9_best_two_fit,
     "op10_epsilon_grid": epsgrid.op10_epsilon_grid,
 }
