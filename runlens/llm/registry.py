@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from runlens.llm import bpe, epsgrid, jaccard, langid, mih, ngramlm, packing, toxicity
+from runlens.llm import bpe, epsgrid, jaccard, langid, mih, ngramlm, packing, pii, toxicity
 
 QUERIES = {
     "op1_chunk_reuse": bpe.op1_chunk_reuse,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_hamming_topk": mih.op4_hamming_topk,
     "op5_rank_order": langid.op5_rank_order,
     "op7_elias_fano_lm": ngramlm.op7_elias_fano_lm,
+    "op8_weak_supervision": pii.op8_weak_supervision,
     "op9_best_two_fit": packing.op9_best_two_fit,
     "op10_epsilon_grid": epsgrid.op10_epsilon_grid,
 }
