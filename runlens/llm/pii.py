@@ -167,17 +167,17 @@ def _literal(values: list[float]) -> Column:
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``base`` and ``found`` added: arrays of struct(kind, start, end) ordered by start, then kind as listed.
+    """(row, base, found) of each row of ``docs``: the row itself as a struct, and arrays of
+    struct(kind, start, end) ordered by start, then kind as listed.
 
-    ``found`` holds the base spans and those the classifier adds.  Extra
-    columns pass through (text unchanged); repeated rows are looked at each on its own; an empty table
-    gives no row.
+    ``found`` holds the base spans and those the classifier adds.  Repeated
+    rows are looked at each on its own; an empty table gives no row.
     """
     spark = docs.sparkSession
     prepare(spark)
-    keep = [c for c in docs.columns]
-    # (the original text, null or not, goes along under another name)
-    seen = candidates(docs.withColumns({"text_": F.col("text")}))
+    names = docs.columns
+    # the row goes along whole, so its columns may have any name
+    seen = candidates(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "text"))
     spans = cut_lineage(seen.where("size(base) + size(cand) > 0").select("base", "cand"))
     items = spans.select(F.explode(F.concat(
         F.expr("transform(base, c -> struct(c as c, 1 as strict))"), F.expr("transform(cand, c -> struct(c as c, 0 as strict))"))).alias("i")).select("i.c", "i.strict")
@@ -204,7 +204,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
         f">= {need}), c -> struct({kind} as kind, c.start as start, c.end as end))"))
     out = out.withColumn("base", F.expr("transform(base, c -> struct(c.kind as kind, c.start as start, c.end as end))"))
     out = out.withColumn("found", F.expr(order.format("concat(base, added)"))).withColumn("base", F.expr(order.format("base")))
-    return out.drop("text").withColumnRenamed("text_", "text").select(*keep, "base", "found")
+    return out.select("row", "base", "found")
 
 
 def _joined(column: str) -> Column:
@@ -213,16 +213,16 @@ def _joined(column: str) -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every found span replaced by its kind in angle brackets (overlapping spans by the first one's)."""
-    names = docs.columns
     found = find_pii(docs)
     cut = ("aggregate(found, struct(0 as at, cast(array() as array<string>) as out), (acc, s) -> if(s.start < acc.at, "
            "struct(greatest(acc.at, s.end) as at, acc.out as out), struct(s.end as at, "
-           "concat(acc.out, array(substring(text, acc.at + 1, s.start - acc.at), concat('<', s.kind, '>'))) as out)), "
-           "acc -> concat(array_join(acc.out, ''), substring(text, acc.at + 1)))")
-    return found.withColumn("text", F.when(F.size("found") > 0, F.expr(cut)).otherwise(F.col("text"))).select(*names)
+           "concat(acc.out, array(substring(row.text, acc.at + 1, s.start - acc.at), concat('<', s.kind, '>'))) as out)), "
+           "acc -> concat(array_join(acc.out, ''), substring(row.text, acc.at + 1)))")
+    text = F.when(F.size("found") > 0, F.expr(cut)).otherwise(F.col("row.text")).alias("text")
+    return found.select(*[text if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op8_weak_supervision(spark, sf_dir: str) -> DataFrame:
     out = find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return out.select("doc_id", *[F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as bigint)").alias("n_" + k) for k in KINDS],
+    return out.select("row.doc_id", *[F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as bigint)").alias("n_" + k) for k in KINDS],
                       F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("found").alias("spans"))

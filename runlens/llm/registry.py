@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from runlens.llm import bpe, epsgrid, jaccard, langid, mih, ngramlm, packing, pii, toxicity
+from runlens.llm import bpe, epsgrid, jaccard, langid, mih, ngramlm, packing, pii, toxicity, wrappers
 
 QUERIES = {
     "op1_chunk_reuse": bpe.op1_chunk_reuse,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_bigru": toxicity.op3_bigru,
     "op4_hamming_topk": mih.op4_hamming_topk,
     "op5_rank_order": langid.op5_rank_order,
+    "op6_wrapper_induction": wrappers.op6_wrapper_induction,
     "op7_elias_fano_lm": ngramlm.op7_elias_fano_lm,
     "op8_weak_supervision": pii.op8_weak_supervision,
     "op9_best_two_fit": packing.op9_best_two_fit,
