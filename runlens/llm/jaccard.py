@@ -15,18 +15,23 @@ them:
    passages that many documents share come last).  Each representative's A
    prefix is posted, dealt by token hash; posting lists with two sets or more
    are kept.
-3. A posting list proposes a star (its smallest set against the others), not
-   all its pairs.  Proposed pairs get both sets and must also share a prefix
-   token under the orders B and C (two independent token permutations on top
-   of the sketch's levels) before the sets are intersected.
-4. Sets linked so far share a component.  Whatever a posting list holds
-   from different components is then paired directly and verified, so no
-   link between different components is missed: the result equals the all-pairs join's.
+3. Rounds of stars: a posting list points its sets at one hub (a set of the
+   smallest component that the list holds); each set proposes one pair, with
+   the hub that most of its lists point at.  So a group of near copies costs
+   one pair a set, not the square of its size.  Proposed pairs must pass an
+   exact bound on the overlap from ``BITS``-bit maps of the sets; then they get
+   both sets and must also share a prefix token under the orders B and C (two
+   independent token permutations on top of the sketch's levels) before the
+   sets are intersected.
+4. Sets linked so far share a component.  Whatever a posting list then holds
+   from different components is paired directly, without limit, and verified
+   in the same way, so no link between different components is missed: the
+   components equal the all-pairs join's.
 
 Nulls, empty texts and texts of white space have the empty set: size 0, linked
 with nothing, own component.  Repeated rows of one doc_id are one node.
-Neither documents nor links reach the driver: it gets the sketch (1 MB) and a
-bit filter (4 MB), both of fixed size.  A set signature has 64 bits.
+Neither documents nor links reach the driver: it gets the sketch and a
+bit filter (4 MB each, whatever the input).  A set signature has 64 bits.
 """
 
 from __future__ import annotations
@@ -42,10 +47,11 @@ from runlens.llm.jobs import bit_filter, components, count_blobs, fold_counts, p
 from runlens.llm.textblocks import blocks, mix64, shingles_of, words_of
 from runlens.session import cut_lineage
 
-SKETCH = 1 << 20
+SKETCH = 1 << 22
 SKETCH_BLOCK = 1 << 14
 FILTER_BITS = 1 << 25
-DIRECT = 24  # posting lists of up to so many sets propose all their pairs at once
+BITS = 2048
+STAR_ROUNDS = 2
 
 
 def _signature(tokens: np.ndarray) -> int:
@@ -55,6 +61,12 @@ def _signature(tokens: np.ndarray) -> int:
         return int(mix64(s ^ mix64(np.array([x]), 13), 14).view(np.int64)[0])
 
 
+def _bitmap(tokens: np.ndarray) -> bytes:
+    on = np.zeros(BITS, bool)
+    on[(mix64(tokens, 15) % np.uint64(BITS)).astype(np.int64)] = True
+    return np.packbits(on).tobytes()
+
+
 def prefix_length(n: int, percent: int) -> int:
     """Tokens that a set of ``n`` must show so that every partner shares one of them."""
     return n - (percent * n + 99) // 100 + 1
@@ -63,7 +75,7 @@ def prefix_length(n: int, percent: int) -> int:
 def _ranks(tokens: np.ndarray, level: np.ndarray, order: int) -> np.ndarray:
     """Place of each token in a global order: sketch level first, then a permutation of its own."""
     with np.errstate(over="ignore"):
-        lev = level[(tokens >> np.uint64(40)).astype(np.int64) % SKETCH].astype(np.uint64)
+        lev = level[(tokens >> np.uint64(38)).astype(np.int64) % SKETCH].astype(np.uint64)
         return (lev << np.uint64(56)) | (mix64(tokens, 100 + order) >> np.uint64(8))
 
 
@@ -75,7 +87,7 @@ def prefix(tokens: np.ndarray, level: np.ndarray, order: int, percent: int) -> n
 
 
 def _sets(batch: pa.RecordBatch, k: int):
-    ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+    ids = batch.column("doc_id").to_pylist()
     for b in blocks(batch.column("text")):
         words, first = words_of(b)
         for i in range(len(b)):
@@ -83,20 +95,22 @@ def _sets(batch: pa.RecordBatch, k: int):
 
 
 def set_signatures(docs: DataFrame, k: int) -> DataFrame:
-    """Rows of two kinds: (doc_id, n, sig) of each document; (block, counts) of the tokens' count sketch."""
+    """Rows of two kinds: (doc_id, n, sig) of each document, with its bit map in ``counts`` where the task
+    meets the set first; (block, counts) of the tokens' count sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         counts = np.zeros(SKETCH, np.uint32)
         for batch in batches:
-            ids, sizes, sigs = [], [], []
+            ids, sizes, sigs, maps = [], [], [], []
             for doc, tokens in _sets(batch, k):
                 sig = _signature(tokens)
-                ids.append(doc), sizes.append(len(tokens)), sigs.append(sig)
+                ids.append(doc), sizes.append(len(tokens)), sigs.append(sig), maps.append(None)
                 if sig not in seen:
                     seen.add(sig)
-                    np.add.at(counts, (tokens >> np.uint64(40)).astype(np.int64) % SKETCH, 1)
-            yield _rows(ids, sizes, sigs, [None] * len(ids), [None] * len(ids))
+                    maps[-1] = _bitmap(tokens)
+                    np.add.at(counts, (tokens >> np.uint64(38)).astype(np.int64) % SKETCH, 1)
+            yield _rows(ids, sizes, sigs, [None] * len(ids), maps)
         made = list(count_blobs(counts, SKETCH_BLOCK))
         void = [None] * len(made)
         yield _rows(void, void, void, [m[0] for m in made], [m[1] for m in made])
@@ -166,6 +180,21 @@ def _shared(postings: DataFrame) -> DataFrame:
     return postings.groupBy("part").applyInArrow(run, "token long, sig long, n long")
 
 
+def _within_bound(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """Drop pairs whose bit maps differ in too many bits: overlap <= (na + nb - differing bits) / 2, always."""
+
+    def check(batches):
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("x", "y"))
+            both = (b.column("na").to_numpy() + b.column("nb").to_numpy() - np.bitwise_count(x ^ y).sum(1)) // 2
+            keep = 100 * both >= percent * (b.column("na").to_numpy() + b.column("nb").to_numpy() - both)
+            yield b.select(["a", "b"]).filter(pa.array(keep))
+
+    full = (pairs.join(maps.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("map").alias("x")), "a")
+            .join(maps.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("map").alias("y")), "b"))
+    return full.select("a", "b", "na", "nb", "x", "y").mapInArrow(check, "a long, b long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, level_b, percent: int) -> DataFrame:
     """The pairs that pass every order's prefix filter and then the exact overlap."""
 
@@ -199,24 +228,13 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     first = cut_lineage(set_signatures(docs, k))
     sized = first.where("block is null").select("doc_id", "n", "sig")
-    level_b = sc.broadcast(fold_counts(first.where("block is not null"), SKETCH, SKETCH_BLOCK).tobytes())  # 1 MB, fixed
+    level_b = sc.broadcast(fold_counts(first.where("block is not null"), SKETCH, SKETCH_BLOCK).tobytes())  # SKETCH bytes, fixed
     tokens = sized.agg(F.sum(F.expr(f"n - ceil({percent} * n / 100) + 1"))).first()[0] or 0
-    parts = parts_for(spark, tokens, 1_000_000)
+    parts = parts_for(spark, tokens, 500_000)
     reps = sized.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"))
+    maps = first.where("block is null and counts is not null").groupBy("sig").agg(F.first("n").alias("n"), F.first("counts").alias("map"))
     shared = cut_lineage(_shared(_postings(docs, k, percent, level_b, parts)))
 
-    # stars, and every pair of the short lists; only sizes within the bound can link
-    lists = shared.groupBy("token").agg(F.count("*").alias("m"), F.min(F.struct("sig", "n")).alias("hub"))
-    long_lists = shared.join(lists.where(F.col("m") > DIRECT), "token").select(
-        F.col("hub.sig").alias("a"), F.col("hub.n").alias("na"), F.col("sig").alias("b"), F.col("n").alias("nb"))
-    short = shared.join(lists.where(F.col("m") <= DIRECT).select("token"), "token").groupBy("token").agg(
-        F.sort_array(F.collect_list(F.struct("sig", "n"))).alias("s"))  # at most DIRECT entries
-    direct = short.select(F.explode(F.expr(
-        "flatten(transform(s, (p, i) -> transform(slice(s, i + 2, size(s)), q -> struct(p.sig as a, p.n as na, q.sig as b, q.n as nb))))")).alias("p")
-    ).select("p.*")
-    fits = F.expr(f"a <> b and 100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    pairs = cut_lineage(long_lists.where(fits).select("a", "b").unionByName(direct.where(fits).select("a", "b")).distinct())
-
     def sets_of(wanted: DataFrame) -> DataFrame:
         docs_wanted = wanted.join(reps, "sig").select("rep")
         on_b = sc.broadcast(bit_filter(docs_wanted, "rep", FILTER_BITS).tobytes())  # 4 MB, fixed
@@ -232,31 +250,47 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
         cells = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("cell"))
         return cells.mapInArrow(run, "sig long, tokens binary").join(wanted, "sig", "left_semi").dropDuplicates(["sig"])
 
-    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct())
-    links = cut_lineage(_verified(pairs, sets, level_b, percent))
-
-    def by_rep(edges: DataFrame) -> DataFrame:
+    def linked(pairs: DataFrame) -> DataFrame:
+        near = cut_lineage(_within_bound(pairs, maps, percent))
+        if near.isEmpty():
+            return near.select(F.col("a").alias("u"), F.col("b").alias("v"))
+        sets = sets_of(near.select(F.explode(F.array("a", "b")).alias("sig")).distinct())
         r = reps.select(F.col("sig").alias("a"), F.col("rep").alias("u"))
         s = reps.select(F.col("sig").alias("b"), F.col("rep").alias("v"))
-        return edges.join(r, "a").join(s, "b").select("u", "v")
-
-    edges = by_rep(links)
-    comp = components(edges)
-    # what the stars left: members of one long list that are in different components
-    left = (shared.join(lists.where(F.col("m") > DIRECT).select("token"), "token").join(reps, "sig")
-            .join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
-    mixed = left.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    open_ = cut_lineage(left.join(mixed, "token").select("token", "sig", "n", "component"))
-    if not open_.isEmpty():
-        one, two = (open_.select("token", *[F.col(c).alias(c + s) for c in ("sig", "n", "component")]) for s in ("1", "2"))
-        rest = one.join(two, "token").where(f"sig1 < sig2 and component1 <> component2 and 100 * least(n1, n2) >= {percent} * greatest(n1, n2)")
-        rest = rest.select(F.col("sig1").alias("a"), F.col("sig2").alias("b")).distinct().join(
-            pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-        rest = cut_lineage(rest)
-        if not rest.isEmpty():
-            more = sets_of(rest.select(F.explode(F.array("a", "b")).alias("sig")).distinct())
-            edges = edges.unionByName(by_rep(_verified(rest, more, level_b, percent)))
-            comp = components(edges)
+        return cut_lineage(_verified(near, sets, level_b, percent).join(r, "a").join(s, "b").select("u", "v"))
+
+    members = cut_lineage(shared.join(reps, "sig"))
+    edges = spark.createDataFrame([], "u long, v long")
+    comp = spark.createDataFrame([], "node long, component long")
+    tried = spark.createDataFrame([], "a long, b long")
+    fits = f"100 * least(n, hn) >= {percent} * greatest(n, hn)"
+
+    def mixed() -> DataFrame:
+        """Members of the lists that hold more than one component, with their component and their list's hub."""
+        now = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        hubs = now.groupBy("token").agg(F.min(F.struct("component", "sig", "n")).alias("hub"), F.max("component").alias("hi")).where("hub.component <> hi")
+        return now.join(hubs, "token").select("token", "sig", "n", "component", F.col("hub.sig").alias("hsig"), F.col("hub.n").alias("hn"), F.col("hub.component").alias("hc"))
+
+    def fresh(pairs: DataFrame) -> DataFrame:
+        return cut_lineage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+
+    for _ in range(STAR_ROUNDS):
+        votes = mixed().where(f"component <> hc and {fits}").groupBy("sig", "hsig").agg(F.count("*").alias("votes"))
+        picks = votes.groupBy("sig").agg(F.max(F.struct("votes", "hsig")).alias("best")).select(F.col("sig").alias("a"), F.col("best.hsig").alias("b"))
+        picks = fresh(picks)
+        if picks.isEmpty():
+            break
+        tried = tried.unionByName(picks)
+        edges = edges.unionByName(linked(picks))
+        comp = components(edges)
+    rest = mixed().select("token", "sig", "n", "component")
+    one, two = (rest.select("token", *[F.col(c).alias(c + s) for c in ("sig", "n", "component")]) for s in ("1", "2"))
+    rest = fresh(one.join(two, "token").where(
+        f"sig1 < sig2 and component1 <> component2 and 100 * least(n1, n2) >= {percent} * greatest(n1, n2)").select(
+        F.col("sig1").alias("a"), F.col("sig2").alias("b")))
+    if not rest.isEmpty():
+        edges = edges.unionByName(linked(rest))
+        comp = components(edges)
 
     named = reps.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("component"))
     return (sized.join(named, "sig", "left")

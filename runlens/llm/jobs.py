@@ -30,7 +30,7 @@ def parts_for(spark: SparkSession, rows: float, rows_per_part: int) -> int:
 
 
 def fold_counts(blobs: DataFrame, width: int, block: int) -> np.ndarray:
-    """Add up fixed-size count vectors cut into blocks (columns ``block`` int, ``counts`` zlib'd uint32).
+    """Add up fixed-size count vectors cut into blocks (columns ``block`` int, ``counts`` zlib'd bytes, capped at 255 a task).
 
     Each block is folded on the executors; the driver receives one byte per
     cell (8 * log2(1 + count), capped at 255), ``width`` bytes whatever the input.
@@ -40,7 +40,7 @@ def fold_counts(blobs: DataFrame, width: int, block: int) -> np.ndarray:
         total = np.zeros(block, np.uint64)
         for pdf in groups:
             for b in pdf["counts"]:
-                total += np.frombuffer(zlib.decompress(b), np.uint32)
+                total += np.frombuffer(zlib.decompress(b), np.uint8)
         level = np.minimum(255, np.rint(8 * np.log2(1 + total.astype(np.float64)))).astype(np.uint8)
         yield pd.DataFrame({"block": [key[0]], "level": [level.tobytes()]})
 
@@ -63,7 +63,7 @@ def count_blobs(counts: np.ndarray, block: int):
     for i in range(0, len(counts), block):
         part = counts[i : i + block]
         if part.any():
-            yield i // block, zlib.compress(part.astype(np.uint32).tobytes(), 1)
+            yield i // block, zlib.compress(np.minimum(part, 255).astype(np.uint8).tobytes(), 1)
 
 
 def bit_filter(keys: DataFrame, column: str, bits: int) -> np.ndarray:
