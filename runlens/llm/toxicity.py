@@ -34,7 +34,7 @@ from runlens.llm.textblocks import Block, blocks, crc32_mod, mix64
 WINDOW, STRIDE = 48, 40
 HIDDEN, WORD_DIM, CHAR_DIM = 6, 6, 4
 WORD_ROWS, CHAR_ROWS = 1 << 15, 1 << 12
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1500, 2500, 20_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1000, 1500, 8_000
 EPOCHS, BATCH, RATE = 4, 128, 0.01
 THRESHOLD = 0.7
 
