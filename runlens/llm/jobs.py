@@ -13,10 +13,22 @@ from pyspark.sql import functions as F
 from runlens.session import cut_lineage, ensure_checkpoint_dir, ship_package
 
 
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+
 def prepare(spark: SparkSession) -> None:
-    """Checkpoint folder from the session, package on every executor."""
+    """Checkpoint folder from the session, package on every executor, Arrow batches of bounded size.
+
+    A batch holds whole texts, so batches of the default 10,000 rows can be
+    large; a session's own smaller settings stay.
+    """
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key)
+        size = int(now.rstrip("bB"))
+        if size <= 0 or size > most:
+            spark.conf.set(key, most)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
