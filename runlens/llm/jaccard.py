@@ -24,8 +24,8 @@ them:
    independent token permutations on top of the sketch's levels) before the
    sets are intersected.
 4. Sets linked so far share a component.  Whatever a posting list then holds
-   from different components is paired directly, without limit, and verified
-   in the same way, so no link between different components is missed: the
+   from different components is paired directly, without limit (in blocks; only
+   pairs within the bound leave a task), and verified in the same way, so no link between different components is missed: the
    components equal the all-pairs join's.
 
 Nulls, empty texts and texts of white space have the empty set: size 0, linked
@@ -51,7 +51,8 @@ SKETCH = 1 << 22
 SKETCH_BLOCK = 1 << 14
 FILTER_BITS = 1 << 25
 BITS = 2048
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
+LIST_ROWS = 4096  # longer posting lists are compared block against block
 
 
 def _signature(tokens: np.ndarray) -> int:
@@ -195,6 +196,40 @@ def _within_bound(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     return full.select("a", "b", "na", "nb", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def _crossing(rest: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """(a, b) pairs of one list and different components that pass the size and bit-map bounds.
+
+    Lists with the same members are compared once.  A group holds two blocks
+    of one list, so its memory is bounded however long the list is, and only
+    pairs that pass leave it.
+    """
+    lists = rest.groupBy("token").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("sig")).alias("h1"), F.bit_xor(F.xxhash64("sig", F.lit(1))).alias("h2"))
+    once = lists.groupBy("m", "h1", "h2").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("m") / LIST_ROWS).cast("int").alias("nb"))
+    rows = rest.select("token", "sig", "component").join(once, "token").join(maps, "sig").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("nb")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
+        "token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sig", "n", "component", "map")
+
+    def cross(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        sig, n, comp, own = (t.column(c).to_numpy() for c in ("sig", "n", "component", "own"))
+        bits = np.frombuffer(b"".join(t.column("map").to_pylist()), np.uint64).reshape(len(sig), -1)
+        two_blocks = key[1].as_py() != key[2].as_py()
+        for at in range(0, len(sig), 64):
+            x = slice(at, at + 64)
+            ok = (comp[x, None] != comp) & (sig[x, None] < sig) & (100 * np.minimum(n[x, None], n) >= percent * np.maximum(n[x, None], n))
+            if two_blocks:
+                ok &= own[x, None] != own
+            i, j = np.nonzero(ok)
+            i += at
+            for lo in range(0, len(i), 1 << 16):
+                p, q = i[lo : lo + (1 << 16)], j[lo : lo + (1 << 16)]
+                both = (n[p] + n[q] - np.bitwise_count(bits[p] ^ bits[q]).sum(1)) // 2
+                keep = 100 * both >= percent * (n[p] + n[q] - both)
+                yield pa.RecordBatch.from_arrays([pa.array(sig[p[keep]]), pa.array(sig[q[keep]])], ["a", "b"])
+
+    return rows.groupBy("token", "i", "j").applyInArrow(cross, "a long, b long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, level_b, percent: int) -> DataFrame:
     """The pairs that pass every order's prefix filter and then the exact overlap."""
 
@@ -283,11 +318,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
         tried = tried.unionByName(picks)
         edges = edges.unionByName(linked(picks))
         comp = components(edges)
-    rest = mixed().select("token", "sig", "n", "component")
-    one, two = (rest.select("token", *[F.col(c).alias(c + s) for c in ("sig", "n", "component")]) for s in ("1", "2"))
-    rest = fresh(one.join(two, "token").where(
-        f"sig1 < sig2 and component1 <> component2 and 100 * least(n1, n2) >= {percent} * greatest(n1, n2)").select(
-        F.col("sig1").alias("a"), F.col("sig2").alias("b")))
+    rest = fresh(_crossing(cut_lineage(mixed().select("token", "sig", "component")), maps, percent))
     if not rest.isEmpty():
         edges = edges.unionByName(linked(rest))
         comp = components(edges)

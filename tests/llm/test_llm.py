@@ -107,6 +107,13 @@ def test_jaccard_join_matches_all_pairs(odd_docs):
     assert Counter(tuple(r) for r in got) == _jaccard(rows)
 
 
+def test_jaccard_join_without_stars_in_small_blocks(odd_docs, monkeypatch):
+    monkeypatch.setattr(jaccard, "STAR_ROUNDS", 0)
+    monkeypatch.setattr(jaccard, "LIST_ROWS", 2)
+    some = odd_docs.where("doc_id is not null")
+    assert Counter(tuple(r) for r in jaccard.jaccard_join(some).collect()) == _jaccard([(r.doc_id, r.text) for r in some.collect()])
+
+
 def test_jaccard_join_empty_and_null_ids(spark, odd_docs):
     assert jaccard.jaccard_join(odd_docs.limit(0)).count() == 0
     one = jaccard.jaccard_join(odd_docs.where("doc_id is null")).collect()
