@@ -51,7 +51,7 @@ SKETCH = 1 << 22
 SKETCH_BLOCK = 1 << 14
 FILTER_BITS = 1 << 25
 BITS = 2048
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 LIST_ROWS = 4096  # longer posting lists are compared block against block
 
 
@@ -295,11 +295,14 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
         return cut_lineage(_verified(near, sets, level_b, percent).join(r, "a").join(s, "b").select("u", "v"))
 
     members = cut_lineage(shared.join(reps, "sig"))
-    edges = spark.createDataFrame([], "u long, v long")
     comp = spark.createDataFrame([], "node long, component long")
     tried = spark.createDataFrame([], "a long, b long")
     fits = f"100 * least(n, hn) >= {percent} * greatest(n, hn)"
 
+    def merged(new: DataFrame) -> DataFrame:
+        """Components after more links: those so far stand for all links they came from."""
+        return components(new.unionByName(comp.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+
     def mixed() -> DataFrame:
         """Members of the lists that hold more than one component, with their component and their list's hub."""
         now = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -316,12 +319,10 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
         if picks.isEmpty():
             break
         tried = tried.unionByName(picks)
-        edges = edges.unionByName(linked(picks))
-        comp = components(edges)
+        comp = merged(linked(picks))
     rest = fresh(_crossing(cut_lineage(mixed().select("token", "sig", "component")), maps, percent))
     if not rest.isEmpty():
-        edges = edges.unionByName(linked(rest))
-        comp = components(edges)
+        comp = merged(linked(rest))
 
     named = reps.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("component"))
     return (sized.join(named, "sig", "left")

@@ -110,6 +110,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     logarithm of the graph's size and the loop ends at the fixed point.
     """
     e = cut_lineage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    parts = e.count() // 500_000 + 1  # a round never has more edges than this one
     before = None
     for _ in range(max_rounds):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -120,7 +121,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
              .select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("m").alias("v")),
                                        F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
              .where("u <> v").distinct())
-        e = cut_lineage(e)
+        e = cut_lineage(e.coalesce(parts))
         now = e.agg(F.count("*"), F.sum("u"), F.sum("v"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
             break
