@@ -75,16 +75,8 @@ def cycle_to_n(df: DataFrame, n: int, order_col: str, id_prefix: str) -> DataFra
 def head_n(df: DataFrame, n: int, order: list) -> DataFrame:
     """First ``n`` rows by ``order`` (ascending column names or Columns).
 
-    With a leading column name, the n-th smallest value of that column is found
-    first from that column alone; only rows up to it (a filter Parquet pushes
-    to row-group statistics) go into the final top-n, so a wide table is not
-    read whole.  Otherwise a plain per-partition top-n and one merge."""
-    if order and isinstance(order[0], str):
-        first = order[0]
-        bound = df.select(first).orderBy(first).limit(n).agg(F.max(first).alias("b")).first()["b"]
-        if bound is None:
-            return df.limit(0)
-        return df.filter(F.col(first) <= F.lit(bound)).orderBy(*order).limit(n)
+    A per-partition top-n and one merge; rows with NULL keys come first, as
+    in any ascending order."""
     return df.orderBy(*order).limit(n)
 
 

@@ -39,8 +39,10 @@ def filter_approaches(runs: DataFrame, approaches: Iterable[str] | None = None)
 
 
 def filter_name_like(runs: DataFrame, experiments: DataFrame, fragment: str) -> DataFrame:
-    """Runs whose experiment name contains ``fragment`` (``LIKE '%x%'``), with the name."""
-    exps = experiments.filter(F.col("name").contains(fragment)).select(
+    """Runs whose experiment name contains ``fragment`` (``LIKE '%x%'``, ASCII case ignored), with the name."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    folded = [F.translate(c, upper, upper.lower()) for c in (F.col("name"), F.lit(fragment))]
+    exps = experiments.filter(folded[0].contains(folded[1])).select(
         F.col("id").alias("experiment_id"), F.col("name").alias("experiment_name")
     )
     return runs.join(maybe_broadcast(exps), "experiment_id", "inner")

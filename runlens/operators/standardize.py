@@ -399,7 +399,7 @@ def standardize_batch(datasets: dict[str, tuple[DataFrame, str | None]], languag
                             int(v["original_samples"]), int(v["transformed_samples"]), bool(v["validation_passed"]),
                             "; ".join(v["issues"]) or None))
         except Exception as e:  # one failure does not stop the batch
-            records.append((name, "failed", None, None, None, None, f"{type(e).__name__}: {str(e)[:200]}"))
+            records.append((name, "failed", None, None, None, None, f"{type(e).__name__}: {e}"))
     return spark.createDataFrame(
         records,
         "dataset_name string, status string, confidence double, original_samples long, "

@@ -30,7 +30,7 @@ def _q(fx):
 @query("filter_name_like", ["runs_v", "experiments_v"], section="2.2", oracle="""
 SELECT r.*, e.name AS experiment_name
 FROM runs_v r JOIN experiments_v e ON r.experiment_id = e.id
-WHERE e.name LIKE '%BBEH%'
+WHERE e.name ILIKE '%BBEH%'
 """)
 def _q(fx):
     return R.filter_name_like(fx.runs_v, fx.experiments_v, "BBEH")
@@ -465,7 +465,7 @@ def _q(fx):
 SELECT approach_name, round(avg(CAST(is_correct AS DOUBLE)), 3) AS accuracy,
        round(avg(execution_time_ms), 1) AS avg_time_ms, count(*) AS sample_count
 FROM runs_v r JOIN experiments_v e ON r.experiment_id = e.id
-WHERE e.name LIKE '%BBEH%' GROUP BY approach_name ORDER BY accuracy DESC
+WHERE e.name ILIKE '%BBEH%' GROUP BY approach_name ORDER BY accuracy DESC
 """)
 def _q(fx):
     return R.approach_ranking_rounded(R.filter_name_like(fx.runs_v, fx.experiments_v, "BBEH"))
@@ -477,7 +477,7 @@ SELECT approach_name, round(avg(CAST(is_correct AS DOUBLE)), 3) AS accuracy,
        round(avg(execution_time_ms) / 1000.0, 1) AS avg_seconds,
        round(avg(CAST(is_correct AS DOUBLE)) / nullif(avg(cost_estimate), 0), 2) AS accuracy_per_dollar
 FROM runs_v r JOIN experiments_v e ON r.experiment_id = e.id
-WHERE e.name LIKE '%BBEH%' AND approach_name <> 'None'
+WHERE e.name ILIKE '%BBEH%' AND approach_name <> 'None'
 GROUP BY approach_name ORDER BY accuracy_per_dollar DESC
 """)
 def _q(fx):

@@ -125,3 +125,19 @@ def test_registry_first_present_column_wins(spark):
     bare = spark.createDataFrame([("z",)], "other string")
     r = R.normalize_registry(bare).first()
     assert (r.name, r.url, r.task_type) == ("unknown", "", "unknown")
+
+
+def test_head_n_keeps_null_keys(spark):
+    from runlens.operators.datasets import head_n
+
+    df = spark.createDataFrame([(None,), (None,), (1,), (2,), (3,)], "k int")
+    for order in (["k"], [df.k]):
+        assert [r.k for r in head_n(df, 3, order).collect()] == [None, None, 1]
+
+
+def test_filter_name_like_ignores_ascii_case(spark):
+    from runlens.operators.runs import filter_name_like
+
+    runs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id int, experiment_id string")
+    names = spark.createDataFrame([("a", "my bBeH run"), ("b", "BBEH"), ("c", "BB-EH")], "id string, name string")
+    assert sorted(r.id for r in filter_name_like(runs, names, "Bbeh").collect()) == [1, 2]
