@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Sides whose size bound is at most this many bytes may be broadcast, and
-# inputs this small may take the single-task paths (plain windows, percentile).
-# A session can change it with spark.runlens.smallBytes (0 forces the
-# distributed paths everywhere).
+# Sides whose size bound is at most this many bytes may be broadcast.  A session
+# can change it with spark.runlens.smallBytes (0: no broadcast hints).
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
 
@@ -106,7 +104,6 @@ def running_sums(
     values: dict[str, Column],
     include_current: bool = False,
     num_partitions: int | None = None,
-    small_bytes_limit: int | None = None,
 ) -> DataFrame:
     """Running sums of ``values`` per ``part`` group in ``order``, spread over
     many tasks even when one group holds most rows.
@@ -117,24 +114,13 @@ def running_sums(
     offsets from a window over the slices of a group; the running sum inside a
     slice is a window bounded by the task's size.  The sorted data is
     checkpointed (shared checkpoint dir) so slice ids stay fixed on retries.
-    Inputs whose planned size bound is at most ``small_bytes_limit`` (default:
-    the session's ``spark.runlens.smallBytes``) use a plain window per group
-    (same result).
+    Inputs of every size take this one path.
     """
     from pyspark.sql import Window
 
     from ..session import cut_lineage
 
     end = 0 if include_current else -1
-    limit = small_bytes(df.sparkSession) if small_bytes_limit is None else small_bytes_limit
-    if size_bound(df) <= limit:
-        # the whole input is small (planned size bound): a plain window per group
-        w = (Window.partitionBy(*part) if part else Window.partitionBy()).orderBy(*order)
-        w = w.rowsBetween(Window.unboundedPreceding, end)
-        out = df
-        for k, v in values.items():
-            out = out.withColumn(k, F.coalesce(F.sum(v).over(w), F.lit(0)))
-        return out
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = df
@@ -152,37 +138,35 @@ def running_sums(
     return j.drop("_pid", *[f"_v_{k}" for k in values], *[f"_o_{k}" for k in values])
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float],
-                    small_bytes_limit: int | None = None) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float]) -> DataFrame:
     """Exact quantiles (linear interpolation between order statistics, as
     pandas and ``quantile_cont``) of ``value`` per ``keys`` group.
 
-    Inputs whose planned size bound is at most ``small_bytes_limit`` (default:
-    the session's ``spark.runlens.smallBytes``) use Spark's
-    exact ``percentile`` aggregate.  Larger inputs never hold a group in one
-    task: values get their rank within the group from ``running_sums``
-    (range-sliced), only the ranks the quantiles need are kept, and a small
-    aggregate interpolates.  Both give the same values; NULLs are ignored."""
+    No task holds a group: equal values are counted first (partial
+    aggregation, so a value that most rows share is one row), the distinct
+    values get the ranks they cover from ``running_sums`` (range-sliced), only
+    those a quantile needs are kept, and a small aggregate interpolates.  NULLs
+    are ignored; a group without values has no row, except that without
+    ``keys`` there is always one row."""
+    keys = list(keys)
     v = df.select(*keys, F.col(value).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
-    limit = small_bytes(df.sparkSession) if small_bytes_limit is None else small_bytes_limit
-    if size_bound(v) <= limit:
-        g = v.groupBy(*keys) if keys else v.groupBy()
-        return g.agg(*[F.percentile(F.col("_x"), F.lit(float(q))).alias(name) for name, q in qs.items()])
-    ranked = running_sums(v, list(keys), [F.col("_x")], {"_r": F.lit(1).cast("long")}, small_bytes_limit=limit)
-    if keys:
-        counts = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        j = ranked.join(counts, list(keys))
-    else:  # one group: its size is a single number
-        j = ranked.withColumn("_n", F.lit(v.count()).cast("long"))
+    c = v.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c")).withColumn("_g", F.struct(F.lit(0), *keys))
+    ranked = running_sums(c, ["_g"], [F.col("_x")], {"_r": F.col("_c")})
+    sizes = ranked.groupBy("_g").agg(F.sum("_c").alias("_n"))
+    # one row a group; without keys that is a single row
+    j = ranked.join(maybe_broadcast(sizes) if keys else F.broadcast(sizes), "_g")
     pos = {name: (F.col("_n") - 1) * F.lit(float(q)) for name, q in qs.items()}
+
+    def covers(rank: Column) -> Column:
+        return (F.col("_r") <= rank) & (rank < F.col("_r") + F.col("_c"))
+
     wanted = F.lit(False)
     for p in pos.values():
-        wanted = wanted | (F.col("_r") == F.floor(p)) | (F.col("_r") == F.ceil(p))
-    picked = j.filter(wanted)
+        wanted = wanted | covers(F.floor(p)) | covers(F.ceil(p))
     aggs = []
     for name, p in pos.items():
-        lo = F.max(F.when(F.col("_r") == F.floor(p), F.col("_x")))
-        hi = F.max(F.when(F.col("_r") == F.ceil(p), F.col("_x")))
+        lo = F.max(F.when(covers(F.floor(p)), F.col("_x")))
+        hi = F.max(F.when(covers(F.ceil(p)), F.col("_x")))
         frac = F.max(p - F.floor(p))
         aggs.append((lo + (hi - lo) * frac).alias(name))
-    return picked.groupBy(*keys).agg(*aggs)
+    return j.filter(wanted).groupBy(*keys).agg(*aggs)

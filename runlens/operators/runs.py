@@ -172,33 +172,24 @@ def _weighted(runs: DataFrame, metrics: DataFrame) -> DataFrame:
     )
 
 
-# a run with more metric rows than this is "hot": its rows are joined apart
-HOT_RUN_ROWS = 1_000_000
-
-
-def fanout_left_join(runs: DataFrame, m: DataFrame, hot_rows: int = HOT_RUN_ROWS) -> DataFrame:
+def fanout_left_join(runs: DataFrame, m: DataFrame) -> DataFrame:
     """``runs LEFT JOIN m ON runs.id = m.run_id`` that survives a run holding a
     large share of the metric rows.
 
-    A left outer join can only split skew on its left side, so runs whose
-    metric count exceeds ``hot_rows`` are joined separately: their metric rows
-    stay spread over the tasks and meet a broadcast of those few run rows.
-    The number of hot runs is at most (metric rows / hot_rows), which bounds
-    the broadcasts.  Everything else is an ordinary shuffle join."""
-    hot = m.groupBy("run_id").agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") > hot_rows).select(
-        F.col("run_id").alias("_hid"))
-    hot_b = F.broadcast(hot)
-    cold_runs = runs.join(hot_b, runs["id"] == hot_b["_hid"], "left_anti")
-    cold = cold_runs.join(m, cold_runs["id"] == m["run_id"], "left").drop("run_id")
-    hot_runs = runs.join(hot_b, runs["id"] == hot_b["_hid"], "left_semi")
-    hot_m = m.join(hot_b, m["run_id"] == hot_b["_hid"], "left_semi")
-    hot_part = hot_m.join(F.broadcast(hot_runs), hot_m["run_id"] == hot_runs["id"], "inner").drop("run_id")
-    return cold.unionByName(hot_part.select(*cold.columns))
-
-
-def runs_with_metrics(runs: DataFrame, metrics: DataFrame, hot_rows: int = HOT_RUN_ROWS) -> DataFrame:
-    """Left outer equi-join runs.id = metrics.run_id; fans out like the reference."""
-    m = metrics.select(
+    A left outer join can only split skew on its left side, so the matches are
+    an inner join (AQE splits a skewed partition of either side) and the runs
+    without a match an anti join against the distinct run ids, with NULL metric
+    columns."""
+    matched = m.join(runs, m["run_id"] == runs["id"], "inner").drop("run_id")
+    ids = m.select(F.col("run_id").alias("_mid")).distinct()
+    alone = runs.join(ids, runs["id"] == ids["_mid"], "left_anti")
+    nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in m.schema if f.name != "run_id"]
+    out = [*runs.columns, *[c for c in m.columns if c != "run_id"]]
+    return matched.select(*out).unionByName(alone.select(*runs.columns, *nulls))
+
+
+def _metric_columns(metrics: DataFrame) -> DataFrame:
+    return metrics.select(
         F.col("run_id"),
         "parsing_attempts",
         "fallback_used",
@@ -206,7 +197,11 @@ def runs_with_metrics(runs: DataFrame, metrics: DataFrame, hot_rows: int = HOT_R
         F.col("extraction_time_ms").alias("parsing_time_ms"),
         "error_details",
     )
-    return fanout_left_join(runs, m, hot_rows)
+
+
+def runs_with_metrics(runs: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Left outer equi-join runs.id = metrics.run_id; fans out like the reference."""
+    return fanout_left_join(runs, _metric_columns(metrics))
 
 
 def latest_metric_per_run(metrics: DataFrame) -> DataFrame:
@@ -217,8 +212,10 @@ def latest_metric_per_run(metrics: DataFrame) -> DataFrame:
 
 
 def runs_latest_metrics(runs: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Same as ``runs_with_metrics`` but with one (latest) metric row per run."""
-    return runs_with_metrics(runs, latest_metric_per_run(metrics))
+    """Same as ``runs_with_metrics`` but with one (latest) metric row per run,
+    so a plain left join cannot fan out."""
+    m = _metric_columns(latest_metric_per_run(metrics))
+    return runs.join(m, runs["id"] == m["run_id"], "left").drop("run_id")
 
 
 def experiment_lineage(links: DataFrame, preprocessing: DataFrame, experiment_id: str | None = None) -> DataFrame:

@@ -62,9 +62,14 @@ def score_table(grid: DataFrame, fn: Callable[[str], str], prompt_col: str = "pr
 
 
 def split_results(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(results, errors) of a scored grid."""
+    """(results, errors) of a scored grid.  The scored rows are checkpointed
+    into the shared checkpoint dir first, so both parts, however often they are
+    read, come from one call of the caller's function per row."""
     from pyspark.sql import functions as F
 
+    from ..session import cut_lineage
+
+    scored = cut_lineage(scored)
     return scored.filter(F.col("error").isNull()), scored.filter(F.col("error").isNotNull())
 
 
@@ -77,11 +82,13 @@ def evaluate_grid(samples: DataFrame, approaches: list[str], fn: Callable[[str],
     from pyspark.sql import functions as F
 
     from ..functions.extract import extract_answer, is_correct_strict, render_prompts
+    from ..session import cut_lineage
     from .runs import sample_approach_grid
 
     grid = sample_approach_grid(samples.select(id_col, question_col, expected_col), approaches)
     prompts = render_prompts(grid, question_col=question_col)
-    scored = score_table(prompts, fn, keep=[id_col, "approach", question_col, expected_col, "prompt"])
+    # checkpointed: reading the result twice must not call the function again
+    scored = cut_lineage(score_table(prompts, fn, keep=[id_col, "approach", question_col, expected_col, "prompt"]))
     ex = extract_answer(scored.withColumn("_raw", F.coalesce(F.col("answer"), F.lit(""))), text_col="_raw")
     return ex.select(
         id_col,

@@ -4,9 +4,7 @@ Input is the approach-metrics table: one row per (experiment, approach) with
 sample_count, correct_samples, error_samples, avg_response_time,
 avg_tokens_used, total_cost.  All statistics are aggregates grouped by
 approach (plus optional ``keys``), so they are distributed group-bys whose
-output has one row per approach.  The Student-t tail is a JVM expression
-(finite series for integer degrees of freedom); ``t_two_sided_p`` is an
-independent numpy version (incomplete beta) used to check it.
+output has one row per approach.  The Student-t tail is a JVM expression.
 """
 
 from __future__ import annotations
@@ -63,102 +61,55 @@ def efficiency_stats(am: DataFrame, keys: Iterable[str] = ()) -> DataFrame:
 # ----------------------------------------------------------------------------- Student t tail
 
 
-def _betacf(a: np.ndarray, b: np.ndarray, x: np.ndarray, iters: int = 300) -> np.ndarray:
-    """Continued fraction for the regularized incomplete beta (modified Lentz)."""
-    tiny = 1e-300
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c = np.ones_like(x)
-    d = 1.0 - qab * x / qap
-    d = np.where(np.abs(d) < tiny, tiny, d)
-    d = 1.0 / d
-    h = d.copy()
-    for m in range(1, iters + 1):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = np.where(np.abs(d) < tiny, tiny, d)
-        c = 1.0 + aa / c
-        c = np.where(np.abs(c) < tiny, tiny, c)
-        d = 1.0 / d
-        h = h * d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = np.where(np.abs(d) < tiny, tiny, d)
-        c = 1.0 + aa / c
-        c = np.where(np.abs(c) < tiny, tiny, c)
-        d = 1.0 / d
-        delta = d * c
-        h = h * delta
-        if np.all(np.abs(delta - 1.0) < 3e-16):
-            break
-    return h
-
-
-def betainc_reg(a, b, x) -> np.ndarray:
-    """Regularized incomplete beta I_x(a, b) for arrays."""
-    from math import lgamma
-
-    a = np.asarray(a, dtype=float)
-    b = np.asarray(b, dtype=float)
-    x = np.asarray(x, dtype=float)
-    out = np.full(np.broadcast(a, b, x).shape, np.nan)
-    a, b, x = np.broadcast_arrays(a, b, x)
-    ok = np.isfinite(a) & np.isfinite(b) & np.isfinite(x) & (a > 0) & (b > 0) & (x >= 0) & (x <= 1)
-    out[ok & (x == 0)] = 0.0
-    out[ok & (x == 1)] = 1.0
-    mid = ok & (x > 0) & (x < 1)
-    if mid.any():
-        am, bm, xm = a[mid], b[mid], x[mid]
-        lg = np.array([lgamma(p + q) - lgamma(p) - lgamma(q) for p, q in zip(am, bm)])
-        front = np.exp(lg + am * np.log(xm) + bm * np.log1p(-xm))
-        direct = xm < (am + 1.0) / (am + bm + 2.0)
-        res = np.empty_like(xm)
-        if direct.any():
-            res[direct] = front[direct] * _betacf(am[direct], bm[direct], xm[direct]) / am[direct]
-        flip = ~direct
-        if flip.any():
-            res[flip] = 1.0 - front[flip] * _betacf(bm[flip], am[flip], 1.0 - xm[flip]) / bm[flip]
-        out[mid] = res
-    return out
-
-
-def t_two_sided_p(t, df) -> np.ndarray:
-    """Two-sided p of Student's t: I_{df/(df+t^2)}(df/2, 1/2)."""
-    t = np.asarray(t, dtype=float)
-    df = np.asarray(df, dtype=float)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        x = df / (df + t * t)
-    p = betainc_reg(df / 2.0, 0.5, x)
-    p = np.where(np.isinf(t) & (df > 0), 0.0, p)
-    return p
-
-
 def t_pvalue(t, df) -> Column:
-    """Two-sided p of Student's t for integer degrees of freedom, as a JVM
-    expression (no Python): p = 1 - A(t | df) with the finite series of
-    Abramowitz & Stegun 26.7.3 / 26.7.4 over theta = atan(|t| / sqrt(df)),
-    summed by the ``aggregate`` higher-order function."""
+    """Two-sided p of Student's t as a JVM expression (no Python) of constant
+    size: p = I_x(df/2, 1/2), x = df / (df + t^2).
+
+    The incomplete beta is its continued fraction, ``TAIL_STEPS`` steps
+    summed by the ``aggregate`` higher-order function; where it converges
+    slowly (t^2 small against df) the complement is used.  With b = 1/2 the
+    number of steps needed does not grow with df."""
     t = F.col(t) if isinstance(t, str) else t
-    nu = (F.col(df) if isinstance(df, str) else df).cast("long")
-    theta = F.atan(F.abs(t) / F.sqrt(nu.cast("double")))
-    c2 = F.pow(F.cos(theta), 2)
-    even = nu % 2 == 0
-    k_max = F.when(even, nu / 2 - 1).otherwise((nu - 3) / 2).cast("int")
-    ks = F.when(k_max >= 1, F.sequence(F.lit(1), k_max)).otherwise(F.array().cast("array<int>"))
-
-    def step(acc, k):
-        kd = k.cast("double")
-        ratio = F.when(even, (2 * kd - 1) / (2 * kd)).otherwise((2 * kd) / (2 * kd + 1))
-        term = acc["term"] * ratio * c2
-        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
-
-    series = F.aggregate(ks, F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total")), step, lambda a: a["total"])
-    a_even = F.sin(theta) * series
-    a_odd = F.when(nu == 1, 2 * theta / np.pi).otherwise(
-        (2 / np.pi) * (theta + F.sin(theta) * F.cos(theta) * series)
-    )
-    a = F.when(even, a_even).otherwise(a_odd)
-    return F.when((nu >= 1) & t.isNotNull() & ~F.isnan(t), F.lit(1.0) - a)
+    nu = (F.col(df) if isinstance(df, str) else df).cast("double")
+    t2 = t * t
+    half = F.lit(0.5)
+    a = nu * half
+    x, y = nu / (nu + t2), t2 / (nu + t2)
+    direct = x < (a + 1.0) / (a + 2.5)
+    front = F.exp(-a * F.log1p(t2 / nu)) * F.sqrt(y) * _gamma_ratio(a) / np.sqrt(np.pi)
+    p_, q_, z_ = (F.when(direct, u).otherwise(v) for u, v in ((a, half), (half, a), (x, y)))
+    part = front * _beta_fraction(p_, q_, z_) / p_
+    p = F.when(direct, part).otherwise(1.0 - part)
+    return F.when((nu >= 1) & t.isNotNull() & ~F.isnan(t), F.when(t2 == 0, F.lit(1.0)).when(F.abs(t) == float("inf"), F.lit(0.0)).otherwise(p))
+
+
+TAIL_STEPS = 300
+GAMMA_SHIFT = 32
+
+
+def _gamma_ratio(a: Column) -> Column:
+    """gamma(a + 1/2) / gamma(a): the recurrence lifts a by ``GAMMA_SHIFT``, where the asymptotic series is exact to a double."""
+    z = 1.0 / (a + float(GAMMA_SHIFT))
+    series = F.lit(0.0)
+    # coefficients of the series in 1/z, from the highest power down
+    for c in (869 / 4194304, -399 / 262144, -21 / 32768, 5 / 1024, 1 / 128, -1 / 8, 1.0):
+        series = series * z + c
+    steps = F.sequence(F.lit(0), F.lit(GAMMA_SHIFT - 1))
+    down = F.aggregate(steps, F.lit(1.0), lambda acc, i: acc * ((a + i) / (a + i + 0.5)))
+    return down * series / F.sqrt(z)
+
+
+def _beta_fraction(p: Column, q: Column, z: Column) -> Column:
+    """Continued fraction of I_z(p, q), evaluated from its tail: f <- 1 + d_k / f over the fixed steps."""
+    def back(f, m):
+        m = m.cast("double")
+        even = m * (q - m) * z / ((p + 2 * m - 1.0) * (p + 2 * m))
+        odd = -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1.0))
+        return F.lit(1.0) + even / (F.lit(1.0) + odd / f)
+
+    first = -(p + q) * z / (p + 1.0)
+    tail = F.aggregate(F.sequence(F.lit(TAIL_STEPS), F.lit(1), F.lit(-1)), F.lit(1.0), back)
+    return 1.0 / (1.0 + first / tail)
 
 
 def _moments(am: DataFrame, keys: list[str]) -> DataFrame:

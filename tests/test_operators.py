@@ -110,6 +110,28 @@ def test_cost_guard_flags(spark, small):
         spark.conf.unset("spark.runlens.smallBytes")
 
 
+def test_scored_rows_call_the_function_once(spark, tmp_path):
+    from runlens.operators.score import evaluate_grid, score_table, split_results
+
+    log = str(tmp_path / "calls")
+
+    def fn(prompt):
+        with open(log, "a") as f:
+            f.write("x\n")
+        if "bad" in prompt:
+            raise ValueError("bad")
+        return "Answer: 4"
+
+    grid = spark.createDataFrame([(i, "bad" if i % 5 == 0 else "good") for i in range(20)], "id long, prompt string")
+    ok, bad = split_results(score_table(grid, fn))
+    assert (ok.count(), bad.count(), ok.count()) == (16, 4, 16)
+    assert len(open(log).readlines()) == 20
+    samples = spark.createDataFrame([(1, "2+2?", "4"), (2, "bad", "5")], "id long, INPUT string, OUTPUT string")
+    out = evaluate_grid(samples, ["None", "ChainOfThought"], fn)
+    assert out.count() == 4 and out.where("error is not null").count() == 2
+    assert len(open(log).readlines()) == 24
+
+
 def test_head_n_two_phase_with_ties(spark):
     df = spark.createDataFrame([(i % 5, i) for i in range(50)], "a long, b long")
     got = [tuple(r) for r in D.head_n(df, 7, ["a", "b"]).collect()]

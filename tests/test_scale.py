@@ -44,10 +44,9 @@ def test_running_sums_hot_group_sparse_keys(spark):
         (F.col("id") % 5).cast("double").alias("x"),
     )
     vals = {"n_before": F.lit(1).cast("long"), "x_before": F.col("x")}
-    sliced = running_sums(df, ["g"], [F.col("k")], vals, num_partitions=8, small_bytes_limit=0)
-    plain = running_sums(df, ["g"], [F.col("k")], vals)
-    assert sorted(map(tuple, sliced.collect())) == sorted(map(tuple, plain.collect()))
+    sliced = running_sums(df, ["g"], [F.col("k")], vals, num_partitions=8)
     rows = sliced.collect()
+    assert len(rows) == n
     by_g = {}
     for r in sorted(rows, key=lambda r: (r.g, r.k)):
         seen = by_g.setdefault(r.g, [0, 0.0])
@@ -96,8 +95,8 @@ def test_exact_quantiles_match_numpy(spark):
         ((F.col("id") * 7919) % 1009).cast("double").alias("x"),
     )
     qs = {"q25": 0.25, "q50": 0.5, "q90": 0.9}
-    got = {r.g: r for r in exact_quantiles(df, ["g"], "x", qs, small_bytes_limit=0).collect()}  # rank path
-    small = {r.g: r for r in exact_quantiles(df, ["g"], "x", qs).collect()}  # percentile path
+    got = {r.g: r for r in exact_quantiles(df, ["g"], "x", qs).collect()}
+    small = {r.g: r for r in df.groupBy("g").agg(*[F.percentile("x", F.lit(q)).alias(k) for k, q in qs.items()]).collect()}
     for g in got:
         for name in qs:
             assert abs(got[g][name] - small[g][name]) < 1e-9
@@ -107,10 +106,36 @@ def test_exact_quantiles_match_numpy(spark):
     for g, xs in vals.items():
         for name, q in (("q25", 0.25), ("q50", 0.5), ("q90", 0.9)):
             assert abs(got[g][name] - float(np.quantile(xs, q))) < 1e-9
-    whole = exact_quantiles(df, [], "x", {"m": 0.5}, small_bytes_limit=0).first().m
+    whole = exact_quantiles(df, [], "x", {"m": 0.5}).first().m
     assert abs(whole - float(np.median([r.x for r in df.collect()]))) < 1e-9
 
 
+def test_exact_quantiles_of_one_common_value(spark, monkeypatch):
+    """A value that holds 90% of the rows reaches the ranking as one row; NULL
+    keys and values, and an empty table, have a defined result."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from runlens.operators import common
+
+    df = spark.range(5000).select(
+        F.when(F.col("id") % 2 == 0, F.lit("g")).alias("g"),
+        F.when(F.col("id") % 10 != 1, F.lit(7.0)).when(F.col("id") > 100, F.col("id").cast("double")).alias("x"))
+    ranked = []
+    plain = common.running_sums
+    monkeypatch.setattr(common, "running_sums", lambda d, *a: ranked.append(d.count()) or plain(d, *a))
+    qs = {"q1": 0.01, "q50": 0.5, "q99": 0.99}
+    got = {r.g: r for r in common.exact_quantiles(df, ["g"], "x", qs).collect()}
+    assert ranked == [df.dropna(subset=["x"]).distinct().count()]
+    rows = df.collect()
+    for g in ("g", None):
+        xs = [r.x for r in rows if r.g == g and r.x is not None]
+        for name, q in qs.items():
+            assert abs(got[g][name] - float(np.quantile(xs, q))) < 1e-9
+    assert common.exact_quantiles(df.limit(0), ["g"], "x", qs).count() == 0
+    assert common.exact_quantiles(df.limit(0), [], "x", qs).first().q50 is None
+
+
 def test_fanout_join_with_hot_run_equals_plain_join(spark):
     from runlens.operators.runs import runs_with_metrics
 
@@ -118,7 +143,10 @@ def test_fanout_join_with_hot_run_equals_plain_join(spark):
     rows = [("r1", i, False, 0.5, i, "") for i in range(50)] + [("r2", 1, True, 0.9, 3, "e")]
     metrics = spark.createDataFrame(rows, "run_id string, parsing_attempts long, fallback_used boolean, "
                                           "confidence_score double, extraction_time_ms long, error_details string")
-    split = runs_with_metrics(runs, metrics, hot_rows=10)  # r1 is hot
+    split = runs_with_metrics(runs, metrics)  # r1 is hot
+    # the metric rows are joined by an inner join (either side can be split), never on the right of an outer join
+    logical = split._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" in logical and "Join LeftAnti" in logical and "Outer" not in logical
     plain = runs.join(metrics, runs["id"] == metrics["run_id"], "left")
     assert split.count() == plain.count() == 52
     got = sorted((r.id, r.parsing_time_ms) for r in split.collect())

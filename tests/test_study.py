@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from runlens.operators import study as S
 
+from .student_t import t_two_sided_p
+
 
 @pytest.mark.parametrize("t,df,p", [
     (2.228, 10, 0.05), (12.706, 1, 0.05), (2.086, 20, 0.05), (1.96, 100000, 0.05), (0.0, 5, 1.0),
@@ -15,7 +17,28 @@ from runlens.operators import study as S
 def test_t_tail_tabled(spark, t, df, p):
     got = spark.createDataFrame([(t, df)], "t double, df long").select(S.t_pvalue("t", "df").alias("p")).first().p
     assert abs(got - p) < 5e-4
-    assert abs(got - float(S.t_two_sided_p([t], [df])[0])) < 1e-9
+    assert abs(got - float(t_two_sided_p([t], [df])[0])) < 1e-9
+
+
+def test_t_tail_far_out_and_huge_df(spark):
+    """Relative error against closed forms: df 1 and 2 exactly, the normal tail at df 1e9, tiny p at df 100."""
+    rows = [(t, df) for t in (1e-9, 0.01, 0.5, 1.7, 1.8, 2.5, 6.0, 40.0, 1e4) for df in (1, 2, 1_000_000_000)]
+    got = spark.createDataFrame(rows, "t double, df long").select("t", "df", S.t_pvalue("t", "df").alias("p")).collect()
+    for r in got:
+        if r.df == 1:
+            want = 2 / math.pi * math.atan2(1, r.t)
+        elif r.df == 2:
+            root = math.sqrt(2 + r.t * r.t)
+            want = 2 / (root * (root + r.t))
+        elif r.t < 6:
+            want = math.erfc(r.t / math.sqrt(2))
+        else:
+            continue
+        assert abs(r.p - want) <= 5e-8 * want if r.df > 2 else abs(r.p - want) <= 1e-9 * want, r
+    tiny = spark.createDataFrame([(40.0, 100), (-40.0, 100), (40.0, 1_000_000_000), (None, 5), (1.0, 0)], "t double, df long")
+    p = [r.p for r in tiny.select(S.t_pvalue("t", "df").alias("p")).collect()]
+    assert p[0] == p[1] and 2.4e-63 < p[0] < 2.6e-63
+    assert 0 <= p[2] < 1e-300 and p[3] is None and p[4] is None
 
 
 def _am(spark, rows):
