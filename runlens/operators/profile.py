@@ -1,11 +1,11 @@
 """Dataset profiling (2.12): column profiles, input/output role detection,
 field sets and the recommended mapping.
 
-A profile is built from the first ``n_rows`` rows of a dataset (the head, by a
-key) and the first ``n_values`` non-null values of each column, as in the
-reference, so its cost is bounded whatever the dataset size.  All steps are
-DataFrame jobs over the small profile table; the fixed pattern lists become
-CASE chains and aggregate expressions, so no step joins.  Many datasets are profiled by unioning their profiles.
+A profile covers every row of a dataset (its first ``n_rows`` by a key only if
+the caller asks).  Values are counted by their lower-cased digest first, a
+partial aggregation, so no task holds a column; the sample values are a top 3
+of each column by the key.  The fixed pattern lists become CASE chains and
+aggregate expressions, so no step joins.
 """
 
 from __future__ import annotations
@@ -61,27 +61,24 @@ def value_string(col: Column, dtype: T.DataType) -> Column:
     return col.cast("string")
 
 
+SAMPLE_VALUES = 3
+
+
 def first_rows(df: DataFrame, key: str | None, n_rows: int) -> DataFrame:
-    """The first ``n_rows`` rows by ``key`` (read order without a key).
-
-    Two phases keep a large table from being read whole: the n-th smallest key
-    comes from a top-n over the key column alone (column pruning), then only
-    rows up to that key are read (a filter Parquet pushes down to row-group
-    statistics) for the final top-n."""
-    if not key:
-        return df.limit(n_rows)
-    bound = df.select(key).orderBy(key).limit(n_rows).agg(F.max(key).alias("b")).first()["b"]
-    if bound is None:
-        return df.limit(0)
-    return df.filter(F.col(key) <= F.lit(bound)).orderBy(key).limit(n_rows)
-
-
-def _cells(df: DataFrame, dataset_name: str, key: str | None, n_rows: int) -> DataFrame:
-    """The head of a dataset as (dataset, column, position, dtype, native,
-    rank, value) cells; ``rank`` orders the head rows (at most ``n_rows``)."""
-    fields = df.schema.fields
-    head = first_rows(df, key, n_rows)
-    order = F.col(key) if key else F.monotonically_increasing_id()
+    """The first ``n_rows`` rows by ``key``, NULL keys first (read order without a key)."""
+    return df.orderBy(key).limit(n_rows) if key else df.limit(n_rows)
+
+
+def _structured(x: Column) -> Column:
+    s_ = pystrip(x)
+    out = F.lit(False)
+    for p in STRUCTURED_PREFIXES:
+        out = out | s_.startswith(p)
+    return out
+
+
+def _counted(df: DataFrame, dataset_name: str) -> DataFrame:
+    """One row per column and distinct lower-cased value (NULL is one of them)."""
     cells = F.explode(F.array(*[
         F.struct(
             F.lit(f.name).alias("column"),
@@ -90,42 +87,58 @@ def _cells(df: DataFrame, dataset_name: str, key: str | None, n_rows: int) -> Da
             F.lit(isinstance(f.dataType, _NUMERIC + (T.BooleanType,))).alias("native_numeric"),
             value_string(F.col(f"`{f.name}`"), f.dataType).alias("v"),
         )
-        for i, f in enumerate(fields)
+        for i, f in enumerate(df.schema.fields)
     ]))
-    # the head holds at most n_rows rows, so ranking it in one task is bounded
-    rank = F.row_number().over(Window.orderBy(order))
-    long = head.select(rank.alias("_k"), cells.alias("c")).select("_k", "c.*")
-    return long.select(F.lit(dataset_name).alias("dataset_name"), "*")
+    v = F.col("v")
+    return (
+        df.select(cells.alias("c"))
+        .select(F.lit(dataset_name).alias("dataset_name"), "c.*")
+        .groupBy(*_KEYS, F.md5(F.lower(v)).alias("_value"))
+        .agg(
+            F.count(v).alias("n"),
+            F.sum(F.length(v)).alias("chars"),
+            F.bool_and(v.try_cast("double").isNotNull()).alias("num"),
+            F.bool_and(F.lower(v).isin(BOOLEAN_VALUES)).alias("boo"),
+            F.sum(F.when(_structured(v), 1).otherwise(0)).alias("structured"),
+        )
+    )
+
+
+_KEYS = ["dataset_name", "column", "position", "dtype", "native_numeric"]
+
+
+def _samples(df: DataFrame, dataset_name: str, key: str | None) -> DataFrame:
+    """The first non-NULL values of each column: a top-n per column that reads the key and that column alone."""
+    out = None
+    for i, f in enumerate(df.schema.fields):
+        order = F.col(f"`{key}`") if key else F.monotonically_increasing_id()
+        top = (df.select(order.alias("k"), value_string(F.col(f"`{f.name}`"), f.dataType).alias("v"))
+               .filter(F.col("v").isNotNull()).orderBy("k").limit(SAMPLE_VALUES))
+        got = top.agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("samples")).select(
+            F.lit(dataset_name).alias("dataset_name"), F.lit(f.name).alias("column"), F.lit(i).alias("position"),
+            F.lit(f.dataType.simpleString()).alias("dtype"),
+            F.lit(isinstance(f.dataType, _NUMERIC + (T.BooleanType,))).alias("native_numeric"), "samples")
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
-def _profile_from_cells(cells: DataFrame, n_values: int) -> DataFrame:
-    # at most n_rows cells per column: the list is bounded by construction
-    keys = ["dataset_name", "column", "position", "dtype", "native_numeric"]
-    g = cells.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.when(F.col("v").isNotNull(), F.struct("_k", "v")))).alias("_cells")
+def _profile(counted: DataFrame, samples: DataFrame) -> DataFrame:
+    stats = counted.filter(F.col("_value").isNotNull()).groupBy(*_KEYS).agg(
+        F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.count(F.lit(1)).alias("uq"),
+        F.bool_and("num").alias("num"), F.bool_and("boo").alias("boo"), F.sum("structured").alias("sc"),
     )
-    vals = F.slice(F.transform(F.col("_cells"), lambda c: c["v"]), 1, n_values)
-    g = g.select(*keys, vals.alias("_v"))
-    v = F.col("_v")
-    n = F.size(v)
-    avg_len = F.try_divide(F.aggregate(v, F.lit(0).cast("long"), lambda acc, x: acc + F.length(x)).cast("double"),
-                           n.cast("double"))
-
-    def structured(x):
-        s_ = pystrip(x)
-        out = F.lit(False)
-        for p in STRUCTURED_PREFIXES:
-            out = out | s_.startswith(p)
-        return out
-
-    g = g.select(
-        *keys, "_v",
-        n.alias("n_values"),
-        avg_len.alias("avg_length_raw"),
-        F.size(F.array_distinct(F.transform(v, lambda x: F.lower(x)))).alias("unique_values"),
-        (F.col("native_numeric") | F.forall(v, lambda x: x.try_cast("double").isNotNull())).alias("_numeric"),
-        F.forall(v, lambda x: F.lower(x).isin(BOOLEAN_VALUES)).alias("_boolean"),
-        F.size(F.filter(v, structured)).alias("structured_count"),
+    # one stats row at most and one sample row per column: put side by side by an aggregate
+    both = stats.unionByName(samples, allowMissingColumns=True).groupBy(*_KEYS).agg(
+        *[F.max(c).alias(c) for c in ("n", "chars", "uq", "num", "boo", "sc")], F.first("samples", ignorenulls=True).alias("_s"))
+    g = both.select(
+        *_KEYS,
+        F.coalesce("n", F.lit(0)).alias("n_values"),
+        F.try_divide(F.col("chars").cast("double"), F.col("n").cast("double")).alias("avg_length_raw"),
+        F.coalesce("uq", F.lit(0)).alias("unique_values"),
+        (F.col("native_numeric") | F.col("num")).alias("_numeric"),
+        F.col("boo").alias("_boolean"),
+        F.coalesce("sc", F.lit(0)).alias("structured_count"),
+        "_s",
     )
     ctype = (
         F.when(F.col("n_values") == 0, F.lit("empty"))
@@ -145,19 +158,22 @@ def _profile_from_cells(cells: DataFrame, n_values: int) -> DataFrame:
         F.col("unique_values").cast("long").alias("unique_values"),
         F.col("n_values").cast("long").alias("n_values"),
         F.col("structured_count").cast("long").alias("structured_count"),
-        F.slice("_v", 1, 3).alias("sample_values"),
+        F.col("_s").alias("sample_values"),
     )
 
 
-def profile_datasets(datasets: dict[str, tuple[DataFrame, str | None]], n_rows: int = 100, n_values: int = 10,
+def profile_datasets(datasets: dict[str, tuple[DataFrame, str | None]], n_rows: int | None = None,
                      materialize: bool = True) -> DataFrame:
-    """Profiles of many datasets in one job: their heads are unioned as cells
-    and aggregated together.  ``datasets`` maps a name to (DataFrame, key)."""
-    cells = None
+    """Profiles of many datasets in one job.  ``datasets`` maps a name to
+    (DataFrame, key); ``n_rows`` reads only that many first rows of each."""
+    counted = samples = None
     for name, (df, key) in datasets.items():
-        c = _cells(df, name, key, n_rows)
-        cells = c if cells is None else cells.unionByName(c)
-    out = _profile_from_cells(cells, n_values)
+        if n_rows is not None:
+            df = first_rows(df, key, n_rows)
+        c, s = _counted(df, name), _samples(df, name, key)
+        counted = c if counted is None else counted.unionByName(c)
+        samples = s if samples is None else samples.unionByName(s)
+    out = _profile(counted, samples)
     if materialize:
         from ..session import cut_lineage
 
@@ -166,15 +182,15 @@ def profile_datasets(datasets: dict[str, tuple[DataFrame, str | None]], n_rows:
 
 
 def profile_columns(df: DataFrame, dataset_name: str, key: str | None = None,
-                    n_rows: int = 100, n_values: int = 10, materialize: bool = True) -> DataFrame:
+                    n_rows: int | None = None, materialize: bool = True) -> DataFrame:
     """One row per column: type (empty / text / numeric / boolean / categorical),
     average length (1 place), distinct lower-cased values, 3 sample values, and
     the content statistics the role scoring uses.
 
     The profile (one small row per column) is checkpointed into the shared
     checkpoint dir, so the steps that read it several times (roles, field sets,
-    rules) do not re-run the head scan."""
-    return profile_datasets({dataset_name: (df, key)}, n_rows, n_values, materialize)
+    rules) do not scan the dataset again."""
+    return profile_datasets({dataset_name: (df, key)}, n_rows, materialize)
 
 
 def first_pattern(column: Column, patterns: list[str]) -> Column:

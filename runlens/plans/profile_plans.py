@@ -55,7 +55,7 @@ def _profile_sql() -> str:
     for name, (_, src, key, cols) in DATASETS.items():
         longs = " UNION ALL ".join(
             f"SELECT {key} AS _k, '{c}' AS col, {i} AS position, {'TRUE' if k == 'num' else 'FALSE'} AS nn, "
-            f"{_vstr(c, k)} AS v FROM (SELECT * FROM {src} ORDER BY {key} LIMIT 100)"
+            f"{_vstr(c, k)} AS v FROM {src}"
             for i, (c, k, _) in enumerate(cols)
         )
         meta = ", ".join(f"('{c}', {i}, '{t}')" for i, (c, _, t) in enumerate(cols))
@@ -77,7 +77,7 @@ LEFT JOIN (
          list(v ORDER BY r) FILTER (WHERE r <= 3) AS samples
   FROM (SELECT *, row_number() OVER (PARTITION BY col ORDER BY _k) AS r
         FROM ({longs}) WHERE v IS NOT NULL)
-  WHERE r <= 10 GROUP BY col) g ON g.col = m.col""")
+  GROUP BY col) g ON g.col = m.col""")
     return "prof AS (" + "\nUNION ALL\n".join(parts) + "\n)"
 
 

@@ -83,4 +83,16 @@ def test_profile_types(spark):
     assert prof["t"].type == "text"
     assert prof["b"].type == "categorical"
     assert prof["x"].type == "numeric"
-    assert prof["k"].n_values == 10
+    assert prof["k"].n_values == 20 and prof["k"].sample_values == ["0", "1", "2"]
+    first = {r.column: r for r in P.profile_columns(df, "d", "k", n_rows=4).collect()}
+    assert first["k"].n_values == 4
+
+
+def test_profile_keeps_null_keys_and_empty_columns(spark):
+    df = spark.createDataFrame([(None, "b", None), (None, "B", None), (1, "a", None)], "k long, t string, e string")
+    prof = {r.column: r for r in P.profile_columns(df, "d", "k").collect()}
+    assert (prof["t"].n_values, prof["t"].unique_values, prof["k"].n_values) == (3, 2, 1)
+    assert prof["e"].type == "empty" and prof["e"].sample_values == [] and prof["e"].n_values == 0
+    assert P.profile_columns(df, "d", "k", n_rows=2).where("column = 't'").first().n_values == 2
+    none = {r.column: r.type for r in P.profile_columns(df.limit(0), "d", "k").collect()}
+    assert none == {"k": "empty", "t": "empty", "e": "empty"}
