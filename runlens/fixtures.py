@@ -97,7 +97,7 @@ FROM part
 """
 
 VIEWS["code_v"] = """
-SELECT doc_id AS id, substr(text, 1, 200) AS content,
+SELECT doc_id AS id, text AS content,
        CASE WHEN doc_id % 3 = 0 THEN concat('x = ', CAST(n_chars AS STRING))
             ELSE concat('Intro', chr(10), repeat(chr(96), 3), 'python', chr(10), 'x = ',
                         CAST(n_chars AS STRING), chr(10), repeat(chr(96), 3), chr(10), 'End') END AS python,

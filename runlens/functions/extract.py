@@ -218,12 +218,16 @@ def typed_answer(df: DataFrame) -> DataFrame:
     """Per-kind normalization of a structured extraction.
 
     Input: kind, final_answer, confidence, option, number (string), answer_type,
-    items (array<string>), steps (array<string>).  Adds the normalized columns
-    and ``invalid_reason`` (NULL when the extraction is valid).
+    items (array<string>), steps (array<string>); yes_no (boolean), unit
+    (string) and key_points (array<string>) where the table has them.  Adds the
+    normalized columns and ``invalid_reason`` (NULL when the extraction is
+    valid).  A yes/no extraction needs a value if the table has the column.
     """
     kind = F.lower(F.col("kind"))
     opt = pystrip(F.col("option"))
-    one_letter = (F.length(opt) == 1) & opt.rlike("^[A-Za-z]$")
+    one_letter = F.upper(opt).rlike(r"^\p{L}$")
+    given = {c: F.col(c) if c in df.columns else F.lit(None).cast(t)
+             for c, t in (("yes_no", "boolean"), ("unit", "string"), ("key_points", "array<string>"))}
     items = F.filter(F.transform(F.col("items"), lambda x: pystrip(x)), lambda x: x != "")
     steps = F.filter(F.transform(F.col("steps"), lambda x: pystrip(x)), lambda x: x != "")
     number = F.col("number").cast("string")
@@ -234,8 +238,11 @@ def typed_answer(df: DataFrame) -> DataFrame:
         F.when(kind == "numerical", pystrip(number).try_cast("double")).alias("number_value"),
         F.when(kind == "textual", F.lower(pystrip(F.col("answer_type")))).alias("answer_type_clean"),
         F.when(kind == "list", items).alias("items_clean"),
-        F.when(kind == "list", F.size(items).cast("long")).alias("item_count"),
+        F.when((kind == "list") & (F.size(items) > 0), F.size(items).cast("long")).alias("item_count"),
         F.when(kind == "reasoning_chain", steps).alias("steps_clean"),
+        F.when(kind == "yes_no", given["yes_no"]).alias("yes_no_value"),
+        F.when(kind == "numerical", given["unit"]).alias("number_unit"),
+        F.when(kind == "textual", F.coalesce(given["key_points"], F.array().cast("array<string>"))).alias("points"),
     )
     blank = F.coalesce(F.col("answer_clean"), F.lit("")) == ""
     reason = (
@@ -245,6 +252,7 @@ def typed_answer(df: DataFrame) -> DataFrame:
         .when((kind == "multiple_choice") & (F.coalesce(opt, F.lit("")) == ""), F.lit("empty selected_option"))
         .when((kind == "numerical") & F.col("number_value").isNull(), F.lit("invalid numerical_value"))
         .when((kind == "textual") & (F.coalesce(F.col("answer_type_clean"), F.lit("")) == ""), F.lit("empty answer_type"))
+        .when((kind == "yes_no") & F.lit("yes_no" in df.columns) & F.col("yes_no_value").isNull(), F.lit("missing yes_no_answer"))
         .when((kind == "list") & (F.coalesce(F.size(F.col("items")), F.lit(0)) <= 0), F.lit("empty items"))
         .when((kind == "reasoning_chain") & (F.coalesce(F.size(F.col("steps")), F.lit(0)) <= 0),
               F.lit("empty reasoning_steps"))

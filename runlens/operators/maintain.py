@@ -64,10 +64,24 @@ def preprocessing_status(validation_passed: Column) -> Column:
 
 
 def upsert_preprocessing(existing: DataFrame, records: DataFrame) -> DataFrame:
-    """Preprocessing records by id, status from the validation outcome."""
+    """Preprocessing records, status from the validation outcome.
+
+    Unique are ``id`` and (``dataset_name``, ``dataset_config``); a NULL in the
+    pair is unlike every other.  A record replaces all rows, of the table or
+    earlier records, that clash with it in either; records come in the order of
+    (``processed_at``, ``id``).
+    """
     inc = records.withColumn("status", preprocessing_status(F.col("validation_passed"))).drop("validation_passed")
     cols = [c for c in existing.columns if c in inc.columns]
-    return upsert(existing.select(*cols), inc.select(*cols), ["id"], ["processed_at"])
+    existing, inc = existing.select(*cols), inc.select(*cols)
+    pair = ["dataset_name", "dataset_config"]
+    place = F.struct("processed_at", "id")
+    # the last record of each pair among all records, also those that another one of their id replaces
+    last = inc.dropna(subset=pair).groupBy(*pair).agg(F.max(place).alias("_last"))
+    inc = dedupe_last(inc, ["id"], ["processed_at"]).join(last, pair, "left")
+    inc = inc.filter(F.col("_last").isNull() | (place == F.col("_last"))).select(*cols)
+    kept = existing.join(records.select("id"), "id", "left_anti").join(last, pair, "left_anti")
+    return kept.select(*cols).unionByName(inc)
 
 
 def set_experiment_status(experiments: DataFrame, experiment_id: str | Column, status: str) -> DataFrame:

@@ -151,6 +151,9 @@ def _typed_input(fx):
         F.when(F.col("id") % 4 == 0, F.lit("  ")).otherwise(F.col("approach_name")).alias("answer_type"),
         F.split("raw_output", "\n").alias("items"),
         F.when(F.col("id") % 5 == 0, F.array().cast("array<string>")).otherwise(F.split("raw_output", "\n")).alias("steps"),
+        F.when(F.col("id") % 7 > 0, F.col("id") % 2 == 0).alias("yes_no"),
+        F.when(F.col("id") % 3 > 0, F.lit("kg")).alias("unit"),
+        F.when(F.col("id") % 4 > 0, F.split("raw_output", "\n")).alias("key_points"),
     )
 
 
@@ -160,18 +163,22 @@ ti AS (
          final_answer, CAST(id % 13 AS DOUBLE) / 10.0 AS confidence, final_answer AS option, final_answer AS number,
          CASE WHEN id % 4 = 0 THEN '  ' ELSE approach_name END AS answer_type,
          string_split(raw_output, chr(10)) AS items,
-         CASE WHEN id % 5 = 0 THEN CAST([] AS VARCHAR[]) ELSE string_split(raw_output, chr(10)) END AS steps
+         CASE WHEN id % 5 = 0 THEN CAST([] AS VARCHAR[]) ELSE string_split(raw_output, chr(10)) END AS steps,
+         CASE WHEN id % 7 > 0 THEN id % 2 = 0 END AS yes_no, CASE WHEN id % 3 > 0 THEN 'kg' END AS unit,
+         CASE WHEN id % 4 > 0 THEN string_split(raw_output, chr(10)) END AS key_points
   FROM e),
 tc AS (
   SELECT *, """ + strip("final_answer") + """ AS answer_clean,
     CASE WHEN kind = 'multiple_choice' THEN
-      CASE WHEN length(""" + strip("option") + """) = 1 AND regexp_matches(""" + strip("option") + """, '^[A-Za-z]$')
+      CASE WHEN regexp_full_match(upper(""" + strip("option") + """), '\\p{L}')
            THEN upper(""" + strip("option") + """) ELSE """ + strip("option") + """ END END AS option_clean,
     CASE WHEN kind = 'numerical' THEN TRY_CAST(""" + strip("number") + """ AS DOUBLE) END AS number_value,
     CASE WHEN kind = 'textual' THEN lower(""" + strip("answer_type") + """) END AS answer_type_clean,
     CASE WHEN kind = 'list' THEN list_filter(list_transform(items, lambda s: """ + strip("s") + """), lambda s: s <> '') END AS items_clean,
-    CASE WHEN kind = 'list' THEN len(list_filter(list_transform(items, lambda s: """ + strip("s") + """), lambda s: s <> '')) END AS item_count,
-    CASE WHEN kind = 'reasoning_chain' THEN list_filter(list_transform(steps, lambda s: """ + strip("s") + """), lambda s: s <> '') END AS steps_clean
+    CASE WHEN kind = 'list' THEN nullif(len(list_filter(list_transform(items, lambda s: """ + strip("s") + """), lambda s: s <> '')), 0) END AS item_count,
+    CASE WHEN kind = 'reasoning_chain' THEN list_filter(list_transform(steps, lambda s: """ + strip("s") + """), lambda s: s <> '') END AS steps_clean,
+    CASE WHEN kind = 'yes_no' THEN yes_no END AS yes_no_value, CASE WHEN kind = 'numerical' THEN unit END AS number_unit,
+    CASE WHEN kind = 'textual' THEN coalesce(key_points, CAST([] AS VARCHAR[])) END AS points
   FROM ti),
 tr AS (
   SELECT *, CASE
@@ -180,13 +187,14 @@ tr AS (
     WHEN kind = 'multiple_choice' AND coalesce(""" + strip("option") + """, '') = '' THEN 'empty selected_option'
     WHEN kind = 'numerical' AND number_value IS NULL THEN 'invalid numerical_value'
     WHEN kind = 'textual' AND coalesce(answer_type_clean, '') = '' THEN 'empty answer_type'
+    WHEN kind = 'yes_no' AND yes_no IS NULL THEN 'missing yes_no_answer'
     WHEN kind = 'list' AND coalesce(len(items), 0) <= 0 THEN 'empty items'
     WHEN kind = 'reasoning_chain' AND coalesce(len(steps), 0) <= 0 THEN 'empty reasoning_steps'
   END AS invalid_reason FROM tc)
 """
 
 TYPED_COLS = ("id, kind, answer_clean, option_clean, number_value, answer_type_clean, items_clean, item_count, "
-              "steps_clean, invalid_reason")
+              "steps_clean, yes_no_value, number_unit, points, invalid_reason")
 
 
 @query("typed_answer", ["responses_v"], section="2.10", oracle=TYPED_CTE + f"SELECT {TYPED_COLS} FROM tr")

@@ -51,7 +51,7 @@ def _q(fx):
         if fmt == "csv":
             back = IO.read_csv_dataset(fx.spark, path, schema="INPUT string, OUTPUT string")
         elif fmt == "json":
-            back = fx.spark.read.schema("INPUT string, OUTPUT string").json(path)
+            back = IO.read_json_records(fx.spark, path)
         else:
             back = fx.spark.read.parquet(path)
         back = back.select(F.lit(fmt).alias("format"), "INPUT", "OUTPUT")

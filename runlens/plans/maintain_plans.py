@@ -24,13 +24,12 @@ res AS (
                = lower(regexp_replace(expected_answer, '^\\s+|\\s+$', '', 'g')) AS is_correct,
          CAST(trunc(CAST(id % 97 AS DOUBLE) / 10.0 * 1000) AS BIGINT) AS execution_time_ms,
          0.001 AS cost_estimate, CAST('2024-03-01 00:00:00' AS TIMESTAMP) AS created_at
-  FROM responses_v WHERE id % 5 IN (0, 1))
+  FROM responses_v)
 """
 
 
 def _results(fx):
-    r = fx.responses_v.filter((F.col("id") % 5).isin(0, 1))
-    return r.select(
+    return fx.responses_v.select(
         F.when(F.col("id") % 5 == 0, F.concat(F.lit("run_"), F.col("id").cast("string")))
         .otherwise(F.concat(F.lit("new_"), F.col("id").cast("string"))).alias("run_id"),
         F.concat(F.lit("exp_"), (F.col("id") % 20).cast("string")).alias("experiment_id"),
@@ -67,28 +66,36 @@ PREP_COLS = "id, dataset_name, dataset_config, status, confidence_score, origina
 WITH rec AS (
   SELECT CASE WHEN s_suppkey % 3 = 0 THEN concat('prep_', CAST(s_suppkey AS VARCHAR))
               ELSE concat('prep_new_', CAST(s_suppkey AS VARCHAR)) END AS id,
-         concat('ds_', CAST(s_suppkey % 6 AS VARCHAR)) AS dataset_name, 'v2' AS dataset_config,
+         concat('ds_', CAST(s_suppkey % 6 AS VARCHAR)) AS dataset_name,
+         CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE concat('v', CAST(s_suppkey % 14 AS VARCHAR)) END AS dataset_config,
          CASE WHEN s_suppkey % 2 = 0 THEN 'processed' ELSE 'failed' END AS status,
          CAST(0.9 AS DOUBLE) AS confidence_score, s_suppkey * 20 AS original_samples,
          s_suppkey * 19 AS processed_samples, CAST('2024-03-05 00:00:00' AS TIMESTAMP) AS processed_at
-  FROM supplier WHERE s_suppkey % 3 = 0 OR s_suppkey % 7 = 0)
-SELECT {PREP_COLS} FROM preprocessing_v WHERE id NOT IN (SELECT id FROM rec)
-UNION ALL SELECT {PREP_COLS} FROM rec
+  FROM supplier),
+old AS (
+  SELECT id, dataset_name, CASE WHEN dataset_config = 'main' THEN concat('v', CAST(original_samples % 140 / 10 AS INT)) END AS dataset_config,
+         status, confidence_score, original_samples, processed_samples, processed_at
+  FROM preprocessing_v),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY dataset_name, dataset_config ORDER BY processed_at DESC, id DESC) AS rk FROM rec)
+SELECT {PREP_COLS} FROM old WHERE id NOT IN (SELECT id FROM rec)
+  AND NOT EXISTS (SELECT 1 FROM rec WHERE rec.dataset_name = old.dataset_name AND rec.dataset_config = old.dataset_config)
+UNION ALL SELECT {PREP_COLS} FROM ranked WHERE rk = 1 OR dataset_config IS NULL
 """)
 def _q(fx):
-    s = fx.supplier.filter((F.col("s_suppkey") % 3 == 0) | (F.col("s_suppkey") % 7 == 0))
-    rec = s.select(
+    old = fx.preprocessing_v.withColumn("dataset_config", F.when(
+        F.col("dataset_config") == "main", F.concat(F.lit("v"), (F.col("original_samples") % 140 / 10).cast("int").cast("string"))))
+    rec = fx.supplier.select(
         F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("prep_"), F.col("s_suppkey").cast("string")))
         .otherwise(F.concat(F.lit("prep_new_"), F.col("s_suppkey").cast("string"))).alias("id"),
         F.concat(F.lit("ds_"), (F.col("s_suppkey") % 6).cast("string")).alias("dataset_name"),
-        F.lit("v2").alias("dataset_config"),
+        F.when(F.col("s_suppkey") % 5 > 0, F.concat(F.lit("v"), (F.col("s_suppkey") % 14).cast("string"))).alias("dataset_config"),
         (F.col("s_suppkey") % 2 == 0).alias("validation_passed"),
         F.lit(0.9).alias("confidence_score"),
         (F.col("s_suppkey") * 20).alias("original_samples"),
         (F.col("s_suppkey") * 19).alias("processed_samples"),
         F.lit("2024-03-05 00:00:00").cast("timestamp_ntz").alias("processed_at"),
     )
-    return M.upsert_preprocessing(fx.preprocessing_v, rec)
+    return M.upsert_preprocessing(old, rec)
 
 
 @query("set_experiment_status", ["experiments_v", "runs_v"], section="2.13", oracle="""
@@ -110,7 +117,7 @@ WITH nl AS (
   SELECT 100000 + c_custkey AS id, concat('exp_', CAST(c_custkey % 22 AS VARCHAR)) AS experiment_id,
          concat('prep_', CAST(c_custkey % 100 AS VARCHAR)) AS preprocessing_id, 'ds_new' AS dataset_name,
          concat('rules/', CAST(c_custkey AS VARCHAR)) AS rules_path, concat('out/', CAST(c_custkey AS VARCHAR)) AS eval_output_path
-  FROM customer WHERE c_custkey % 50 = 0),
+  FROM customer),
 latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY experiment_id ORDER BY id DESC) AS rk FROM nl) WHERE rk = 1)
 SELECT e.id, e.name, e.status, coalesce(l.dataset_name, e.dataset_name) AS dataset_name,
        l.preprocessing_id AS preprocessing_id, l.rules_path AS preprocessing_rules_path,
@@ -124,8 +131,7 @@ def _q(fx):
         F.lit(None).cast("string").alias("preprocessing_rules_path"),
         F.lit(None).cast("string").alias("eval_output_path"),
     )
-    c = fx.customer.filter(F.col("c_custkey") % 50 == 0)
-    new_links = c.select(
+    new_links = fx.customer.select(
         (F.lit(100000) + F.col("c_custkey")).alias("id"),
         F.concat(F.lit("exp_"), (F.col("c_custkey") % 22).cast("string")).alias("experiment_id"),
         F.concat(F.lit("prep_"), (F.col("c_custkey") % 100).cast("string")).alias("preprocessing_id"),

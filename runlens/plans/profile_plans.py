@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import profile as P
 from ..operators import standardize as S
+from ..session import scratch_path
+from ..sources import io as IO
 from .registry import query
 
 STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
@@ -379,7 +381,9 @@ SELECT 'parquet' AS format, count(*) AS num_rows, TRUE AS has_input_output, TRUE
        CAST([] AS VARCHAR[]) AS errors, CAST([] AS VARCHAR[]) AS warnings FROM io
 """)
 def _q(fx):
-    return S.validate_export(_mcq_io(fx), "out/mcq.parquet", size_bytes=1024)
+    path = f"{scratch_path(fx.spark, 'export')}/mcq.parquet"
+    IO.write_standardized(_mcq_io(fx), path)
+    return IO.validate_export_file(fx.spark, path)
 
 
 def _blank(x: str) -> str:

@@ -26,7 +26,9 @@ from ..operators.runs import (
     fanout_left_join,
     parsing_effectiveness,
 )
+from ..operators.standardize import validate_export
 from ..schemas import RUN_RECORD, STANDARDIZED
+from ..session import ship_package
 
 
 # ----------------------------------------------------------------------------- readers
@@ -37,9 +39,11 @@ TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 _NULL_TOKEN = "\u0001NULL\u0001"
 
 
-def read_csv_dataset(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """CSV with a header; types inferred (or given); quoted fields may span lines."""
-    r = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+def read_csv_dataset(spark: SparkSession, path: str, schema=None, multi_line: bool = True) -> DataFrame:
+    """CSV with a header; types given, or inferred by a read of their own.
+    Quoted fields may span lines, so each file is one task's; files without
+    such fields are split between tasks with ``multi_line=False``."""
+    r = (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
          .option("timestampFormat", TS_FORMAT).option("timestampNTZFormat", TS_FORMAT)
          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
          .option("nullValue", _NULL_TOKEN))
@@ -47,21 +51,54 @@ def read_csv_dataset(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return r.csv(path)
 
 
-def read_json_records(spark: SparkSession, path: str, schema=STANDARDIZED) -> DataFrame:
-    """A JSON document holding a list of ``{INPUT, OUTPUT}`` records.  A
-    top-level object (not a list) is an error."""
-    first = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
-    if first and not first[0]["value"].lstrip().startswith("["):
+def read_json_records(spark: SparkSession, path: str, schema=STANDARDIZED, lines: bool = False) -> DataFrame:
+    """JSON documents, each a list of ``{INPUT, OUTPUT}`` records; a document
+    that is no list (any file's) is an error.  With ``lines`` the files hold one
+    record a line and are split between tasks."""
+    if not lines and not _holds_lists(spark, path):
         raise ValueError("JSON data must be a list of records")
-    df = spark.read.option("multiLine", True).schema(schema).json(path)
+    df = spark.read.option("multiLine", not lines).schema(schema).json(path)
     return df.select(*schema.fieldNames())  # drop discovered partition columns
 
 
+def _holds_lists(spark: SparkSession, path: str) -> bool:
+    """Every JSON file with text in it opens with a bracket."""
+    text = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.substring(F.regexp_replace("value", r"^\s+", ""), 1, 1).alias("c"),
+        F.struct(F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row")).alias("place"))
+    opening = text.where("c <> ''").groupBy("file").agg(F.min_by("c", "place").alias("c"))
+    return opening.where("c <> '['").isEmpty()
+
+
+def validate_export_file(spark: SparkSession, path: str, max_bytes: int = 100 * 1024 * 1024) -> DataFrame:
+    """``validate_export`` of what lies at ``path``: existence, format, shape
+    of the records, rows and real size; one row."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return spark.createDataFrame([(None, 0, False, False, ["File not found"], [])],
+                                     "format string, num_rows long, has_input_output boolean, is_valid boolean, errors array<string>, warnings array<string>")
+    size = fs.getContentSummary(p).getLength()
+    if path.endswith(".csv"):
+        df = read_csv_dataset(spark, path)
+    elif path.endswith(".json"):
+        lists = _holds_lists(spark, path)
+        df = spark.read.option("multiLine", lists).json(path)
+        if not lists:
+            error = F.array(F.lit("JSON data must be a list of records"))
+            return validate_export(df, path, size, max_bytes).withColumn("errors", F.concat(error, "errors")).withColumn("is_valid", F.lit(False))
+    elif path.endswith(".parquet"):
+        df = spark.read.parquet(path)
+    else:
+        df = spark.read.text(path)
+    return validate_export(df, path, size, max_bytes)
+
+
 # ----------------------------------------------------------------------------- writers
 
 
 def write_standardized(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> str:
-    """Format by suffix: ``.csv`` -> CSV with header, ``.json`` -> JSON lines,
+    """Format by suffix: ``.csv`` -> CSV with header, ``.json`` -> a JSON list
+    of records in each part file (JSON lines if partitioned by columns),
     anything else -> Parquet.  Returns the format used."""
     w = df.write.mode(mode).option("timestampFormat", TS_FORMAT).option("timestampNTZFormat", TS_FORMAT)
     if partition_by:
@@ -71,12 +108,33 @@ def write_standardized(df: DataFrame, path: str, mode: str = "overwrite", partit
          .option("ignoreTrailingWhiteSpace", False).csv(path))
         return "csv"
     if path.endswith(".json"):
-        w.json(path)
+        if partition_by:
+            w.json(path)
+        else:
+            options = {"ignoreNullFields": "false", "timestampFormat": TS_FORMAT, "timestampNTZFormat": TS_FORMAT}
+            records = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), options).alias("value"))
+            ship_package(df.sparkSession)
+            # a file is one task's list: no cut by row count
+            records.mapInArrow(_bracketed, "value string").write.mode(mode).option("maxRecordsPerFile", 0).text(path)
         return "json"
     w.parquet(path)
     return "parquet"
 
 
+def _bracketed(batches):
+    """One task's records, a line each, as the lines of one JSON list."""
+    import pyarrow as pa
+
+    sep = "["
+    for b in batches:
+        out = []
+        for record in b.column(0).to_pylist():
+            out.append(sep + record)
+            sep = ","
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+    yield pa.RecordBatch.from_arrays([pa.array(["[]" if sep == "[" else "]"])], ["value"])
+
+
 _VERSION = re.compile(r"^version=(\d+)$")
 
 

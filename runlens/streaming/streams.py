@@ -18,8 +18,11 @@ batch rewrites the whole table; readers take the latest batch per key.
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..operators.maintain import results_to_runs
 from ..sources.io import read_merged, write_delta
@@ -31,12 +34,50 @@ DEFAULT_CEILING = 1.0
 
 def run_available(writer) -> int:
     """Start a query with ``trigger(availableNow=True)``, wait for it, and
-    return the number of input rows it processed."""
-    q = writer.trigger(availableNow=True).start()
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise q.exception()
-    return int(sum((p.get("numInputRows", 0) or 0) for p in q.recentProgress))
+    return the number of input rows it processed, over all its micro-batches."""
+    spark = SparkSession.active()
+    counter = _InputRows()
+    spark.streams.addListener(counter)
+    try:
+        q = writer.trigger(availableNow=True).start()
+        q.awaitTermination()
+        if q.exception() is not None:
+            raise q.exception()
+        return counter.total(str(q.runId))
+    finally:
+        spark.streams.removeListener(counter)
+
+
+class _InputRows(StreamingQueryListener):
+    """Input rows of each run; a query's own progress list keeps its last batches only."""
+
+    def __init__(self):
+        self.rows: dict[str, int] = {}
+        self.ended: set[str] = set()
+        self.news = threading.Condition()
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        with self.news:
+            run = str(event.progress.runId)
+            self.rows[run] = self.rows.get(run, 0) + max(0, int(event.progress.numInputRows))
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        with self.news:
+            self.ended.add(str(event.runId))
+            self.news.notify_all()
+
+    def total(self, run: str, wait: float = 120.0) -> int:
+        """Rows of a run that has ended; its last events may still be on their way."""
+        with self.news:
+            if not self.news.wait_for(lambda: run in self.ended, wait):
+                raise RuntimeError("no end event of the streaming query")
+            return self.rows.get(run, 0)
 
 
 def _reader(spark: SparkSession, schema, max_files_per_trigger: int | None):

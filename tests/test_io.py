@@ -2,6 +2,8 @@
 
 import os
 
+import pytest
+
 from runlens.session import scratch_path
 from runlens.sources import io as IO
 
@@ -45,3 +47,40 @@ def test_versions(spark):
     assert IO.write_version(df, base) == 0
     assert IO.write_version(df.selectExpr("x + 1 AS x"), base) == 1
     assert IO.read_latest(spark, base).first().x == 2
+
+
+def test_json_shape_is_checked_in_every_file(spark):
+    d = scratch_path(spark, "jsmany")
+    os.makedirs(d, exist_ok=True)
+    for name, body in (("a", ' \n[{"INPUT": "a", "OUTPUT": "b"}]'), ("b", '\n{"INPUT": "c", "OUTPUT": "d"}\n')):
+        with open(f"{d}/{name}.json", "w") as f:
+            f.write(body)
+    assert IO.read_json_records(spark, f"{d}/a.json").count() == 1
+    with pytest.raises(ValueError):
+        IO.read_json_records(spark, d)
+
+
+def test_json_output_is_a_list_that_the_reader_takes(spark):
+    d = scratch_path(spark, "jsout")
+    df = spark.createDataFrame([("a\n[b", "1"), (None, "2"), ('"q"', None)], "INPUT string, OUTPUT string").repartition(5)
+    assert IO.write_standardized(df, f"{d}/x.json") == "json"
+    got = IO.read_json_records(spark, f"{d}/x.json").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, df.collect()), key=str)
+    IO.write_standardized(df.limit(0), f"{d}/empty.json")
+    assert IO.read_json_records(spark, f"{d}/empty.json").count() == 0
+
+
+def test_export_file_validation(spark):
+    d = scratch_path(spark, "valfile")
+    df = spark.createDataFrame([("a", "1")], "INPUT string, OUTPUT string")
+    for suffix in ("csv", "json", "parquet"):
+        IO.write_standardized(df, f"{d}/x.{suffix}")
+        r = IO.validate_export_file(spark, f"{d}/x.{suffix}").first()
+        assert (r.format, r.num_rows, r.is_valid, r.warnings) == (suffix, 1, True, [])
+    assert IO.validate_export_file(spark, f"{d}/x.csv", max_bytes=1).first().warnings == ["File is larger than 100 MB"]
+    assert IO.validate_export_file(spark, f"{d}/none.csv").first().errors == ["File not found"]
+    os.makedirs(f"{d}/obj", exist_ok=True)
+    with open(f"{d}/obj/o.json", "w") as f:
+        f.write('{"INPUT": "a", "OUTPUT": "b"}')
+    r = IO.validate_export_file(spark, f"{d}/obj/o.json").first()
+    assert not r.is_valid and r.errors == ["JSON data must be a list of records"]

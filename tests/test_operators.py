@@ -163,3 +163,17 @@ def test_filter_name_like_ignores_ascii_case(spark):
     runs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id int, experiment_id string")
     names = spark.createDataFrame([("a", "my bBeH run"), ("b", "BBEH"), ("c", "BB-EH")], "id string, name string")
     assert sorted(r.id for r in filter_name_like(runs, names, "Bbeh").collect()) == [1, 2]
+
+
+def test_upsert_preprocessing_is_unique_by_name_and_config(spark):
+    from runlens.operators.maintain import upsert_preprocessing
+
+    old = spark.createDataFrame([("a", "d", "main", "processed", 1), ("b", "d", None, "processed", 1), ("c", "e", "x", "processed", 1)],
+                                "id string, dataset_name string, dataset_config string, status string, processed_at long")
+    new = spark.createDataFrame([("n1", "d", "main", True, 2), ("n2", "d", None, False, 2), ("n3", "f", "y", True, 3), ("n4", "f", "y", True, 4),
+                                 ("n4", "g", "z", True, 5), ("c", "h", "x", True, 6)],
+                                "id string, dataset_name string, dataset_config string, validation_passed boolean, processed_at long")
+    got = {(r.id, r.dataset_name, r.dataset_config, r.status) for r in upsert_preprocessing(old, new).collect()}
+    # n4's first record takes n3's place before its second one takes n4's
+    assert got == {("n1", "d", "main", "processed"), ("b", "d", None, "processed"), ("n2", "d", None, "failed"),
+                   ("n4", "g", "z", "processed"), ("c", "h", "x", "processed")}
