@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import py_regex, pystrip
 from .common import combine_rows
-from .profile import profile_columns, recommend_mapping, value_string
+from .profile import profile_datasets, recommend_mapping, value_string
 
 # --- fixed values: coding languages, option fields and code fences ----------
 CODING_LANGUAGES = ["java", "c++", "python", "javascript"]
@@ -379,15 +379,24 @@ def standardize_batch(datasets: dict[str, tuple[DataFrame, str | None]], languag
                       difficulty: str | None = None, min_confidence: float = MIN_CONFIDENCE,
                       writer=None) -> DataFrame:
     """Many datasets: profile, rules, skip below ``min_confidence``, transform,
-    validate, record.  Each dataset is its own set of Spark jobs; a failure is
+    validate, record.  One job profiles all datasets (each on its own if that
+    fails); transforming and validating is a job a dataset; a failure is
     recorded and the rest go on.  ``writer(name, df)`` persists outputs."""
     spark = next(iter(datasets.values()))[0].sparkSession
+
+    def rules_of(some: dict) -> dict[str, dict]:
+        prof = profile_datasets(some)
+        found = make_rules(recommend_mapping(prof), prof, language, difficulty).collect()  # one row of metadata a dataset
+        return {r.dataset_name: r.asDict(recursive=True) for r in found}
+
+    try:
+        rules = rules_of(datasets)
+    except Exception:  # one of them cannot be read: find out which below
+        rules = {}
     records = []
     for name, (df, key) in datasets.items():
         try:
-            prof = profile_columns(df, name, key)
-            rules_df = make_rules(recommend_mapping(prof), prof, language, difficulty)
-            r = rules_df.collect()[0].asDict(recursive=True)  # one row of metadata
+            r = rules[name] if name in rules else rules_of({name: (df, key)})[name]
             if r["confidence"] < min_confidence:
                 records.append((name, "skipped", float(r["confidence"]), None, None, None, "low confidence"))
                 continue
