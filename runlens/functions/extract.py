@@ -286,7 +286,3 @@ def unknown_approaches(requested: DataFrame, approach_col: str = "approach") ->
     spark = requested.sparkSession
     known = spark.createDataFrame([(k,) for k in TEMPLATES], "name string")
     return requested.join(F.broadcast(known), requested[approach_col] == known["name"], "left_anti")
-
-
-def approaches_known() -> list[str]:
-    return list(TEMPLATES)

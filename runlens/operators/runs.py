@@ -449,11 +449,11 @@ def _failures(runs: DataFrame, metrics: DataFrame, experiment_id: str | None) ->
     with the number ``w`` of metric rows behind it (at least 1).
 
     Metrics are first counted per (run_id, error_details) - a partial
-    aggregate, so a run with a huge number of metric rows is combined map-side
-    instead of fanning out in the join."""
+    aggregate, so repeated texts of a run are combined map-side; a run with many
+    different texts is split like any skewed key of ``fanout_left_join``."""
     r = _exp(runs, experiment_id).filter(F.col("is_correct") == F.lit(False))
     m = metrics.groupBy("run_id", "error_details").agg(F.count(F.lit(1)).alias("_w"))
-    j = r.join(m, r["id"] == m["run_id"], "left")
+    j = fanout_left_join(r, m)
     parsed_empty = F.coalesce(F.col("parsed_answer"), F.lit("")) == ""
     has_error = F.coalesce(F.col("error_details"), F.lit("")) != ""
     return j.select(

@@ -148,14 +148,6 @@ def _flag(w: DataFrame, seconds: int) -> DataFrame:
     )
 
 
-def rate_windows(calls: DataFrame, seconds: int = 1) -> DataFrame:
-    """Batch twin: calls per provider per window with the ceiling and flag."""
-    w = calls.groupBy("provider", F.window(F.col("ts").cast("timestamp"), f"{seconds} seconds").alias("w")).agg(
-        F.count(F.lit(1)).alias("calls")
-    )
-    return _flag(w, seconds)
-
-
 def rate_audit_stream(spark: SparkSession, source: str, schema, out_base: str, checkpoint: str,
                       watermark: str = "10 seconds", seconds: int = 1, max_files_per_trigger: int | None = None):
     """Streaming audit of request rates per provider (update mode)."""

@@ -126,3 +126,15 @@ def test_evaluate_grid_end_to_end(spark):
     assert ok.parsed_answer == "4" and ok.is_correct is True and ok.parsing_confidence == 0.5 and ok.error is None
     bad = out[(2, "None")]
     assert bad.error.startswith("ValueError") and bad.is_correct is None
+
+
+def test_typed_answer_yes_no_letters_and_blank_lists(spark):
+    rows = [("multiple_choice", " é ", None, None), ("multiple_choice", "Option A", None, None), ("yes_no", None, True, None),
+            ("yes_no", None, None, None), ("list", None, None, [" ", ""]), ("list", None, None, ["x ", " "])]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, kind string, option string, yes_no boolean, items array<string>")
+    df = df.selectExpr("*", "'a' as final_answer", "0.5 as confidence", "'1' as number", "'t' as answer_type", "items as steps")
+    got = {r.id: r for r in X.typed_answer(df).collect()}
+    assert [got[i].option_clean for i in (0, 1)] == ["É", "Option A"]
+    assert (got[2].yes_no_value, got[2].invalid_reason) == (True, None)
+    assert (got[3].yes_no_value, got[3].invalid_reason) == (None, "missing yes_no_answer")
+    assert (got[4].items_clean, got[4].item_count, got[5].items_clean, got[5].item_count) == ([], None, ["x"], 1)
