@@ -8,14 +8,17 @@ node of the reference the job counts, over all pages of the host, how many
 pages have a match and how many match with the same text.  Nodes with the same
 text nearly everywhere are template; nodes whose text varies are slots.  The
 host's content is its article or main slot if it has one, else the slot with
-the most varying text outside links.  Pages whose content equals the
-reference's are copies of it and do not count.
+the most varying text outside links.  Near copies do not make a template: pages
+that share at least ``NEAR`` of their content's block text with the reference do
+not count, and other pages with the same longest block are one family and count
+once.
 
 Extraction aligns the page again and returns the text of the node matched with
 the content slot (or, where nothing matches it, of the page's own article, main
-or densest block), without template nodes and without what is never
-content: menus, page headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, reader comments.
+or densest block) without what is never content: menus, page headers, footers,
+sidebars, notices, adverts, forms, scripts, styles, reader comments.  Template
+nodes are left out of a block that was only guessed to be the content, never of
+an article or main element.
 
 Counts are sums by host and node with a map-side combine, so a host with most
 of the pages costs no task more than others.  References are sent to the tasks
@@ -27,9 +30,11 @@ gives no row.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,6 +46,8 @@ from runlens.session import cut_lineage
 
 CONSTANT = 0.6
 PAGES_NEEDED = 3
+NEAR = 0.5
+FLUSH = 200_000
 SENT_BYTES = 8 << 20
 
 # fixed values: element kinds of HTML
@@ -161,6 +168,21 @@ class Page:
         return clean("".join(t if t == " " or (inside[e] and e not in template and (base or not self.noise[e])) else "" for e, t, _ in self.pieces))
 
 
+    def content_blocks(self, texts: list[str]) -> Counter:
+        """The non-empty block texts of the page's own content; ``texts`` are its ``own_texts``."""
+        inside = self.under(self.content())
+        return Counter(t for e, t in enumerate(texts) if t and inside[e] and not self.noise[e])
+
+
+def family(ref: Counter, page: Counter) -> int | None:
+    """None for a near copy of the reference; else a key that near copies of one page share."""
+    shared = sum(len(t) * n for t, n in (ref & page).items())
+    if shared >= NEAR * max(sum(len(t) * n for t, n in x.items()) for x in (ref, page)):
+        return None
+    longest = max((t for t in page if t not in ref), key=lambda t: (len(t), t), default="")
+    return int.from_bytes(hashlib.blake2b(longest.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def clean(text: str) -> str:
     return " ".join(entities.unescape(text).split())
 
@@ -235,33 +257,46 @@ def induce(pages: DataFrame, refs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple] = {}
-        sums: dict[tuple[str, int], list[int]] = {}
+        sums: dict[tuple[str, int, int], list[int]] = {}
+
+        def rows() -> pa.RecordBatch:
+            out = [(*k, *v) for k, v in sums.items()]
+            sums.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [[]] * 6, (pa.string(), pa.int32(), *[pa.int64()] * 4))],
+                                              ["host", "node", "family", "n", "equal", "varying"])
+
         for b in batches:
             for host, source, given in zip(*(b.column(c).to_pylist() for c in ("host", "html", "given"))):
                 if host not in known:
                     ref = Page(_reference(given, host, sent)[0])
-                    known[host] = (ref, ref.own_texts(), ref.text(ref.content(), set()))
+                    texts = ref.own_texts()
+                    known[host] = (ref, texts, ref.content_blocks(texts))
                     if len(known) > 2000:  # read references again rather than hold them all
                         known = {host: known[host]}
                 ref, texts, main = known[host]
                 page = Page(source)
-                if page.text(page.content(), set()) == main:
-                    continue
                 own = page.own_texts()
+                kin = family(main, page.content_blocks(own))
+                if kin is None:
+                    continue
                 link = [0] * len(page.label)
                 for e, t, in_link in page.pieces:
                     link[e] += len(t) * in_link
                 for x, y in match(ref, page).items():
-                    s = sums.setdefault((host, x), [0, 0, 0])
+                    if not texts[x] and not own[y]:
+                        continue
+                    s = sums.setdefault((host, x, kin), [0, 0, 0])
                     s[0] += 1
                     s[1] += texts[x] == own[y]
                     s[2] += 0 if texts[x] == own[y] else max(0, len(own[y]) - 2 * link[y])
-        rows = [(*k, *v) for k, v in sums.items()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [[]] * 5, (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
-                                         ["host", "node", "n", "equal", "varying"])
+                if len(sums) > FLUSH:
+                    yield rows()
+        yield rows()
 
-    counted = joined.select("host", "html", "given").mapInArrow(run, "host string, node int, n long, equal long, varying long").groupBy("host", "node").agg(
+    by_family = joined.select("host", "html", "given").mapInArrow(run, "host string, node int, family long, n long, equal long, varying long").groupBy("host", "node", "family").agg(
         F.sum("n").alias("n"), F.sum("equal").alias("equal"), F.sum("varying").alias("varying"))
+    counted = by_family.groupBy("host", "node").agg(
+        F.count("*").alias("n"), F.sum((F.col("equal") * 2 >= F.col("n")).cast("long")).alias("equal"), F.sum(F.expr("varying div n")).alias("varying"))
 
     def wrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -315,7 +350,7 @@ def main_text(pages: DataFrame) -> DataFrame:
                 own = page.content()
                 at = own if page.tag[own] in ("article", "main") or not pairs.get(top) else pairs[top]
                 same, gone = None, set()
-                for x, y in pairs.items():
+                for x, y in pairs.items() if page.tag[at] not in ("article", "main") else ():
                     if x in template:
                         same = same or (ref.own_texts(), page.own_texts())
                         if same[0][x] == same[1][y]:

@@ -231,6 +231,31 @@ def test_wrappers_learn_template_and_slot(spark):
     assert wrappers.main_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("slot", ["article", "div class=text"])
+def test_wrappers_keep_paragraphs_of_near_copies(spark, slot):
+    tag = slot.split()[0]
+    page = "<body><div class=top><p>Our site</p></div><" + slot + "><h1>{}</h1><p>{}</p></" + tag + "></body>"
+    paragraphs = [f"Paragraph {k} of the article that is copied with small changes." for k in range(5)]
+    told = [[f"Heading number {i}", *paragraphs] for i in range(6)] + [[f"Another story {i}", *(f"Own words {k} of the {i}th page, nothing is shared here." for k in range(5))] for i in (6, 7)]
+    rows = [(i, "http://n.x/%d" % i, page.format(t[0], "</p><p>".join(t[1:]))) for i, t in enumerate(told)]
+    got = {r.page_id: r.text for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: " ".join(t) for i, t in enumerate(told)}
+
+
+def test_wrappers_keep_constant_headings_of_articles(spark):
+    told = [["Summary", f"What page {i} says about matter {i * 7}.", "Thanks for reading."] for i in range(9)]
+    rows = [(i, "http://c.x/%d" % i, "<body><article><h2>{}</h2><p>{}</p><p>{}</p></article>".format(*t)) for i, t in enumerate(told)]
+    got = {r.page_id: r.text for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: " ".join(t) for i, t in enumerate(told)}
+
+
+def test_wrappers_count_families_once():
+    ref = Counter({"Menu of the site": 1, "The reference tells its own long story here": 1})
+    copies = [Counter({"Menu of the site": 1, "A longer story that is copied many times over": 1, f"on day {i}": 1}) for i in range(5)]
+    assert len({wrappers.family(ref, c) for c in copies}) == 1 and wrappers.family(ref, copies[0]) is not None
+    assert wrappers.family(ref, ref + Counter({"one more line": 1})) is None
+
+
 def test_elias_fano_round_trip(tmp_path):
     r = np.random.default_rng(1)
     for n, universe in ((1, 10), (500, 1 << 32), (3000, 1 << 60), (200, 200), (4, 1 << 63)):
