@@ -32,11 +32,14 @@ from __future__ import annotations
 
 import hashlib
 import html as entities
+import itertools
 import json
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +51,7 @@ CONSTANT = 0.6
 PAGES_NEEDED = 3
 NEAR = 0.5
 FLUSH = 200_000
+TABLE_CELLS = 10_000
 SENT_BYTES = 8 << 20
 
 # fixed values: element kinds of HTML
@@ -71,8 +75,9 @@ class Page:
 
     def __init__(self, source: str | None):
         self.label, self.tag, self.parent, self.kids, self.noise = ["#"], ["#"], [-1], [[]], [False]
+        self.shapes: list[int] | None = None  # of a reference, made by its first match
         self.pieces: list[tuple[int, str, bool]] = []  # element, text (a space between blocks), in a link
-        stack, links = [(0, "#")], 0
+        stack, links = [(0, "#", False)], 0  # element, tag, in an article or main
         for m in TOKEN.finditer(source or ""):
             t = m.group()
             if t[0] != "<" or t == "<":
@@ -120,11 +125,11 @@ class Page:
             self.parent.append(up)
             self.kids.append([])
             self.kids[up].append(here)
-            inside = any(s[1] in ("article", "main") for s in stack)
+            inside = stack[-1][2]
             self.noise.append(self.noise[up] or noise and tag not in ("html", "body", "article", "main") or tag in DROPPED or tag == "header" and not inside)
             if tag not in INLINE:
                 self._space(here)
-            stack.append((here, tag))
+            stack.append((here, tag, inside or tag in ("article", "main")))
 
     def _space(self, at: int) -> None:
         self.pieces.append((at, " ", False))
@@ -187,47 +192,140 @@ def clean(text: str) -> str:
     return " ".join(entities.unescape(text).split())
 
 
-def match(a: Page, b: Page) -> dict[int, int]:
-    """Simple tree matching from the roots: element of ``a`` -> element of ``b``."""
-    memo: dict[tuple[int, int], tuple[int, list]] = {}
+def _shapes(page: Page, known: dict, new: dict) -> list[int]:
+    """A number for each element, equal for elements whose subtrees have the same labels; ``known`` is only read."""
+    out = [0] * len(page.label)
+    for e in range(len(page.label) - 1, -1, -1):  # kids come last
+        key = (page.label[e], *[out[k] for k in page.kids[e]])
+        got = known.get(key)
+        out[e] = new.setdefault(key, len(known) + len(new)) if got is None else got
+    return out
 
-    def run(x: int, y: int) -> int:
-        if (x, y) in memo:
-            return memo[x, y][0]
-        ka, kb = a.kids[x], b.kids[y]
-        if not ka or not kb:
-            memo[x, y] = (1, [])
-            return 1
-        table = [[0] * (len(kb) + 1)]
+
+def _filled(first: list, weights: Iterator) -> list:
+    """Rows of the alignment table after ``first``; a row of weights for each."""
+    rows = [first]
+    if isinstance(first, np.ndarray):
+        for w in weights:
+            row = np.maximum(rows[-1], 0)
+            np.maximum(row[1:], rows[-1][:-1] + w, out=row[1:])
+            rows.append(np.maximum.accumulate(row))
+        return rows
+    for w in weights:
+        last, row, best = rows[-1], [0], 0
+        for j, x in enumerate(w):
+            if last[j + 1] > best:
+                best = last[j + 1]
+            if x and last[j] + x > best:
+                best = last[j] + x
+            row.append(best)
+        rows.append(row)
+    return rows
+
+
+def match(a: Page, b: Page) -> dict[int, int]:
+    """Simple tree matching from the roots: element of ``a`` -> element of ``b``.
+
+    Pairs of subtrees wait on a list rather than the call stack, so depth is
+    not bounded.  Subtrees of one shape are compared once, and equal first kids
+    match each other.  Tables above ``TABLE_CELLS`` keep every
+    ``sqrt(rows)``-th row and make the others again on the way back.
+    """
+    if a.shapes is None:
+        a.known = {}
+        a.shapes = _shapes(a, {}, a.known)
+    sa, sb = a.shapes, _shapes(b, a.known, {})
+    memo: dict[tuple[int, int], int] = {}  # matched elements of two shapes
+
+    def rest(x: int, y: int) -> tuple[list[int], list[int], int]:
+        ka, kb, i = a.kids[x], b.kids[y], 0
+        while i < len(ka) and i < len(kb) and sa[ka[i]] == sb[kb[i]]:
+            i += 1
+        return ka[i:], kb[i:], i
+
+    sizes = [1] * len(a.label)
+    for e in range(len(a.label) - 1, 0, -1):
+        sizes[a.parent[e]] += sizes[e]
+
+    def weight(p: int, q: int) -> int | None:
+        """Matched elements of two subtrees, None if not known yet."""
+        if a.label[p] != b.label[q]:
+            return 0
+        if sa[p] == sb[q]:
+            return sizes[p]
+        return memo.get((sa[p], sb[q])) if a.kids[p] and b.kids[q] else 1
+
+    def weights(ka: list[int], kb: list[int], wide: bool) -> Iterator:
+        """For each of ``ka`` its weights with ``kb``; one row a shape."""
+        made: dict = {}
+        if wide:
+            _, one, place = np.unique([sb[q] for q in kb], return_index=True, return_inverse=True)
+            first = [kb[i] for i in one]
         for p in ka:
-            last, row = table[-1], [0]
-            for j, q in enumerate(kb):
-                best = row[j] if row[j] >= last[j + 1] else last[j + 1]
-                if a.label[p] == b.label[q]:
-                    got = last[j] + (1 if not a.kids[p] or not b.kids[q] else run(p, q))
-                    if got > best:
-                        best = got
-                row.append(best)
-            table.append(row)
-        memo[x, y] = (1 + table[-1][-1], table)
-        return memo[x, y][0]
+            if sa[p] not in made:
+                made[sa[p]] = np.array([weight(p, q) for q in first], np.int32) if wide else [weight(p, q) for q in kb]
+            yield made[sa[p]][place] if wide else made[sa[p]]
+
+    def start(ka: list[int], kb: list[int]) -> tuple[list, bool]:
+        wide = len(ka) * len(kb) > TABLE_CELLS
+        return (np.zeros(len(kb) + 1, np.int32) if wide else [0] * (len(kb) + 1)), wide
+
+    def checkpoints(ka: list[int], kb: list[int], step: int) -> list:
+        """Every ``step``-th row of the table and the last one."""
+        row, wide = start(ka, kb)
+        kept, w = [row], weights(ka, kb, wide)
+        for i in range(0, len(ka), step):
+            for one in itertools.islice(w, min(step, len(ka) - i)):
+                row = _filled(row, [one])[1]
+            kept.append(row)
+        return kept
+
+    def solve(x: int, y: int) -> None:
+        todo = [(x, y)]
+        while todo:
+            x, y = todo[-1]
+            if (sa[x], sb[y]) in memo:
+                todo.pop()
+                continue
+            ka, kb, same = rest(x, y)
+            p_of, q_of = {sa[p]: p for p in ka}, {sb[q]: q for q in kb}
+            open_pairs = [(p, q) for p in p_of.values() for q in q_of.values() if weight(p, q) is None]
+            if open_pairs:
+                todo += open_pairs
+                continue
+            total = 1 + sum(sizes[k] for k in a.kids[x][:same])
+            if ka and kb:
+                total += int(checkpoints(ka, kb, len(ka))[-1][-1])
+            memo[sa[x], sb[y]] = total
+            todo.pop()
 
     out: dict[int, int] = {}
     todo = [(0, 0)]
     while todo:
         x, y = todo.pop()
         out[x] = y
-        run(x, y)
-        table, ka, kb = memo[x, y][1], a.kids[x], b.kids[y]
-        i, j = (len(ka), len(kb)) if table else (0, 0)
-        while i and j:
-            if table[i][j] == table[i - 1][j]:
-                i -= 1
-            elif table[i][j] == table[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                todo.append((ka[i], kb[j]))
+        ka, kb, same = rest(x, y)
+        todo += zip(a.kids[x][:same], b.kids[y][:same])
+        if not ka or not kb:
+            continue
+        solve(x, y)
+        wide = len(ka) * len(kb) > TABLE_CELLS
+        step = math.isqrt(len(ka)) + 1 if wide else len(ka)
+        kept = checkpoints(ka, kb, step) if wide else [start(ka, kb)[0]]
+        i, j = len(ka), len(kb)
+        for c in range((len(ka) - 1) // step, -1, -1):
+            lo = c * step
+            if i <= lo or not j:
+                continue
+            rows = _filled(kept[c], weights(ka[lo:i], kb, wide))
+            while i > lo and j:
+                if rows[i - lo][j] == rows[i - lo - 1][j]:
+                    i -= 1
+                elif rows[i - lo][j] == rows[i - lo][j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    todo.append((ka[i], kb[j]))
     return out
 
 

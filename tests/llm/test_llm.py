@@ -256,6 +256,41 @@ def test_wrappers_count_families_once():
     assert wrappers.family(ref, ref + Counter({"one more line": 1})) is None
 
 
+def test_wrappers_match_deep_and_wide_pages(spark):
+    deep = ["<div>" * 5000 + f"<p>Deep text {i}</p>" + "<i class=nav>x</i>" * i for i in range(3)]
+    wide = ["<table>" + "<tr class=first><td>a</td></tr>" * i + "".join(f"<tr class=r{k % 3}><td>{k} of {i}</td>" + "<td>b</td>" * (k % 5) + "</tr>" for k in range(20_000)) + f"<tr class=z{i}></tr></table>" for i in range(2)]
+    for x, y in (deep[:2], wide):
+        a, b = wrappers.Page(x), wrappers.Page(y)
+        got = wrappers.match(a, b)
+        assert len(got) >= len(a.label) - 2 and all(a.label[i] == b.label[j] for i, j in got.items())
+    df = spark.createDataFrame([(i, "http://d.x/", t) for i, t in enumerate(deep)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in wrappers.main_text(df).collect()} == {i: f"Deep text {i}" for i in range(3)}
+
+
+def test_wrappers_match_is_largest(monkeypatch):
+    r = random.Random(6)
+
+    def tree(depth):
+        tag = r.choice(["div", "section"])
+        return f"<{tag}>" + "".join(tree(depth - 1) for _ in range(r.randint(0, 4) if depth else 0)) + f"</{tag}>"
+
+    def most(a, b, x=0, y=0):
+        t = [[0] * (len(b.kids[y]) + 1) for _ in range(len(a.kids[x]) + 1)]
+        for i, p in enumerate(a.kids[x]):
+            for j, q in enumerate(b.kids[y]):
+                t[i + 1][j + 1] = max(t[i][j + 1], t[i + 1][j], t[i][j] + most(a, b, p, q) if a.label[p] == b.label[q] else 0)
+        return 1 + t[-1][-1]
+
+    for cells in (0, 10_000):
+        monkeypatch.setattr(wrappers, "TABLE_CELLS", cells)
+        for _ in range(60):
+            a, b = (wrappers.Page("".join(tree(3) for _ in range(r.randint(0, 4)))) for _ in "ab")
+            got = wrappers.match(a, b)
+            assert len(got) == most(a, b) and len(set(got.values())) == len(got)
+            assert all(i == 0 or (a.label[i] == b.label[j] and got[a.parent[i]] == b.parent[j]) for i, j in got.items())
+            assert all((i < k) == (j < got[k]) for i, j in got.items() for k in got if k != i)
+
+
 def test_elias_fano_round_trip(tmp_path):
     r = np.random.default_rng(1)
     for n, universe in ((1, 10), (500, 1 << 32), (3000, 1 << 60), (200, 200), (4, 1 << 63)):
