@@ -27,17 +27,18 @@ ORACLE_SQL = None
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose toxicity score is at least ``toxicity.THRESHOLD``."""
+    """Drop documents whose toxicity score is at least ``toxicity.THRESHOLD``; all stay if no classifier could be trained."""
     model = toxicity.trained_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if isinstance(model, float):
+        return docs
     # told apart by position: docs may have columns named score or predicted itself
     scored = toxicity.score(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text"), model)
     return scored.where("predicted = 0").select("row.*")
 
 
 def reject_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a recognised language: no letter, or the two nearest languages equally far."""
-    known = langid.identify(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text"), langid.trained_profiles(docs))
-    return known.where("lang_pred <> 'und' and score > 0.5").select("row.*")
+    """Drop documents without a recognised language: no letter, or the two nearest of several learned languages equally far."""
+    return langid.known_language(docs, langid.trained_profiles(docs))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -100,18 +100,22 @@ class Profiles:
             self.rank[np.searchsorted(grams, gram), self.langs.index(lang)] = rank
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        return self.decide(text)[:2]
+
+    def decide(self, text: str | None) -> tuple[str, float, bool]:
+        """Language, score, and whether the text is kept: it has a letter and no second language is as near as the first."""
         own = ranked(ngrams(text or ""), self.size)
         if not len(own) or not self.langs:
-            return "und", 0.0
+            return "und", 0.0, len(own) > 0
         at = np.searchsorted(self.grams, own)
         rank = np.where((self.grams[at] == own)[:, None], self.rank[at], -1)
         apart = np.where(rank >= 0, np.abs(rank - np.arange(len(own))[:, None]), self.size).sum(0)
         best = int(np.argmin(apart))
         if len(self.langs) == 1:
-            return self.langs[0], 1 - float(apart[0]) / (self.size * len(own))
+            return self.langs[0], 1 - float(apart[0]) / (self.size * len(own)), True
         second = float(np.delete(apart, best).min())
         total = second + float(apart[best])
-        return self.langs[best], second / total if total else 0.5
+        return self.langs[best], second / total if total else 0.5, second > float(apart[best])
 
 
 def identify(docs: DataFrame, profiles: list[tuple[str, int, int]], size: int = PROFILE) -> DataFrame:
@@ -129,6 +133,18 @@ def identify(docs: DataFrame, profiles: list[tuple[str, int, int]], size: int =
     return docs.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", lang_pred string, score double")
 
 
+def known_language(docs: DataFrame, profiles: list[tuple[str, int, int]], size: int = PROFILE) -> DataFrame:
+    """The rows of ``docs`` that have a letter and no tie of two languages; with no or one learned language there is no tie."""
+    prepare(docs.sparkSession)
+    made = docs.sparkSession.sparkContext.broadcast(Profiles(profiles, size))  # size rows a language
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([made.value.decide(t)[2] for t in b.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def trained_profiles(docs: DataFrame) -> list[tuple[str, int, int]]:
     """Profiles from the documents whose crc32(doc_id) mod 4 is not 2."""
     prepare(docs.sparkSession)

@@ -453,6 +453,22 @@ def test_epsilon_grid_matches_brute_force(spark, monkeypatch):
     assert {tuple(g) for g in epsgrid.near_duplicates(v.where("vec_id >= 800")).collect()} == {(i, 0, i, True) for i in range(800, 805)}
 
 
+def test_pipeline_keeps_one_language_and_unlabelled_corpora(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    common = "the cat and the dog sat on the mat and then the cat ran"
+    rows = [(i, common, "en", 1) for i in range(40)] + [(100, "zyxwv qkjpf vuwzx", None, 2), (101, "12 !", None, 3), (102, None, "en", 4)]
+    one = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")
+    assert langid.Profiles(langid.trained_profiles(one), langid.PROFILE).predict(rows[40][1])[1] <= 0.5
+    for docs in (one, one.withColumn("lang", F.lit(None).cast("string"))):
+        kept = cp.reject_unknown_language(spark, docs, "")
+        assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {*range(40), 100}
+    tied = langid.Profiles([("a", 0, ord("x")), ("b", 0, ord("x"))], langid.PROFILE)
+    assert tied.decide("x")[2] is False
+    one.select("doc_id", F.lit(1).alias("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
+    assert cp.reject_toxic(spark, one, str(tmp_path)).count() == one.count()
+
+
 def test_pipeline_against_its_decisions(spark):
     """Each stage's rows, recomputed one document at a time from the stage's input."""
     import corpus_pipeline as cp
