@@ -4,12 +4,14 @@ Input of a step is a word: its hashed word vector plus the mean of the hashed
 vectors of its character trigrams (edges marked), through a linear layer.  A GRU
 reads each window of ``WINDOW`` words in both directions; attention weights
 pool the states; a logistic unit scores the window.  All windows (every
-``STRIDE`` words, so neighbours overlap; the last one ends with the text) are
-scored and a document has the largest window score, calibrated to 0..1.
+``STRIDE`` words, so a passage of up to half a window lies whole in one; the last
+one ends with the text) are scored and a document has the largest window score,
+calibrated to 0..1.
 
 The model is trained in numpy on the driver, on a bounded sample: at most
 ``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN`` labelled rows of at most ``SAMPLE_CHARS``
-characters, those with the smallest id hashes.  Each epoch takes, of a toxic
+characters, those with the smallest id hashes, in windows every ``LEARN_STRIDE``
+words (the driver holds them all).  Each epoch takes, of a toxic
 document, the window that scores highest at that point, and of a clean one the
 highest and another.  Word vectors start with the word's smoothed log odds in
 the sample.  Scoring reads whole texts of any length.
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from runlens.llm.jobs import prepare
 from runlens.llm.textblocks import Block, blocks, crc32_mod, mix64
 
-WINDOW, STRIDE = 48, 40
+WINDOW, STRIDE, LEARN_STRIDE = 48, 24, 40
 HIDDEN, WORD_DIM, CHAR_DIM = 6, 6, 4
 WORD_ROWS, CHAR_ROWS = 1 << 15, 1 << 12
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1000, 1500, 8_000
@@ -77,13 +79,13 @@ class Words:
         return out
 
 
-def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(first: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, first word, words) of all overlapping windows; a text without words has one empty window."""
     n = np.diff(first)
-    many = np.maximum(1, -(-(n - WINDOW) // STRIDE) + 1)
+    many = np.maximum(1, -(-(n - WINDOW) // stride) + 1)
     doc = np.repeat(np.arange(len(n)), many)
     k = np.arange(many.sum()) - np.repeat(np.r_[0, np.cumsum(many)[:-1]], many)
-    at = np.minimum(k * STRIDE, np.maximum(n[doc] - WINDOW, 0))
+    at = np.minimum(k * stride, np.maximum(n[doc] - WINDOW, 0))
     return doc, first[:-1][doc] + at, np.minimum(n[doc], WINDOW)
 
 
@@ -207,7 +209,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> BiGRU:
     df = [np.bincount(seen[y[seen // WORD_ROWS] == c] % WORD_ROWS, minlength=WORD_ROWS) for c in (0, 1)]
     odds = np.log((df[1] + 0.5) / (y.sum() + 1)) - np.log((df[0] + 0.5) / ((1 - y).sum() + 1))
     model.p["word"][:, 0] = np.clip(odds * (df[0] + df[1]) / (df[0] + df[1] + 8), -2, 3)
-    doc, at, n = windows(w.first)
+    doc, at, n = windows(w.first, LEARN_STRIDE)
     which = np.r_[w.which, 0]
     word_odds = np.r_[model.p["word"][w.rows, 0], 0]
     idx, mask = gather(which, at, n, len(w.rows))

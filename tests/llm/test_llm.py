@@ -170,6 +170,32 @@ def test_toxicity_windows_cover_every_word():
         assert seen == set(range(first[d], first[d + 1]))
 
 
+def test_toxicity_windows_hold_half_a_window_whole():
+    doc, at, n = toxicity.windows(np.array([0, 400]))
+    for size in (9, 20, toxicity.WINDOW // 2 + 1):
+        assert all(((at <= s) & (s + size <= at + n)).any() for s in range(400 - size + 1)), size
+
+
+def test_toxicity_of_a_sentence_does_not_depend_on_its_place():
+    r = random.Random(9)
+    calm = ["".join(r.choices("abcdefgh", k=r.randint(3, 7))) for _ in range(300)]
+    sharp = ["".join(r.choices("stuvwxyz", k=r.randint(3, 7))) for _ in range(40)]
+    mixed = lambda n, share: [r.choice(sharp if r.random() < share else calm) for _ in range(n)]
+    texts, labels = [], []
+    for i in range(240):  # toxic documents hold a dense passage, clean ones single sharp words
+        t = mixed(150, 0.1)
+        if i % 2:
+            s = r.randrange(150 - 24)
+            t[s : s + 24] = mixed(24, 0.6)
+        texts.append(" ".join(t))
+        labels.append(i % 2)
+    model = toxicity.train(texts, labels)
+    planted, clean = mixed(24, 0.6), mixed(220, 0.0)
+    (b,) = blocks(pa.array([" ".join(clean[:k] + planted + clean[k:]) for k in range(97)]))
+    got = model.scores(b)
+    assert got.max() - got.min() < 0.15 and got.min() > model.scores(next(blocks(pa.array([" ".join(clean)]))))[0]
+
+
 def test_hamming_topk_matches_brute_force(spark, monkeypatch):
     monkeypatch.setattr(mih, "SHARD_ROWS", 60)
     monkeypatch.setattr(mih, "QUERY_ROWS", 3)
