@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.llm.jobs import components, parts_for, prepare
@@ -47,11 +47,16 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
-def valid_vectors(vectors: DataFrame) -> DataFrame:
-    """Rows of finite, non-zero vectors (vec_id, embedding as floats)."""
+def _valid() -> Column:
+    """An id and a finite, non-zero vector; never null."""
     bad = F.expr("embedding is null or exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity')) "
                  "or forall(embedding, x -> x = 0)")
-    return vectors.where(~bad & F.col("vec_id").isNotNull()).select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"))
+    return ~bad & F.col("vec_id").isNotNull()
+
+
+def valid_vectors(vectors: DataFrame) -> DataFrame:
+    """Rows of finite, non-zero vectors (vec_id, embedding as floats)."""
+    return vectors.where(_valid()).select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"))
 
 
 def _axes(vectors: DataFrame, dim: int) -> np.ndarray:
@@ -204,7 +209,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     named = (reps.select("k1", "k2", "rep", "copies").join(links, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
              .select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
     good = keyed.select("vec_id", "k1", "k2").join(named, ["k1", "k2"]).select("vec_id", "n_links", "component_id")
-    rest = vectors.join(valid_vectors(vectors).select("vec_id"), "vec_id", "left_anti").select(
+    rest = vectors.where(~_valid()).select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return good.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 

@@ -479,6 +479,12 @@ def test_epsilon_grid_matches_brute_force(spark, monkeypatch):
     assert {tuple(g) for g in epsgrid.near_duplicates(v.where("vec_id >= 800")).collect()} == {(i, 0, i, True) for i in range(800, 805)}
 
 
+def test_epsilon_grid_keeps_invalid_rows_of_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, None), (1, [0.0, 0.0]), (1, [float("nan"), 1.0]), (1, [None, 1.0]), (2, [0.0, 1.0]), (2, []), (None, [1.0, 0.0])]
+    got = Counter(tuple(r) for r in epsgrid.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    assert got == Counter({(1, 0, 1, True): 5, (2, 0, 2, True): 2, (None, 0, None, True): 1})
+
+
 def test_pipeline_keeps_one_language_and_unlabelled_corpora(spark, tmp_path):
     import corpus_pipeline as cp
 
