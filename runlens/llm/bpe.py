@@ -28,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from runlens.llm.jobs import prepare
-from runlens.llm.textblocks import Block, _pow, blocks
+from runlens.llm.textblocks import Block, blocks
 from runlens.llm.units import UnitMemo, library_encoder, plain_tokenizer, shared_memo, word_units
 
 WINDOW = 16
 CHUNK_BITS = 10
 CHUNK_ENTRIES = 1 << 13
+LONG_CHUNK = 1 << 15  # longer ones are not kept between blocks
 
 
 def chunk_cuts(b: Block) -> np.ndarray:
@@ -41,11 +42,7 @@ def chunk_cuts(b: Block) -> np.ndarray:
     n = len(b.buf)
     cut = np.zeros(n + 1, bool)
     if n > WINDOW:
-        b.hashes(b.offs[:1], b.offs[:1])  # the prefix sums
-        pre = b._prefix
-        with np.errstate(over="ignore"):
-            rolled = (pre[WINDOW:] - pre[:-WINDOW]) * _pow("inv", n + 1)[: n + 1 - WINDOW]
-        cut[WINDOW:] = (rolled >> np.uint64(64 - CHUNK_BITS)) == 0
+        cut[WINDOW:] = (b.rolling(WINDOW) >> np.uint64(64 - CHUNK_BITS)) == 0
         near = (b.offs[:-1, None] + np.arange(WINDOW)).ravel()
         cut[near[near < n]] = False  # the window may not reach into the text before
     cut[b.offs] = True
@@ -64,7 +61,7 @@ class ChunkEncoder:
         if t.decoder is not None:
             raise ValueError("expects a vocabulary whose decode joins tokens by a space")
         self.units = UnitMemo(library_encoder(path), lambda ids: b" ".join([names[i] for i in ids]))
-        self.chunks: OrderedDict[int, tuple[bytes, bytes]] = OrderedDict()
+        self.chunks: OrderedDict[bytes, tuple[bytes, bytes]] = OrderedDict()
 
     def encode(self, b: Block) -> Iterator[tuple[bytes, bytes]]:
         """(ids as little-endian uint32 bytes, decoded UTF-8) of each text of the block."""
@@ -74,10 +71,10 @@ class ChunkEncoder:
         # units inside a chunk, away from both its edges: first and last of each chunk
         inner_from = np.searchsorted(start, lo, "right")
         inner_to = np.maximum(np.searchsorted(end, hi, "left"), inner_from)
-        key = b.hashes(lo, hi)
-        _, rep, back = np.unique(key, return_index=True, return_inverse=True)
-        key_list = key.tolist()
-        fresh = [int(r) for r in rep if key_list[r] not in self.chunks]
+        raw = b.buf.tobytes()
+        key_list = [raw[i:j] for i, j in zip(lo.tolist(), hi.tolist())]  # the bytes themselves: a chunk is never taken for another
+        rep = list({k: c for c, k in enumerate(key_list)}.values())
+        fresh = [r for r in rep if key_list[r] not in self.chunks]
         # encode the inner units of new chunks and the repaired spans, nothing else
         need = np.ones(len(start), bool)
         edge = np.zeros(len(start) + 1, np.int64)
@@ -90,16 +87,17 @@ class ChunkEncoder:
         at = np.full(len(start), -1, np.int64)
         at[which] = self.units.lookup(b, start[which], end[which])
         ids, out = self.units.ids, self.units.out
-        of_chunk: dict[int, tuple[bytes, bytes]] = {}
+        of_chunk: dict[bytes, tuple[bytes, bytes]] = {}
         for c in fresh:
             inner = at[inner_from[c] : inner_to[c]]
             of_chunk[key_list[c]] = (b"".join(ids[inner].tolist()), b" ".join([x for x in out[inner].tolist() if x]))
-        for r in rep.tolist():
+        for r in rep:
             k = key_list[r]
             if k not in of_chunk:
                 of_chunk[k] = self.chunks[k]
-            self.chunks[k] = of_chunk[k]
-            self.chunks.move_to_end(k)
+            if len(k) <= LONG_CHUNK:
+                self.chunks[k] = of_chunk[k]
+                self.chunks.move_to_end(k)
         while len(self.chunks) > CHUNK_ENTRIES:
             self.chunks.popitem(last=False)
         chunk_of = np.searchsorted(cuts, b.offs).tolist()

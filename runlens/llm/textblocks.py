@@ -16,32 +16,45 @@ import pyarrow.compute as pc
 
 BLOCK_BYTES = 2 << 20
 
-_P = 0x9E3779B97F4A7C15 | 1
-_PINV = pow(_P, -1, 1 << 64)
+_M31 = np.uint64((1 << 31) - 1)
 _MASK = (1 << 64) - 1
 _rng = np.random.default_rng(20240607)
-_BYTE_MIX = _rng.integers(1, _MASK, 256, dtype=np.uint64, endpoint=True)
+# two polynomial hashes modulo the prime 2^31 - 1: a base and a table of byte values for each
+_BASES = [int(x) for x in _rng.integers(1 << 20, (1 << 31) - 2, 2)]
+_BYTES = [_rng.integers(1, (1 << 31) - 1, 256).astype(np.uint64) for _ in _BASES]
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_powers: dict[str, np.ndarray] = {}
+_powers: dict[int, np.ndarray] = {}
 
 
-def _pow(kind: str, n: int) -> np.ndarray:
-    have = _powers.get(kind)
+def _fold31(x: np.ndarray) -> np.ndarray:
+    """A value congruent modulo 2^31 - 1, below 2^32 for factors below 2^31."""
+    return (x & _M31) + (x >> np.uint64(31))
+
+
+def _mod31(x: np.ndarray) -> np.ndarray:
+    x = _fold31(_fold31(_fold31(x)))
+    return np.where(x >= _M31, x - _M31, x)
+
+
+def _pow(base: int, n: int) -> np.ndarray:
+    """base^0 .. base^(n-1) modulo 2^31 - 1."""
+    have = _powers.get(base)
     if have is None or len(have) < n:
         size = max(n, BLOCK_BYTES + 1)
-        base = _P if kind == "p" else _PINV
-        out = np.full(size, base, np.uint64)
-        out[0] = 1
-        with np.errstate(over="ignore"):
-            out = np.cumprod(out, dtype=np.uint64)
+        out = np.ones(size, np.uint32)
+        done = 1
+        while done < size:
+            more = min(done, size - done)
+            out[done : done + more] = _mod31(out[:more].astype(np.uint64) * np.uint64(pow(base, done, int(_M31))))
+            done += more
         if size > 4 * BLOCK_BYTES:  # one very long text: do not keep its tables
             return out
-        _powers[kind] = have = out
+        _powers[base] = have = out
     return have
 
 
@@ -59,7 +72,7 @@ class Block:
 
     def __init__(self, buf: np.ndarray, offs: np.ndarray, row0: int):
         self.buf, self.offs, self.row0 = buf, offs, row0
-        self._prefix: np.ndarray | None = None
+        self._prefix: list[np.ndarray] | None = None
 
     def __len__(self) -> int:
         return len(self.offs) - 1
@@ -83,16 +96,44 @@ class Block:
         end = np.flatnonzero(ink & (~after | edge[1:])) + 1
         return start, end, np.searchsorted(start, self.offs)
 
-    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """64-bit content hash of each byte span (same bytes, same hash, anywhere)."""
+    def _sums(self) -> list[np.ndarray]:
+        """For each base the running sums of byte value * base^place (below 2^32 a byte, so they do not wrap)."""
         if self._prefix is None:
-            pre = np.zeros(len(self.buf) + 1, np.uint64)
-            with np.errstate(over="ignore"):
-                np.cumsum(_BYTE_MIX[self.buf] * _pow("p", len(self.buf) + 1)[: len(self.buf)], out=pre[1:])
-            self._prefix = pre
+            self._prefix = []
+            for base, table in zip(_BASES, _BYTES):
+                pre = np.zeros(len(self.buf) + 1, np.uint64)
+                np.cumsum(_fold31(table[self.buf] * _pow(base, len(self.buf) + 1)[: len(self.buf)]), out=pre[1:])
+                self._prefix.append(pre)
+        return self._prefix
+
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """64-bit content hash of each byte span (same bytes, same hash, anywhere).
+
+        Two polynomials modulo a prime with bases from a fixed seed, so tasks and
+        reruns agree: two spans of n bytes collide with a chance of (n / 2^31)^2,
+        whatever their bytes.  Callers that return what a hash led to compare bytes.
+        """
+        out = np.zeros(len(start), np.uint64)
+        for base, pre, shift in zip(_BASES, self._sums(), (0, 31)):
+            back = _pow(pow(base, -1, int(_M31)), len(self.buf) + 1)[start]
+            out |= _mod31(_mod31(pre[end] - pre[start]) * back) << np.uint64(shift)
         with np.errstate(over="ignore"):
-            h = (self._prefix[end] - self._prefix[start]) * _pow("inv", len(self.buf) + 1)[start]
-            return mix64(h + (end - start).astype(np.uint64))
+            return mix64(out + mix64((end - start).astype(np.uint64), 41))
+
+    def rolling(self, window: int) -> np.ndarray:
+        """Hash of the ``window`` bytes before each place from ``window`` on."""
+        base, pre = _BASES[0], self._sums()[0]
+        back = _pow(pow(base, -1, int(_M31)), len(self.buf) + 1)[: len(self.buf) + 1 - window]
+        return mix64(_mod31(_mod31(pre[window:] - pre[:-window]) * back))
+
+    def same_bytes(self, start: np.ndarray, other: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether the ``size`` bytes at ``start`` equal those at ``other``, span by span."""
+        step = np.repeat(other - start, size)
+        at = np.arange(len(step)) + np.repeat(start - np.r_[0, np.cumsum(size)[:-1]], size) if len(step) else np.zeros(0, np.int64)
+        wrong = np.flatnonzero(self.buf[at] != self.buf[at + step])
+        ok = np.ones(len(start), bool)
+        ok[np.searchsorted(np.cumsum(size), wrong, "right")] = False
+        return ok
 
 
 def text_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -46,7 +46,7 @@ def space_units(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class UnitMemo:
-    """hash of a unit -> its ids (little-endian uint32 bytes) and, if asked for, its decoded bytes."""
+    """hash and bytes of a unit -> its ids (little-endian uint32 bytes) and, if asked for, its decoded bytes."""
 
     def __init__(self, encode, decode=None, entries: int = MEMO_ENTRIES):
         self.encode, self.decode, self.entries = encode, decode, entries
@@ -54,37 +54,60 @@ class UnitMemo:
 
     def _clear(self) -> None:
         self.keys, self.place, self.used = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
-        self.ids = np.empty(1024, object)
+        self.ids, self.raw = np.empty(1024, object), np.empty(1024, object)
         self.out = np.empty(1024, object) if self.decode else None
 
     def lookup(self, b: Block, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Index into ``ids`` / ``out`` of each unit of a block (valid until the next call)."""
+        """Index into ``ids`` / ``out`` of each unit of a block (valid until the next call).
+
+        A hash only proposes an entry: units are compared byte by byte with the
+        first of their hash in the block, and that one with the memo's bytes.
+        Whatever differs gets an entry of its own, without a place in the memo.
+        """
+        if not len(start):
+            return np.zeros(0, np.int64)
         uniq, first, inverse = np.unique(b.hashes(start, end), return_index=True, return_inverse=True)
+        lead = first[inverse]
+        size = end - start
+        alike = size == size[lead]
+        alike[alike] = b.same_bytes(start[alike], start[lead[alike]], size[alike])
         if self.used > self.entries:
             self._clear()
         at = np.searchsorted(self.keys, uniq)
         known = np.zeros(len(uniq), bool)
         inside = at < len(self.keys)
         known[inside] = self.keys[at[inside]] == uniq[inside]
+        raw = b.buf.tobytes()
+        hit = np.flatnonzero(known)
+        place = np.zeros(len(uniq), np.int64)
+        place[hit] = self.place[at[hit]]
+        spans = list(zip(start[first].tolist(), end[first].tolist()))
+        clash = [u for u, p in zip(hit.tolist(), place[hit].tolist()) if raw[spans[u][0] : spans[u][1]] != self.raw[p]]
+        odd = np.flatnonzero(~alike).tolist()
         new = np.flatnonzero(~known)
-        if len(new):
-            raw = b.buf.tobytes()
-            s, e = start[first[new]].tolist(), end[first[new]].tolist()
-            made = self.encode([raw[i:j].decode("utf-8") for i, j in zip(s, e)])
-            self._grow(self.used + len(new))
-            for k, ids in enumerate(made, self.used):
+        own = [spans[u] for u in clash] + [(int(start[i]), int(end[i])) for i in odd]
+        if len(new) or own:
+            units = [raw[i:j] for i, j in [spans[u] for u in new.tolist()] + own]
+            made = self.encode([u.decode("utf-8") for u in units])
+            self._grow(self.used + len(units))
+            for k, (unit, ids) in enumerate(zip(units, made), self.used):
+                self.raw[k] = unit
                 self.ids[k] = array("I", ids).tobytes()
                 if self.decode:
                     self.out[k] = self.decode(ids)
-            self.place = np.insert(self.place, at[new], np.arange(self.used, self.used + len(new)))
+            fresh = np.arange(self.used, self.used + len(units))
+            place[new] = fresh[: len(new)]
+            place[clash] = fresh[len(new) : len(new) + len(clash)]
+            self.place = np.insert(self.place, at[new], fresh[: len(new)])
             self.keys = np.insert(self.keys, at[new], uniq[new])
-            self.used += len(new)
-            at = np.searchsorted(self.keys, uniq)
-        return self.place[at][inverse] if len(uniq) else np.zeros(0, np.int64)
+            self.used += len(units)
+        got = place[inverse]
+        got[odd] = np.arange(self.used - len(odd), self.used)
+        return got
 
     def _grow(self, n: int) -> None:
         if n > len(self.ids):
-            for name in ("ids", "out"):
+            for name in ("ids", "raw", "out"):
                 have = getattr(self, name)
                 if have is not None:
                     more = np.empty(max(n, 2 * len(have)), object)

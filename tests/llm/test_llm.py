@@ -68,6 +68,45 @@ def test_bpe_matches_the_library_on_whole_texts(spark, odd_docs, docs):
     assert Counter((r.n_tokens, r.ids_sha256, r.decoded_sha256, tuple(r.ids), r.decoded) for r in got) == want
 
 
+def _thue_morse(n):
+    """Two words of the letters a and b that any polynomial modulo 2^64 with an odd base takes for one."""
+    w = "a"
+    while len(w) < n:
+        w += w.translate({97: 98, 98: 97})
+    return w, w.translate({97: 98, 98: 97})
+
+
+def test_words_with_equal_polynomials_are_told_apart(spark):
+    import public_tokenizers
+
+    one, two = _thue_morse(1024)
+    texts = [f"x {one} y", f"x {two} y", one, two]
+    (b,) = blocks(pa.array(texts))
+    start, end, _ = b.runs()
+    assert len(set(b.hashes(start, end).tolist())) == 4
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    t = units.plain_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [list(r.ids) for r in bpe.encode_decode(rows, public_tokenizers.path("word_bpe_49k.json"), keep_ids=True).orderBy("doc_id").collect()] == want
+    t = units.plain_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    sizes = {r.doc_id: r.n for r in packing.pack_documents(rows).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    assert sizes == {i: len(t.encode(x, add_special_tokens=False).ids) + 1 for i, x in enumerate(texts)}
+    twice = spark.createDataFrame([(0, one), (1, two)], "doc_id long, text string")
+    assert {r.component_id for r in jaccard.jaccard_join(twice).collect()} == {0, 1}
+    known = ngramlm.lm_scores(spark.createDataFrame([(0, one, True), (1, two, False)], "doc_id long, text string, train boolean"))
+    assert {r.doc_id: r.n_known for r in known.collect()} == {0: 2, 1: 1}
+
+
+def test_memo_compares_bytes_behind_equal_hashes(monkeypatch):
+    monkeypatch.setattr(units.Block, "hashes", lambda self, start, end: np.zeros(len(start), np.uint64))
+    memo = units.UnitMemo(lambda us: [[ord(c) for c in u] for u in us])
+    for text in ("ab c ab dd", "dd ab", "c"):
+        (b,) = blocks(pa.array([text]))
+        start, end, _ = b.runs()
+        got = memo.ids[memo.lookup(b, start, end)]
+        assert [bytes(np.frombuffer(x, "<u4").astype(np.uint8)).decode() for x in got] == text.split()
+
+
 def test_bpe_reuses_shared_chunks(monkeypatch):
     import public_tokenizers
 
