@@ -81,10 +81,10 @@ class Block:
         """ASCII A-Z lower-cased, nothing else touched."""
         return Block(LOWER[self.buf], self.offs, self.row0)
 
-    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, end, first word of each text) of the maximal runs without ASCII white space."""
+    def runs(self, gap: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, first word of each text) of the maximal runs without ``gap`` bytes (ASCII white space)."""
         n = len(self.buf)
-        ink = ~WHITE[self.buf]
+        ink = ~gap[self.buf]
         edge = np.zeros(n + 1, bool)
         edge[self.offs] = True
         before = np.empty(n, bool)
