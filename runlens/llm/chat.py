@@ -181,7 +181,7 @@ _ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
 
 
 class _Expr:
-    """Expressions by precedence: if-else, or, and, not, comparison, + - ~, filters and fields."""
+    """Expressions by precedence: if-else, or, and, not, comparison, ~, + -, filters and fields."""
 
     def __init__(self, source: str):
         self.tokens, at, source = [], 0, source.rstrip()
@@ -248,8 +248,14 @@ class _Expr:
         return left
 
     def joined(self):
+        left = self.added()
+        while self.take("~"):
+            left = Apply("~", (left, self.added()))
+        return left
+
+    def added(self):
         left = self.piped()
-        while op := self.take("+", "-", "~"):
+        while op := self.take("+", "-"):
             left = Apply(op, (left, self.piped()))
         return left
 
@@ -361,7 +367,11 @@ def folded(expr):
         return Field(folded(expr.of), expr.name)
     if isinstance(expr, Filter):
         of, args = folded(expr.of), tuple(map(folded, expr.args))
-        if expr.name in FILTERS and all(isinstance(a, Const) for a in (of, *args)):
+        if expr.name not in FILTERS:
+            raise TemplateError(f"no filter {expr.name!r}")
+        if len(args) != (expr.name == "default"):
+            raise TemplateError(f"wrong number of arguments for {expr.name}")
+        if all(isinstance(a, Const) for a in (of, *args)):
             return Const(FILTERS[expr.name](of.value, *[a.value for a in args]))
         return Filter(of, expr.name, args)
     if isinstance(expr, Apply):
@@ -461,10 +471,6 @@ def _expression(expr, names: dict[str, str]) -> Callable:
             return lambda env: None if (m := getattr(env[source], side)) is None else getattr(m, name)
         raise TemplateError(f"no field {name!r} here")
     if isinstance(expr, Filter):
-        if expr.name not in FILTERS:
-            raise TemplateError(f"no filter {expr.name!r}")
-        if len(expr.args) != (expr.name == "default"):
-            raise TemplateError(f"wrong number of arguments for {expr.name}")
         run, of, args = FILTERS[expr.name], _expression(expr.of, names), [_expression(a, names) for a in expr.args]
         if not args:
             return lambda env: run(of(env))

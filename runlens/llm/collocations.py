@@ -272,30 +272,27 @@ def _extended(docs: DataFrame, filters: dict) -> DataFrame:
     return sent.groupBy(*names, "key").agg(F.sum("a").alias("a")).where(F.col("a") >= LEAST)
 
 
-def _dec(c) -> Column:
-    return (F.col(c) if isinstance(c, str) else c).cast("decimal(20,0)")
-
-
 def _score(a: str, l: str, r: str) -> Column:  # noqa: E741
-    """floor(2000000 a / (l + r)) as a long; exact, the product has up to 27 digits; null where a count is not known."""
+    """floor(2000000 a / (l + r)) as a long; exact, the product has up to 27 digits."""
     return F.expr(f"(cast(2000000 as decimal(7,0)) * cast({a} as decimal(20,0))) div (cast({l} as decimal(20,0)) + cast({r} as decimal(20,0)))").cast("long")
 
 
 def _lowest(df: DataFrame, cuts: list[tuple[str, str]]) -> DataFrame:
-    """Add l, r and score of the lowest-scoring cut (the first one of equals), and bound: the lowest of the known ones."""
+    """Add l, r and score of the lowest-scoring cut (the first one of equals)."""
     each = [_score("a", x, y) for x, y in cuts]
     df = df.select("*", *[e.alias(f"_s{i}") for i, e in enumerate(each)])
     names = [f"_s{i}" for i in range(len(cuts))]
     low = F.least(*names) if len(cuts) > 1 else F.col(names[0])
-    known = F.lit(True)
-    for n in names:
-        known = known & F.col(n).isNotNull()
     pick = F.coalesce(*[F.when(F.col(n) == low, F.struct(F.col(x).alias("l"), F.col(y).alias("r"))) for n, (x, y) in zip(names, cuts)])
-    return df.select("*", low.alias("most"), F.when(known, low).alias("score"), pick.alias("_cut")).select("*", "_cut.l", "_cut.r").drop("_cut", *names)
+    return df.select("*", low.alias("score"), pick.alias("_cut")).select("*", "_cut.l", "_cut.r").drop("_cut", *names)
 
 
 class _Mining:
-    """The tables of the search: pairs, three- and four-word phrases with their counts, scores and what is settled."""
+    """The tables of the search: pairs, three- and four-word phrases with their counts and scores.
+
+    ``most`` is the largest count of a phrase one word longer that holds this one, as far
+    as known; ``right`` and ``left`` tell to which sides all extensions were counted.
+    """
 
     def __init__(self, docs: DataFrame):
         spark = docs.sparkSession
@@ -309,101 +306,101 @@ class _Mining:
         on_b = self._filter(frequent.select(F.col("w").alias("key")))
         pairs = _pair_counts(self.docs, on_b, parts)
         of = lambda n: frequent.select("lang", F.col("w").alias(f"w{n}"), F.col("f").alias(f"f{n}"))
-        pairs = pairs.join(of(1), ["lang", "w1"]).join(of(2), ["lang", "w2"])
-        pairs = _lowest(pairs, [("f1", "f2")]).select("lang", "w1", "w2", "key", "a", "f1", "f2", "l", "r", "score", F.lit(False).alias("right"), F.lit(False).alias("left"))
-        self.pairs = cut_lineage(pairs)
+        pairs = _lowest(pairs.join(of(1), ["lang", "w1"]).join(of(2), ["lang", "w2"]), [("f1", "f2")])
+        self.state = [F.lit(0).cast("long").alias("most"), F.lit(False).alias("right"), F.lit(False).alias("left")]
+        self.pairs = cut_lineage(pairs.select("lang", "w1", "w2", "key", "a", "f1", "f2", "l", "r", "score", _bound().alias("bound"), *self.state))
         on_b.destroy()
         self.pair_filter = self._filter(self.pairs.select("key"))
-        none = "lang string, w1 long, w2 long, w3 long, "
-        self.threes = spark.createDataFrame([], none + "key long, a long, a12 long, a23 long, f1 long, f3 long, l long, r long, score long, right boolean, left boolean")
-        self.fours = spark.createDataFrame([], none + "w4 long, key long, a long")
+        words = "lang string, w1 long, w2 long, w3 long, "
+        self.threes = spark.createDataFrame([], words + "key long, a long, a12 long, a23 long, f1 long, f3 long, l long, r long, score long, bound long, most long, right boolean, left boolean")
+        self.fours = spark.createDataFrame([], words + "w4 long, a long, l long, r long, score long")
 
     def _filter(self, keys: DataFrame):
         return self.sc.broadcast(key_filters(keys.withColumn("kind", F.lit("all"))).get("all", bytes(FILTER_BITS // 8)))
 
-    def _kept(self, table: DataFrame, longer: DataFrame, n: int) -> DataFrame:
-        """``table`` (phrases of n words) with ``dropped``: a phrase one word longer holds it and is 0.8 times as frequent."""
-        words = [f"w{i + 1}" for i in range(n)]
-        sides = [F.struct(*[F.col(f"w{i + 1 + s}").alias(w) for i, w in enumerate(words)], F.col("a").alias("most")) for s in (0, 1)]
-        held = longer.select("lang", F.explode(F.array(*sides)).alias("p")).select("lang", "p.*").groupBy("lang", *words).agg(F.max("most").alias("most"))
-        return table.join(held, ["lang", *words], "left").withColumn("dropped", F.coalesce(F.expr("cast(100 as decimal(3,0)) * cast(most as decimal(20,0)) >= "
-                                                                                                  "cast(80 as decimal(2,0)) * cast(a as decimal(20,0))"), F.lit(False))).drop("most")
-
-    def _scored_fours(self) -> DataFrame:
-        """Four-word phrases with all counts that are known; the score is null until all of its cuts are."""
-        first = self.threes.select("lang", "w1", "w2", "w3", F.col("a").alias("a123"), "a12", "f1")
-        last = self.threes.select("lang", F.col("w1").alias("w2"), F.col("w2").alias("w3"), F.col("w3").alias("w4"), F.col("a").alias("a234"),
-                                  F.col("a23").alias("a34"), F.col("f3").alias("f4"))
-        pair = self.pairs.select("lang", F.col("w1").alias("w3"), F.col("w2").alias("w4"), F.col("a").alias("p34"), F.col("f2").alias("p4"))
-        full = (self.fours.join(first, ["lang", "w1", "w2", "w3"], "left").join(last, ["lang", "w2", "w3", "w4"], "left").join(pair, ["lang", "w3", "w4"], "left"))
-        return _lowest(full, [("f1", "a234"), ("a12", "p34"), ("a123", "p4")])
-
-    def state(self) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-        """(pairs, threes, fours, last score that counts, by language)."""
-        twos = self._kept(self.pairs, self.threes, 2)
-        threes = self._kept(self.threes, self.fours, 3)
-        fours = self._scored_fours().withColumn("dropped", F.lit(False))
-        alive = twos.where("not dropped").select("lang", "score")
-        for t in (threes, fours):
-            alive = alive.unionByName(t.where("not dropped and score is not null").select("lang", "score"))
-        place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score")))
-        last = (alive.withColumn("place", place).where(f"place <= {TOP}").groupBy("lang")
-                .agg(F.when(F.count("*") == TOP, F.min("score")).otherwise(F.lit(0)).alias("need")))
-        return twos, threes, fours, last
+    def _alive(self, columns: list[str]) -> DataFrame:
+        """Candidates that no known phrase drops."""
+        none = F.lit(0).cast("long")
+        twos = self.pairs.where(~_dropped()).withColumn("w3", none).withColumn("w4", none).select(columns)
+        return twos.unionByName(self.threes.where(~_dropped()).withColumn("w4", none).select(columns)).unionByName(self.fours.select(columns))
 
     def round(self) -> bool:
         """Count what the frontier and the unsettled candidates ask for; False if nothing is left to count."""
-        twos, threes, fours, last = self.state()
-        near = cut_lineage(last).select("lang", F.floor(F.col("need") * F.lit(SLACK)).alias("need"))
-        bound = _score("a", "f1", "a")
+        place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score")))
+        need = cut_lineage(self._alive(["lang", "score"]).withColumn("place", place).where(f"place <= {TOP}").groupBy("lang")
+                           .agg(F.floor(F.when(F.count("*") == TOP, F.min("score")).otherwise(F.lit(0)) * F.lit(SLACK)).alias("need")))
 
         def flagged(t: DataFrame) -> DataFrame:
-            t = t.join(near, "lang", "left").withColumn("need", F.coalesce("need", F.lit(0)))
-            settle = ~F.col("dropped") & (F.col("score") >= F.col("need"))
-            return t.withColumn("go_right", ~F.col("right") & (settle | (bound >= F.col("need")))).withColumn("go_left", ~F.col("left") & settle).drop("need", "dropped")
-
-        twos, threes = flagged(twos), cut_lineage(flagged(threes))
-        # a four-word phrase lacks the count of its last three words only while those two pairs were not extended
-        lacking = fours.join(near, "lang").where("score is null and a123 is not null and most >= need").select("lang", F.col("w2").alias("w1"), F.col("w3").alias("w2")).distinct()
-        twos = twos.join(lacking.withColumn("lacks", F.lit(True)), ["lang", "w1", "w2"], "left")
-        twos = cut_lineage(twos.withColumn("go_right", F.col("go_right") | (F.coalesce("lacks", F.lit(False)) & ~F.col("right"))).drop("lacks"))
-        asked = [t.where(f"go_{side}").select("key", F.lit(f"{side}{n}").alias("kind")) for n, t in ((2, twos), (3, threes)) for side in ("right", "left")]
-        made = key_filters(asked[0].unionByName(asked[1]).unionByName(asked[2]).unionByName(asked[3]))
-        filters = {k: self.sc.broadcast(made[k]) if k in made else None for k in ("right2", "left2", "right3", "left3")} | {"pairs": self.pair_filter}
-        done = lambda t: t.withColumn("right", F.col("right") | F.col("go_right")).withColumn("left", F.col("left") | F.col("go_left")).drop("go_right", "go_left")
-        self.pairs, self.threes = done(twos), done(threes)
+            t = t.join(need, "lang", "left").withColumn("need", F.coalesce("need", F.lit(0)))
+            settle = ~_dropped() & (F.col("score") >= F.col("need"))
+            return t.withColumn("go_right", ~F.col("right") & (settle | (F.col("bound") >= F.col("need")))).withColumn("go_left", ~F.col("left") & settle).drop("need")
+
+        threes, pairs = flagged(self.threes), flagged(self.pairs)
+        # a four-word phrase is scored by the count of its last three words, too: those of the two words between are counted along
+        along = threes.where("go_right").select("lang", F.col("w2").alias("w1"), F.col("w3").alias("w2"), F.lit(True).alias("along")).distinct()
+        pairs = pairs.join(along, ["lang", "w1", "w2"], "left").withColumn("go_right", F.col("go_right") | (~F.col("right") & F.coalesce("along", F.lit(False)))).drop("along")
+        pairs, threes = cut_lineage(pairs), cut_lineage(threes)
+        asked = [t.select("key", F.explode(F.array_compact(F.array(*[F.when(F.col(f"go_{s}"), F.lit(f"{s}{n}")) for s in ("right", "left")]))).alias("kind"))
+                 for n, t in ((2, pairs), (3, threes))]
+        made = key_filters(asked[0].unionByName(asked[1]))
         if not made:
             return False
+        filters = {k: self.sc.broadcast(made[k]) if k in made else None for k in ("right2", "left2", "right3", "left3")} | {"pairs": self.pair_filter}
         got = cut_lineage(_extended(self.docs, filters))
         for k, b in filters.items():
             if b and k != "pairs":
                 b.destroy()
-        new = got.where("w4 = 0").join(self.threes, ["lang", "w1", "w2", "w3"], "left_anti")
         p = self.pairs
-        new = (new.drop("w4").join(p.select("lang", "w1", "w2", F.col("a").alias("a12"), "f1"), ["lang", "w1", "w2"])
+        new = (got.where("w4 = 0").drop("w4").join(self.threes, ["lang", "w1", "w2", "w3"], "left_anti")
+               .join(p.select("lang", "w1", "w2", F.col("a").alias("a12"), "f1"), ["lang", "w1", "w2"])
                .join(p.select("lang", F.col("w1").alias("w2"), F.col("w2").alias("w3"), F.col("a").alias("a23"), F.col("f2").alias("f3")), ["lang", "w2", "w3"]))
-        new = _lowest(new, [("f1", "a23"), ("a12", "f3")]).withColumn("right", F.lit(False)).withColumn("left", F.lit(False)).select(self.threes.columns)
-        self.threes = cut_lineage(self.threes.unionByName(new))
-        more = got.where("w4 <> 0").select(self.fours.columns)
-        self.fours = cut_lineage(self.fours.unionByName(more).dropDuplicates(["lang", "w1", "w2", "w3", "w4"]))
+        new = _lowest(new, [("f1", "a23"), ("a12", "f3")]).withColumn("bound", _bound())
+        threes = _done(threes).unionByName(new.select(*[c for c in self.threes.columns if c not in ("most", "right", "left")], *self.state))
+        more = got.where("w4 <> 0")
+        self.threes = cut_lineage(_held(threes, more, 3))
+        self.pairs = cut_lineage(_held(_done(pairs), got.where("w4 = 0"), 2))
+        t = self.threes
+        four = (more.join(t.select("lang", "w1", "w2", "w3", F.col("a").alias("a123"), "a12", "f1"), ["lang", "w1", "w2", "w3"])
+                .join(t.select("lang", F.col("w1").alias("w2"), F.col("w2").alias("w3"), F.col("w3").alias("w4"), F.col("a").alias("a234"),
+                               F.col("a23").alias("a34"), F.col("f3").alias("f4")), ["lang", "w2", "w3", "w4"]))
+        four = _lowest(four, [("f1", "a234"), ("a12", "a34"), ("a123", "f4")]).select(self.fours.columns)
+        self.fours = cut_lineage(self.fours.unionByName(four).dropDuplicates(["lang", "w1", "w2", "w3", "w4"]))
         return True
 
     def best(self) -> DataFrame:
-        twos, threes, fours, _ = self.state()
-        cols = ["lang", "w1", "w2", "w3", "w4", "a", "l", "r", "score"]
-        all_ = twos.where("not dropped").withColumn("w3", F.lit(0).cast("long")).withColumn("w4", F.lit(0).cast("long")).select(cols)
-        all_ = all_.unionByName(threes.where("not dropped").withColumn("w4", F.lit(0).cast("long")).select(cols)).unionByName(fours.where("score is not null").select(cols))
+        all_ = self._alive(["lang", "w1", "w2", "w3", "w4", "a", "l", "r", "score"])
         # everything that ties with the last place stays until the phrases' texts decide
         first = all_.withColumn("place", F.rank().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a")))).where(f"place <= {TOP}").drop("place")
-        for i in range(1, 5):
-            word = self.words.where("word is not null").select(F.col("lang"), F.col("w").alias(f"w{i}"), F.col("word").alias(f"t{i}"))
-            first = first.join(word, ["lang", f"w{i}"], "left" if i > 2 else "inner")
-        first = first.withColumn("phrase", F.concat_ws(" ", "t1", "t2", "t3", "t4"))
-        first = first.join(self.words.where("word is null").select("lang", F.col("f").alias("n")), "lang")
+        first = first.withColumn("id", F.concat_ws(" ", "w1", "w2", "w3", "w4"))
+        spread = first.select("lang", "id", F.posexplode(F.filter(F.array("w1", "w2", "w3", "w4"), lambda w: w != 0)).alias("i", "w"))
+        texts = spread.join(self.words.where("word is not null"), ["lang", "w"]).groupBy("lang", "id").agg(
+            F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), " ").alias("phrase"))
+        first = first.join(texts, ["lang", "id"]).join(self.words.where("word is null").select("lang", F.col("f").alias("n")), "lang")
         rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase")))
         return first.withColumn("rank", rank.cast("long")).where(f"rank <= {TOP}").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
+def _bound() -> Column:
+    """No phrase that begins with this one scores more: its first word has the count f1, what follows one of at least its own."""
+    return _score("a", "f1", "a")
+
+
+def _dropped() -> Column:
+    return F.expr("cast(100 as decimal(3,0)) * cast(most as decimal(20,0)) >= cast(80 as decimal(2,0)) * cast(a as decimal(20,0))")
+
+
+def _done(t: DataFrame) -> DataFrame:
+    return t.withColumn("right", F.col("right") | F.col("go_right")).withColumn("left", F.col("left") | F.col("go_left")).drop("go_right", "go_left")
+
+
+def _held(t: DataFrame, longer: DataFrame, n: int) -> DataFrame:
+    """``t`` (phrases of n words) with ``most`` after more phrases of n + 1 words."""
+    words = [f"w{i + 1}" for i in range(n)]
+    sides = [F.struct(*[F.col(f"w{i + 1 + s}").alias(w) for i, w in enumerate(words)], F.col("a").alias("now")) for s in (0, 1)]
+    held = longer.select("lang", F.explode(F.array(*sides)).alias("p")).select("lang", "p.*").groupBy("lang", *words).agg(F.max("now").alias("now"))
+    return t.join(held, ["lang", *words], "left").withColumn("most", F.greatest("most", F.coalesce("now", F.lit(0)))).drop("now")
+
+
 def collocations(docs: DataFrame) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's first ``TOP`` collocations of ``docs`` (text, lang)."""
     mining = _Mining(docs)
