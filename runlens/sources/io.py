@@ -39,26 +39,79 @@ TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 _NULL_TOKEN = "\u0001NULL\u0001"
 
 
-def read_csv_dataset(spark: SparkSession, path: str, schema=None, multi_line: bool = True) -> DataFrame:
+def _csv_options(**more) -> dict[str, str]:
+    return {"multiLine": "true", "escape": '"', "timestampFormat": TS_FORMAT, "timestampNTZFormat": TS_FORMAT,
+            "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "nullValue": _NULL_TOKEN, **more}
+
+
+def _csv_rows(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """(row struct, _file, _block, _pos) of a CSV with a header: the last three give the rows' order in their files."""
+    from .splitscan import CSV, split_records, split_states
+
+    states = split_states(spark, path, CSV)
+    # the first line's end is the file's, as Spark's own reader detects it; in quotes it becomes a line feed
+    text = F.when(F.col("crlf"), F.regexp_replace(F.regexp_replace("text", "\r\n", "\n"), "\r$", "")).otherwise(F.col("text"))
+    records = split_records(spark, path, CSV, states).withColumn("text", text).where("not first and text <> ''")
+    if schema is None:
+        schema = _inferred(records.select("text"), states)
+    else:
+        schema = spark.createDataFrame([], schema).schema
+    ddl = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema)
+    row = F.from_csv("text", ddl, _csv_options()) if ddl else F.struct()
+    return records.select(row.alias("row"), F.col("file").alias("_file"), F.col("at").alias("_block"), F.col("pos").alias("_pos"))
+
+
+def _inferred(records: DataFrame, states: DataFrame):
+    """Schema of CSV records by Spark's own type inference; names are those of the first file's header."""
+    from pyspark.sql.types import StructField, StructType
+
+    spark = records.sparkSession
+    heads = states.where("at = 0 and trim(head) <> ''").orderBy("file").select(F.regexp_replace("head", "^\ufeff|\r$", "").alias("text")).limit(1)
+    if heads.isEmpty():
+        return StructType([])
+    as_text = lambda df: getattr(df._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    reader = lambda **o: spark.read.options(**_csv_options(**o))._jreader
+    names = [f["name"] for f in json.loads(reader(header="true").csv(as_text(heads)).schema().json())["fields"]]
+    # an empty line of as many cells comes first: it sets the number of columns, not their types
+    lines = spark.createDataFrame([("," * (len(names) - 1),)], "text string").unionByName(records)
+    found = StructType.fromJson(json.loads(reader(header="false", inferSchema="true").csv(as_text(lines)).schema().json()))
+    kinds = [f.dataType for f in found][: len(names)]
+    return StructType([StructField(n, k) for n, k in zip(names, kinds + [None] * (len(names) - len(kinds))) if k is not None])
+
+
+def read_csv_dataset(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """CSV with a header; types given, or inferred by a read of their own.
-    Quoted fields may span lines, so each file is one task's; files without
-    such fields are split between tasks with ``multi_line=False``."""
-    r = (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
-         .option("timestampFormat", TS_FORMAT).option("timestampNTZFormat", TS_FORMAT)
-         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-         .option("nullValue", _NULL_TOKEN))
-    r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
-    return r.csv(path)
+
+    Files are split between tasks although quoted fields may span lines (see
+    ``splitscan``).  Records end at a line feed, or at a carriage return and one if
+    a file's first line does; empty lines are skipped; a quote inside an unquoted field is text."""
+    return _csv_rows(spark, path, schema).select("row.*")
 
 
 def read_json_records(spark: SparkSession, path: str, schema=STANDARDIZED, lines: bool = False) -> DataFrame:
     """JSON documents, each a list of ``{INPUT, OUTPUT}`` records; a document
-    that is no list (any file's) is an error.  With ``lines`` the files hold one
-    record a line and are split between tasks."""
-    if not lines and not _holds_lists(spark, path):
+    that is no list (any file's) is an error, and so is a list that holds anything
+    but objects or is not closed.  Lists are split between tasks (see ``splitscan``).
+    With ``lines`` the files hold one record a line."""
+    if lines:
+        df = spark.read.schema(schema).json(path)
+        return df.select(*schema.fieldNames())  # drop discovered partition columns
+    from .splitscan import JSON_LIST, split_records, split_states
+
+    states = split_states(spark, path, JSON_LIST)  # the pass that finds where records begin sees the top level too
+    if not states.where("opening not in ('', '[')").isEmpty():
         raise ValueError("JSON data must be a list of records")
-    df = spark.read.option("multiLine", not lines).schema(schema).json(path)
-    return df.select(*schema.fieldNames())  # drop discovered partition columns
+    if not states.where("opening <> '' and closing <> -1").isEmpty():  # the list's bracket and one brace too many
+        raise ValueError("JSON data must be a closed list of records")
+    records = split_records(spark, path, JSON_LIST, states)
+    # between records: a bracket once, then commas; the last one's rest closes the list
+    opening = F.when((F.col("at") == 0) & (F.col("pos") == 0), F.lit(r"^\s*\[\s*")).otherwise(F.lit(r"^\s*,\s*"))
+    closing = F.when((F.col("at") == 0) & (F.col("pos") == 0), F.lit(r"^\s*(\[\s*\])?\s*$")).otherwise(F.lit(r"^\s*\]\s*$"))
+    body = F.regexp_replace(F.col("text"), opening, F.lit(""))
+    wrong = F.raise_error(F.lit("JSON data must be a closed list of records")).cast("string")
+    kept = (records.where(F.col("ended") | ~F.regexp_like("text", closing))
+            .select(F.when(F.col("ended") & F.startswith(body, F.lit("{")), F.concat(body, F.lit("}"))).otherwise(wrong).alias("text")))
+    return kept.select(F.from_json("text", schema).alias("r")).select("r.*")
 
 
 def _holds_lists(spark: SparkSession, path: str) -> bool:
@@ -344,21 +397,6 @@ def report_tables(runs: DataFrame, metrics: DataFrame, experiments: DataFrame,
 # ----------------------------------------------------------------------------- run imports
 
 
-def file_order(df: DataFrame) -> list:
-    """Order columns giving the rows' order in their files: file path, split
-    start, then position inside the split (ids grow in read order)."""
-    return [F.col("_file"), F.col("_block"), F.col("_pos")]
-
-
-def with_file_order(df: DataFrame) -> DataFrame:
-    return df.select(
-        "*",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_pos"),
-    )
-
-
 def import_runs(df: DataFrame, experiment_id: str, existing_ids: DataFrame | None = None,
                 source: str = "", order: list | None = None) -> DataFrame:
     """Rows of a results CSV as runs: ``id = <exp>_<n>`` and sample_index = n
@@ -396,8 +434,10 @@ def import_runs(df: DataFrame, experiment_id: str, existing_ids: DataFrame | Non
 
 def import_runs_csv(spark: SparkSession, csv_path: str, experiment_id: str,
                     existing_ids: DataFrame | None = None) -> DataFrame:
-    df = with_file_order(read_csv_dataset(spark, csv_path))
-    return import_runs(df, experiment_id, existing_ids, os.path.basename(csv_path.rstrip("/")), file_order(df))
+    """Runs of a results CSV (files are split between tasks), numbered in file order."""
+    place = ["_file", "_block", "_pos"]
+    df = _csv_rows(spark, csv_path).select("row.*", *place)
+    return import_runs(df, experiment_id, existing_ids, os.path.basename(csv_path.rstrip("/")), [F.col(c) for c in place])
 
 
 def flatten_run_records(records: DataFrame) -> DataFrame:
