@@ -9,15 +9,18 @@ into a first part and a rest, of floor(2000000 a / (l + r)).
 * A phrase p bounds all that grow from it: a longer phrase has a' <= a(p), its
   first word the same count l, and a rest that occurs at least a' times, so it
   scores at most floor(2000000 a / (l + a)).  The frontier is expanded best
-  bound first: a round takes every phrase whose bound reaches the 2000th best
+  bound first: a round takes every pair whose bound reaches the 2000th best
   score (ties included) among the candidates not known to be dropped, and counts
-  its extensions by one word to the right, two levels at a time, in one pass over the texts.
+  in one pass all that grows from it to the right, by one word and by two, and
+  what holds the three-word phrases among it with a word before them.
 * A candidate that reaches that score is settled by counting its extensions to
   both sides: it is dropped if one of them occurs 0.8 times as often.  (A phrase
   inside one two words longer is also inside the one between, which is as
-  frequent, so one word is enough.)
-* Rounds end when no phrase with a sufficient bound is left to expand and no
-  candidate with a sufficient score is left to settle: then the 2000th
+  frequent, so one word is enough.)  A three-word phrase that reaches it has a
+  pair in front whose bound does, so that pass has settled it.
+* Rounds end when no pair with a sufficient bound is left to expand, no
+  candidate with a sufficient score is left to settle, and no four-word phrase that
+  could have one lacks the count of its last three words: then the 2000th
   surviving score of each language, ties included, is settled.  To save passes
   a round also takes what reaches ``SLACK`` of that score; more is counted than
   needed, never less.
@@ -221,24 +224,28 @@ def _pair_counts(docs: DataFrame, on_b, parts: int) -> DataFrame:
 
 
 def _extended(docs: DataFrame, filters: dict) -> DataFrame:
-    """(lang, w1..w4, a, key): exact counts of the three- and four-word phrases that the filters ask for (w4 0: three words).
+    """(lang, w1..w4, a): exact counts of three- and four-word phrases (w4 0: three words) that hold
 
-    ``pairs``: all frequent pairs; ``right2`` / ``left2``: pairs to extend to a
-    side, ``right3`` / ``left3``: three-word phrases.  Counts below ``LEAST`` are left out.
+    * a pair of the filter ``right`` at their front, or (four words) in their middle;
+    * for three words: a pair of the filter ``left`` at their end.
+
+    All pairs in a phrase are frequent (filter ``pairs``).  Counts below ``LEAST`` are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         on = {k: np.frombuffer(b.value, np.uint8) if b else None for k, b in filters.items()}
         held: dict[str, list] = {}
 
-        def wanted(kind, key):
-            return _on(on[kind], key) if on[kind] is not None else np.zeros(len(key), bool)
+        def asked(kind, key, pair):
+            out = np.zeros(len(pair), bool)
+            if on[kind] is not None:
+                out[pair] = _on(on[kind], key)
+            return out
 
         def flush(lang):
             cols, c = _counted([np.concatenate(x) for x in zip(*held.pop(lang))])
-            key = _grown(_grown(cols[0], cols[1]), cols[2])
-            return pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), *[pa.array(x.view(np.int64)) for x in cols], pa.array(c),
-                                               pa.array(key.view(np.int64))], ["lang", "w1", "w2", "w3", "w4", "a", "key"])
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), *[pa.array(x.view(np.int64)) for x in cols], pa.array(c)],
+                                              ["lang", "w1", "w2", "w3", "w4", "a"])
 
         for batch in batches:
             for lang, texts in _by_language(batch):
@@ -247,19 +254,16 @@ def _extended(docs: DataFrame, filters: dict) -> DataFrame:
                     if len(w) < 3:
                         continue
                     at = np.flatnonzero(joined[:-1])
-                    k2 = _grown(w[at], w[at + 1])
-                    keep = _on(on["pairs"], k2)
+                    key = _grown(w[at], w[at + 1])
+                    keep = _on(on["pairs"], key)
                     pair = np.zeros(len(w), bool)  # a frequent pair begins at this word
                     pair[at[keep]] = True
-                    key2 = np.zeros(len(w), np.uint64)
-                    key2[at[keep]] = k2[keep]
-                    i = np.flatnonzero(pair[:-2] & pair[1:-1])
-                    take = wanted("right2", key2[i]) | wanted("left2", key2[i + 1])
-                    found = [(w[j], w[j + 1], w[j + 2], np.zeros(len(j), np.uint64)) for j in (i[take],) if len(j)]
-                    if on["right3"] is not None or on["left3"] is not None:
-                        i = np.flatnonzero(pair[:-3] & pair[1:-2] & pair[2:-1]) if len(w) > 3 else i[:0]
-                        take = wanted("right3", _grown(key2[i], w[i + 2])) | wanted("left3", _grown(key2[i + 1], w[i + 3]))
-                        found += [(w[j], w[j + 1], w[j + 2], w[j + 3]) for j in (i[take],) if len(j)]
+                    right, left = asked("right", key[keep], pair), asked("left", key[keep], pair)
+                    three = pair[:-2] & pair[1:-1]
+                    i = np.flatnonzero(three & (right[:-2] | left[1:-1]))
+                    j = np.flatnonzero(three[:-1] & pair[2:-1] & (right[:-3] | right[1:-2]))
+                    found = [(w[i], w[i + 1], w[i + 2], np.zeros(len(i), np.uint64)), (w[j], w[j + 1], w[j + 2], w[j + 3] if len(j) else w[j])]
+                    found = [x for x in found if len(x[0])]
                     if found:
                         held.setdefault(lang, []).extend(found)
                         if sum(len(h[0]) for h in held[lang]) > HELD:
@@ -267,9 +271,8 @@ def _extended(docs: DataFrame, filters: dict) -> DataFrame:
         for lang in list(held):
             yield flush(lang)
 
-    names = ["lang", "w1", "w2", "w3", "w4"]
-    sent = docs.mapInArrow(run, "lang string, w1 long, w2 long, w3 long, w4 long, a long, key long")
-    return sent.groupBy(*names, "key").agg(F.sum("a").alias("a")).where(F.col("a") >= LEAST)
+    sent = docs.mapInArrow(run, "lang string, w1 long, w2 long, w3 long, w4 long, a long")
+    return sent.groupBy("lang", "w1", "w2", "w3", "w4").agg(F.sum("a").alias("a")).where(F.col("a") >= LEAST)
 
 
 def _score(a: str, l: str, r: str) -> Column:  # noqa: E741
@@ -291,7 +294,7 @@ class _Mining:
     """The tables of the search: pairs, three- and four-word phrases with their counts and scores.
 
     ``most`` is the largest count of a phrase one word longer that holds this one, as far
-    as known; ``right`` and ``left`` tell to which sides all extensions were counted.
+    as known; ``right`` and ``left`` tell to which sides all extensions of a pair were counted.
     """
 
     def __init__(self, docs: DataFrame):
@@ -307,13 +310,14 @@ class _Mining:
         pairs = _pair_counts(self.docs, on_b, parts)
         of = lambda n: frequent.select("lang", F.col("w").alias(f"w{n}"), F.col("f").alias(f"f{n}"))
         pairs = _lowest(pairs.join(of(1), ["lang", "w1"]).join(of(2), ["lang", "w2"]), [("f1", "f2")])
-        self.state = [F.lit(0).cast("long").alias("most"), F.lit(False).alias("right"), F.lit(False).alias("left")]
-        self.pairs = cut_lineage(pairs.select("lang", "w1", "w2", "key", "a", "f1", "f2", "l", "r", "score", _bound().alias("bound"), *self.state))
+        none = F.lit(0).cast("long").alias("most")
+        self.pairs = cut_lineage(pairs.select("lang", "w1", "w2", "key", "a", "f1", "f2", "l", "r", "score", _bound().alias("bound"), none,
+                                              F.lit(False).alias("right"), F.lit(False).alias("left")))
         on_b.destroy()
         self.pair_filter = self._filter(self.pairs.select("key"))
         words = "lang string, w1 long, w2 long, w3 long, "
-        self.threes = spark.createDataFrame([], words + "key long, a long, a12 long, a23 long, f1 long, f3 long, l long, r long, score long, bound long, most long, right boolean, left boolean")
-        self.fours = spark.createDataFrame([], words + "w4 long, a long, l long, r long, score long")
+        self.threes = spark.createDataFrame([], words + "a long, a12 long, a23 long, f1 long, f3 long, l long, r long, score long, most long")
+        self.fours = spark.createDataFrame([], words + "w4 long, a long, l long, r long, score long, possible long")
 
     def _filter(self, keys: DataFrame):
         return self.sc.broadcast(key_filters(keys.withColumn("kind", F.lit("all"))).get("all", bytes(FILTER_BITS // 8)))
@@ -322,49 +326,48 @@ class _Mining:
         """Candidates that no known phrase drops."""
         none = F.lit(0).cast("long")
         twos = self.pairs.where(~_dropped()).withColumn("w3", none).withColumn("w4", none).select(columns)
-        return twos.unionByName(self.threes.where(~_dropped()).withColumn("w4", none).select(columns)).unionByName(self.fours.select(columns))
+        return (twos.unionByName(self.threes.where(~_dropped()).withColumn("w4", none).select(columns))
+                .unionByName(self.fours.where("score is not null").select(columns)))
 
     def round(self) -> bool:
         """Count what the frontier and the unsettled candidates ask for; False if nothing is left to count."""
         place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score")))
-        need = cut_lineage(self._alive(["lang", "score"]).withColumn("place", place).where(f"place <= {TOP}").groupBy("lang")
-                           .agg(F.floor(F.when(F.count("*") == TOP, F.min("score")).otherwise(F.lit(0)) * F.lit(SLACK)).alias("need")))
-
-        def flagged(t: DataFrame) -> DataFrame:
-            t = t.join(need, "lang", "left").withColumn("need", F.coalesce("need", F.lit(0)))
-            settle = ~_dropped() & (F.col("score") >= F.col("need"))
-            return t.withColumn("go_right", ~F.col("right") & (settle | (F.col("bound") >= F.col("need")))).withColumn("go_left", ~F.col("left") & settle).drop("need")
-
-        threes, pairs = flagged(self.threes), flagged(self.pairs)
-        # a four-word phrase is scored by the count of its last three words, too: those of the two words between are counted along
-        along = threes.where("go_right").select("lang", F.col("w2").alias("w1"), F.col("w3").alias("w2"), F.lit(True).alias("along")).distinct()
-        pairs = pairs.join(along, ["lang", "w1", "w2"], "left").withColumn("go_right", F.col("go_right") | (~F.col("right") & F.coalesce("along", F.lit(False)))).drop("along")
-        pairs, threes = cut_lineage(pairs), cut_lineage(threes)
-        asked = [t.select("key", F.explode(F.array_compact(F.array(*[F.when(F.col(f"go_{s}"), F.lit(f"{s}{n}")) for s in ("right", "left")]))).alias("kind"))
-                 for n, t in ((2, pairs), (3, threes))]
-        made = key_filters(asked[0].unionByName(asked[1]))
+        need = (self._alive(["lang", "score"]).withColumn("place", place).where(f"place <= {TOP}").groupBy("lang")
+                .agg(F.floor(F.when(F.count("*") == TOP, F.min("score")).otherwise(F.lit(0)) * F.lit(SLACK)).alias("need")))
+        need = cut_lineage(need.coalesce(1))  # a row for each language that has a candidate
+        pairs = self.pairs.join(need, "lang", "left").withColumn("need", F.coalesce("need", F.lit(0)))
+        settle = ~_dropped() & (F.col("score") >= F.col("need"))
+        pairs = pairs.withColumn("go_right", ~F.col("right") & (settle | (F.col("bound") >= F.col("need")))).withColumn("go_left", ~F.col("left") & settle).drop("need")
+        lacking = (self.fours.where("score is null").join(need, "lang").where("possible >= need")
+                   .select("lang", F.col("w2").alias("w1"), F.col("w3").alias("w2"), F.lit(True).alias("lacks")).distinct())
+        pairs = pairs.join(lacking, ["lang", "w1", "w2"], "left")
+        pairs = cut_lineage(pairs.withColumn("go_right", F.col("go_right") | (~F.col("right") & F.coalesce("lacks", F.lit(False)))).drop("lacks"))
+        sides = F.array_compact(F.array(*[F.when(F.col(f"go_{s}"), F.lit(s)) for s in ("right", "left")]))
+        made = key_filters(pairs.select("key", F.explode(sides).alias("kind")))
         if not made:
             return False
-        filters = {k: self.sc.broadcast(made[k]) if k in made else None for k in ("right2", "left2", "right3", "left3")} | {"pairs": self.pair_filter}
-        got = cut_lineage(_extended(self.docs, filters))
-        for k, b in filters.items():
-            if b and k != "pairs":
+        filters = {k: self.sc.broadcast(made[k]) if k in made else None for k in ("right", "left")}
+        got = cut_lineage(_extended(self.docs, filters | {"pairs": self.pair_filter}))
+        for b in filters.values():
+            if b:
                 b.destroy()
-        p = self.pairs
-        new = (got.where("w4 = 0").drop("w4").join(self.threes, ["lang", "w1", "w2", "w3"], "left_anti")
+        p, three, four = self.pairs, got.where("w4 = 0").drop("w4"), got.where("w4 <> 0")
+        new = (three.join(self.threes, ["lang", "w1", "w2", "w3"], "left_anti")
                .join(p.select("lang", "w1", "w2", F.col("a").alias("a12"), "f1"), ["lang", "w1", "w2"])
                .join(p.select("lang", F.col("w1").alias("w2"), F.col("w2").alias("w3"), F.col("a").alias("a23"), F.col("f2").alias("f3")), ["lang", "w2", "w3"]))
-        new = _lowest(new, [("f1", "a23"), ("a12", "f3")]).withColumn("bound", _bound())
-        threes = _done(threes).unionByName(new.select(*[c for c in self.threes.columns if c not in ("most", "right", "left")], *self.state))
-        more = got.where("w4 <> 0")
-        self.threes = cut_lineage(_held(threes, more, 3))
-        self.pairs = cut_lineage(_held(_done(pairs), got.where("w4 = 0"), 2))
+        new = _lowest(new, [("f1", "a23"), ("a12", "f3")]).withColumn("most", F.lit(0).cast("long")).select(self.threes.columns)
+        self.threes = cut_lineage(_held(self.threes.unionByName(new), four, 3))
+        pairs = pairs.withColumn("right", F.col("right") | F.col("go_right")).withColumn("left", F.col("left") | F.col("go_left")).drop("go_right", "go_left")
+        self.pairs = cut_lineage(_held(pairs, three, 2))
         t = self.threes
-        four = (more.join(t.select("lang", "w1", "w2", "w3", F.col("a").alias("a123"), "a12", "f1"), ["lang", "w1", "w2", "w3"])
+        four = four.unionByName(self.fours.select(four.columns)).dropDuplicates(["lang", "w1", "w2", "w3", "w4"])
+        four = (four.join(t.select("lang", "w1", "w2", "w3", F.col("a").alias("a123"), "a12", "f1"), ["lang", "w1", "w2", "w3"], "left")
                 .join(t.select("lang", F.col("w1").alias("w2"), F.col("w2").alias("w3"), F.col("w3").alias("w4"), F.col("a").alias("a234"),
-                               F.col("a23").alias("a34"), F.col("f3").alias("f4")), ["lang", "w2", "w3", "w4"]))
-        four = _lowest(four, [("f1", "a234"), ("a12", "a34"), ("a123", "f4")]).select(self.fours.columns)
-        self.fours = cut_lineage(self.fours.unionByName(four).dropDuplicates(["lang", "w1", "w2", "w3", "w4"]))
+                               F.col("a23").alias("a34"), F.col("f3").alias("f4")), ["lang", "w2", "w3", "w4"], "left"))
+        # without its first three words a phrase grew from a pair that does not reach the needed score; without its last three it scores at most this
+        four = _lowest(four, [("f1", "a234"), ("a12", "a34"), ("a123", "f4")]).withColumn("possible", F.when(F.col("a123").isNotNull(), _score("a", "f1", "a")))
+        whole = F.col("a123").isNotNull() & F.col("a234").isNotNull()
+        self.fours = cut_lineage(four.withColumn("score", F.when(whole, F.col("score"))).select(self.fours.columns))
         return True
 
     def best(self) -> DataFrame:
@@ -389,10 +392,6 @@ def _dropped() -> Column:
     return F.expr("cast(100 as decimal(3,0)) * cast(most as decimal(20,0)) >= cast(80 as decimal(2,0)) * cast(a as decimal(20,0))")
 
 
-def _done(t: DataFrame) -> DataFrame:
-    return t.withColumn("right", F.col("right") | F.col("go_right")).withColumn("left", F.col("left") | F.col("go_left")).drop("go_right", "go_left")
-
-
 def _held(t: DataFrame, longer: DataFrame, n: int) -> DataFrame:
     """``t`` (phrases of n words) with ``most`` after more phrases of n + 1 words."""
     words = [f"w{i + 1}" for i in range(n)]
