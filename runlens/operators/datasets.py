@@ -80,17 +80,15 @@ def head_n(df: DataFrame, n: int, order: list) -> DataFrame:
 
 def sample_seeded(df: DataFrame, n: int, id_col: str, seed: int = 42) -> DataFrame:
     """``n`` pseudo-random rows, the same on every run for a seed: ordered by
-    md5(id || '-' || seed) then id (ids are unique).  Whole table when
-    n >= size; n <= 0 is an error.  (Not the reference's rows: its shuffle is
-    numpy's.)"""
+    md5(id || '-' || seed), then id.  Rows are picked, not ids: repeated ids are
+    rows of their own (told apart by their other columns), a NULL id is an empty
+    text.  Whole table when n >= size; n <= 0 is an error.  (Not the reference's
+    rows: its shuffle is numpy's.)"""
     if n <= 0:
         raise ValueError("Sample size must be positive")
-    h = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"-{seed}")))
-    # pick the ids from the id column alone, then fetch just those rows: the
-    # chosen side has at most n rows, so it is broadcast when n is small
-    chosen = df.select(F.col(id_col), h.alias("_h")).orderBy("_h", id_col).limit(n)
-    chosen = F.broadcast(chosen) if n <= 100_000 else chosen
-    return df.join(chosen, id_col, "left_semi").orderBy(h, F.col(id_col))
+    h = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f"-{seed}")))
+    rest = [F.col(f"`{c}`") for c, t in df.dtypes if "map<" not in t]  # maps have no hash
+    return df.orderBy(h, F.col(id_col), F.xxhash64(*rest)).limit(n)
 
 
 def union_question_sets(sets: dict[str, DataFrame], chosen: Iterable[str], order_col: str,

@@ -358,6 +358,11 @@ def experiment_summary(
         (F.sum("ok") / F.sum("w")).alias("parsing_success_rate"),
         F.max("created_at").alias("last_run_at"),
     )
+    return experiment_overview(experiments, agg, experiment_id)
+
+
+def experiment_overview(experiments: DataFrame, agg: DataFrame, experiment_id: str | None = None) -> DataFrame:
+    """Every experiment with its aggregates, zeros when it has no runs."""
     e = experiments if experiment_id is None else experiments.filter(F.col("id") == experiment_id)
     e = e.select(F.col("id").alias("experiment_id"), "name", "status", "created_at")
     out = e.join(agg, "experiment_id", "left")
@@ -402,7 +407,12 @@ def compare_approaches(
         (F.sum(w * flag(F.col("is_correct").isNull())) / F.sum(w)).alias("failure_rate"),
         (F.sum("ok") / F.sum(w)).alias("parsing_success_rate"),
     )
-    out = out.select(
+    return approach_comparison(out)
+
+
+def approach_comparison(agg: DataFrame) -> DataFrame:
+    """Aggregates per (experiment, approach), zeros for missing ones, best accuracy first within an experiment."""
+    out = agg.select(
         "experiment_id",
         "approach_name",
         F.col("sample_count").cast("long").alias("sample_count"),
@@ -737,16 +747,35 @@ def preprocessing_usage(links: DataFrame, preprocessing_id: str | None = None) -
     return out.orderBy("preprocessing_id", F.col("created_at").desc_nulls_last(), "experiment_id")
 
 
+STEP_SLICE = 4096
+
+
 def rollup_steps(steps: DataFrame, run_col: str = "run_id", order_col: str = "step", sep: str = "\n\n") -> DataFrame:
     """Multi-call run: sum tokens and time, count steps, refined flag, and the
-    step texts joined in step order."""
-    ordered = F.sort_array(F.collect_list(F.struct(F.col(order_col).alias("o"), F.col("text").alias("t"))))
-    return steps.groupBy(run_col).agg(
+    step texts joined in step order.
+
+    A run's texts are folded in two levels: steps are put in order by a range sort
+    that cuts a long run over tasks, each slice of ``STEP_SLICE`` neighbouring steps is joined
+    on its own, and the slices are joined by their place.  So no task sorts or lists all
+    steps of a run: what meets in one row is one text a slice, and the result."""
+    from .common import running_sums
+
+    runs = steps.groupBy(run_col).agg(
         F.sum("prompt_tokens").alias("prompt_tokens"),
         F.sum("completion_tokens").alias("completion_tokens"),
         F.sum("total_tokens").alias("total_tokens"),
         F.sum("generation_time").alias("generation_time"),
         F.count(F.lit(1)).alias("step_count"),
         (F.count(F.lit(1)) > 1).alias("refined"),
-        F.array_join(F.transform(ordered, lambda s: s["t"]), sep).alias("text"),
     )
+    text = steps.select(F.col(run_col).alias("_run"), F.col(order_col).alias("_o"), F.col("text").alias("_t"))
+    # the run as a struct: rows of a run without a name meet like others
+    text = text.withColumn("_run", F.struct("_run"))
+    placed = running_sums(text, ["_run"], [F.col("_o").asc_nulls_first(), F.col("_t").asc_nulls_first()], {"_n": F.lit(1)})
+    in_order = lambda place, value: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(place).alias("p"), F.col(value).alias("t")))), lambda s: s["t"]), sep)
+    # a slice of steps without any text joins to nothing and is left out, as a step without one is
+    slices = placed.groupBy("_run", F.floor(F.col("_n") / STEP_SLICE).alias("_slice")).agg(
+        F.when(F.count("_t") > 0, in_order("_n", "_t")).alias("_text"))
+    joined = slices.groupBy("_run").agg(in_order("_slice", "_text").alias("text"))
+    joined = joined.select(F.col("_run._run").alias("_run"), "text")
+    return runs.join(joined, runs[run_col].eqNullSafe(joined["_run"]), "left").select(*runs.columns, "text")

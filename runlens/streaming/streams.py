@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import threading
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
@@ -98,6 +98,17 @@ def ingest_runs_stream(spark: SparkSession, source: str, schema, table_base: str
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
 
+def ingest_runs_keyed(spark: SparkSession, source: str, schema, table, checkpoint: str, max_files_per_trigger: int | None = None):
+    """Streaming writer upserting arriving results into a ``KeyedTable``: a micro-batch
+    reads and replaces only the files that hold its keys; a replayed one is not done again."""
+    stream = _reader(spark, schema, max_files_per_trigger).parquet(source)
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        table.upsert(results_to_runs(batch), ["created_at"], tag=f"{checkpoint}#{batch_id}")
+
+    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+
+
 def current_runs(spark: SparkSession, table_base: str, initial: DataFrame | None = None) -> DataFrame | None:
     return read_merged(spark, table_base, ["id"], ["created_at"], initial)
 
@@ -148,6 +159,32 @@ def _flag(w: DataFrame, seconds: int) -> DataFrame:
     )
 
 
+SLICE_SECONDS = 60
+
+
+def sliding_rate_audit(calls: DataFrame, seconds: int = 1) -> DataFrame:
+    """Calls of each provider in the ``seconds`` up to and with each time of a call, against
+    the provider's ceiling: the ceiling holds for any second, so a burst over the edge of
+    two windows counts as one (an interval with most calls ends at a call).
+
+    Calls of one time are counted first.  Time is cut into slices; a slice also gets the
+    counts of the last ``seconds`` before it, so a window stays inside its slice and a provider
+    with most of the calls is as many groups as it has slices.  Calls without a time are left out.
+    """
+    span, step = seconds * 1_000_000, max(SLICE_SECONDS, seconds) * 1_000_000
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    counted = calls.where(F.col("ts").isNotNull()).groupBy("provider", at.alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
+    own = F.floor(F.col("_at") / step)
+    # the slice after is a call's, too, if a window that ends there can reach back to it
+    slices = F.array_distinct(F.array(own, F.floor((F.col("_at") + span - 1) / step)))
+    dealt = counted.select("provider", "_at", "_n", own.alias("_own"), F.explode(slices).alias("_slice"))
+    w = Window.partitionBy("provider", "_slice").orderBy("_at").rangeBetween(-(span - 1), 0)
+    out = dealt.withColumn("calls", F.sum("_n").over(w)).where("_slice = _own")
+    end = F.timestamp_micros("_at")
+    return out.select("provider", (end - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds))).alias("window_start"), end.alias("window_end"), "calls",
+                      ceiling("provider").alias("ceiling"), (F.col("calls") / F.lit(float(seconds)) > ceiling("provider")).alias("over_limit"))
+
+
 def rate_audit_stream(spark: SparkSession, source: str, schema, out_base: str, checkpoint: str,
                       watermark: str = "10 seconds", seconds: int = 1, max_files_per_trigger: int | None = None):
     """Streaming audit of request rates per provider (update mode)."""
