@@ -101,6 +101,27 @@ def _q(fx):
     return IO.report_tables(fx.runs_v, fx.parsing_metrics_v, fx.experiments_v)["comparison"]
 
 
+@query("report_tables_summary", ["runs_v", "parsing_metrics_v", "experiments_v"], section="2.1", oracle="""
+SELECT experiment_id AS "Experiment ID", count(*) AS "Total Runs",
+       avg(CASE WHEN is_correct THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS "Accuracy",
+       coalesce(avg(execution_time_ms), 0.0) AS "Avg Time (ms)", coalesce(sum(cost_estimate), 0.0) AS "Total Cost",
+       array_to_string(list_sort(list(DISTINCT approach_name)), ', ') AS "Approaches",
+       array_to_string(list_sort(list(DISTINCT model)), ', ') AS "Models"
+FROM runs_v WHERE experiment_id IN (SELECT id FROM experiments_v) GROUP BY experiment_id
+""")
+def _q(fx):
+    return IO.report_tables(fx.runs_v, fx.parsing_metrics_v, fx.experiments_v)["summary"]
+
+
+@query("report_tables_detail", ["runs_v", "parsing_metrics_v"], section="2.1", oracle="""
+SELECT experiment_id, approach_name, model, sample_index, input_text, expected_answer, parsed_answer,
+       is_correct, parsing_confidence, execution_time_ms, cost_estimate
+FROM runs_v ORDER BY experiment_id, approach_name, sample_index
+""")
+def _q(fx):
+    return IO.report_tables(fx.runs_v, fx.parsing_metrics_v, fx.experiments_v)["detail"]
+
+
 @query("import_runs_csv", [], section="2.1", oracle="""
 SELECT concat('exp_import_', CAST(n AS VARCHAR)) AS id, 'exp_import' AS experiment_id, approach AS approach_name,
        provider, model, n AS sample_index, "input" AS input_text, expected AS expected_answer, "output" AS raw_output,

@@ -125,6 +125,10 @@ SELECT e.id, e.name, e.status, coalesce(l.dataset_name, e.dataset_name) AS datas
 FROM experiments_v e LEFT JOIN latest l ON e.id = l.experiment_id
 """)
 def _q(fx):
+    return _linked(fx)[1]
+
+
+def _linked(fx):
     e = fx.experiments_v.select(
         "id", "name", "status", "dataset_name",
         F.lit(None).cast("string").alias("preprocessing_id"),
@@ -139,9 +143,19 @@ def _q(fx):
         F.concat(F.lit("rules/"), F.col("c_custkey").cast("string")).alias("rules_path"),
         F.concat(F.lit("out/"), F.col("c_custkey").cast("string")).alias("eval_output_path"),
     )
-    links = fx.prep_link_v
-    _, stamped = M.link_preprocessing(links, e, new_links)
-    return stamped
+    return M.link_preprocessing(fx.prep_link_v, e, new_links)
+
+
+@query("link_preprocessing_links", ["prep_link_v"], section="2.13", oracle="""
+SELECT id, experiment_id, preprocessing_id, dataset_name, CAST(NULL AS VARCHAR) AS rules_path, CAST(NULL AS VARCHAR) AS eval_output_path FROM prep_link_v
+UNION ALL
+SELECT 100000 + c_custkey, concat('exp_', CAST(c_custkey % 22 AS VARCHAR)), concat('prep_', CAST(c_custkey % 100 AS VARCHAR)), 'ds_new',
+       concat('rules/', CAST(c_custkey AS VARCHAR)), concat('out/', CAST(c_custkey AS VARCHAR))
+FROM customer
+""")
+def _q(fx):
+    """The link table after new links were appended."""
+    return _linked(fx)[0].select("id", "experiment_id", "preprocessing_id", "dataset_name", "rules_path", "eval_output_path")
 
 
 @query("expire_experiments", ["experiments_v", "runs_v", "parsing_metrics_v", "prep_link_v"], section="2.13", oracle="""

@@ -122,6 +122,46 @@ def _q(fx):
     return R.performance_metrics(r)
 
 
+@query("performance_metrics_metadata", ["runs_v"], section="2.2", oracle="""
+WITH r AS (
+  SELECT *, CASE sample_index % 8 WHEN 0 THEN 'TreeOfThought' WHEN 1 THEN 'ChainOfVerification' WHEN 2 THEN 'SkeletonOfThought'
+                 WHEN 3 THEN 'AsPlanning' WHEN 4 THEN 'GraphOfThought' ELSE approach_name END AS a,
+         sample_index % 3 > 0 AS has, sample_index % 11 AS m FROM runs_v)
+SELECT id, a AS approach_name, CAST(execution_time_ms AS DOUBLE) / 1000 AS execution_time, total_tokens,
+       total_tokens - total_tokens // 3 AS prompt_tokens, total_tokens // 3 AS completion_tokens, cost_estimate, length(input_text) AS response_length,
+       CASE WHEN has THEN m ELSE 1 END AS reasoning_depth,
+       CASE WHEN a IN ('TreeOfThought', 'GraphOfThought') THEN CASE WHEN has THEN m + 1 ELSE 1 END END AS branch_exploration,
+       CASE WHEN a IN ('TreeOfThought', 'GraphOfThought') THEN CASE WHEN has THEN concat('path ', CAST(m AS VARCHAR)) ELSE 'unknown' END END AS selected_path,
+       CASE WHEN a = 'ChainOfVerification' THEN CASE WHEN has THEN m + 2 ELSE 1 END END AS verification_steps,
+       CASE WHEN a = 'ChainOfVerification' THEN CASE WHEN has THEN CAST(m AS DOUBLE) / 16 ELSE 0.5 END END AS verification_confidence,
+       CASE WHEN a = 'SkeletonOfThought' THEN CASE WHEN has THEN m + 3 ELSE 1 END END AS outline_depth,
+       CASE WHEN a = 'SkeletonOfThought' THEN CASE WHEN has THEN CAST(m AS DOUBLE) / 4 ELSE 1.0 END END AS expansion_ratio,
+       CASE WHEN a = 'AsPlanning' THEN CASE WHEN has THEN m + 4 ELSE 1 END END AS planning_stages,
+       CASE WHEN a = 'AsPlanning' THEN CASE WHEN has THEN m + 5 ELSE 0 END END AS risk_assessments
+FROM r
+""")
+def _q(fx):
+    """The approach-specific fields from metadata maps: a third of the runs have none and get the defaults."""
+    s, m = F.col("sample_index"), F.col("sample_index") % 11
+    approach = F.when(s % 8 < 5, F.element_at(F.array(*map(F.lit, ("TreeOfThought", "ChainOfVerification", "SkeletonOfThought", "AsPlanning", "GraphOfThought"))),
+                                              F.least(s % 8, F.lit(4)).cast("int") + 1)).otherwise(F.col("approach_name"))
+    fields = {"reasoning_steps": m, "branches_explored": m + 1, "selected_path": F.concat(F.lit("path "), m.cast("string")), "verification_count": m + 2,
+              "verification_confidence": m / 16, "outline_depth": m + 3, "expansion_ratio": m / 4, "planning_stages": m + 4, "risk_assessments": m + 5}
+    metadata = F.create_map(*[x for k, v in fields.items() for x in (F.lit(k), v.cast("string"))])
+    r = fx.runs_v.select(
+        "id",
+        approach.alias("approach_name"),
+        (F.col("execution_time_ms").cast("double") / 1000).alias("execution_time"),
+        "total_tokens",
+        (F.col("total_tokens") - F.floor(F.col("total_tokens") / 3)).cast("long").alias("prompt_tokens"),
+        F.floor(F.col("total_tokens") / 3).cast("long").alias("completion_tokens"),
+        "cost_estimate",
+        F.col("input_text").alias("text"),
+        F.when(s % 3 > 0, metadata).alias("metadata"),
+    )
+    return R.performance_metrics(r)
+
+
 @query("accuracy_breakdown", ["runs_v"], section="2.2", oracle="""
 WITH b AS (
   SELECT id AS sample_id, coalesce(expected_answer, 'N/A') AS e,

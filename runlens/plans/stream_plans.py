@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from ..streaming import resume as RS
 from ..streaming import streams as ST
 from .maintain_plans import RESULTS_SQL, RUN_COLS, _results
 from .registry import query
@@ -67,27 +68,44 @@ def _q(fx):
 
 @query("stream_resume", ["runs_v", "responses_v"], section="2.14", oracle=UPSERT_SQL)
 def _q(fx):
-    """Stop after two files, resume with nothing new (0 rows), add the third
-    file and resume again: the result equals one pass over all files."""
+    """Stop after two files, resume with nothing new (0 rows), then with the third
+    file and one that repeats samples of the first two at another cost: those
+    are done and skipped, so the result equals one pass over all files."""
     spark = fx.spark
     base = scratch_path(spark, "resume")
     results = _results(fx)
     src, tbl, ckpt = f"{base}/source", f"{base}/table", f"{base}/ckpt"
     key = F.col("sample_index")
+    writer = lambda: RS.resume_stream(spark, src, results.schema, tbl, ckpt, max_files_per_trigger=4)
     for i in range(2):
         results.filter(key % 3 == i).write.mode("append").parquet(src)
-    first = ST.run_available(ST.ingest_runs_stream(spark, src, results.schema, tbl, ckpt, 4))
-    again = ST.run_available(ST.ingest_runs_stream(spark, src, results.schema, tbl, ckpt, 4))
+    first = ST.run_available(writer())
+    again = ST.run_available(writer())
     if again != 0:
         raise AssertionError(f"resumed stream re-read {again} rows")
     results.filter(key % 3 == 2).write.mode("append").parquet(src)
-    third = ST.run_available(ST.ingest_runs_stream(spark, src, results.schema, tbl, ckpt, 4))
+    results.filter(key % 3 != 2).withColumn("cost", F.lit(9.9)).write.mode("append").parquet(src)
+    third = ST.run_available(writer())
     if first == 0 or third == 0:
         raise AssertionError("stream read no rows")
     initial = fx.runs_v.select(*RUN_COL_LIST)
     return ST.current_runs(spark, tbl, initial).select(*RUN_COL_LIST)
 
 
+@query("pending_by_state", ["responses_v"], section="2.14", oracle="""
+SELECT concat('exp_', CAST(id % 20 AS VARCHAR)) AS experiment_id, approach_name, id AS sample_index FROM responses_v WHERE id % 3 = 2
+""")
+def _q(fx):
+    """The work list of all samples after results of two thirds of them came in: what the stream's state does not hold as done."""
+    spark = fx.spark
+    base = scratch_path(spark, "pending")
+    results = _results(fx)
+    results.filter(F.col("sample_index") % 3 != 2).write.parquet(f"{base}/source")
+    ST.run_available(RS.resume_stream(spark, f"{base}/source", results.schema, f"{base}/table", f"{base}/ckpt"))
+    grid = results.select("experiment_id", F.col("approach").alias("approach_name"), "sample_index")
+    return RS.pending_by_state(spark, grid, f"{base}/ckpt")
+
+
 @query("call_rate_audit", ["call_log_v"], section="2.14", oracle="""
 SELECT provider, date_trunc('second', ts) AS window_start, date_trunc('second', ts) + INTERVAL 1 SECOND AS window_end,
        count(*) AS calls,
@@ -114,3 +132,16 @@ def _q(fx):
     out = ST.current_rates(spark, f"{base}/out")
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")).withColumn(
         "window_end", F.col("window_end").cast("timestamp_ntz"))
+
+
+@query("call_rate_audit_sliding", ["call_log_v"], section="2.14", oracle="""
+WITH c AS (
+  SELECT DISTINCT provider, ts,
+    count(*) OVER (PARTITION BY provider ORDER BY ts RANGE BETWEEN INTERVAL 999999 MICROSECONDS PRECEDING AND CURRENT ROW) AS calls,
+    CAST(CASE provider WHEN 'anthropic' THEN 5.0 WHEN 'cohere' THEN 10.0 WHEN 'openrouter' THEN 2.0 ELSE 1.0 END AS DOUBLE) AS ceiling
+  FROM call_log_v)
+SELECT provider, ts - INTERVAL 1 SECOND AS window_start, ts AS window_end, calls, ceiling, calls > ceiling AS over_limit FROM c
+""")
+def _q(fx):
+    out = ST.sliding_rate_audit(fx.call_log_v)
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")).withColumn("window_end", F.col("window_end").cast("timestamp_ntz"))

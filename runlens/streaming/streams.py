@@ -35,7 +35,7 @@ DEFAULT_CEILING = 1.0
 def run_available(writer) -> int:
     """Start a query with ``trigger(availableNow=True)``, wait for it, and
     return the number of input rows it processed, over all its micro-batches."""
-    spark = SparkSession.active()
+    spark = writer._spark  # the session that the query runs in
     counter = _InputRows()
     spark.streams.addListener(counter)
     try:
