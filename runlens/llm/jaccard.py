@@ -19,7 +19,7 @@ them:
    smallest component that the list holds); each set proposes one pair, with
    the hub that most of its lists point at.  So a group of near copies costs
    one pair a set, not the square of its size.  Proposed pairs must pass an
-   exact bound on the overlap from ``BITS``-bit maps of the sets; then they get
+   exact bound on the overlap from bit maps of the sets (``SPARE`` bits a shingle or more); then they get
    both sets and must also share a prefix token under the orders B and C (two
    independent token permutations on top of the sketch's levels) before the
    sets are intersected.
@@ -51,8 +51,10 @@ SKETCH = 1 << 22
 SKETCH_BLOCK = 1 << 14
 FILTER_BITS = 1 << 25
 BITS = 2048
+SPARE = 4
 STAR_ROUNDS = 2
 LIST_ROWS = 4096  # longer posting lists are compared block against block
+GROUP_ROWS = 16_384  # members of lists that one task compares at a time
 
 
 def _signature(tokens: np.ndarray) -> int:
@@ -63,9 +65,32 @@ def _signature(tokens: np.ndarray) -> int:
 
 
 def _bitmap(tokens: np.ndarray) -> bytes:
-    on = np.zeros(BITS, bool)
-    on[(mix64(tokens, 15) % np.uint64(BITS)).astype(np.int64)] = True
-    return np.packbits(on).tobytes()
+    """One bit a token; ``SPARE`` bits or more for each, so the bound does not fade with the set's size."""
+    bits = max(BITS, 1 << (SPARE * len(tokens) - 1).bit_length()) if len(tokens) else BITS
+    on = np.zeros(bits, bool)
+    on[(mix64(tokens, 15) & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(on, bitorder="little").tobytes()
+
+
+def _folded(maps: np.ndarray, words: int) -> np.ndarray:
+    """Bit maps (rows of 64-bit words) as they would be with fewer bits: the halves laid on each other."""
+    while maps.shape[1] > words:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] | maps[:, half:]
+    return maps
+
+
+def _differing(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """Number of differing bits of each pair of maps, the larger one folded to the smaller one's size."""
+    out = np.zeros(len(x), np.int64)
+    sizes = np.array([(len(a), len(b)) for a, b in zip(x, y)], np.int64).reshape(-1, 2)
+    for nx, ny in np.unique(sizes, axis=0):
+        i = np.flatnonzero((sizes == (nx, ny)).all(1))
+        a = np.frombuffer(b"".join([x[k] for k in i]), np.uint64).reshape(len(i), -1)
+        b = np.frombuffer(b"".join([y[k] for k in i]), np.uint64).reshape(len(i), -1)
+        words = min(nx, ny) // 8
+        out[i] = np.bitwise_count(_folded(a, words) ^ _folded(b, words)).sum(1)
+    return out
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -186,8 +211,8 @@ def _within_bound(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
 
     def check(batches):
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("x", "y"))
-            both = (b.column("na").to_numpy() + b.column("nb").to_numpy() - np.bitwise_count(x ^ y).sum(1)) // 2
+            differing = _differing(b.column("x").to_pylist(), b.column("y").to_pylist())
+            both = (b.column("na").to_numpy() + b.column("nb").to_numpy() - differing) // 2
             keep = 100 * both >= percent * (b.column("na").to_numpy() + b.column("nb").to_numpy() - both)
             yield b.select(["a", "b"]).filter(pa.array(keep))
 
@@ -199,35 +224,78 @@ def _within_bound(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
 def _crossing(rest: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     """(a, b) pairs of one list and different components that pass the size and bit-map bounds.
 
-    Lists with the same members are compared once.  A group holds two blocks
-    of one list, so its memory is bounded however long the list is, and only
-    pairs that pass leave it.
+    Sets that share one rare token share many, so a pair lies in many lists.
+    Lists with the same members are compared once, and lists with the same hub meet in one
+    group (cut at ``GROUP_ROWS``), which gives a pair once.  Long lists are compared in
+    blocks, so a group's memory is bounded however long a list is.
     """
-    lists = rest.groupBy("token").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("sig")).alias("h1"), F.bit_xor(F.xxhash64("sig", F.lit(1))).alias("h2"))
-    once = lists.groupBy("m", "h1", "h2").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("m") / LIST_ROWS).cast("int").alias("nb"))
+    lists = rest.groupBy("token").agg(F.count("*").alias("m"), F.first("hsig").alias("hub"), F.bit_xor(F.xxhash64("sig")).alias("h1"),
+                                      F.bit_xor(F.xxhash64("sig", F.lit(1))).alias("h2"))
+    once = cut_lineage(lists.groupBy("m", "h1", "h2").agg(F.min(F.struct("token", "hub")).alias("l")).select("l.*", "m"))
+    size = once.agg(F.sum("m")).first()[0] or 0
+    parts = parts_for(rest.sparkSession, size, GROUP_ROWS)
+    heavy = once.groupBy("hub").agg(F.ceil(F.sum("m") / GROUP_ROWS).alias("salts"))
+    bucket = F.pmod(F.xxhash64("hub", F.pmod(F.xxhash64("token"), F.col("salts"))), F.lit(parts)).cast("int")
+    once = once.join(heavy, "hub").select("token", F.ceil(F.col("m") / LIST_ROWS).cast("int").alias("nb"), bucket.alias("bucket"))
     rows = rest.select("token", "sig", "component").join(once, "token").join(maps, "sig").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("nb")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
-        "token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sig", "n", "component", "map")
+        "token", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sig", "n", "component", "map")
 
     def cross(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches))
-        sig, n, comp, own = (t.column(c).to_numpy() for c in ("sig", "n", "component", "own"))
-        bits = np.frombuffer(b"".join(t.column("map").to_pylist()), np.uint64).reshape(len(sig), -1)
-        two_blocks = key[1].as_py() != key[2].as_py()
-        for at in range(0, len(sig), 64):
-            x = slice(at, at + 64)
-            ok = (comp[x, None] != comp) & (sig[x, None] < sig) & (100 * np.minimum(n[x, None], n) >= percent * np.maximum(n[x, None], n))
-            if two_blocks:
-                ok &= own[x, None] != own
-            i, j = np.nonzero(ok)
-            i += at
-            for lo in range(0, len(i), 1 << 16):
-                p, q = i[lo : lo + (1 << 16)], j[lo : lo + (1 << 16)]
-                both = (n[p] + n[q] - np.bitwise_count(bits[p] ^ bits[q]).sum(1)) // 2
-                keep = 100 * both >= percent * (n[p] + n[q] - both)
-                yield pa.RecordBatch.from_arrays([pa.array(sig[p[keep]]), pa.array(sig[q[keep]])], ["a", "b"])
-
-    return rows.groupBy("token", "i", "j").applyInArrow(cross, "a long, b long")
+        t = pa.Table.from_batches(list(batches)).sort_by("token")
+        token, sig, n, comp, own = (t.column(c).to_numpy() for c in ("token", "sig", "n", "component", "own"))
+        held = t.column("map").to_pylist()
+        del t
+        cuts = np.r_[np.flatnonzero(np.r_[True, token[1:] != token[:-1]]), len(token)].tolist()
+        seen: set[tuple[int, int]] = set()
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            found = []
+            for a, b in _near(sig[lo:hi], n[lo:hi], comp[lo:hi], own[lo:hi], held[lo:hi], key[1].as_py() != key[2].as_py(), percent):
+                found += [x for x in zip(a.tolist(), b.tolist()) if x not in seen]
+                if len(found) > 1 << 16:
+                    yield _pairs(found)
+                    found = []
+            if len(seen) < 1 << 18:
+                seen.update(found)
+            if found:
+                yield _pairs(found)
+
+    return rows.groupBy("bucket", "i", "j").applyInArrow(cross, "a long, b long")
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def _near(sig, n, comp, own, maps, two_blocks: bool, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one list that may link: different components (and blocks), sizes and bit maps within the bounds."""
+    size = np.array([len(m) for m in maps])
+    # sets that may link have maps of one size or of neighbouring ones: by pairs of sizes
+    for small in np.unique(size):
+        a = np.flatnonzero(size == small)
+        x_bits = np.frombuffer(b"".join([maps[k] for k in a]), np.uint64).reshape(len(a), -1)
+        at_once = max(1, (1 << 23) // small)
+        for large in (small, 2 * small):
+            c = a if large == small else np.flatnonzero(size == large)
+            if not len(c):
+                continue
+            y_bits = x_bits if large == small else _folded(np.frombuffer(b"".join([maps[k] for k in c]), np.uint64).reshape(len(c), -1), small // 8)
+            for at in range(0, len(a), 64):
+                x = a[at : at + 64]
+                ok = (comp[x, None] != comp[c]) & (100 * np.minimum(n[x, None], n[c]) >= percent * np.maximum(n[x, None], n[c]))
+                if large == small:
+                    ok &= sig[c] < sig[x, None]
+                if two_blocks:
+                    ok &= own[x, None] != own[c]
+                i, j = np.nonzero(ok)
+                for lo in range(0, len(i), at_once):
+                    p, q = i[lo : lo + at_once], j[lo : lo + at_once]
+                    differing = np.bitwise_count(x_bits[p + at] ^ y_bits[q]).sum(1).astype(np.int64)
+                    p, q = x[p], c[q]
+                    both = (n[p] + n[q] - differing) // 2
+                    keep = 100 * both >= percent * (n[p] + n[q] - both)
+                    if keep.any():
+                        yield np.maximum(sig[p[keep]], sig[q[keep]]), np.minimum(sig[p[keep]], sig[q[keep]])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, level_b, percent: int) -> DataFrame:
@@ -320,7 +388,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
             break
         tried = tried.unionByName(picks)
         comp = merged(linked(picks))
-    rest = fresh(_crossing(cut_lineage(mixed().select("token", "sig", "component")), maps, percent))
+    rest = fresh(_crossing(cut_lineage(mixed().select("token", "sig", "component", "hsig")), maps, percent))
     if not rest.isEmpty():
         comp = merged(linked(rest))
 
