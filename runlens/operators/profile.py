@@ -10,11 +10,13 @@ aggregate expressions, so no step joins.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import pystrip
+from ..functions.text import PY_WS
 
 # --- fixed values: role patterns, in order of specificity -------------------
 INPUT_PATTERNS = [
@@ -70,41 +72,41 @@ def first_rows(df: DataFrame, key: str | None, n_rows: int) -> DataFrame:
 
 
 def _structured(x: Column) -> Column:
-    s_ = pystrip(x)
-    out = F.lit(False)
-    for p in STRUCTURED_PREFIXES:
-        out = out | s_.startswith(p)
-    return out
+    """The stripped text begins like a list item: one anchored pattern, the text itself is not copied."""
+    return x.rlike(f"^{PY_WS}*(?:{'|'.join(re.escape(p) for p in STRUCTURED_PREFIXES)})")
+
+
+_KEYS = ["dataset_name", "column", "position", "dtype", "native_numeric"]
 
 
 def _counted(df: DataFrame, dataset_name: str) -> DataFrame:
-    """One row per column and distinct lower-cased value (NULL is one of them)."""
+    """One row per column and distinct lower-cased value, in one scan of the dataset.
+
+    Cells are grouped by fixed-width keys: the column's number and a 128-bit hash
+    of the value; names and types are put beside the counts afterwards.
+    """
+    fields = df.schema.fields
     cells = F.explode(F.array(*[
-        F.struct(
-            F.lit(f.name).alias("column"),
-            F.lit(i).alias("position"),
-            F.lit(f.dataType.simpleString()).alias("dtype"),
-            F.lit(isinstance(f.dataType, _NUMERIC + (T.BooleanType,))).alias("native_numeric"),
-            value_string(F.col(f"`{f.name}`"), f.dataType).alias("v"),
-        )
-        for i, f in enumerate(df.schema.fields)
+        F.struct(F.lit(i).alias("position"), value_string(F.col(f"`{f.name}`"), f.dataType).alias("v")) for i, f in enumerate(fields)
     ]))
-    v = F.col("v")
-    return (
-        df.select(cells.alias("c"))
-        .select(F.lit(dataset_name).alias("dataset_name"), "c.*")
-        .groupBy(*_KEYS, F.md5(F.lower(v)).alias("_value"))
+    v, low = F.col("v"), F.lower(F.col("v"))
+    counts = (
+        df.select(cells.alias("c")).select("c.*").filter(v.isNotNull())
+        .groupBy("position", F.xxhash64(low).alias("_h1"), F.xxhash64(F.lit(1), low).alias("_h2"))
         .agg(
             F.count(v).alias("n"),
             F.sum(F.length(v)).alias("chars"),
             F.bool_and(v.try_cast("double").isNotNull()).alias("num"),
-            F.bool_and(F.lower(v).isin(BOOLEAN_VALUES)).alias("boo"),
+            F.bool_and(low.isin(BOOLEAN_VALUES)).alias("boo"),
             F.sum(F.when(_structured(v), 1).otherwise(0)).alias("structured"),
         )
     )
-
-
-_KEYS = ["dataset_name", "column", "position", "dtype", "native_numeric"]
+    named = F.element_at(F.array(*[
+        F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("dtype"),
+                 F.lit(isinstance(f.dataType, _NUMERIC + (T.BooleanType,))).alias("native_numeric")) for f in fields
+    ]), F.col("position") + 1)
+    return counts.select(F.lit(dataset_name).alias("dataset_name"), "position", named.alias("_f"), "n", "chars", "num", "boo", "structured").select(
+        "dataset_name", "_f.column", "position", "_f.dtype", "_f.native_numeric", "n", "chars", "num", "boo", "structured")
 
 
 def _samples(df: DataFrame, dataset_name: str, key: str | None) -> DataFrame:
@@ -123,7 +125,7 @@ def _samples(df: DataFrame, dataset_name: str, key: str | None) -> DataFrame:
 
 
 def _profile(counted: DataFrame, samples: DataFrame) -> DataFrame:
-    stats = counted.filter(F.col("_value").isNotNull()).groupBy(*_KEYS).agg(
+    stats = counted.groupBy(*_KEYS).agg(
         F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.count(F.lit(1)).alias("uq"),
         F.bool_and("num").alias("num"), F.bool_and("boo").alias("boo"), F.sum("structured").alias("sc"),
     )
