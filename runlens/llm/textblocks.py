@@ -101,8 +101,13 @@ class Block:
         if self._prefix is None:
             self._prefix = []
             for base, table in zip(_BASES, _BYTES):
-                pre = np.zeros(len(self.buf) + 1, np.uint64)
-                np.cumsum(_fold31(table[self.buf] * _pow(base, len(self.buf) + 1)[: len(self.buf)]), out=pre[1:])
+                n = len(self.buf)
+                pre, power = np.zeros(n + 1, np.uint64), _pow(base, n + 1)
+                for lo in range(0, n, 1 << 16):  # in pieces: no other array of the block's length
+                    part = table[self.buf[lo : lo + (1 << 16)]]
+                    part *= power[lo : lo + len(part)]
+                    np.cumsum(_fold31(part), out=pre[lo + 1 : lo + 1 + len(part)])
+                    pre[lo + 1 : lo + 1 + len(part)] += pre[lo]
                 self._prefix.append(pre)
         return self._prefix
 
