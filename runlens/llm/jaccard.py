@@ -54,7 +54,7 @@ BITS = 2048
 SPARE = 4
 STAR_ROUNDS = 2
 LIST_ROWS = 4096  # longer posting lists are compared block against block
-GROUP_ROWS = 16_384  # members of lists that one task compares at a time
+GROUP_ROWS = 4096  # members of lists that one task compares at a time
 
 
 def _signature(tokens: np.ndarray) -> int:
