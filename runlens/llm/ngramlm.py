@@ -8,8 +8,10 @@ answers the blocks' queries from it:
 
 * contexts: the monotone sequence of context hashes;
 * pointers: the monotone sequence of where each context's successors begin;
-* successors: made monotone by adding the context's place, so a query finds
-  its context, then searches the successor relative to it;
+* successors: made monotone by going on, in each context's range, from the last
+  value of the range before.  A query finds its context, takes the range
+  from the pointers and searches the successor in that range, relative to
+  the value before it;
 * one byte a bigram: its joint probability, quantised in steps of 1/8 bit.
 
 Word counts are looked up the same way in a one-level trie and kept exact
@@ -90,8 +92,8 @@ class EliasFano:
             pos = pos + step * go
         return pos
 
-    def find(self, targets: np.ndarray) -> np.ndarray:
-        """Place of each target (int64), -1 where the sequence lacks it."""
+    def find(self, targets: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
+        """Place of each target (int64), -1 where the sequence lacks it; with ``lo`` and ``hi`` only places in that range count."""
         targets = targets.astype(np.uint64)
         out = np.full(len(targets), -1, np.int64)
         bucket = (targets >> np.uint64(self.low_bits)).astype(np.int64)
@@ -101,15 +103,20 @@ class EliasFano:
         bucket = bucket[live]
         s = np.where(bucket > 0, self._zero(np.maximum(bucket - 1, 0)) + 1 - bucket, 0)
         e = self._zero(bucket) - bucket
+        if lo is not None:
+            s, e = np.maximum(s, lo[live]), np.minimum(e, hi[live])
         want = targets[live] & np.uint64((1 << self.low_bits) - 1)
+        end = e.copy()
         go = np.flatnonzero(s < e)
-        while len(go):
-            low = self._low(s[go])
-            hit = low == want[go]
-            out[live[go[hit]]] = s[go[hit]]
-            go = go[low < want[go]]
-            s[go] += 1
+        while len(go):  # low bits ascend inside a bucket
+            mid = (s[go] + e[go]) >> 1
+            less = self._low(mid) < want[go]
+            s[go[less]] = mid[less] + 1
+            e[go[~less]] = mid[~less]
             go = go[s[go] < e[go]]
+        at = np.flatnonzero(s < end)
+        at = at[self._low(s[at]) == want[at]]
+        out[live[at]] = s[at]
         return out
 
     def get(self, i: np.ndarray) -> np.ndarray:
@@ -135,24 +142,41 @@ class Trie:
     """Two levels over keys context << 32 | successor, with one byte a bigram."""
 
     def __init__(self, keys: np.ndarray, codes: np.ndarray, folder: str):
-        context = keys >> np.uint64(32)
-        begin = np.flatnonzero(np.r_[len(keys) > 0, context[1:] != context[:-1]])
-        place = np.cumsum(np.r_[len(keys) > 0, context[1:] != context[:-1]]) - 1
+        context, successor = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
+        new = np.r_[len(keys) > 0, context[1:] != context[:-1]][: len(keys)]
+        begin = np.flatnonzero(new)
         self.contexts = EliasFano(context[begin], 1 << 32, os.path.join(folder, "contexts"))
         self.pointers = EliasFano(np.r_[begin, len(keys)], len(keys) + 1, os.path.join(folder, "pointers"))
-        followed = (place.astype(np.uint64) << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF))
-        self.successors = EliasFano(followed, max(1, len(begin)) << 32, os.path.join(folder, "successors"))
+        # each range goes on from the last value of the one before: no context is in the values, the pointers tell the ranges apart
+        last = np.r_[begin[1:] - 1, len(keys) - 1][: len(begin)]
+        base = np.r_[np.uint64(0), np.cumsum(successor[last], dtype=np.uint64)]
+        followed = successor + base[:-1][np.cumsum(new) - 1] if len(keys) else successor
+        self.successors = EliasFano(followed, int(base[-1]) + 1, os.path.join(folder, "successors"))
         codes.tofile(os.path.join(folder, "codes"))
         self.codes = np.memmap(os.path.join(folder, "codes"), np.uint8, "r") if len(codes) else codes
 
+    def _ranges(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first place, place behind the last, value that the range goes on from) of the successors of contexts at places ``c``."""
+        lo, hi = self.pointers.get(c).astype(np.int64), self.pointers.get(c + 1).astype(np.int64)
+        base = np.zeros(len(c), np.uint64)
+        later = np.flatnonzero(lo > 0)
+        base[later] = self.successors.get(lo[later] - 1)
+        return lo, hi, base
+
     def query(self, keys: np.ndarray) -> np.ndarray:
-        """Codes of sorted keys, 0 where the trie lacks one; each context is looked up once."""
+        """Codes of sorted keys, 0 where the trie lacks one; each context is looked up once and its pointers bound the search."""
         out = np.zeros(len(keys), np.uint8)
         context = keys >> np.uint64(32)
         new = np.r_[len(keys) > 0, context[1:] != context[:-1]][: len(keys)]
-        c = self.contexts.find(context[new])[np.cumsum(new) - 1]
-        known = np.flatnonzero(c >= 0)
-        at = self.successors.find((c[known].astype(np.uint64) << np.uint64(32)) | (keys[known] & np.uint64(0xFFFFFFFF)))
+        c = self.contexts.find(context[new])
+        held = np.flatnonzero(c >= 0)
+        lo, hi, base = self._ranges(c[held])
+        row = np.full(len(c), -1, np.int64)
+        row[held] = np.arange(len(held))
+        row = row[np.cumsum(new) - 1]
+        known = np.flatnonzero(row >= 0)
+        row = row[known]
+        at = self.successors.find(base[row] + (keys[known] & np.uint64(0xFFFFFFFF)), lo[row], hi[row])
         out[known[at >= 0]] = self.codes[at[at >= 0]]
         return out
 
@@ -161,9 +185,8 @@ class Trie:
         c = self.contexts.find(np.array([context]))
         if c[0] < 0:
             return np.zeros(0, np.uint64), np.zeros(0, np.uint8)
-        lo, hi = self.pointers.get(np.r_[c, c + 1]).astype(np.int64)
-        at = np.arange(lo, hi)
-        return self.successors.get(at) & np.uint64(0xFFFFFFFF), np.asarray(self.codes[lo:hi])
+        lo, hi, base = (x[0] for x in self._ranges(c))
+        return self.successors.get(np.arange(lo, hi)) - base, np.asarray(self.codes[lo:hi])
 
 
 def _blocks(docs: DataFrame) -> DataFrame:

@@ -375,6 +375,20 @@ def test_trie_successors(tmp_path):
     assert (trie.successors_of(2)[0] == own).all()
 
 
+def test_trie_searches_the_range_that_the_pointers_give(tmp_path, monkeypatch):
+    pairs = [(1, 5), (1, 9), (2, 0), (2, 4), (7, 0), (7, 0xFFFFFFFF), (9, 1)]  # a range may begin with the value that ends the one before
+    keys = np.array([c << 32 | w for c, w in pairs], np.uint64)
+    trie = ngramlm.Trie(keys, np.arange(1, len(keys) + 1, dtype=np.uint8), str(tmp_path))
+    asked = np.array(sorted({c << 32 | w for c in (1, 2, 3, 7, 9) for w in (0, 1, 4, 5, 9, 0xFFFFFFFF)}), np.uint64)
+    held = {int(k): i + 1 for i, k in enumerate(keys)}
+    assert trie.query(asked).tolist() == [held.get(int(k), 0) for k in asked]
+    assert trie.successors_of(7)[0].tolist() == [0, 0xFFFFFFFF] and len(trie.query(asked[:0])) == 0
+    used, get = [], trie.pointers.get
+    monkeypatch.setattr(trie.pointers, "get", lambda i: used.append(len(i)) or get(i))
+    trie.query(asked)
+    assert used == [4, 4]  # both ends of the range of each context that is there
+
+
 def test_lm_counts_and_scores(spark, odd_docs, monkeypatch):
     monkeypatch.setattr(ngramlm, "BLOCK_TOKENS", 3000)
     train = odd_docs.withColumn("train", F.coalesce(F.col("doc_id") % 3 != 0, F.lit(False)))
