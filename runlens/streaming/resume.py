@@ -3,9 +3,11 @@
 ``resume_stream`` passes each sample of an (experiment, approach) on once, however
 often its result arrives again - in one micro-batch, in later ones, or after a
 restart with files that overlap.  The state is kept by the state store (RocksDB,
-on disk and in the checkpoint), not in the sink: one bit a sample, ``DONE_BLOCK``
-samples of one (experiment, approach) to a key, so an experiment that holds most
-results is many keys.  A block that gets no result for ``ttl`` is forgotten, which bounds the state.
+on disk and in the checkpoint), not in the sink: one bit a sample, in blocks of ``DONE_BLOCK``
+samples of one (experiment, approach).  ``KEY_BLOCKS`` blocks make up a key, whose blocks
+are read and written at once (a key costs a few calls from Python to the store, however few rows it
+gets), so an experiment that holds most results is still many keys.  A key that gets no
+result for ``ttl`` is forgotten, which bounds the state.
 
 ``pending_by_state`` is the work left: the grid without the samples whose bits the
 checkpoint holds; no result is read for it.
@@ -25,13 +27,14 @@ from ..sources.io import write_delta
 from .streams import _reader
 
 DONE_BLOCK = 1024
+KEY_BLOCKS = 64
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 KEYS = ["experiment_id", "approach_name"]
 
 
 def sample_filter(ttl_ms: int | None, sample: int) -> StatefulProcessor:
-    """Processor for the rows of one block of samples: passes the first row of each sample that has not been done.
+    """Processor for the rows of one key's blocks of samples: passes the first row of each sample that has not been done.
 
     Rows without a sample index (column number ``sample``) can't be recognised again and all pass.
     The class is made here, so it travels by value: the stream's driver-side worker need not find this package.
@@ -39,23 +42,26 @@ def sample_filter(ttl_ms: int | None, sample: int) -> StatefulProcessor:
 
     class FirstOfEachSample(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.done = handle.getValueState("done", "bits binary", ttl_ms)
+            self.done = handle.getListState("done", "block long, bits binary", ttl_ms)
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator:
-            held = self.done.get() if self.done.exists() else None
-            bits = bytearray(held[0]) if held else bytearray(DONE_BLOCK // 8)
+            held = {block: bytearray(bits) for block, bits in self.done.get()}
             out, changed = [], False
             for row in rows:
                 n = row[sample]
                 if n is not None:
-                    byte, bit = divmod(n % DONE_BLOCK, 8)
+                    block, at = divmod(n, DONE_BLOCK)
+                    byte, bit = divmod(at, 8)
+                    bits = held.get(block)
+                    if bits is None:
+                        bits = held[block] = bytearray(DONE_BLOCK // 8)
                     if bits[byte] >> bit & 1:
                         continue
                     bits[byte] |= 1 << bit
                     changed = True
                 out.append(row)
             if changed:
-                self.done.update((bytes(bits),))
+                self.done.put([(block, bytes(bits)) for block, bits in held.items()])
             yield from out
 
         def close(self) -> None:
@@ -66,7 +72,7 @@ def sample_filter(ttl_ms: int | None, sample: int) -> StatefulProcessor:
 
 def first_of_each_sample(runs: DataFrame, ttl: timedelta | None) -> DataFrame:
     """Streaming: the rows of ``runs`` whose (experiment, approach, sample) has not been seen."""
-    rows = runs.withColumn("_block", F.floor(F.col("sample_index") / DONE_BLOCK).cast("long"))
+    rows = runs.withColumn("_block", F.floor(F.col("sample_index") / (KEY_BLOCKS * DONE_BLOCK)).cast("long"))
     proc = sample_filter(None if ttl is None else int(ttl.total_seconds() * 1000), runs.columns.index("sample_index"))
     return rows.groupBy(*KEYS, "_block").transformWithState(
         proc, outputStructType=rows.schema, outputMode="append", timeMode="none" if ttl is None else "processingTime").drop("_block")
@@ -96,8 +102,8 @@ def resume_stream(spark: SparkSession, source: str, schema, table_base: str, che
 def done_samples(spark: SparkSession, checkpoint: str) -> DataFrame:
     """(experiment_id, approach_name, sample_index) of all samples that the stream's state holds as done."""
     state = spark.read.format("statestore").option("stateVarName", "done").load(checkpoint)
-    value = "value.value.bits" if "value" in state.schema["value"].dataType.fieldNames() else "value.bits"
-    bits = state.select(*[F.col(f"key.{k}").alias(k) for k in KEYS], F.col("key._block").alias("_block"), F.hex(value).alias("_hex"))
+    block = "list_element.value" if "value" in state.schema["list_element"].dataType.fieldNames() else "list_element"
+    bits = state.select(*[F.col(f"key.{k}").alias(k) for k in KEYS], F.col(f"{block}.block").alias("_block"), F.hex(f"{block}.bits").alias("_hex"))
     byte = F.explode(F.sequence(F.lit(0), F.lit(DONE_BLOCK // 8 - 1))).alias("_i")
     rows = bits.select("*", byte).withColumn("_b", F.conv(F.substring("_hex", F.col("_i") * 2 + 1, F.lit(2)), 16, 10).cast("int")).where("_b > 0")
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("_j")).where(F.expr("shiftright(_b, _j) & 1 = 1"))

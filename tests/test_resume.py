@@ -49,6 +49,20 @@ def test_samples_pass_once_across_restarts(spark):
     assert blocks == 5  # one key a block of samples, not one a sample
 
 
+def test_blocks_of_samples_share_a_key(spark):
+    base = scratch_path(spark, "keys")
+    schema = spark.createDataFrame([], RESULTS).schema
+    run = lambda: ST.run_available(RS.resume_stream(spark, f"{base}/src", schema, f"{base}/table", f"{base}/ckpt", max_files_per_trigger=1))
+    own = [100 * i for i in range(640)] + [65_536, -100]
+    for samples in (own[::2], own):
+        _rows(spark, samples, 1.0).coalesce(1).write.mode("append").parquet(f"{base}/src")
+        run()
+    assert _arrived(spark, base) == sorted(("e", s, 1.0) for s in own)
+    state = spark.read.format("statestore").option("stateVarName", "done").load(f"{base}/ckpt")
+    assert state.select("key").distinct().count() == 3 and state.count() == 65
+    assert sorted(r.sample_index for r in RS.done_samples(spark, f"{base}/ckpt").collect()) == sorted(own)
+
+
 def test_state_that_is_not_used_is_forgotten(spark):
     base = scratch_path(spark, "ttl")
     schema = spark.createDataFrame([], RESULTS).schema
