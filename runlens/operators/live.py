@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .common import iflag
 from .maintain import results_to_runs, upsert
 from .runs import _weighted, approach_comparison, experiment_overview
@@ -103,13 +104,14 @@ def upsert_with_partials(existing: DataFrame, metrics: DataFrame, partials: Data
     """(runs, metrics, partials) after an upsert of scored results and / or more metric rows.
 
     The rows that count differently are the runs that come in and the runs that
-    get metrics; only those are read with their metrics, before and after.
+    get metrics; only those are read with their metrics, before and after.  The last
+    row of each incoming run is found once and kept.
     """
-    runs, all_metrics, ids = existing, metrics, None
+    runs, all_metrics, ids, incoming = existing, metrics, None, None
     if results is not None:
         incoming = results_to_runs(results)
         cols = [c for c in existing.columns if c in incoming.columns]
-        incoming = dedupe_last(incoming.select(*cols), ["id"], ["created_at"])
+        incoming = cut_lineage(dedupe_last(incoming.select(*cols), ["id"], ["created_at"]))
         existing = existing.select(*cols)
         runs, ids = upsert(existing, incoming, ["id"]), incoming.select("id")
     if new_metrics is not None:
@@ -119,8 +121,15 @@ def upsert_with_partials(existing: DataFrame, metrics: DataFrame, partials: Data
     if ids is None:
         return runs, all_metrics, partials
     ids = ids.distinct()
-    touched = lambda r, m: _weighted(r.join(ids, "id", "left_semi"), m.join(ids.withColumnRenamed("id", "run_id"), "run_id", "left_semi"))
-    return runs, all_metrics, refresh_partials(partials, touched(existing, metrics), touched(runs, all_metrics), runs)
+    before = existing.join(ids, "id", "left_semi")
+    # after: what comes in, and of the rows before those that only get metrics; the table's other rows are not asked again
+    after = before
+    if incoming is not None:
+        after = incoming.where("id is not null")
+        if new_metrics is not None:
+            after = upsert(before, after, ["id"])
+    touched = lambda r, m: _weighted(r, m.join(ids.withColumnRenamed("id", "run_id"), "run_id", "left_semi"))
+    return runs, all_metrics, refresh_partials(partials, touched(before, metrics), touched(after, all_metrics), runs)
 
 
 def _mean(total: str, count: str) -> Column:
