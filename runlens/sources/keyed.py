@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,9 +124,8 @@ class KeyedTable:
             raise ValueError(f"a key column of type {kind} has no ranges")
         return F.when(self._hash().isNotNull(), c)
 
-    def _committed(self, rows: DataFrame, commit: int, tag: str | None) -> DataFrame:
-        """Write a commit's files and their Bloom filters; their lines for the file list."""
-        n = rows.count()
+    def _committed(self, rows: DataFrame, n: int, commit: int, tag: str | None) -> DataFrame:
+        """Write a commit's files (of ``n`` rows) and their Bloom filters; their lines for the file list."""
         parts = max(1, -(-n // self.file_rows))
         data = f"{self.base}/data/commit={commit}"
         cut = rows.repartitionByRange(parts, *self.keys) if parts > 1 else rows.coalesce(1)
@@ -137,16 +137,15 @@ class KeyedTable:
             """One filter for each file a task reads a part of."""
             held: dict = {}
             for b in batches:
-                path, place = np.array(b.column("path").to_pylist(), object), np.array(b.column("place").to_pylist(), object)
-                h = b.column("h").fill_null(0).to_numpy()
-                for p in dict.fromkeys(path.tolist()):
-                    mine = path == p
-                    known = mine & np.array([x is not None for x in place])
+                for p in pc.unique(b.column("path")).to_pylist():
+                    mine = b.filter(pc.equal(b.column("path"), p))
+                    known = mine.filter(pc.is_valid(mine.column("place")))
                     rows_, lo, hi, on = held.get(p, (0, None, None, np.zeros(bits, bool)))
-                    if known.any():
-                        on[bloom_places(h[known], bits).ravel()] = True
-                        lo, hi = min([*place[known], *([lo] if lo is not None else [])]), max([*place[known], *([hi] if hi is not None else [])])
-                    held[p] = (rows_ + int(mine.sum()), lo, hi, on)
+                    if len(known):
+                        on[bloom_places(known.column("h").to_numpy(), bits).ravel()] = True
+                        ends = pc.min_max(known.column("place")).as_py()
+                        lo, hi = min([ends["min"], *([lo] if lo is not None else [])]), max([ends["max"], *([hi] if hi is not None else [])])
+                    held[p] = (rows_ + len(mine), lo, hi, on)
             names = ["path", "rows", "lo", "hi", "bloom"]
             cols = [list(held), *[[v[i] for v in held.values()] for i in range(3)], [np.packbits(v[3], bitorder="little").tobytes() for v in held.values()]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()))], names)
@@ -214,17 +213,21 @@ class KeyedTable:
         fresh = cut_lineage(fresh.where(known).unionByName(incoming.where(~known)))
         read = self.candidates(fresh.select(self._hash().alias("h"), self._place(fresh).alias("place")).where("place is not null"))
         replaced: list[str] = []
-        rows = fresh
+        rows, n = fresh, fresh.count()
         if read:
             old = self._rows(read).withColumn("_path", F.regexp_extract(F.col("_metadata.file_path"), r"(data/commit=[^/]+/[^/]+)$", 1))
             keys = fresh.select(*self.keys)
-            replaced = sorted(r._path for r in old.join(keys, self.keys, "left_semi").select("_path").distinct().collect())
+            gone = {r._path: r["count"] for r in old.join(keys, self.keys, "left_semi").groupBy("_path").count().collect()}
+            replaced = sorted(gone)
             if replaced:
+                # the rows that stay are the file list's count less those just found: the join that keeps them is not run to count them
+                held = files.where(F.col("path").isin(replaced)).agg(F.sum("rows")).first()[0]
+                n += held - sum(gone.values())
                 kept = self._rows(replaced).join(keys, self.keys, "left_anti")
                 rows = kept.select(*fresh.columns).unionByName(fresh)
         versions = list_versions(self.spark, f"{self.base}/files")
         commit = versions[-1] + 1 if versions else 0
-        lines = self._committed(rows, commit, tag)
+        lines = self._committed(rows, n, commit, tag)
         stays = files.where(~F.coalesce(F.col("path").isin(replaced), F.lit(False)) if replaced else F.lit(True))
         # a commit without rows has no file but leaves its tag
         mark = self.spark.createDataFrame([(commit, None, 0, None, None, tag)], _FILES) if tag is not None else self.spark.createDataFrame([], _FILES)
