@@ -23,7 +23,8 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: Iterable[str], order:
     Existing rows are kept by an anti-join (no aggregation over the old table)."""
     keys = list(keys)
     inc = dedupe_last(incoming, keys, list(order)) if order else incoming
-    kept = existing.join(inc.select(*keys), keys, "left_anti")
+    own = incoming.select(*keys).distinct() if order else inc.select(*keys)  # not of the last rows, which are a sort of whole rows
+    kept = existing.join(own, keys, "left_anti")
     return kept.unionByName(inc.select(*existing.columns))
 
 

@@ -270,7 +270,8 @@ def read_merged(spark: SparkSession, base: str, keys: list[str], order: list[str
     latest = dedupe_last(deltas, keys, ["batch", *(order or [])]).drop("batch")
     if base_df is None:
         return latest
-    kept = base_df.join(maybe_broadcast(latest.select(*keys)), keys, "left_anti")
+    # the keys are the deltas' own: taken from the latest rows they would cost a second sort of whole rows beside that of the base
+    kept = base_df.join(maybe_broadcast(deltas.select(*keys).distinct()), keys, "left_anti")
     return kept.unionByName(latest, allowMissingColumns=True)
 
 
@@ -323,11 +324,11 @@ def export_runs_json_lines(runs: DataFrame, metrics: DataFrame, experiment_id: s
     r = runs if experiment_id is None else runs.filter(F.col("experiment_id") == experiment_id)
     m = metrics.select("run_id", "parsing_attempts", "fallback_used",
                        F.col("confidence_score").alias("parsing_confidence_score"))
+    if "raw_output" in r.columns and not include_raw:
+        r = r.withColumn("raw_output", mask_raw_output("raw_output"))  # before the join: its text need not be shuffled
     j = fanout_left_join(r, m)
     if "metadata_json" in j.columns:
         j = j.withColumn("metadata", F.from_json("metadata_json", "map<string,string>")).drop("metadata_json")
-    if "raw_output" in j.columns and not include_raw:
-        j = j.withColumn("raw_output", mask_raw_output("raw_output"))
     return j.orderBy("experiment_id", "approach_name", "sample_index", "id")
 
 
