@@ -247,16 +247,20 @@ def _crossing(rest: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
         held = t.column("map").to_pylist()
         del t
         cuts = np.r_[np.flatnonzero(np.r_[True, token[1:] != token[:-1]]), len(token)].tolist()
-        seen: set[tuple[int, int]] = set()
+        sets = np.unique(sig)
+        seen: set[int] = set()  # pairs by their members' numbers in this group
         for lo, hi in zip(cuts[:-1], cuts[1:]):
-            found = []
+            found, codes = [], []
             for a, b in _near(sig[lo:hi], n[lo:hi], comp[lo:hi], own[lo:hi], held[lo:hi], key[1].as_py() != key[2].as_py(), percent):
-                found += [x for x in zip(a.tolist(), b.tolist()) if x not in seen]
+                code = (np.searchsorted(sets, a) * len(sets) + np.searchsorted(sets, b)).tolist()
+                new = [k for k, c in enumerate(code) if c not in seen]
+                found += zip(a[new].tolist(), b[new].tolist())
+                codes += [code[k] for k in new]
                 if len(found) > 1 << 16:
                     yield _pairs(found)
-                    found = []
+                    found, codes = [], []
             if len(seen) < 1 << 18:
-                seen.update(found)
+                seen.update(codes)
             if found:
                 yield _pairs(found)
 
@@ -343,9 +347,10 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
         on_b = sc.broadcast(bit_filter(docs_wanted, "rep", FILTER_BITS).tobytes())  # 4 MB, fixed
 
         def run(batches):
-            on = np.unpackbits(np.frombuffer(on_b.value, np.uint8))
+            on = np.frombuffer(on_b.value, np.uint8)  # a byte a bit would be 32 MB a task
             for batch in batches:
-                hit = on[batch.column("cell").to_numpy()].astype(bool)
+                cell = batch.column("cell").to_numpy()
+                hit = (on[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
                 sub = batch.filter(pa.array(hit))
                 out = [(_signature(t), t.tobytes()) for _, t in _sets(sub, k) if len(t)]
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], ["sig", "tokens"])
