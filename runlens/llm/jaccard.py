@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.jobs import bit_filter, components, count_blobs, fold_counts, parts_for, prepare
+from runlens.llm.jobs import bit_filter, components, count_blobs, fold_counts, parts_for, prepare, tidy_worker
 from runlens.llm.textblocks import blocks, mix64, shingles_of, words_of
 from runlens.session import cut_lineage
 
@@ -125,6 +125,7 @@ def set_signatures(docs: DataFrame, k: int) -> DataFrame:
     meets the set first; (block, counts) of the tokens' count sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy_worker()
         seen: set[int] = set()
         counts = np.zeros(SKETCH, np.uint32)
         for batch in batches:
@@ -154,6 +155,7 @@ def _postings(docs: DataFrame, k: int, percent: int, level_b, parts: int) -> Dat
     """(part, token, sig, n) arrays: the order-A prefix tokens of each distinct set, packed by token part."""
 
     def run(batches):
+        tidy_worker()
         level = np.frombuffer(level_b.value, np.uint8)
         seen: set[int] = set()
         for batch in batches:
@@ -210,6 +212,7 @@ def _within_bound(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     """Drop pairs whose bit maps differ in too many bits: overlap <= (na + nb - differing bits) / 2, always."""
 
     def check(batches):
+        tidy_worker()
         for b in batches:
             differing = _differing(b.column("x").to_pylist(), b.column("y").to_pylist())
             both = (b.column("na").to_numpy() + b.column("nb").to_numpy() - differing) // 2
@@ -256,7 +259,7 @@ def _crossing(rest: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
                 new = [k for k, c in enumerate(code) if c not in seen]
                 found += zip(a[new].tolist(), b[new].tolist())
                 codes += [code[k] for k in new]
-                if len(found) > 1 << 16:
+                if len(found) > 1 << 14:
                     yield _pairs(found)
                     found, codes = [], []
             if len(seen) < 1 << 18:
@@ -278,7 +281,7 @@ def _near(sig, n, comp, own, maps, two_blocks: bool, percent: int) -> Iterator[t
     for small in np.unique(size):
         a = np.flatnonzero(size == small)
         x_bits = np.frombuffer(b"".join([maps[k] for k in a]), np.uint64).reshape(len(a), -1)
-        at_once = max(1, (1 << 23) // small)
+        at_once = max(1, (1 << 20) // small)
         for large in (small, 2 * small):
             c = a if large == small else np.flatnonzero(size == large)
             if not len(c):
@@ -306,6 +309,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, level_b, percent: int) -> DataF
     """The pairs that pass every order's prefix filter and then the exact overlap."""
 
     def check(batches):
+        tidy_worker()
         level = np.frombuffer(level_b.value, np.uint8)
         for b in batches:
             keep = []
@@ -347,6 +351,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
         on_b = sc.broadcast(bit_filter(docs_wanted, "rep", FILTER_BITS).tobytes())  # 4 MB, fixed
 
         def run(batches):
+            tidy_worker()
             on = np.frombuffer(on_b.value, np.uint8)  # a byte a bit would be 32 MB a task
             for batch in batches:
                 cell = batch.column("cell").to_numpy()

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runlens.llm.units import drop_memos
 from runlens.session import cut_lineage, ensure_checkpoint_dir, ship_package
 
 
@@ -20,17 +23,32 @@ def prepare(spark: SparkSession) -> None:
     """Checkpoint folder from the session, package on every executor, Arrow batches of bounded size.
 
     A batch holds whole texts, so batches of the default 10,000 rows can be
-    large; a session's own smaller settings stay.
+    large; so can those of the Parquet reader (4,096 rows, on the heap).  A
+    session's own smaller settings stay.
     """
     ensure_checkpoint_dir(spark)
     ship_package(spark)
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES),
+                      ("spark.sql.parquet.columnarReaderBatchSize", BATCH_ROWS)):
         now = spark.conf.get(key)
         size = int(now.rstrip("bB"))
         if size <= 0 or size > most:
             spark.conf.set(key, most)
 
 
+def tidy_worker() -> None:
+    """Start of a task: give back what the worker's earlier tasks left, other operators' memos and freed memory.
+
+    Spark goes on with the same Python workers from stage to stage, and a freed
+    page stays with the worker unless its allocator is told.
+    """
+    drop_memos()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.llm.jobs import prepare
+from runlens.llm.jobs import prepare, tidy_worker
 from runlens.llm.textblocks import crc32_mod
 
 PROFILE = 400
@@ -62,6 +62,7 @@ def learn_profiles(docs: DataFrame, size: int = PROFILE) -> DataFrame:
     """(lang, rank, gram) of every language of ``docs`` (text, lang), from all its rows with a text and a lang."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy_worker()
         total: dict[str, list] = {}
 
         def settle(lang):
@@ -125,6 +126,7 @@ def identify(docs: DataFrame, profiles: list[tuple[str, int, int]], size: int =
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy_worker()
         for b in batches:
             got = [made.value.predict(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -139,6 +141,7 @@ def known_language(docs: DataFrame, profiles: list[tuple[str, int, int]], size:
     made = docs.sparkSession.sparkContext.broadcast(Profiles(profiles, size))  # size rows a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy_worker()
         for b in batches:
             yield b.filter(pa.array([made.value.decide(t)[2] for t in b.column("text").to_pylist()], pa.bool_()))
 

@@ -1,7 +1,7 @@
 """Vectorised text kernels shared by the operators of this subpackage.
 
-Every kernel works on one block of whole texts (a few MB of UTF-8 bytes held
-in numpy arrays), so a task's memory is bounded by the block size or by its
+Every kernel works on one block of whole texts (half a MB of UTF-8 bytes held
+in numpy arrays, some of 8 bytes a byte), so a task's memory is bounded by the block size or by its
 longest single text, whichever is larger.  Nothing is cut: a text longer than
 the block size makes a block of its own.
 """
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 
 _M31 = np.uint64((1 << 31) - 1)
 _MASK = (1 << 64) - 1
@@ -52,7 +52,7 @@ def _pow(base: int, n: int) -> np.ndarray:
             more = min(done, size - done)
             out[done : done + more] = _mod31(out[:more].astype(np.uint64) * np.uint64(pow(base, done, int(_M31))))
             done += more
-        if size > 4 * BLOCK_BYTES:  # one very long text: do not keep its tables
+        if size > 16 * BLOCK_BYTES:  # one very long text: do not keep its tables
             return out
         _powers[base] = have = out
     return have

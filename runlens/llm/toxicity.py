@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.jobs import prepare
+from runlens.llm.jobs import prepare, tidy_worker
 from runlens.llm.textblocks import Block, blocks, crc32_mod, mix64
 
 WINDOW, STRIDE, LEARN_STRIDE = 48, 24, 40
@@ -282,6 +282,7 @@ def score(docs: DataFrame, model) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy_worker()
         m = sent.value
         for batch in batches:
             got = [np.full(len(b), m) if isinstance(m, float) else m.scores(b) for b in blocks(batch.column("text"))]

@@ -169,3 +169,8 @@ def shared_memo(key, make):
     if key not in _memos:
         _memos[key] = make()
     return _memos[key]
+
+
+def drop_memos() -> None:
+    """For tasks that use none: a worker goes from one operator's tasks to the next one's, a memo would stay in its memory."""
+    _memos.clear()
