@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runlens.llm.units import drop_memos
@@ -17,6 +17,7 @@ from runlens.session import cut_lineage, ensure_checkpoint_dir, ship_package
 
 
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+EDGES = 500_000  # of a graph in one partition
 
 
 def prepare(spark: SparkSession) -> None:
@@ -37,7 +38,7 @@ def prepare(spark: SparkSession) -> None:
 
 
 def tidy_worker() -> None:
-    """Start of a task: give back what the worker's earlier tasks left, other operators' memos and freed memory.
+    """Start of a task, or after large work on the driver: give back what earlier tasks left, other operators' memos and freed memory.
 
     Spark goes on with the same Python workers from stage to stage, and a freed
     page stays with the worker unless its allocator is told.
@@ -126,20 +127,31 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     small-star rounds, each a grouping by node with a map-side combine and a
     join, cut by a reliable checkpoint; the number of rounds grows with the
     logarithm of the graph's size and the loop ends at the fixed point.
+    Up to ``EDGES`` edges make one partition; a window over it needs no exchange,
+    so a round is a few tasks and not some for each shuffle partition, all of
+    which the driver would plan, track and remember.
     """
     e = cut_lineage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-    parts = e.count() // 500_000 + 1  # a round never has more edges than this one
+    parts = e.count() // EDGES + 1  # a round never has more edges than this one
+    e = e.coalesce(parts)
     before = None
+
+    def with_least(x: DataFrame) -> DataFrame:
+        """``x`` with the least ``v`` of each ``u`` as ``m``."""
+        if parts == 1:
+            return x.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        return x.join(x.groupBy("u").agg(F.min("v").alias("m")), "u")
+
+    def pairs(*ways: Column) -> Column:
+        """A row for each (u, v); unlike a union it keeps the one partition."""
+        return F.explode(F.array(*ways)).alias("e")
+
     for _ in range(max_rounds):
-        both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        e = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
-        e = (e.join(low, "u").select(F.col("v").alias("a"), "u", "m")
-             .select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("m").alias("v")),
-                                       F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-             .where("u <> v").distinct())
-        e = cut_lineage(e.coalesce(parts))
+        both = e.select(pairs(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).select("e.u", "e.v")
+        e = with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
+        e = (with_least(e).select(pairs(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))
+             .select("e.u", "e.v").where("u <> v").distinct())
+        e = cut_lineage(e.coalesce(parts)).coalesce(parts)
         now = e.agg(F.count("*"), F.sum("u"), F.sum("v"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
             break

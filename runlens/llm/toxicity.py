@@ -51,31 +51,50 @@ def _letters_only(b: Block) -> Block:
 
 
 class Words:
-    """Words of a block: for each distinct one its row in the word table and its trigrams' rows."""
+    """Words of one block or of consecutive ones: for each distinct word its row in the word table and its trigrams' rows."""
+
+    def __init__(self, *parts: Block):
+        made = [self._of_block(b) for b in parts]
+        uniq, self.which, self.first, self.grams, self.size = made[0]
+        self.split = np.r_[0, np.cumsum(self.size)[:-1]]
+        if len(made) > 1:
+            uniq, at, back = np.unique(np.concatenate([m[0] for m in made]), return_index=True, return_inverse=True)
+            distinct, words = np.cumsum([0, *[len(m[0]) for m in made]]), np.cumsum([0, *[len(m[1]) for m in made]])
+            self.which = np.concatenate([back[n + m[1]] for n, m in zip(distinct, made)])
+            self.first = np.concatenate([self.first[:1], *[n + m[2][1:] for n, m in zip(words, made)]])
+            self.grams, self.size = np.concatenate([m[3] for m in made]), np.concatenate([m[4] for m in made])
+            self.split = np.r_[0, np.cumsum(self.size)[:-1]]
+            self.grams, self.size, self.split = self._picked(at)
+        self.rows = (uniq % np.uint64(WORD_ROWS)).astype(np.int64)
 
-    def __init__(self, b: Block):
+    @staticmethod
+    def _of_block(b: Block) -> tuple[np.ndarray, ...]:
+        """(hashes of the distinct words, which of them each word is, first word of each text, trigrams' rows, trigrams of each distinct word)."""
         plain = _letters_only(b)
-        start, end, self.first = plain.runs()
-        uniq, at, self.which = np.unique(plain.hashes(start, end), return_index=True, return_inverse=True)
-        self.rows = (uniq % np.uint64(WORD_ROWS)).astype(np.int64)
+        start, end, first = plain.runs()
+        uniq, at, which = np.unique(plain.hashes(start, end), return_index=True, return_inverse=True)
         start, end = start[at], end[at]
         size = end - start  # a word of n bytes has n trigrams with both edges marked
-        self.split = np.r_[0, np.cumsum(size)[:-1]]
+        split = np.r_[0, np.cumsum(size)[:-1]]
         owner = np.repeat(np.arange(len(uniq)), size)
-        pos = start[owner] + np.arange(size.sum()) - self.split[owner] if len(uniq) else np.zeros(0, np.int64)
+        pos = start[owner] + np.arange(size.sum()) - split[owner] if len(uniq) else np.zeros(0, np.int64)
         left = np.where(pos > start[owner], plain.buf[np.maximum(pos - 1, 0)], 32).astype(np.uint64)
         right = np.where(pos + 1 < end[owner], plain.buf[np.minimum(pos + 1, max(len(plain.buf) - 1, 0))], 32).astype(np.uint64)
         code = (left << np.uint64(16)) | (plain.buf[pos].astype(np.uint64) << np.uint64(8)) | right
-        self.grams = (mix64(code, 3) % np.uint64(CHAR_ROWS)).astype(np.int64)
-        self.size = size
+        return uniq, which, first, (mix64(code, 3) % np.uint64(CHAR_ROWS)).astype(np.int64), size
+
+    def _picked(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(trigrams' rows, their number, their first place) of the distinct words ``rows``."""
+        size = self.size[rows]
+        split = np.r_[0, np.cumsum(size)[:-1]]
+        owner = np.repeat(np.arange(len(rows)), size)
+        return self.grams[self.split[rows][owner] + np.arange(len(owner)) - split[owner]], size, split
 
     def take(self, rows: np.ndarray) -> Words:
         """The distinct words ``rows`` alone (no texts)."""
         out = object.__new__(Words)
-        out.rows, out.size = self.rows[rows], self.size[rows]
-        out.split = np.r_[0, np.cumsum(out.size)[:-1]]
-        owner = np.repeat(np.arange(len(rows)), out.size)
-        out.grams = self.grams[self.split[rows][owner] + np.arange(len(owner)) - out.split[owner]]
+        out.rows = self.rows[rows]
+        out.grams, out.size, out.split = self._picked(rows)
         return out
 
 
@@ -172,12 +191,11 @@ class BiGRU:
         g["word"], g["char"] = (w.rows, dx[:-1, :WORD_DIM]), (w.grams, (dx[:-1, WORD_DIM:] / w.size[:, None])[owner])
         return g
 
-    def document_logits(self, b: Block, batch: int = 8192) -> np.ndarray:
-        """Largest window logit of each text of a block."""
-        w = Words(b)
+    def document_logits(self, w: Words, batch: int = 8192) -> np.ndarray:
+        """Largest window logit of each text."""
         doc, at, n = windows(w.first)
         x, which = self.inputs(w), np.r_[w.which, 0]
-        out = np.full(len(b), -np.inf, np.float32)
+        out = np.full(len(w.first) - 1, -np.inf, np.float32)
         order = np.argsort(n, kind="stable")  # windows of like length together: less padding
         for i in range(0, len(order), batch):
             part = order[i : i + batch]
@@ -186,41 +204,56 @@ class BiGRU:
         return out
 
     def scores(self, b: Block) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.scale * self.document_logits(b).astype(np.float64) + self.shift, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.scale * self.document_logits(Words(b)).astype(np.float64) + self.shift, -30, 30)))
 
 
-def gather(which: np.ndarray, at: np.ndarray, n: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
-    width = max(1, int(n.max(initial=0)))
+def gather(which: np.ndarray, at: np.ndarray, n: np.ndarray, pad: int, width: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    width = width or max(1, int(n.max(initial=0)))
     place = np.arange(width)
     mask = place < n[:, None]
     idx = np.where(mask, which[np.minimum(at[:, None] + place, len(which) - 1)], pad)
     return idx, mask.astype(np.float32)
 
 
+def _mask(idx: np.ndarray, pad: int) -> np.ndarray:
+    return (idx != pad).astype(np.float32)
+
+
 def train(texts: list[str], labels: list[int], seed: int = 7) -> BiGRU:
-    """A network trained on labelled texts (both labels must occur)."""
+    """A network trained on labelled texts (both labels must occur).
+
+    The texts are read in blocks; of all of them at once the driver holds their words'
+    numbers and the windows (4 bytes a word each), not hashes or masks.
+    """
     model, r = BiGRU(seed), np.random.default_rng(seed)
-    (b,) = blocks(pa.array(texts, pa.large_string()), 1 << 62)
     y = np.asarray(labels)
-    w = Words(b)
+    w = Words(*blocks(pa.array(texts, pa.large_string())))
+    w.which = w.which.astype(np.int32)
     # smoothed log odds of each word row start the first word dimension
-    of = np.repeat(np.arange(len(texts)), np.diff(w.first))
-    seen = np.unique(of * WORD_ROWS + w.rows[w.which])
-    df = [np.bincount(seen[y[seen // WORD_ROWS] == c] % WORD_ROWS, minlength=WORD_ROWS) for c in (0, 1)]
+    df = np.zeros((2, WORD_ROWS), np.int64)
+    for lo in range(0, len(texts), 256):
+        first = w.first[lo : lo + 257]
+        of = np.repeat(np.arange(lo, lo + len(first) - 1), np.diff(first))
+        seen = np.unique(of * WORD_ROWS + w.rows[w.which[first[0] : first[-1]]])
+        for c in (0, 1):
+            df[c] += np.bincount(seen[y[seen // WORD_ROWS] == c] % WORD_ROWS, minlength=WORD_ROWS)
     odds = np.log((df[1] + 0.5) / (y.sum() + 1)) - np.log((df[0] + 0.5) / ((1 - y).sum() + 1))
     model.p["word"][:, 0] = np.clip(odds * (df[0] + df[1]) / (df[0] + df[1] + 8), -2, 3)
     doc, at, n = windows(w.first, LEARN_STRIDE)
-    which = np.r_[w.which, 0]
+    which, pad = np.r_[w.which, np.int32(0)], len(w.rows)
     word_odds = np.r_[model.p["word"][w.rows, 0], 0]
-    idx, mask = gather(which, at, n, len(w.rows))
-    guide = np.where(mask > 0, word_odds[idx], -9).max(1)
+    idx = np.empty((len(doc), max(1, int(n.max(initial=0)))), np.int32)  # ``pad`` where a window has no word
+    guide = np.empty(len(doc), word_odds.dtype)
+    for i in range(0, len(idx), 4096):
+        idx[i : i + 4096], mask = gather(which, at[i : i + 4096], n[i : i + 4096], pad, idx.shape[1])
+        guide[i : i + 4096] = np.where(mask > 0, word_odds[idx[i : i + 4096]], -9).max(1)
     weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3))
     state: dict = {}
     step = 0
     for epoch in range(EPOCHS):
         if epoch:
             x = model.inputs(w)
-            guide = np.concatenate([model.forward(x, idx[i : i + 4096], mask[i : i + 4096])[0] for i in range(0, len(idx), 4096)])
+            guide = np.concatenate([model.forward(x, near, _mask(near, pad))[0] for near in (idx[i : i + 1024] for i in range(0, len(idx), 1024))])
         order = np.lexsort((guide, doc))
         top = order[np.r_[np.flatnonzero(np.diff(doc[order])), len(order) - 1]]  # one window of each text: its highest
         other = r.permutation(len(doc))
@@ -229,10 +262,10 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> BiGRU:
         for i in range(0, len(rows), BATCH):
             part, step = rows[i : i + BATCH], step + 1
             used, near = np.unique(idx[part], return_inverse=True)
-            used = used[used < len(w.rows)]
+            used = used[used < pad]
             own = w.take(used)
             x = model.inputs(own)
-            for k, g in model.gradients(own, x, near.reshape(idx[part].shape), mask[part], y[doc[part]], weight[doc[part]]).items():
+            for k, g in model.gradients(own, x, near.reshape(idx[part].shape), _mask(idx[part], pad), y[doc[part]], weight[doc[part]]).items():
                 m, v = state.setdefault(k, (np.zeros_like(model.p[k]), np.zeros_like(model.p[k])))
                 if isinstance(g, tuple):
                     hit, where = np.unique(g[0], return_inverse=True)
@@ -246,7 +279,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> BiGRU:
                     v[...] = 0.99 * v + 0.01 * g * g
                     model.p[k] -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
     # calibrate document maxima: logistic fit of scale and shift on the sample
-    logit = model.document_logits(b).astype(np.float64)
+    logit = model.document_logits(w, 1024).astype(np.float64)  # small batches: the driver also holds the sample
     a, c = 1.0, 0.0
     for _ in range(300):
         e = (1 / (1 + np.exp(-np.clip(a * logit + c, -30, 30))) - y) * weight
@@ -272,7 +305,12 @@ def trained_model(docs: DataFrame, labels: DataFrame):
     y = [r.toxic for r in rows]
     if len(set(y)) < 2:
         return float(y[0]) if y else 0.0
-    return train([r.text for r in rows], y)
+    texts = [r.text for r in rows]
+    del rows
+    tidy_worker()  # the driver's process goes on as well: it gives back what the rows took, and then the training
+    model = train(texts, y)
+    tidy_worker()
+    return model
 
 
 def score(docs: DataFrame, model) -> DataFrame:
