@@ -43,7 +43,7 @@ from runlens.session import cut_lineage
 SAMPLE = 20_000
 AXES = 12
 SIEVE = 20  # axes of the first comparison of two rows
-BLOCK, BLOCK_BYTES = 32_768, 8 << 20  # of a block at most; a row of the join holds two
+BLOCK, BLOCK_BYTES = 16_384, 4 << 20  # of a block at most; a row of the join holds two
 PART_BLOCKS = 4  # that a join task holds, one after another of the other side's is streamed past them
 STREAMS = 16  # that the other side is cut into at least, if it has as many partitions
 TASK_ROWS = 1024  # of a partition at least
@@ -161,9 +161,11 @@ def _hits(one: _Block, two: _Block, r: slice, s: slice, cosine: float, eps2: flo
     near = one.left[r] @ two.right[s].T >= np.float32(-eps2 / 2 - 1e-5)  # floats are off by less than that
     if same and r == s:
         near = np.triu(near, 1)
-    i, j = np.divmod(np.flatnonzero(near), near.shape[1])
-    if not len(i):
-        return i, j
+    rows = np.flatnonzero(near.any(1))  # few have any, and nonzero() takes longer than the product
+    if not len(rows):
+        return rows, rows
+    i, j = np.nonzero(near[rows])
+    i = rows[i]
     x, y, nx, ny = one.x[r].astype(np.float64), two.x[s].astype(np.float64), one.norms[r], two.norms[s]
     if len(i) > near.size // 64:
         return np.nonzero(near & (x @ y.T >= cosine * np.outer(nx, ny)))
